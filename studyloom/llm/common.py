@@ -70,24 +70,33 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return leaves.unionByName(roots)
 
 
-def running_total(df: DataFrame, group: list[Column], order: Column, value: Column, name: str, fine: int = 256) -> DataFrame:
+def spread(*columns: Column) -> Column:
+    """A uniform non-negative long below 2**60 from the columns' values (null as empty), the same in every run."""
+    joined = F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns))
+    return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
+
+
+def running_total(df: DataFrame, group: list[Column], order: Column, value: Column, name: str, carry: DataFrame | None = None) -> DataFrame:
     """Adds `name`: the sum of value over the rows of the same group that come before in (order, value) order.
 
-    order is a uniform non-negative long below 2**62. Each group is cut into equal ranges of order, about a range for
+    order is a uniform non-negative long below 2**60 (see spread). Each group is cut into equal ranges of order, about a range for
     every 20,000 rows of the whole table, so that no task holds a group: ranges are summed first, their totals
     accumulated over a table of one row a range, and rows accumulated within their range only. Rows that tie in
-    order and value are interchangeable.
+    order and value are interchangeable. carry (one group column _c, one row per group, further columns) is added to
+    the range totals first, so that its columns reach the rows of a hot group over all ranges.
     """
     keys = [f"_g{i}" for i in range(len(group))]
     rows = df.count()
-    ranges = max(fine, 1 << max(0, (rows // 20_000)).bit_length())
-    step = (1 << 62) // ranges
+    ranges = max(256, 1 << max(0, (rows // 20_000)).bit_length())
+    step = (1 << 60) // ranges
     keyed = df.select("*", *(g.alias(k) for g, k in zip(group, keys)), F.expr("0L").alias("_r"), order.alias("_o"), value.cast("long").alias("_v"))
     keyed = keyed.withColumn("_r", F.expr(f"_o div {step}"))
     totals = keyed.groupBy(*keys, "_r").agg(F.sum("_v").alias("_t"))
     before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*(F.col(k).alias(f"{k}s") for k in keys), F.col("_r").alias("_rs"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_s"))
+    if carry is not None:
+        starts = starts.join(carry, F.col("_g0s").eqNullSafe(F.col("_c"))).drop("_c")
     on = [F.col(k).eqNullSafe(F.col(f"{k}s")) for k in keys] + [F.col("_r") == F.col("_rs")]
     inside = Window.partitionBy(*keys, "_r").orderBy("_o", "_v").rowsBetween(Window.unboundedPreceding, -1)
     out = keyed.join(starts, on).withColumn(name, F.col("_s") + F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-    return out.select(*df.columns, name)
+    return out.select(*df.columns, name, *([] if carry is None else [c for c in carry.columns if c != "_c"]))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from .mixing import op3_curriculum_mix
+from .packing import op6_packing
 from .quality import op8_quality_rules
+from .secrets import op7_secret_scan
 from .simhash import op10_simhash
+from .tokens import op4_token_huffman
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op3_curriculum_mix, op4_token_huffman, op6_packing, op7_secret_scan, op8_quality_rules, op10_simhash)}
 ORACLES: dict[str, str] = {}
