@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .embeddings import op5_pivot_permutation
+from .licenses import op1_license_scan
 from .mixing import op3_curriculum_mix
 from .packing import op6_packing
 from .quality import op8_quality_rules
@@ -9,5 +11,5 @@ from .secrets import op7_secret_scan
 from .simhash import op10_simhash
 from .tokens import op4_token_huffman
 
-QUERIES = {f.__name__: f for f in (op3_curriculum_mix, op4_token_huffman, op6_packing, op7_secret_scan, op8_quality_rules, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_curriculum_mix, op4_token_huffman, op5_pivot_permutation, op6_packing, op7_secret_scan, op8_quality_rules, op10_simhash)}
 ORACLES: dict[str, str] = {}
