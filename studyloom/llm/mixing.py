@@ -93,7 +93,7 @@ def curriculum_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
     middle = lambda e: F.least((e * F.col("source_size") + F.col("_b") + F.col("size") / 2) / F.greatest("target", F.lit(1.0)), F.lit(1.0))
     place = lambda u: F.coalesce(*(F.when(F.col("place") % len(schedule) == i, training_position(u, s)) for i, s in enumerate(schedule)))
     positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda e: place(middle(e))))
-    return mixed.withColumn("positions", positions).drop("_b", "weight", "place").orderBy(F.element_at(F.col("positions"), 1).asc_nulls_last())
+    return mixed.withColumn("positions", positions).drop("_b", "weight", "place").orderBy(F.element_at(F.col("positions"), 1).asc_nulls_last(), spread(F.col("doc_id"), F.col("size")))
 
 
 def op3_curriculum_mix(spark, sf_dir: str) -> DataFrame:
