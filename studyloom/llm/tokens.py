@@ -1,14 +1,15 @@
 """Token ids of whole texts, their canonical Huffman file format, and its reader.
 
 Format: a folder with two Parquet tables. `codebook` has (token_id, bits): the length of each id's canonical code, at
-most 16. `blocks` has a row per block of whole documents in ascending doc_id order: (shard, block, first_token, n, doc_ids,
-n_tokens, checkpoints, payload). payload is the bit stream, first bit highest; checkpoints are the bit offsets of every
+most 16. `blocks` has a row per block of whole documents, in ascending doc_id order by (shard, first_token): also n, doc_ids,
+n_tokens, checkpoints, payload. payload is the bit stream, first bit highest; checkpoints are the bit offsets of every
 256th id, so a block decodes on its own and its checkpoints decode side by side. The bytes ride in Parquet so that any
 store Spark writes to, and its commit protocol, hold them.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -26,7 +27,11 @@ from pyspark.sql.window import Window
 from .common import ASCII_LOWER, shared_dir
 
 END_ID, MAX_BITS, LANE, BLOCK = 2, 16, 256, 65_536
-SLICE, CACHED = 4_000_000, 400_000
+SLICE, CACHED, HELD = 2_000_000, 500_000, 200_000
+#: A full stop or comma between an ASCII letter and white space is a piece of its own.
+MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+
+PLAIN = "shard int, at long, doc_id long, width int, ids binary"
 
 
 class WordTokenizer:
@@ -38,21 +43,45 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
+        vocabulary, suffix = self.model.get_vocab(), json.loads(self.model.to_str())["model"].get("end_of_word_suffix")
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # the ids that end a word
+        if suffix:
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.index: dict[bytes, int] = {}
         self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def trim(self) -> None:
+        """Keep the words that were met first, which are the common ones."""
+        self.index = {w: k for w, k in self.index.items() if k < HELD}
+        self.starts, self.lengths = self.starts[:HELD], self.lengths[:HELD]
+        self.flat = self.flat[: int(self.starts[-1] + self.lengths[-1])]
+
+    def encode_words(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of each word. Words of letters only are encoded many at a time: each ends at its end-of-word id."""
+        plain = [k for k, w in enumerate(words) if w.isalpha()]
+        joined = [" ".join(words[k] for k in plain[i : i + 500]) for i in range(0, len(plain), 500)]
+        ids = [i for x in self.model.encode_batch_fast(joined, add_special_tokens=False) for i in x.ids]
+        flat = np.array(ids, np.uint32)
+        ends = np.flatnonzero(self.last[flat]) + 1 if len(flat) else np.zeros(0, np.int64)
+        if len(ends) != len(plain):
+            return [np.array(x.ids, np.uint32) for x in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        out: list[np.ndarray] = [flat[:0]] * len(words)
+        for k, a, b in zip(plain, [0, *ends[:-1]], ends):
+            out[k] = flat[a:b]
+        others = sorted(set(range(len(words))) - set(plain))
+        for k, x in zip(others, self.model.encode_batch_fast([words[k] for k in others], add_special_tokens=False)):
+            out[k] = np.array(x.ids, np.uint32)
+        return out
+
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.index]
         if not new:
             return
-        ids = [x.ids for x in self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
+        ids = self.encode_words([w.decode("utf-8", "replace") for w in new])
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         starts = len(self.flat) + np.cumsum(lengths) - lengths
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))])
+        self.index.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new))))
+        self.flat = np.concatenate([self.flat, *ids])
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
 
     def gather(self, words: list[bytes]) -> np.ndarray:
@@ -86,10 +115,10 @@ class WordTokenizer:
                     held, size = [], 0
                 parts = []
                 for part in self.slices(text):
-                    parts += self._flush([part.split()])
+                    parts += self._flush([MARK.sub(rb" \1", part).split()])
                 yield np.concatenate(parts)
                 continue
-            held.append(next(self.slices(text)).split())
+            held.append(MARK.sub(rb" \1", next(self.slices(text))).split())
             size += len(text or "")
             if size > SLICE:
                 yield from self._flush(held)
@@ -99,7 +128,7 @@ class WordTokenizer:
 
     def _flush(self, held: list[list[bytes]]) -> list[np.ndarray]:
         if len(self.index) > CACHED:
-            self.clear()
+            self.trim()
         self.learn(set().union(*held))
         return [self.gather(words) for words in held]
 
@@ -202,28 +231,61 @@ def unpack_bits(payloads: list[bytes], checkpoints: list[np.ndarray], counts: li
     return found
 
 
-def token_counts(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(text) -> (token_id, n) over all whole texts; one partial row per id and task enters the shuffle."""
+def ordered_ids(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, text) -> (shard, at, doc_id, width, ids): each text's ids and end_id as little-endian bytes of `width`
+    each, rows in ascending doc_id order; `at` counts the ids of the same shard (a range of doc_id) before the row."""
+    small = end_id < 1 << 16 and tokenizer(path).model.get_vocab_size() <= 1 << 16
+    kind, width = ("<u2", 2) if small else ("<u4", 4)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                ids = [np.append(x, np.uint32(end_id)) for x in tokenizer(path).encode_all(part.column("text").to_pylist())]
+                ends = at + np.cumsum([len(x) for x in ids])
+                starts, at = [at, *ends[:-1].tolist()], int(ends[-1])
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array(starts, pa.int64()), part.column("doc_id"), pa.array([width] * n, pa.int32()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], names=["shard", "at", "doc_id", "width", "ids"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    return ordered.mapInArrow(encode, PLAIN)
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for width, ids in zip(batch.column("width").to_pylist(), batch.column("ids")):
+        yield np.frombuffer(ids.as_buffer(), "<u2" if width == 2 else "<u4").astype(np.uint32)
+
+
+def token_counts(tokens: DataFrame) -> DataFrame:
+    """(width, ids) -> (token_id, n) over all texts; one partial row per id and task enters the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in tokenizer(path).encode_all(batch.column("text").to_pylist()):
-                seen = np.bincount(np.append(ids, end_id))
+            for ids in unpacked(batch):
+                seen = np.bincount(ids)
                 if len(seen) > len(total):
                     total = np.pad(total, (0, len(seen) - len(total)))
                 total[: len(seen)] += seen
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["token_id", "n"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "token_id int, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
+    return tokens.select("width", "ids").mapInArrow(count, "token_id int, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> None:
     """Write the ids of all texts (null: empty), each with end_id behind, in ascending doc_id order (null first, ties by
-    a hash of the text). Other columns are not read; an empty table writes an empty codebook and no blocks."""
+    a hash of the text). Other columns are not read; an empty table writes an empty codebook and no blocks.
+
+    Ids are made once, into a plain table in that order (one file per range of doc_id), counted, and coded from it.
+    """
     spark = docs.sparkSession
-    counts = token_counts(docs, path, end_id).collect()  # one row per vocabulary id at most
+    plain = f"{folder}/plain"
+    ordered_ids(docs, path, end_id).write.option("compression", "zstd").parquet(plain)
+    tokens = spark.read.schema(PLAIN).parquet(plain)
+    counts = token_counts(tokens).collect()  # one row per vocabulary id at most
     seen = np.zeros(max([end_id, *(r.token_id for r in counts)]) + 1, np.int64)
     for r in counts:
         seen[r.token_id] = r.n
@@ -232,31 +294,29 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
     book = [(int(i), int(bits[i])) for i in np.flatnonzero(bits)]
     spark.createDataFrame(book, "token_id int, bits int").coalesce(1).write.parquet(f"{folder}/codebook")
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, block, first = TaskContext.get().partitionId(), 0, 0
-        held, names, size = [], [], 0
+    def blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, names, size, first, shard = [], [], 0, 0, None
 
         def row() -> pa.RecordBatch:
             payload, checks = pack_bits(np.concatenate(held), bits, codes)
-            return pa.RecordBatch.from_pydict({"shard": [shard], "block": [block], "first_token": [first], "n": [size], "doc_ids": [names], "n_tokens": [[len(x) for x in held]], "checkpoints": [checks.tolist()], "payload": [payload]}, schema=schema)
+            return pa.RecordBatch.from_pydict({"shard": [shard], "first_token": [first], "n": [size], "doc_ids": [names], "n_tokens": [[len(x) for x in held]], "checkpoints": [checks.tolist()], "payload": [payload]}, schema=schema)
 
-        for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenizer(path).encode_all(batch.column("text").to_pylist())):
-                held.append(np.append(ids, np.uint32(end_id)))
-                names.append(doc_id)
-                size += len(held[-1])
-                if size >= BLOCK:
+        for batch in rows:
+            for mine, at, doc_id, ids in zip(batch.column("shard").to_pylist(), batch.column("at").to_pylist(), batch.column("doc_id").to_pylist(), unpacked(batch)):
+                if held and (size >= BLOCK or mine != shard or at != first + size):
                     yield row()
-                    block, first = block + 1, first + size
                     held, names, size = [], [], 0
+                if not held:
+                    shard, first = mine, at
+                held.append(ids)
+                names.append(doc_id)
+                size += len(ids)
         if held:
             yield row()
 
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_token", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), ("checkpoints", pa.list_(pa.int64())), ("payload", pa.binary())])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ddl = "shard int, block int, first_token long, n long, doc_ids array<long>, n_tokens array<int>, checkpoints array<long>, payload binary"
-    ordered.mapInArrow(blocks, ddl).write.option("compression", "none").parquet(f"{folder}/blocks")
+    schema = pa.schema([("shard", pa.int32()), ("first_token", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), ("checkpoints", pa.list_(pa.int64())), ("payload", pa.binary())])
+    ddl = "shard int, first_token long, n long, doc_ids array<long>, n_tokens array<int>, checkpoints array<long>, payload binary"
+    tokens.mapInArrow(blocks, ddl).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
 def read_tokens(spark, folder: str) -> DataFrame:
