@@ -40,24 +40,20 @@ def line_verdict(line: Column) -> Column:
     )
 
 
-def repeat_words(words: Column) -> Column:
-    """Words that lie in an 8-word window found twice or more in the text, the first place included."""
-    n = F.size(words)
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    return windows
-
-
-def quality_rules(docs: DataFrame, max_lost: float = 0.5, max_symbols: float = 0.1) -> DataFrame:
+def quality_rules(docs: DataFrame, max_lost: float = 0.5, max_symbols: float = 0.1, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, text, ...) -> one row per input row: counts, base_failed, kept, cleaned text and n_removed_lines.
 
+    keep names the columns of docs to carry, doc_id unless given; those named like an added one are not carried.
+
     Counts are over the whole text, null as empty. kept is false where the base rules fail (under 20 words, or over
     30 % of words in repeated windows), where the removed lines hold over max_lost of the word characters, or where
     over max_symbols of them are symbols. Other columns are not read; repeated rows are judged each on its own.
     """
-    base = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    base = base.select("doc_id", "t", _words(F.col("t")).alias("w"), F.split("t", "\n").alias("l"))
-    hashes = base.select("doc_id", "t", "l", F.size("w").alias("n_words"), F.length(F.array_join("w", "")).alias("word_chars"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
+    carried = [c for c in (keep or ["doc_id"])]
+    whole = F.struct(*(F.col(c) for c in carried)).alias("_row")
+    base = docs.select(whole, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    base = base.select("_row", "t", _words(F.col("t")).alias("w"), F.split("t", "\n").alias("l"))
+    hashes = base.select("_row", "t", "l", F.size("w").alias("n_words"), F.length(F.array_join("w", "")).alias("word_chars"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
     made = hashes.withColumn(
         "win",
         F.expr(f"CASE WHEN n_words >= {WINDOW} THEN transform(sequence(0, n_words - {WINDOW}), i -> xxhash64(" + ", ".join(f"h[i + {k}]" for k in range(WINDOW)) + ")) ELSE cast(array() AS array<bigint>) END"),
@@ -75,13 +71,13 @@ def quality_rules(docs: DataFrame, max_lost: float = 0.5, max_symbols: float = 0
     lines = F.filter("l", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     verdicts = F.transform("l", lambda x: F.struct(x.alias("line"), line_verdict(x).alias("fails")))
     out = placed.select(
-        "doc_id", "n_words", "word_chars", "t",
+        "_row", "n_words", "word_chars", "t",
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).alias("n_symbols"),
         lines.alias("lw"), verdicts.alias("v"),
         F.expr(f"CASE WHEN size(p) = 0 THEN 0 ELSE {WINDOW} + aggregate(transform(slice(p, 2, size(p)), (x, k) -> least({WINDOW}, x - p[k])), 0, (a, x) -> a + x) END").alias("n_repeat_words"),
     )
     out = out.select(
-        "doc_id",
+        "_row",
         *(F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols")),
         (F.size("lw") - F.size(F.array_distinct("lw"))).cast("long").alias("n_dup_lines"),
         F.col("n_repeat_words").cast("long").alias("n_repeat_words"),
@@ -91,7 +87,9 @@ def quality_rules(docs: DataFrame, max_lost: float = 0.5, max_symbols: float = 0
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     verdict = (F.col("lost") <= max_lost * F.col("word_chars")) & (F.col("n_symbols") <= max_symbols * F.col("word_chars"))
-    return out.select("*", failed.alias("base_failed"), (~failed & verdict).alias("kept")).drop("lost")
+    made = out.select("*", failed.alias("base_failed"), (~failed & verdict).alias("kept")).drop("lost")
+    added = set(made.columns)
+    return made.select(*(F.col("_row")[c].alias(c) for c in carried if c not in added), *(c for c in made.columns if c != "_row"))
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

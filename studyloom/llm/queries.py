@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .embeddings import op5_pivot_permutation
+from .empirical_bayes import op2_empirical_bayes
 from .licenses import op1_license_scan
 from .mixing import op3_curriculum_mix
 from .packing import op6_packing
@@ -10,6 +11,13 @@ from .quality import op8_quality_rules
 from .secrets import op7_secret_scan
 from .simhash import op10_simhash
 from .tokens import op4_token_huffman
+from .toxicity import op9_compression_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_curriculum_mix, op4_token_huffman, op5_pivot_permutation, op6_packing, op7_secret_scan, op8_quality_rules, op10_simhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_empirical_bayes, op3_curriculum_mix, op4_token_huffman, op5_pivot_permutation,
+        op6_packing, op7_secret_scan, op8_quality_rules, op9_compression_toxicity, op10_simhash,
+    )
+}
 ORACLES: dict[str, str] = {}
