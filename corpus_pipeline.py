@@ -20,7 +20,9 @@ from studyloom.llm.tokens import default_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; the others stay as they are."""
-    return quality_rules(docs, keep=docs.columns).where("kept").select(*docs.columns)
+    judged = quality_rules(docs, keep=docs.columns).select(*docs.columns, "kept")
+    # One row made at a time, so that the filter is not moved into, and does not repeat, the rules' expressions.
+    return judged.select(F.inline(F.array(F.struct(*judged.columns)))).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
