@@ -117,7 +117,7 @@ def parse_feed(text: str, default: str, low: datetime, high: datetime) -> list[d
         elif held is not None:
             held.append(line)
     one = lambda e, k: e[k][0] if k in e else None
-    text_of = lambda e, k: one(e, k)[1].replace("\\,", ",").replace("\;", ";").replace("\\n", "\n").strip() if k in e else None
+    text_of = lambda e, k: one(e, k)[1].replace("\\,", ",").replace("\\;", ";").replace("\\n", "\n").strip() if k in e else None
 
     def times(e: dict) -> tuple[datetime, datetime | None, bool, ZoneInfo]:
         if "DTSTART" not in e or "UID" not in e:
@@ -171,7 +171,8 @@ def read_feeds(files: DataFrame) -> DataFrame:
                     rows += [{"path": f.path} | o for o in parse_feed(f.content or "", f.default_tz, pd.Timestamp(f.horizon_from).to_pydatetime(), pd.Timestamp(f.horizon_to).to_pydatetime())]
                 except (FeedError, KeyError, ValueError) as e:
                     rows.append({"path": f.path, "error": str(e)})
-            out = pd.DataFrame(rows, columns=columns)
+            out = pd.DataFrame(rows, columns=columns).astype(object)
+            out = out.where(out.notna(), None)
             for c in ("recurrence_id", "starts_at", "ends_at"):
                 out[c] = pd.to_datetime(out[c])
             yield out.astype({"sequence": "Int32", "all_day": "boolean", "overridden": "boolean"})
