@@ -20,9 +20,10 @@ from studyloom.llm.tokens import default_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; the others stay as they are."""
-    judged = quality_rules(docs, keep=docs.columns).select(*docs.columns, "kept")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    judged = quality_rules(rows, keep=["row"]).select("row", "kept")
     # One row made at a time, so that the filter is not moved into, and does not repeat, the rules' expressions.
-    return judged.select(F.inline(F.array(F.struct(*judged.columns)))).where("kept").select(*docs.columns)
+    return judged.select(F.inline(F.array(F.struct("row", "kept")))).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,15 +38,15 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per copy that the mix takes, in training order; a copy taken in part holds that many words."""
-    mixed = curriculum_mix(docs)
-    copies = mixed.select(*docs.columns, "size", "part", "copies", F.posexplode("positions").alias("copy", "position"))
+    mixed = curriculum_mix(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text"))
+    copies = mixed.select("row", "text", "doc_id", "size", "part", "copies", F.posexplode("positions").alias("copy", "position"))
     cut = (F.col("part") > 0) & (F.col("copy") == F.col("copies") - 1) & (F.col("part") < F.col("size"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(cut, F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ")).otherwise(F.col("text"))
-    ordered = copies.withColumn("text", text).orderBy("position", "doc_id")
+    short = F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ")
+    changed = F.col("row").withField("text", short)
     if "n_chars" in docs.columns:
-        ordered = ordered.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return ordered.select(*docs.columns)
+        changed = changed.withField("n_chars", F.length(short).cast("long"))
+    return copies.withColumn("row", F.when(cut, changed).otherwise(F.col("row"))).orderBy("position", "doc_id").select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
