@@ -174,3 +174,16 @@ def occurrence_label(title: Column, first: Column, last: Column, kind: Column) -
     labels = F.create_map(*(F.lit(x) for kv in DESCRIPTOR_LABELS.items() for x in kv))
     sessions = F.when(last > first, F.concat(F.lit("Sessions "), first, F.lit("\u2013"), last)).when(first.isNotNull(), F.concat(F.lit("Session "), first))
     return F.coalesce(F.nullif(trim(F.coalesce(title, F.lit(""))), F.lit("")), sessions, labels[F.coalesce(kind, F.lit("regular"))])
+
+
+DEADLINE_WORDS = r"(?i)\b(?:assignment|homework|test|quiz|exam|deadline|task)\b"
+
+
+def item_kind(summary: Column, session: Column, kind: Column, known_course: Column, has_duration: Column, all_day: Column, categories: Column, repeats: Column) -> Column:
+    """class, deadline or event, by six rules in order."""
+    short = ~has_duration | all_day
+    return (
+        F.when(session.isNotNull() | (kind != "regular"), "class").when(known_course & has_duration, "class")
+        .when(short & summary.rlike(r"(?i)\bdue\b"), "deadline").when(F.exists(categories, lambda c: c.rlike(DEADLINE_WORDS)), "deadline")
+        .when(repeats & has_duration, "class").otherwise("event")
+    )

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import costs, star, texts
+from . import costs, star, study, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for part in (costs, star, texts):
+for part in (costs, star, study, texts):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
