@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -9,3 +12,12 @@ def scan(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFram
     """Scan one table, projected to `columns` where given, so that the reader prunes the rest."""
     df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors see; a temporary one only where the session names none (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="studyloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
