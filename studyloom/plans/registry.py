@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import costs, feeds, star, study, texts
+from . import costs, feeds, reviews, star, study, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for part in (costs, feeds, star, study, texts):
+for part in (costs, feeds, reviews, star, study, texts):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
