@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,9 @@ from .common import ASCII_LOWER, shared_dir
 
 END_ID, MAX_BITS, LANE, BLOCK = 2, 16, 256, 65_536
 SLICE, CACHED, HELD = 2_000_000, 500_000, 200_000
-#: A full stop or comma between an ASCII letter and white space is a piece of its own.
-MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+#: ASCII marks; a run of them behind letters, at a word's end, is a piece of its own.
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+MARK_BYTES = frozenset(MARKS.encode())
 
 PLAIN = "shard int, at long, doc_id long, width int, ids binary"
 
@@ -56,39 +58,60 @@ class WordTokenizer:
         self.starts, self.lengths = self.starts[:HELD], self.lengths[:HELD]
         self.flat = self.flat[: int(self.starts[-1] + self.lengths[-1])]
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word. Words of letters only are encoded many at a time: each ends at its end-of-word id."""
-        plain = [k for k, w in enumerate(words) if w.isalpha()]
-        joined = [" ".join(words[k] for k in plain[i : i + 500]) for i in range(0, len(plain), 500)]
-        ids = [i for x in self.model.encode_batch_fast(joined, add_special_tokens=False) for i in x.ids]
-        flat = np.array(ids, np.uint32)
-        ends = np.flatnonzero(self.last[flat]) + 1 if len(flat) else np.zeros(0, np.int64)
-        if len(ends) != len(plain):
-            return [np.array(x.ids, np.uint32) for x in self.model.encode_batch_fast(words, add_special_tokens=False)]
-        out: list[np.ndarray] = [flat[:0]] * len(words)
-        for k, a, b in zip(plain, [0, *ends[:-1]], ends):
-            out[k] = flat[a:b]
-        others = sorted(set(range(len(words))) - set(plain))
-        for k, x in zip(others, self.model.encode_batch_fast([words[k] for k in others], add_special_tokens=False)):
-            out[k] = np.array(x.ids, np.uint32)
-        return out
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.index]
-        if not new:
-            return
-        ids = self.encode_words([w.decode("utf-8", "replace") for w in new])
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    def learn(self, words: list[bytes]) -> None:
+        """Hold the ids of the words. Those of letters only are encoded many at a time, as each ends at its end-of-word id;
+        those of letters with marks behind are put together from the ids of both; the others are encoded one by one."""
+        plain, others, halves, ended = [], [], [], []
+        index = self.index
+        for w in words:
+            if w in index:
+                continue
+            if w.isalpha():
+                plain.append(w)
+                continue
+            text = w.decode("utf-8", "replace")
+            letters = text.rstrip(MARKS)
+            if not letters.isalpha():
+                others.append(w)
+            elif len(letters) == len(text):
+                plain.append(w)
+            else:
+                cut = len(w) - len(text) + len(letters)  # marks are a byte each
+                ended.append(w)
+                halves += (w[:cut], w[cut:])
+        new = {h for h in halves if h not in index}
+        plain = list(dict.fromkeys([*plain, *(h for h in new if h[0] not in MARK_BYTES)]))
+        others = list(dict.fromkeys([*others, *(h for h in new if h[0] in MARK_BYTES)]))
+        spans = [x.ids for x in self._encoded([b" ".join(plain[i : i + 500]) for i in range(0, len(plain), 500)])]
+        flat = np.fromiter((i for x in spans for i in x), np.uint32)
+        ends = np.flatnonzero(self.last[flat]) + 1
+        if len(ends) == len(plain):
+            self._add(plain, flat, np.diff(ends, prepend=0))
+        else:
+            others = list(dict.fromkeys([*others, *plain]))
+        ids = [x.ids for x in self._encoded(others)]
+        self._add(others, np.fromiter((i for x in ids for i in x), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+        if ended:
+            at = np.fromiter(map(index.__getitem__, halves), np.int64, len(halves))
+            self._add(ended, self.gather(halves), self.lengths[at].reshape(-1, 2).sum(axis=1))
+
+    def _encoded(self, words: list[bytes]) -> list:
+        return self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+
+    def _add(self, words: list[bytes], flat: np.ndarray, lengths: np.ndarray) -> None:
         starts = len(self.flat) + np.cumsum(lengths) - lengths
-        self.index.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new))))
-        self.flat = np.concatenate([self.flat, *ids])
+        self.index.update(zip(words, range(len(self.lengths), len(self.lengths) + len(words))))
+        self.flat = np.concatenate([self.flat, flat])
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
 
     def gather(self, words: list[bytes]) -> np.ndarray:
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        return self.placed(np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)))[0]
+
+    def placed(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the entries, one after another, and how many each has."""
         n = self.lengths[at]
         ends = np.cumsum(n)
-        return self.flat[np.repeat(self.starts[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return self.flat[np.repeat(self.starts[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)], n
 
     @staticmethod
     def slices(text: str | None) -> Iterator[bytes]:
@@ -106,7 +129,7 @@ class WordTokenizer:
 
     def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
-        held: list[list[bytes]] = []
+        held: list[bytes] = []
         size, first = 0, 0
         for k, text in enumerate(texts):
             if len(text or "") > SLICE:
@@ -115,10 +138,10 @@ class WordTokenizer:
                     held, size = [], 0
                 parts = []
                 for part in self.slices(text):
-                    parts += self._flush([MARK.sub(rb" \1", part).split()])
+                    parts += self._flush([part])
                 yield np.concatenate(parts)
                 continue
-            held.append(MARK.sub(rb" \1", next(self.slices(text))).split())
+            held.append(next(self.slices(text)))
             size += len(text or "")
             if size > SLICE:
                 yield from self._flush(held)
@@ -126,11 +149,18 @@ class WordTokenizer:
         if held:
             yield from self._flush(held)
 
-    def _flush(self, held: list[list[bytes]]) -> list[np.ndarray]:
+    def _flush(self, held: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text; every distinct word is looked up once."""
         if len(self.index) > CACHED:
             self.trim()
-        self.learn(set().union(*held))
-        return [self.gather(words) for words in held]
+        words = pc.ascii_split_whitespace(pa.array(held, pa.binary()).cast(pa.large_string()))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        self.learn(distinct)
+        entry = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
+        flat, n = self.placed(entry[coded.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(n)])[np.asarray(words.offsets) - words.offsets[0].as_py()]
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
 @lru_cache(maxsize=2)
