@@ -21,12 +21,22 @@ from .common import connected_components, materialize, table
 
 #: Pivots (a bounded sample of the vectors), first places compared, threshold, entries of a block, rows of a call.
 PIVOTS, PLACES, THRESHOLD, BLOCK, GROUP = 256, 5, 0.93, 512, 8192
+#: Candidates drawn for a pivot, and the cosine that no two pivots reach: pivots out of one group of near copies would be
+#: ordered by noise.
+DRAWN, APART = 16, 0.8
 
 
 def pivot_sample(unit: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
-    """At most `pivots` unit vectors of the table, those of the smallest hash: the same ones in every run."""
-    rows = unit.orderBy(F.xxhash64("vec_id", "u")).select("u").limit(pivots).collect()
-    return np.array([r.u for r in rows], float)
+    """At most `pivots` unit vectors of the table, no two with a cosine of APART or more: taken in order of a hash, the same
+    ones in every run, from DRAWN candidates a pivot. Where few lie apart the lists are longer; no vector is left out."""
+    rows = unit.orderBy(F.xxhash64("vec_id", "u")).select("u").limit(DRAWN * pivots).collect()
+    drawn, chosen = np.array([r.u for r in rows], float), []
+    free = np.ones(len(drawn), bool)
+    while len(chosen) < pivots and free.any():
+        chosen.append(int(free.argmax()))
+        free &= drawn @ drawn[chosen[-1]] < APART
+        free[chosen[-1]] = False
+    return drawn[chosen]
 
 
 def pivot_lists(unit: DataFrame, pivots: np.ndarray, places: int = PLACES) -> DataFrame:

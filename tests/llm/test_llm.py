@@ -349,6 +349,17 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pivots_beside_a_hot_group_of_near_copies(spark):
+    r = np.random.default_rng(2)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    base = unit(r.normal(size=(1000, 64)))
+    near = unit(base[:1] + unit(r.normal(size=(500, 64))) * 0.204)  # a third of the rows, pair cosines about 0.96
+    v = np.concatenate([base, near])
+    want = int((v @ v.T >= 0.93).sum()) - len(v)
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    assert embeddings.near_duplicates(df).agg(F.sum("n_links")).first()[0] >= 0.99 * want > 200_000
+
+
 @pytest.mark.parametrize("block", [4, 512])
 def test_blocks_of_a_list_lose_no_link(spark, block):
     r = np.random.default_rng(1)
