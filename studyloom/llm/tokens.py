@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,6 +37,12 @@ MARK_BYTES = frozenset(MARKS.encode())
 PLAIN = "shard int, at long, doc_id long, width int, ids binary"
 
 
+def stays_letters(word: str) -> bool:
+    """Whether the word is letters only, and still is as the tokenizer sees it: composed (NFC) and lower-cased char by char.
+    A combining mark that comes out (of U+0130, or a letter that doesn't compose) joins with the marks behind it."""
+    return word.isalpha() and (word.isascii() or all(c.lower().isalpha() for c in unicodedata.normalize("NFC", word)))
+
+
 class WordTokenizer:
     """Encodes texts word by word with a cache; for tokenizers whose pieces never cross ASCII white space and that
     lower-case their input (so A-Z can be lowered before, but for texts that may hold a special token)."""
@@ -71,7 +78,7 @@ class WordTokenizer:
                 continue
             text = w.decode("utf-8", "replace")
             letters = text.rstrip(MARKS)
-            if not letters.isalpha():
+            if not stays_letters(letters):
                 others.append(w)
             elif len(letters) == len(text):
                 plain.append(w)

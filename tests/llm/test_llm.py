@@ -93,6 +93,13 @@ def test_word_tokenizer_equals_whole_texts(model):
         assert ids.tolist() == model.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("word", ["BELEDİYESİ", "\u091c\u095c", "\ufb2a", "İİ", "\u05d0\ufb2a", "éÉ", "Ａ", "ΟΔΟΣ"])
+def test_letters_that_end_in_a_mark_once_normalised(model, word):
+    t = tokens.WordTokenizer(tokens.default_path())
+    texts = [word + x + " one " + word + y for x in ("", ".", ",", "...", "?!") for y in ("", ")", ".")]
+    assert [x.tolist() for x in t.encode_all(texts)] == [model.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_slices_of_a_long_text(model, monkeypatch):
     monkeypatch.setattr(tokens, "SLICE", 1000)
     monkeypatch.setattr(tokens, "CACHED", 50)
