@@ -73,10 +73,9 @@ def chunk_document(spark, folder):
     return D.chunk_documents(pages).select("doc_id", "page", "to_page", "part", "token_count", F.sha2("content", 256).alias("content_hash"))
 
 
-def fuzzy_map(spark, folder):
-    """English documents' nearest benchmark item by shared words, 0.18 at least: an inverted list of the items' words finds the
+def nearest_items(spark, folder, d):
+    """The documents' nearest benchmark item by shared words, 0.18 at least: an inverted list of the items' words finds the
     pairs, so texts that share nothing never meet."""
-    d = scan(spark, folder, "documents", "doc_id", "text", "lang").where("lang = 'en'")
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: F.length(w) >= 3))
     items = scan(spark, folder, "benchmark", "item_id", words("text").alias("w")).select("item_id", F.size("w").alias("n"), F.explode("w").alias("word"))
     docs = d.select("doc_id", F.explode(words("text")).alias("word"))
@@ -86,6 +85,16 @@ def fuzzy_map(spark, folder):
     return best.select("doc_id", "item_id", F.round("score", 9).alias("score"))
 
 
+def fuzzy_map(spark, folder):
+    """English documents only; fuzzy_map_all maps every language."""
+    return nearest_items(spark, folder, scan(spark, folder, "documents", "doc_id", "text", "lang").where("lang = 'en'"))
+
+
+def fuzzy_map_all(spark, folder):
+    """Documents of every language, and of none."""
+    return nearest_items(spark, folder, scan(spark, folder, "documents", "doc_id", "text"))
+
+
 #: Dollars a million tokens in and out by role, for the price query.
 RATES = {"user": (0.8, 4.0), "assistant": (3.0, 15.0), "system": (15.0, 75.0)}
 
@@ -163,7 +172,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         newest_turn_per_conv, page_ranges, segment_runs, coverage_map, coverage_gaps, hash_normalise, chunk_identity, token_estimate, chunk_document,
-        fuzzy_map, price_tokens, match_chunks, topk_similar, duplicate_guard, coalesce_singletons, provenance, tail_turns, summary_normalise,
+        fuzzy_map, fuzzy_map_all, price_tokens, match_chunks, topk_similar, duplicate_guard, coalesce_singletons, provenance, tail_turns, summary_normalise,
     )
 }
 
@@ -210,3 +219,5 @@ ORACLES = {
  SELECT CASE WHEN n = 0 THEN 'absent' WHEN good = 0 THEN 'broken' WHEN places >= 2 THEN 'corroborated' ELSE 'single' END AS strength, count(*) AS n, CAST(sum(n) AS BIGINT) AS citations FROM b GROUP BY 1""",
     "tail_turns": "SELECT * FROM (SELECT conv_id * 1000 + turn AS k, role FROM conversations WHERE role = 'user' ORDER BY 1 DESC LIMIT 40) ORDER BY k",
 }
+
+ORACLES["fuzzy_map_all"] = ORACLES["fuzzy_map"].replace(" WHERE lang = 'en'", "")
