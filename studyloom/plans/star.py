@@ -58,8 +58,8 @@ def week_buckets(spark, folder):
     return orders.groupBy(F.to_date(week_start("o_orderdate", "Europe/Madrid")).alias("week"), day_key("o_orderdate", "Europe/Madrid").alias("day")).agg(F.count("*").alias("n"))
 
 
-def priority_rank(spark, folder):
-    """Orders as items: weight from the price, due by date; overdue first, then score, then id; the first 500."""
+def priority_rank_all(spark, folder):
+    """Orders as items: weight from the price, due by date; all of them, overdue first, then score, then id."""
     now = F.lit("1998-01-01").cast("timestamp")
     o = scan(spark, folder, "orders", "o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus", "o_totalprice")
     days = F.datediff(F.col("o_orderdate"), F.lit("1998-01-01").cast("date")).cast("double")
@@ -68,7 +68,12 @@ def priority_rank(spark, folder):
     late = (F.col("o_orderdate") < now) & (F.col("o_orderstatus") == "O")
     score = M.priority(weight, F.when(days < 0, 0.0).otherwise(days))
     rows = o.select("o_orderkey", late.alias("overdue"), score.alias("score"), M.tier(late, kind, score).alias("tier"))
-    return rows.orderBy(F.desc("overdue"), F.desc("score"), "o_orderkey").limit(500).select("o_orderkey", "overdue", F.round("score", 9).alias("score"), "tier")
+    return rows.orderBy(F.desc("overdue"), F.desc("score"), "o_orderkey").select("o_orderkey", "overdue", F.round("score", 9).alias("score"), "tier")
+
+
+def priority_rank(spark, folder):
+    """The first 500 of priority_rank_all."""
+    return priority_rank_all(spark, folder).limit(500)
 
 
 def weight_verdict(spark, folder):
@@ -192,7 +197,7 @@ def union_distinct_ledgers(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        nested_order_embed, semi_anti_customers, max_correlated_default, recency_rank, range_bounds, week_buckets, priority_rank,
+        nested_order_embed, semi_anti_customers, max_correlated_default, recency_rank, range_bounds, week_buckets, priority_rank, priority_rank_all,
         weight_verdict, page_diff, snapshot_diff, tombstones, exam_weight, upsert_orders, quality_constraints, attendance_gate,
         participation_standings, asof_previous_event, nearest_position, topk_per_segment, sync_counters, attendance_last_write, union_distinct_ledgers,
     )
@@ -252,3 +257,5 @@ ORACLES = {
     "attendance_last_write": """SELECT user_id, CAST(ts AS DATE) AS day, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY ALL""",
     "union_distinct_ledgers": "SELECT o_custkey AS key FROM orders UNION SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0",
 }
+
+ORACLES["priority_rank_all"] = ORACLES["priority_rank"].removesuffix(" LIMIT 500")

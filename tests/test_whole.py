@@ -14,3 +14,10 @@ def test_documents_of_every_language_are_mapped(spark):
     narrow, whole = ids(spark, "fuzzy_map", "doc_id"), ids(spark, "fuzzy_map_all", "doc_id")
     print("fuzzy_map", len(narrow), "all", len(whole), "of them not English", len(whole & other))
     assert narrow == whole - other and whole & other
+
+
+def test_all_orders_are_ranked(spark):
+    narrow, whole = (registry.QUERIES[n](spark, FOLDER).collect() for n in ("priority_rank", "priority_rank_all"))
+    print("priority_rank", len(narrow), "all", len(whole))
+    assert len(whole) == spark.read.parquet(f"{FOLDER}/orders.parquet").count() > len(narrow) and whole[: len(narrow)] == narrow
+    assert [(not r.overdue, -r.score) for r in whole] == sorted((not r.overdue, -r.score) for r in whole)
