@@ -32,15 +32,20 @@ def week_view(spark, folder):
     return calendar.week_view(rows, now(), "Europe/Madrid").select("id", "section", "tier", "overdue", F.round("score", 9).alias("score"), "local_day")
 
 
-def exam_detection(spark, folder):
-    """Customers as courses, their orders as numbered sessions, urgent orders as confirmed exams."""
+def exam_detection(spark, folder, sessions="o_orderkey % 3 <> 0"):
+    """Customers as courses, their orders (two thirds of them) as numbered sessions, urgent orders as confirmed exams."""
     o = scan(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
-    events = o.where("o_orderkey % 3 <> 0").select(F.col("o_custkey").alias("course_id"), F.col("o_orderkey").alias("uid"), F.col("o_orderdate").cast("timestamp").alias("starts_at"), (F.col("o_orderkey") % 12 + 1).cast("int").alias("session_from"), (F.col("o_orderkey") % 12 + 1 + F.col("o_orderkey") % 2).cast("int").alias("session_to"))
+    events = o.where(sessions).select(F.col("o_custkey").alias("course_id"), F.col("o_orderkey").alias("uid"), F.col("o_orderdate").cast("timestamp").alias("starts_at"), (F.col("o_orderkey") % 12 + 1).cast("int").alias("session_from"), (F.col("o_orderkey") % 12 + 1 + F.col("o_orderkey") % 2).cast("int").alias("session_to"))
     courses = scan(spark, folder, "customer", F.col("c_custkey").alias("course_id"), F.when(F.col("c_custkey") % 3 == 0, F.lit(10)).alias("total_sessions"))
     exams = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("course_id"), F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderstatus") == "F", "The final").otherwise("Part").alias("title"), F.lit("Written exam").alias("kind"), (F.col("o_orderkey") % 12 + 1).cast("int").alias("session_number"), (F.col("o_orderkey") % 2 == 0).alias("confirmed"))
     return calendar.detect_exams(events, courses, exams).select("course_id", "outcome", "source", "session", "uid")
 
 
+def exam_detection_all(spark, folder):
+    """All orders as sessions."""
+    return exam_detection(spark, folder, "true")
+
+
 def group_unassigned(spark, folder):
     p = scan(spark, folder, "part", "p_partkey", "p_name", "p_size")
     rows = p.select(F.concat(F.lit("  "), F.upper("p_name"), F.lit(" ")).alias("name"), F.col("p_partkey").alias("id"), F.timestamp_seconds(F.lit(866000000) + F.col("p_size") * 86400).alias("starts_at"))
@@ -64,22 +69,32 @@ def merge_loss(spark, folder):
     return topics.merge_loss(before, after, removals).groupBy("kind", "severity").agg(F.count("*").alias("n"), F.sum("subject").alias("subjects"))
 
 
-def signal_mapping(spark, folder):
-    """Orders as signals: a customer is a topic that cites the pages of its own order dates' months."""
+def signal_mapping(spark, folder, chosen="o_orderkey % 5 = 0"):
+    """Orders (a fifth of them) as signals: a customer is a topic that cites the pages of its own order dates' months."""
     o = scan(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
-    signals = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("signal_id"), (F.col("o_custkey") % 50).alias("document_id"), (F.col("o_orderkey") % 40).alias("page"), F.array(F.lower("o_orderpriority"), F.concat(F.lit("st"), "o_orderstatus"), F.concat(F.lit("w"), F.col("o_orderkey") % 60), F.lit("exam"), F.lit("unit")).alias("tokens"))
+    signals = o.where(chosen).select(F.col("o_orderkey").alias("signal_id"), (F.col("o_custkey") % 50).alias("document_id"), (F.col("o_orderkey") % 40).alias("page"), F.array(F.lower("o_orderpriority"), F.concat(F.lit("st"), "o_orderstatus"), F.concat(F.lit("w"), F.col("o_orderkey") % 60), F.lit("exam"), F.lit("unit")).alias("tokens"))
     tops = spark.range(0, 30).select(F.col("id").alias("topic_id"), F.col("id").alias("ord"), F.array(F.concat(F.lit("w"), F.col("id")), F.concat(F.lit("w"), F.col("id") + 30), F.lit("stF"), F.lit("topic")).alias("tokens"))
     sources = tops.select("topic_id", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("document_id")).where("(document_id + topic_id) % 7 = 0").select("topic_id", "document_id", (F.col("topic_id") % 20).alias("page"))
     return routing.map_signals(signals, tops, sources).select("signal_id", "topic_id", "method", F.round("score", 9).alias("score"))
 
 
-def reprocess_plan(spark, folder):
+def signal_mapping_all(spark, folder):
+    """All orders as signals."""
+    return signal_mapping(spark, folder, "true")
+
+
+def reprocess_plan(spark, folder, chosen="o_orderkey % 2 = 0"):
     o = scan(spark, folder, "orders", "o_orderkey", "o_custkey")
-    targets = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("target"), F.when(F.col("o_orderkey") % 10 != 0, F.col("o_custkey")).alias("topic_id"), (F.col("o_orderkey") % 6).alias("revision"))
+    targets = o.where(chosen).select(F.col("o_orderkey").alias("target"), F.when(F.col("o_orderkey") % 10 != 0, F.col("o_custkey")).alias("topic_id"), (F.col("o_orderkey") % 6).alias("revision"))
     prior = scan(spark, folder, "customer", F.col("c_custkey").alias("topic_id"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey") % 5).alias("snapshot_revision"), (F.col("c_custkey") % 3 == 0).alias("has_provenance")).where("topic_id % 7 <> 0")
     return routing.reprocess_plan(targets, prior)
 
 
+def reprocess_plan_all(spark, folder):
+    """All orders as targets."""
+    return reprocess_plan(spark, folder, "true")
+
+
 def attempts_outcome(spark, folder):
     """A user's events of a day as the attempts of one call."""
     ev = scan(spark, folder, "events", "event_id", "user_id", "event_type", F.to_date("ts").cast("string").alias("day"), "value")
@@ -156,7 +171,7 @@ def vector_codec(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        week_view, exam_detection, group_unassigned, course_match, merge_loss, signal_mapping, reprocess_plan, attempts_outcome, document_outcome, insert_ignore_orders,
+        week_view, exam_detection, exam_detection_all, group_unassigned, course_match, merge_loss, signal_mapping, signal_mapping_all, reprocess_plan, reprocess_plan_all, attempts_outcome, document_outcome, insert_ignore_orders,
         patch_with_locks, replace_partition, queue_flush, change_feed_view, text_functions, document_kinds, vector_codec,
     )
 }
@@ -214,3 +229,7 @@ ORACLES = {
  CASE WHEN p_size * 10 IN (401, 403, 410) THEN 'unauthorized' WHEN p_size * 10 BETWEEN 200 AND 299 THEN 'ok' ELSE 'retryable' END AS fetch FROM x""",
     "vector_codec": "SELECT event_id, event_id % 3 = 0 AS valid, CASE WHEN event_id % 3 = 0 THEN value END AS first FROM events",
 }
+
+ORACLES["exam_detection_all"] = ORACLES["exam_detection"].replace("FROM orders WHERE o_orderkey % 3 <> 0)", "FROM orders)")
+ORACLES["signal_mapping_all"] = ORACLES["signal_mapping"].replace(" WHERE o_orderkey % 5 = 0", "")
+ORACLES["reprocess_plan_all"] = ORACLES["reprocess_plan"].replace(" FROM orders WHERE o_orderkey % 2 = 0", " FROM orders")

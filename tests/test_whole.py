@@ -21,3 +21,14 @@ def test_all_orders_are_ranked(spark):
     print("priority_rank", len(narrow), "all", len(whole))
     assert len(whole) == spark.read.parquet(f"{FOLDER}/orders.parquet").count() > len(narrow) and whole[: len(narrow)] == narrow
     assert [(not r.overdue, -r.score) for r in whole] == sorted((not r.overdue, -r.score) for r in whole)
+
+
+def test_all_orders_are_signals_targets_and_sessions(spark):
+    orders = {r[0] for r in spark.read.parquet(f"{FOLDER}/orders.parquet").select("o_orderkey").collect()}
+    for name, column in (("signal_mapping", "signal_id"), ("reprocess_plan", "target")):
+        narrow, whole = ids(spark, name, column), ids(spark, f"{name}_all", column)
+        print(name, len(narrow), "all", len(whole))
+        assert narrow < whole == orders
+    narrow, whole = (ids(spark, n, "uid") - {None} for n in ("exam_detection", "exam_detection_all"))
+    print("exam_detection sessions", len(narrow), "of them o_orderkey % 3 = 0", sum(k % 3 == 0 for k in narrow), "all", len(whole), "of them", sum(k % 3 == 0 for k in whole))
+    assert any(k % 3 == 0 for k in whole) and not any(k % 3 == 0 for k in narrow)
