@@ -2,12 +2,15 @@
 
 Each vector is described by its nearest reference points (pivots) in order. Near-equal vectors share most of the first
 places, so vectors are listed under pairs of their first pivots; those that share two pivots meet in such a list, and
-every pair that meets is verified by its cosine in double precision. Lists that are long are cut into blocks that meet
-pairwise, so no task holds a list; equal vectors are one entry with a count.
+every pair that meets is verified by its cosine in double precision, in the list of the first two pivots that both share,
+so that it counts once. A list gives each of its entries' number of links and one bond to the smallest entry that it
+reaches there: no table of all pairs is written. Lists that are long are cut into blocks that meet pairwise, so no task
+holds a list; equal vectors are one entry with a count.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -19,14 +22,17 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, table
 
-#: Pivots (a bounded sample of the vectors), first places compared, threshold, entries of a block, rows of a call.
-PIVOTS, PLACES, THRESHOLD, BLOCK, GROUP = 256, 5, 0.93, 512, 8192
+#: Least and most pivots (a bounded sample of the vectors; between them, the square root of the vectors' number, so that lists
+#: stay short), first places compared, threshold, entries of a block, rows of a call, and the vectors of one dimension up to
+#: which they are a single list.
+LEAST_PIVOTS, PIVOTS, PLACES, THRESHOLD, BLOCK, GROUP, SINGLE = 256, 2048, 5, 0.93, 1024, 8192, 512
 #: Candidates drawn for a pivot, and the cosine that no two pivots reach: pivots out of one group of near copies would be
 #: ordered by noise.
 DRAWN, APART = 16, 0.8
+LISTS = "label string, p int, q int, first array<int>, entry long, copies long, u array<double>"
 
 
-def pivot_sample(unit: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
+def pivot_sample(unit: DataFrame, pivots: int) -> np.ndarray:
     """At most `pivots` unit vectors of the table, no two with a cosine of APART or more: taken in order of a hash, the same
     ones in every run, from DRAWN candidates a pivot. Where few lie apart the lists are longer; no vector is left out."""
     rows = unit.orderBy(F.xxhash64("vec_id", "u")).select("u").limit(DRAWN * pivots).collect()
@@ -39,90 +45,128 @@ def pivot_sample(unit: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
     return drawn[chosen]
 
 
+def single_lists(unit: DataFrame) -> DataFrame:
+    """(entry, label, copies, u) -> LISTS, one list a label."""
+    return unit.select("label", F.lit(0).alias("p"), F.lit(1).alias("q"), F.array(F.lit(0), F.lit(1)).alias("first"), "entry", "copies", "u")
+
+
 def pivot_lists(unit: DataFrame, pivots: np.ndarray, places: int = PLACES) -> DataFrame:
-    """(entry, label, u) -> (label, p, q, entry, u): a row for each pair of the entry's first `places` pivots."""
+    """(entry, label, copies, u) -> LISTS: a row for each pair of the entry's first `places` pivots."""
+    if len(pivots) < 2:
+        return single_lists(unit)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             vectors = np.array(batch.column("u").to_pylist(), float)
-            first = np.sort(np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :places], axis=1)
-            pairs = list(combinations(range(first.shape[1]), 2)) or [(0, 0)]
-            at = np.repeat(np.arange(len(vectors)), len(pairs))
-            p, q = (first[:, [x[i] for x in pairs]].reshape(-1).astype(np.int32) for i in (0, 1))
-            taken = batch.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([taken.column("label"), pa.array(p), pa.array(q), taken.column("entry"), taken.column("u")], names=["label", "p", "q", "entry", "u"])
-
-    return unit.select("entry", "label", "u").mapInArrow(describe, "label string, p int, q int, entry long, u array<double>")
+            first = np.sort(np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :places], axis=1).astype(np.int32)
+            pairs = list(combinations(range(first.shape[1]), 2))
+            at = pa.array(np.repeat(np.arange(len(vectors)), len(pairs)))
+            p, q = (first[:, [x[i] for x in pairs]].reshape(-1) for i in (0, 1))
+            taken = batch.take(at)
+            firsts = pa.array(list(first), pa.list_(pa.int32())).take(at)
+            yield pa.RecordBatch.from_arrays([taken.column("label"), pa.array(p), pa.array(q), firsts, taken.column("entry"), taken.column("copies"), taken.column("u")], names=["label", "p", "q", "first", "entry", "copies", "u"])
+
+    return unit.select("entry", "label", "copies", "u").mapInArrow(describe, LISTS)
+
+
+def meeting_here(a: np.ndarray, b: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Of pairs of rows of sorted pivots: are p and q the first two that both hold?"""
+    shared = (a[:, :, None] == b[:, None, :]).any(axis=2)
+    so_far = shared.cumsum(axis=1)
+    at = np.arange(len(a))
+    return (a[at, shared.argmax(axis=1)] == p) & (a[at, (so_far == 2).argmax(axis=1)] == q) & (so_far[:, -1] >= 2)
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node that it reaches over the edges a-b."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == before).all():
+            return root
 
 
 def verified_links(lists: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """(a, b): the entries, a < b, that share a list and have a cosine of `threshold` or more."""
+    """LISTS -> (entry, linked, bond): parts of an entry's number of links with cosine of `threshold` or more, each counted as
+    often as the other end has copies, and an entry to which it is linked over such links, itself if it is the smallest."""
     sizes = lists.groupBy("label", "p", "q").agg(F.count("*").alias("n")).where("n > 1")
     cut = lists.join(sizes, ["label", "p", "q"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     cut = cut.withColumn("mine", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, "mine").alias("i"), F.greatest(i, "mine").alias("j")))
-    dealt = cut.select("label", "p", "q", F.explode(meets).alias("m"), "mine", "entry", "u").select("label", "p", "q", "m.i", "m.j", "mine", "entry", "u")
+    dealt = cut.select("label", "p", "q", "first", F.explode(meets).alias("m"), "mine", "entry", "copies", "u").select("label", "p", "q", "m.i", "m.j", "mine", "first", "entry", "copies", "u")
 
     # Many lists are short: a task's call takes about GROUP rows of whole lists, dealt by a hash of the list.
     rows = sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / block))).first()[0] or 0
     dealt = dealt.withColumn("g", F.pmod(F.xxhash64("label", "p", "q", "i", "j"), F.lit(max(1, rows // GROUP))))
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["label", "p", "q", "i", "j", "mine"], ignore_index=True)
+        rows = rows.sort_values(["label", "p", "q", "i", "j", "mine", "entry"], ignore_index=True)
         keys = rows[["label", "p", "q", "i", "j"]]
         starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
-        vectors, entry = np.stack(rows["u"].to_numpy()), rows["entry"].to_numpy()
-        mine, first, second = (rows[c].to_numpy() for c in ("mine", "i", "j"))
-        found_a, found_b = [], []
+        mine, first, second, p, q, copies = (rows[c].to_numpy() for c in ("mine", "i", "j", "p", "q", "copies"))
+        vectors, pivots = rows["u"].to_numpy(), rows["first"].to_numpy()
+        linked, bond = np.zeros(len(rows), np.int64), np.arange(len(rows))
         for lo, hi in zip(starts, [*starts[1:], len(rows)]):
             same = first[lo] == second[lo]
-            mid = lo + int(np.searchsorted(mine[lo:hi], second[lo])) if not same else lo
-            left, right = (slice(lo, hi), slice(lo, hi)) if same else (slice(lo, mid), slice(mid, hi))
-            x, y = np.nonzero(vectors[left] @ vectors[right].T >= threshold)
-            a, b = entry[left][x], entry[right][y]
-            keep = a < b if same else a != b
-            found_a.append(np.minimum(a, b)[keep])
-            found_b.append(np.maximum(a, b)[keep])
-        return pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)}).drop_duplicates()
-
-    return dealt.groupBy("g").applyInPandas(verify, "a long, b long").distinct()
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS, places: int = PLACES) -> DataFrame:
+            mid = lo if same else lo + int(np.searchsorted(mine[lo:hi], second[lo]))
+            v, f = np.stack(vectors[lo:hi]), np.stack(pivots[lo:hi])
+            found_a, found_b = [], []
+            for k in range(lo, hi if same else mid, 256):
+                to = min(k + 256, hi if same else mid)
+                a, b = np.nonzero(v[k - lo : to - lo] @ v[mid - lo :].T >= threshold)
+                a, b = a + k - lo, b + mid - lo
+                keep = (a < b) if same else np.ones(len(a), bool)
+                a, b = a[keep], b[keep]
+                keep = meeting_here(f[a], f[b], p[lo], q[lo])
+                found_a.append(a[keep])
+                found_b.append(b[keep])
+            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
+            np.add.at(linked, lo + a, copies[lo + b])
+            np.add.at(linked, lo + b, copies[lo + a])
+            bond[lo:hi] = lo + roots(hi - lo, a, b)
+        entry = rows["entry"].to_numpy()
+        out = pd.DataFrame({"entry": entry, "linked": linked, "bond": entry[bond]})
+        return out[(linked > 0)]
+
+    return dealt.groupBy("g").applyInPandas(verify, "entry long, linked long, bond long")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int | None = None, places: int = PLACES) -> DataFrame:
     """(vec_id, embedding, label, ...) -> one row per input row: vec_id, n_links, component_id, kept.
 
     Only vectors of equal, not null labels and equal dimension are compared. A vector that is null, zero, or holds a null
     or a non-finite component links with nothing: it is its own component. Equal vectors link with each other. A row
-    whose vec_id is repeated is a further vector under the same id, and counts as a link. An empty table gives an
-    empty result.
+    whose vec_id is repeated is a further vector under the same id, and counts as a link. A null vec_id is linked like any
+    other but never the smallest; where a whole component has none, component_id is null. Other columns are not read; an
+    empty table gives an empty result.
+
+    Each dimension with more than SINGLE different vectors has pivots of its own, a few jobs each; the vectors of all others
+    are a single list a label and dimension.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.withColumn("norm", F.when(F.coalesce(finite, F.lit(False)), F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))))
-    able = F.col("label").isNotNull() & (F.col("norm") > 0) & (F.col("norm") < float("inf")) & F.col("vec_id").isNotNull()
+    able = F.col("label").isNotNull() & (F.col("norm") > 0) & (F.col("norm") < float("inf"))
     scaled = F.when(able, F.transform("e", lambda x: x / F.col("norm")))
     rows = rows.select("vec_id", F.concat_ws("/", "label", F.size("e").cast("string")).alias("label"), scaled.alias("u"))
     held = materialize(rows, "unit")
     unique = held.where("u IS NOT NULL").groupBy("label", "u").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
     # An entry is named by its smallest vec_id; equal ids of different vectors are told apart by a hash of the vector.
     unique = materialize(unique.select("*", F.xxhash64("vec_id", "label", "u").alias("entry")), "entries")
-    per_size = [r[0] for r in unique.select(F.size("u")).distinct().limit(65).collect()]
-    if len(per_size) > 64:
-        raise ValueError("more than 64 vector dimensions")
-    links = None
-    for size in per_size:
+    many = {r["size"]: r["n"] for r in unique.groupBy(F.size("u").alias("size")).agg(F.count("*").alias("n")).where(F.col("n") > SINGLE).collect()}
+    lists = single_lists(unique.where(~F.size("u").isin(list(many))) if many else unique)
+    for size, n in many.items():
         part = unique.where(F.size("u") == size)
-        some = verified_links(pivot_lists(part, pivot_sample(part, pivots), places), threshold)
-        links = some if links is None else links.unionByName(some)
-    if links is None:
-        links = held.sparkSession.createDataFrame([], "a long, b long")
-    links = materialize(links, "links")
-    weights = unique.select(F.col("entry").alias("other"), F.col("copies").alias("weight"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(weights, F.col("b") == F.col("other")).groupBy(F.col("a").alias("entry")).agg(F.sum("weight").alias("linked"))
-    members = connected_components(links).withColumnRenamed("node", "entry")
+        lists = lists.unionByName(pivot_lists(part, pivot_sample(part, pivots or min(PIVOTS, max(LEAST_PIVOTS, math.isqrt(n)))), places))
+    found = materialize(verified_links(lists, threshold), "links")
+    degree = found.groupBy("entry").agg(F.sum("linked").alias("linked"))
+    members = connected_components(found.select(F.col("entry").alias("a"), F.col("bond").alias("b"))).withColumnRenamed("node", "entry")
     entries = unique.join(degree, "entry", "left").join(members, "entry", "left").withColumn("component", F.coalesce("component", "entry"))
     smallest = entries.groupBy("component").agg(F.min("vec_id").alias("component_id"))
     entries = entries.join(smallest, "component").select("label", "u", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
