@@ -1,9 +1,10 @@
 """License scans over a positional index of rare licence words.
 
-Templates (licence notices and short grants) are indexed as word -> postings (template, position). A file is looked up
-by the words of highest inverse document frequency among the licence words it holds; postings whose word stands at the
-same relative position in file and template intersect to an alignment; an alignment counts once the template's mandatory
-key phrases stand in it and enough of its words do. Document frequencies are those of the whole corpus.
+Templates (licence notices and short grants) are indexed under the rarest words of one of their mandatory key phrases: word
+-> postings (template, position). A file's words are looked up there, those of highest inverse document frequency first;
+the places in which all of a template's rare words stand at the same relative position as in the template intersect to
+its alignments; an alignment counts once all mandatory key phrases stand in it and enough of the template's words do. As a
+phrase stands word for word, no template that would be verified is missed. Document frequencies are those of the whole corpus.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import few_texts, table
+from .license_texts import NOTICES
 
 #: bytes.translate table: A-Z to a-z; ASCII other than letters and digits to a space.
 WORD_BYTES = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-#: Rarest words looked up for each template, share of its words that an alignment needs, and words it may be off by.
+#: Rarest words under which a template is indexed, share of its words that an alignment needs, and words it may be off by.
 RARE, COVER, SLACK = 3, 0.6, 6
 
 
@@ -37,80 +39,77 @@ class Template:
     base: bool = False
 
 
-#: The base phrases, exact and in full, then notices and grants of public licences.
-TEMPLATES = (
-    Template("mit", "under the mit license", ("under the mit license",), True),
-    Template("apache-2", "apache license version 2", ("apache license version 2",), True),
-    Template("cc-by-nc", "cc by nc", ("cc by nc",), True),
-    Template("mit", "released under the mit license", ("mit license",)),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge", "copy of this software")),
-    Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("apache license", "in compliance with the license")),
-    Template("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
-    Template("gpl-2", "this program is free software licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
-    Template("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
-    Template("agpl-3", "licensed under the gnu affero general public license version 3", ("gnu affero general public license",)),
-    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms", "following conditions are met")),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("distribute this software for any purpose", "is hereby granted")),
-    Template("cc-by-nc", "licensed under creative commons attribution noncommercial 4 0 international", ("creative commons attribution noncommercial",)),
-    Template("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
-    Template("cc-by-sa", "licensed under creative commons attribution sharealike 4 0 international", ("creative commons attribution sharealike",)),
-    Template("cc-by", "licensed under creative commons attribution 4 0 international", ("creative commons attribution 4 0",)),
-    Template("cc0", "dedicated to the public domain under cc0 1 0 universal", ("cc0 1 0",)),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-    Template("all-rights-reserved", "all rights reserved", ("all rights reserved",)),
-)
+#: The base phrases, exact and in full; then the notices.
+BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
+TEMPLATES = (*(Template(label, text, (text,), True) for label, text in BASE), *(Template(label, text, phrases) for label, text, phrases in NOTICES))
+
+
+def places_of(phrase: list[bytes], words: list[bytes]) -> list[int]:
+    return [i for i in range(len(words) - len(phrase) + 1) if words[i : i + len(phrase)] == phrase]
 
 
 class PositionalIndex:
-    """Templates, their postings, and the inverse document frequency of their words."""
+    """Templates, the inverse document frequency of their phrases' words, and word -> postings (template, position)."""
 
     def __init__(self, templates: tuple[Template, ...], frequency: dict[bytes, int], documents: int):
         self.templates = templates
         self.words = [words_of(t.text) for t in templates]
         self.phrases = [[words_of(p) for p in t.phrases] for t in templates]
-        self.needed = [frozenset(w for p in ps for w in p) for ps in self.phrases]
-        self.vocabulary = frozenset(w for ws in self.words for w in ws) | frozenset().union(*self.needed)
+        self.vocabulary = frozenset(w for ps in self.phrases for p in ps for w in p)
         self.idf = {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) for w in self.vocabulary}
-        self.postings = [defaultdict(list) for _ in templates]
-        for k, ws in enumerate(self.words):
-            for at, w in enumerate(ws):
-                self.postings[k][w].append(at)
-
-    def scan(self, words: list[bytes]) -> list[tuple[int, int, float]]:
-        """(template, start, share of its words) of the verified alignments in a file's words."""
-        held = self.vocabulary.intersection(words)
-        likely = [k for k, needed in enumerate(self.needed) if needed <= held]  # a mandatory phrase needs all its words
-        if not likely:
-            return []
-        rare = {k: sorted(held & self.postings[k].keys(), key=lambda w: (-self.idf[w], w))[:RARE] for k in likely}
-        places: dict[bytes, list[int]] = {w: [] for ws in rare.values() for w in ws}
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.indexed = []
+        for k, phrases in enumerate(self.phrases):
+            rarest = [sorted(set(p), key=lambda w: (-self.idf[w], w))[:RARE] for p in phrases]
+            best = max(range(len(phrases)), key=lambda i: (sum(self.idf[w] for w in rarest[i]), -i))
+            rare, phrase = rarest[best], phrases[best]
+            at = places_of(phrase, self.words[k])
+            if not at:
+                raise ValueError(f"a phrase of template {k} does not stand in it")
+            self.indexed.append(rare)
+            for w in rare:
+                self.postings[w] += [(k, at[0] + i) for i, x in enumerate(phrase) if x == w]
+
+    def alignments(self, words: list[bytes]) -> dict[int, list[int]]:
+        """template -> the starts that all of its rare words agree on."""
+        held = sorted(self.postings.keys() & set(words), key=lambda w: (-self.idf[w], w))
+        if not held:
+            return {}
+        places: dict[bytes, list[int]] = {w: [] for w in held}
         for at, w in enumerate(words):
             if w in places:
                 places[w].append(at)
+        starts: dict[int, set[int]] = {}
+        met: Counter = Counter()
+        for w in held:
+            mine: dict[int, set[int]] = defaultdict(set)
+            for k, position in self.postings[w]:
+                mine[k].update(at - position for at in places[w])
+            for k, found in mine.items():
+                starts[k] = starts[k] & found if k in starts else found
+                met[k] += 1
+        return {k: sorted(s) for k, s in starts.items() if s and met[k] == len(self.indexed[k])}
+
+    def scan(self, words: list[bytes]) -> list[tuple[int, int, float]]:
+        """(template, start, share of its words) of the verified alignments in a file's words: of the base phrases all, of
+        other templates the best, then the first."""
         out = []
-        for k in likely:
-            starts = Counter(at - posting for w in rare[k] for posting in self.postings[k][w] for at in places[w])
+        for k, starts in sorted(self.alignments(words).items()):
             if self.templates[k].base:  # the phrase itself, consecutively
                 wanted = self.words[k]
-                out += [(k, s, 1.0) for s in sorted(starts) if s >= 0 and words[s : s + len(wanted)] == wanted]
+                out += [(k, s, 1.0) for s in starts if s >= 0 and words[s : s + len(wanted)] == wanted]
                 continue
-            best: tuple[float, int] | None = None
-            for s in sorted(starts, key=lambda s: (-starts[s], s)):
-                share = self.verified(k, words, s)
-                if share and (best is None or share > best[0]):
-                    best = (share, s)
-            if best:
-                out.append((k, max(0, best[1]), best[0]))
+            share, start = max(((self.verified(k, words, s), -s) for s in starts), default=(0.0, 0))
+            if share:
+                out.append((k, max(0, -start), share))
         return out
 
     def verified(self, k: int, words: list[bytes], start: int) -> float:
         """The share of template k's words that stand around `start`; 0 unless all mandatory phrases do."""
         wanted = self.words[k]
         near = words[max(0, start - SLACK) : max(0, start + len(wanted) + SLACK)]
-        for phrase in self.phrases[k]:
-            if not any(near[i : i + len(phrase)] == phrase for i in range(len(near) - len(phrase) + 1)):
-                return 0.0
+        if not all(places_of(phrase, near) for phrase in self.phrases[k]):
+            return 0.0
         share = sum((Counter(wanted) & Counter(near)).values()) / len(wanted)
         return share if share >= COVER else 0.0
 
@@ -127,14 +126,15 @@ def licence_word_frequency(docs: DataFrame, vocabulary: frozenset[bytes]) -> Dat
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return few_texts(texts).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """(doc_id, text, ...) -> one row per input row: doc_id, n_words, places (array of template, label, base, start, share).
 
-    A null or empty text has no words and no places. Repeated rows are scanned each on its own; an empty table gives an
-    empty result; other columns are not read.
+    A null or empty text has no words and no places; a very long one is scanned whole. Repeated rows are scanned each on its
+    own; places come in the order of templates and starts; of alignments of a template that tie in share the first counts. An
+    empty table gives an empty result; other columns are not read.
     """
     vocabulary = PositionalIndex(templates, {}, 0).vocabulary
     counts = {bytes(r.word): r.n for r in licence_word_frequency(docs, vocabulary).collect()}  # a row per licence word
@@ -151,7 +151,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
 
     kind = pa.list_(pa.struct([("template", pa.int32()), ("label", pa.string()), ("base", pa.bool_()), ("start", pa.int64()), ("share", pa.float64())]))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, n_words long, places array<struct<template: int, label: string, base: boolean, start: long, share: double>>")
+    return few_texts(rows).mapInArrow(scan, "doc_id long, n_words long, places array<struct<template: int, label: string, base: boolean, start: long, share: double>>")
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
