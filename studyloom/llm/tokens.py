@@ -9,14 +9,13 @@ store Spark writes to, and its commit protocol, hold them.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import unicodedata
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,21 +25,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ASCII_LOWER, shared_dir
+from .common import ASCII_LOWER, few_texts, remove, shared_path
 
 END_ID, MAX_BITS, LANE, BLOCK = 2, 16, 256, 65_536
-SLICE, CACHED, HELD = 2_000_000, 500_000, 200_000
+SLICE, CACHED, HELD = 1_000_000, 400_000, 200_000
 #: ASCII marks; a run of them behind letters, at a word's end, is a piece of its own.
 MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
-MARK_BYTES = frozenset(MARKS.encode())
+MARK_BYTES = MARKS.encode()
 
 PLAIN = "shard int, at long, doc_id long, width int, ids binary"
 
 
-def stays_letters(word: str) -> bool:
-    """Whether the word is letters only, and still is as the tokenizer sees it: composed (NFC) and lower-cased char by char.
-    A combining mark that comes out (of U+0130, or a letter that doesn't compose) joins with the marks behind it."""
-    return word.isalpha() and (word.isascii() or all(c.lower().isalpha() for c in unicodedata.normalize("NFC", word)))
+@lru_cache(maxsize=1)
+def unsound_letters() -> frozenset[str]:
+    """Letters that, as the tokenizer sees them (composed by NFC, then lower-cased), are no longer letters only: a combining mark
+    that comes out (of U+0130, or of a letter that doesn't compose) joins with the marks behind it."""
+    blocks = ((0x80, 0x3400), (0xA000, 0xAC00), (0xF900, 0x20000))  # ideographs and Hangul syllables between stay what they are
+    every = (c for lo, hi in blocks for c in map(chr, range(lo, hi)) if c.isalpha())
+    return frozenset(c for c in every if not all(x.isalpha() for x in unicodedata.normalize("NFC", c).lower()))
 
 
 class WordTokenizer:
@@ -52,10 +54,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        vocabulary, suffix = self.model.get_vocab(), json.loads(self.model.to_str())["model"].get("end_of_word_suffix")
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # the ids that end a word
-        if suffix:
-            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        with open(path, encoding="utf-8") as f:  # one small value of a large file, which parsing would hold whole
+            found = re.search(r'"end_of_word_suffix"\s*:\s*"([^"]*)"', f.read())
+        suffix = found.group(1) if found else ""
+        size = self.model.get_vocab_size()
+        # The ids that end a word.
+        self.last = np.fromiter((bool(suffix) and (self.model.id_to_token(i) or "").endswith(suffix) for i in range(size)), bool, size)
         self.index: dict[bytes, int] = {}
         self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -66,38 +70,34 @@ class WordTokenizer:
         self.flat = self.flat[: int(self.starts[-1] + self.lengths[-1])]
 
     def learn(self, words: list[bytes]) -> None:
-        """Hold the ids of the words. Those of letters only are encoded many at a time, as each ends at its end-of-word id;
+        """Hold the ids of the words, none of which is held. Those of letters only are encoded many at a time, as each ends at its end-of-word id;
         those of letters with marks behind are put together from the ids of both; the others are encoded one by one."""
         plain, others, halves, ended = [], [], [], []
-        index = self.index
+        index, unsound = self.index, unsound_letters()
         for w in words:
-            if w in index:
-                continue
-            if w.isalpha():
-                plain.append(w)
-                continue
-            text = w.decode("utf-8", "replace")
-            letters = text.rstrip(MARKS)
-            if not stays_letters(letters):
-                others.append(w)
-            elif len(letters) == len(text):
+            letters = w.rstrip(MARK_BYTES)
+            if not letters.isalpha():  # not ASCII letters only
+                text = letters.decode("utf-8", "replace")
+                if not (text.isalpha() and unsound.isdisjoint(text)):
+                    others.append(w)
+                    continue
+            if len(letters) == len(w):
                 plain.append(w)
             else:
-                cut = len(w) - len(text) + len(letters)  # marks are a byte each
                 ended.append(w)
-                halves += (w[:cut], w[cut:])
+                halves += (letters, w[len(letters) :])
         new = {h for h in halves if h not in index}
-        plain = list(dict.fromkeys([*plain, *(h for h in new if h[0] not in MARK_BYTES)]))
-        others = list(dict.fromkeys([*others, *(h for h in new if h[0] in MARK_BYTES)]))
+        plain = list(dict.fromkeys([*plain, *(h for h in new if h[:1] not in MARK_BYTES)]))
+        others = list(dict.fromkeys([*others, *(h for h in new if h[:1] in MARK_BYTES)]))
         spans = [x.ids for x in self._encoded([b" ".join(plain[i : i + 500]) for i in range(0, len(plain), 500)])]
-        flat = np.fromiter((i for x in spans for i in x), np.uint32)
+        flat = np.fromiter(chain.from_iterable(spans), np.uint32)
         ends = np.flatnonzero(self.last[flat]) + 1
         if len(ends) == len(plain):
             self._add(plain, flat, np.diff(ends, prepend=0))
         else:
             others = list(dict.fromkeys([*others, *plain]))
         ids = [x.ids for x in self._encoded(others)]
-        self._add(others, np.fromiter((i for x in ids for i in x), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+        self._add(others, np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
         if ended:
             at = np.fromiter(map(index.__getitem__, halves), np.int64, len(halves))
             self._add(ended, self.gather(halves), self.lengths[at].reshape(-1, 2).sum(axis=1))
@@ -163,8 +163,11 @@ class WordTokenizer:
         words = pc.ascii_split_whitespace(pa.array(held, pa.binary()).cast(pa.large_string()))
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
-        self.learn(distinct)
-        entry = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
+        entry = np.fromiter((-1 if k is None else k for k in map(self.index.get, distinct)), np.int64, len(distinct))
+        fresh = np.flatnonzero(entry < 0)
+        new = [distinct[i] for i in fresh.tolist()]
+        self.learn(new)
+        entry[fresh] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
         flat, n = self.placed(entry[coded.indices.to_numpy()])
         ends = np.concatenate([[0], np.cumsum(n)])[np.asarray(words.offsets) - words.offsets[0].as_py()]
         return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
@@ -286,7 +289,7 @@ def ordered_ids(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array(starts, pa.int64()), part.column("doc_id"), pa.array([width] * n, pa.int32()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], names=["shard", "at", "doc_id", "width", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = few_texts(rows).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return ordered.mapInArrow(encode, PLAIN)
 
 
@@ -316,7 +319,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
     """Write the ids of all texts (null: empty), each with end_id behind, in ascending doc_id order (null first, ties by
     a hash of the text). Other columns are not read; an empty table writes an empty codebook and no blocks.
 
-    Ids are made once, into a plain table in that order (one file per range of doc_id), counted, and coded from it.
+    A very long text is encoded in parts that end at white space. Ids are made once, into a plain table in that order (one file
+    per range of doc_id), counted, and coded from it; the plain table goes once the blocks are written.
     """
     spark = docs.sparkSession
     plain = f"{folder}/plain"
@@ -354,6 +358,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
     schema = pa.schema([("shard", pa.int32()), ("first_token", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), ("checkpoints", pa.list_(pa.int64())), ("payload", pa.binary())])
     ddl = "shard int, first_token long, n long, doc_ids array<long>, n_tokens array<int>, checkpoints array<long>, payload binary"
     tokens.mapInArrow(blocks, ddl).write.option("compression", "none").parquet(f"{folder}/blocks")
+    remove(spark, plain)
 
 
 def read_tokens(spark, folder: str) -> DataFrame:
@@ -387,6 +392,6 @@ def read_tokens(spark, folder: str) -> DataFrame:
 def op4_token_huffman(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    folder = f"{shared_dir(spark)}/studyloom-tokens-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), folder, default_path())
     return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
