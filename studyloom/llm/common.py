@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,31 +21,82 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees; a temporary one only where the session names none (tests)."""
+    """The folder every executor sees. Where the session names none, a local session (tests) gets a temporary one and any
+    other an error, as no machine's own folder is seen by the rest of a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="studyloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, below one folder for the whole application, so that it can be removed at once."""
+    return f"{shared_dir(spark)}/studyloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table or folder of shared_path that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, read back, and its path."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/studyloom-{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    return written(df, name)[0]
+
+
+def few_texts(docs: DataFrame, most: int = 1_000) -> DataFrame:
+    """docs, in a session whose Arrow batches hold at most `most` rows: whole texts go to Python and back in the memory beside the
+    heap, on both sides, a batch at a time."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= most:
+        conf.set(key, str(most))
+    return docs
+
+
+def named(column: str) -> Column:
+    """The column of that very name, dots and blanks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def whole_row(docs: DataFrame, columns: list[str] | None = None) -> Column:
+    """docs' columns, or those given, as one struct: an operator that carries it has no names to clash with."""
+    return F.struct(*(named(c) for c in (columns or docs.columns)))
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row; maps, which have no hash, by their JSON."""
+    return F.xxhash64(*(F.to_json(F.struct(named(c))) if "map<" in kind else named(c) for c, kind in docs.dtypes))
+
+
+def replaced_text(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(row, text) -> row's columns, with `text` as the row's text where it is not null; n_chars follows if row has it."""
+    changed = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in columns:
+        changed = changed.withField("n_chars", F.length("text").cast("long"))
+    return rows.select(F.when(F.col("text").isNull(), F.col("row")).otherwise(changed).alias("row")).select("row.*")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a long, b long) undirected edges -> (node, component), component the smallest node reachable.
 
-    Alternating large-star and small-star rounds, each written to the shared folder. Self links and repeats are
-    harmless; an empty edge table gives an empty result.
+    Alternating large-star and small-star rounds, each written to the shared folder; the round before it is removed. Self
+    links and repeats are harmless; an empty edge table gives an empty result.
     """
-    current = materialize(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"
-    )
+    spark = edges.sparkSession
+    current, path = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
 
     def smallest(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m"))
@@ -60,7 +112,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         )
-        current = materialize(small, "stars")
+        before = path
+        current, path = written(small, "stars")
+        remove(spark, before)
         state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -76,27 +130,28 @@ def spread(*columns: Column) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
 
 
-def running_total(df: DataFrame, group: list[Column], order: Column, value: Column, name: str, carry: DataFrame | None = None) -> DataFrame:
-    """Adds `name`: the sum of value over the rows of the same group that come before in (order, value) order.
+def running_total(rows: DataFrame, narrow: DataFrame, name: str, carry: DataFrame | None = None) -> DataFrame:
+    """(row, group, value long, at long, tie) -> row, group, value, at, `name` and carry's columns: `name` is the sum of value
+    over the rows of the same group that come before in the order of (at, value, tie).
 
-    order is a uniform non-negative long below 2**60 (see spread). Each group is cut into equal ranges of order, about a range for
-    every 20,000 rows of the whole table, so that no task holds a group: ranges are summed first, their totals
-    accumulated over a table of one row a range, and rows accumulated within their range only. Rows that tie in
-    order and value are interchangeable. carry (one group column _c, one row per group, further columns) is added to
-    the range totals first, so that its columns reach the rows of a hot group over all ranges.
+    narrow holds group, value and at of the same rows, so that wide rows move once. at is a uniform non-negative long below
+    2**60 (see spread). A group is cut into equal ranges of at, about one for every 20,000 rows of the whole table, so that no
+    task holds a group: ranges are summed first, their totals accumulated over a table of one row a range, and rows
+    accumulated within their range only. Rows that tie in all three are interchangeable. A null group is a group. carry
+    (group, further columns; one row per group) is added to the range totals first, so that its columns reach the rows of
+    a hot group over all ranges.
     """
-    keys = [f"_g{i}" for i in range(len(group))]
-    rows = df.count()
-    ranges = max(256, 1 << max(0, (rows // 20_000)).bit_length())
-    step = (1 << 60) // ranges
-    keyed = df.select("*", *(g.alias(k) for g, k in zip(group, keys)), F.expr("0L").alias("_r"), order.alias("_o"), value.cast("long").alias("_v"))
-    keyed = keyed.withColumn("_r", F.expr(f"_o div {step}"))
-    totals = keyed.groupBy(*keys, "_r").agg(F.sum("_v").alias("_t"))
-    before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*(F.col(k).alias(f"{k}s") for k in keys), F.col("_r").alias("_rs"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_s"))
+    count = narrow.count()
+    ranges = max(256, 1 << max(0, (count // 20_000)).bit_length())
+    keys = ["key", "no_key", "range"]  # plain columns: the join and the window share one exchange
+    key, none = F.coalesce(F.col("group").cast("string"), F.lit("")).alias("key"), F.col("group").isNull().alias("no_key")
+    place = F.expr(f"at div {(1 << 60) // ranges}").alias("range")
+    totals = narrow.select("value", key, none, place).groupBy(*keys).agg(F.sum("value").alias("total"))
+    before = Window.partitionBy("key", "no_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
     if carry is not None:
-        starts = starts.join(carry, F.col("_g0s").eqNullSafe(F.col("_c"))).drop("_c")
-    on = [F.col(k).eqNullSafe(F.col(f"{k}s")) for k in keys] + [F.col("_r") == F.col("_rs")]
-    inside = Window.partitionBy(*keys, "_r").orderBy("_o", "_v").rowsBetween(Window.unboundedPreceding, -1)
-    out = keyed.join(starts, on).withColumn(name, F.col("_s") + F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-    return out.select(*df.columns, name, *([] if carry is None else [c for c in carry.columns if c != "_c"]))
+        starts = starts.join(carry.select(key, none, *(c for c in carry.columns if c != "group")), ["key", "no_key"])
+    inside = Window.partitionBy(*keys).orderBy("at", "value", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.select("row", "group", "value", "at", "tie", key, none, place).join(starts, keys)
+    out = joined.withColumn(name, F.col("start") + F.coalesce(F.sum("value").over(inside), F.lit(0)))
+    return out.select("row", "group", "value", "at", name, *([] if carry is None else [c for c in carry.columns if c != "group"]))

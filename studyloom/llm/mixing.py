@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACES, running_total, spread, table
+from .common import materialize, row_hash, running_total, spread, table, whole_row
 
 WEIGHTS, CAP = (5, 2, 1), 3
 #: Relative weight by quarter of the training time, for the sources of the first, second, third weight, repeating.
@@ -67,36 +67,53 @@ def training_position(part: Column, schedule: tuple[float, ...]) -> Column:
     return at
 
 
-def curriculum_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, schedule: tuple[tuple[float, ...], ...] = SCHEDULE) -> DataFrame:
-    """All columns of docs (doc_id, text, source, ...) and size, source_size, target, part, copies, taken, positions.
+def curriculum_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, schedule: tuple[tuple[float, ...], ...] = SCHEDULE, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, text, source, ...) -> one row per input row: row, size, source_size, target, part, copies, taken, positions.
+
+    row is a struct of the columns of docs named in keep (all unless given), so that no name clashes with an added one.
 
     A source with r times its size as target gives each document floor(r) whole copies, and one more to the documents
     that come first in a fixed pseudo-random order until the rest is met. The copy that meets it is taken in part (part
     words, from its start), so that taken words differ from a source's target by less than a word; that is one document
-    a source at most.
-    positions holds a training position (0 to 1) per copy, null where a document has none; rows are range-sorted by the
-    first. Texts that are null or blank have size 0 and no copies. Null sources are a source. Repeated rows are mixed
-    each on its own; an empty table gives an empty result. Columns of docs with the added names are replaced.
+    a source at most. positions holds a training position (0 to 1) per copy, ascending, null where a document has none: the
+    copy's place in its source's demand, sent through the inverse of the source's integrated schedule. Rows are not sorted;
+    see in_training_order.
+
+    A null, empty or blank text has size 0 and no copies; a very long one is a row like any other. Null sources are a source.
+    Repeated rows are mixed each on its own; rows that differ in other columns only are ordered by a hash of all of them, so
+    reruns agree. An empty table gives an empty result.
     """
-    added = ("size", "source_size", "target", "part", "copies", "taken", "positions", "weight", "place", "_b")
-    rows = docs.select(*(c for c in docs.columns if c not in added)).withColumn("size", n_words(F.col("text").cast("string")))
-    counted = rows.groupBy("source").agg(F.sum("size").alias("size"))
-    targets = source_targets(counted, weights, cap)
-    carried = targets.withColumnRenamed("source", "_c")
-    mixed = running_total(rows, [F.col("source")], spread(F.col("doc_id"), F.col("size")), F.col("size"), "_b", carried)
+    text = F.col("text").cast("string")
+    size = n_words(text)
+    at = spread(F.col("doc_id"), size, F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    rows = docs.select(whole_row(docs, keep).alias("row"), F.col("source").alias("group"), size.alias("value"), at.alias("at"), row_hash(docs).alias("tie"))
+    narrow = materialize(rows.select("group", "value", "at"), "sizes")
+    targets = source_targets(narrow.select(F.col("group").alias("source"), F.col("value").alias("size")), weights, cap)
+    carried = targets.select(F.col("source").alias("group"), "source_size", "target", "place")
+    mixed = running_total(rows, narrow, "before", carried).withColumnRenamed("value", "size")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - whole * F.col("source_size")
-    more = F.least(F.col("size"), F.greatest(F.lit(0), F.floor(rest) - F.col("_b")))
+    more = F.least(F.col("size"), F.greatest(F.lit(0), F.floor(rest) - F.col("before")))
     mixed = mixed.withColumn("part", more).withColumn("taken", whole * F.col("size") + F.col("part"))
     copies = F.when(F.col("size") > 0, whole + F.when(F.col("part") > 0, 1).otherwise(0)).otherwise(F.lit(0)).cast("int")
     mixed = mixed.withColumn("copies", copies)
-    middle = lambda e: F.least((e * F.col("source_size") + F.col("_b") + F.col("size") / 2) / F.greatest("target", F.lit(1.0)), F.lit(1.0))
+    middle = lambda e: F.least((e * F.col("source_size") + F.col("before") + F.col("size") / 2) / F.greatest("target", F.lit(1.0)), F.lit(1.0))
     place = lambda u: F.coalesce(*(F.when(F.col("place") % len(schedule) == i, training_position(u, s)) for i, s in enumerate(schedule)))
     positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda e: place(middle(e))))
-    return mixed.withColumn("positions", positions).drop("_b", "weight", "place").orderBy(F.element_at(F.col("positions"), 1).asc_nulls_last(), spread(F.col("doc_id"), F.col("size")))
+    return mixed.select("row", "size", "source_size", "target", "part", "copies", "taken", positions.alias("positions"), "at")
+
+
+def in_training_order(mixed: DataFrame) -> DataFrame:
+    """curriculum_mix's rows -> one row per copy, range-sorted by position: row, copy (from 0), position, words (how many of
+    the copy's words, from its start, are taken) and size. Equal positions are ordered by the rows' fixed pseudo-random order."""
+    copies = mixed.select("row", "size", "part", "copies", "at", F.posexplode("positions").alias("copy", "position"))
+    last = (F.col("part") > 0) & (F.col("copy") == F.col("copies") - 1)
+    words = F.when(last, F.col("part")).otherwise(F.col("size"))
+    return copies.select("row", "copy", "position", words.alias("words"), "size", "at").orderBy("position", "at").drop("at")
 
 
 def op3_curriculum_mix(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    sized = docs.select("doc_id", "source", "text")
-    return curriculum_mix(sized).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    mixed = curriculum_mix(docs, keep=["doc_id"])
+    first = F.element_at("positions", 1).alias("position")
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken", "copies", first, "at").orderBy(F.col("position").asc_nulls_last(), "at").drop("at")

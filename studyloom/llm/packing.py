@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, running_total, spread, table
+from .common import few_texts, materialize, running_total, spread, table
 from .tokens import crc, default_path, tokenizer
 
 LENGTH, STEP, END_ID = 2048, 8, 1
+#: Pivots of the simplex method per size at most.
+ROUNDS = 50
 
 
 def knapsack(prices: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -56,7 +58,9 @@ def cutting_stock(demand: dict[int, int], room: int, gap: float = 5e-4) -> list[
     need = np.array([demand[int(s)] for s in sizes], float)
     patterns = [row for row in np.diag(room // sizes)]
     inverse = np.diag(1.0 / (room // sizes))
-    while True:
+    for turn in range(ROUNDS * len(sizes)):  # any basis gives a whole plan; a bound in place of an anti-cycling rule
+        if turn % 64 == 63:  # made anew, as updates add up rounding errors
+            inverse = np.linalg.inv(np.array(patterns, float).T)
         prices = inverse.sum(axis=0)
         worth, pattern = knapsack(prices, sizes, room)
         if worth <= 1 + gap:
@@ -92,28 +96,31 @@ def pieces_of(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = EN
     """(doc_id, text) -> (doc_id, start, length, ids_crc32, doc_tokens): each text's ids and end_id, cut at multiples of length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+        for part in (batch.slice(k, 512) for batch in batches for k in range(0, batch.num_rows, 512)):  # few texts at a time as Python strings
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenizer(path).encode_all(batch.column("text").to_pylist())):
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), tokenizer(path).encode_all(part.column("text").to_pylist())):
                 ids = np.append(ids, np.uint32(end_id))
                 rows += [(doc_id, at, min(length, len(ids) - at), crc(ids[at : at + length]), len(ids)) for at in range(0, len(ids), length)]
-            names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return few_texts(rows).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, step: int = STEP, end_id: int = END_ID) -> DataFrame:
     """(doc_id, text, ...) -> a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null or empty text is the end id alone. Repeated rows are packed each on its own; an empty table gives an empty
-    result; other columns are not read. Sequences are numbered from 0 without gaps in the numbers of one kind.
+    A null or empty text is the end id alone; a very long one is cut into as many pieces as it needs. Repeated rows are packed
+    each on its own, and pieces that tie are interchangeable; an empty table gives an empty result; other columns are not read. Sequences are numbered from 0 without gaps in the numbers of one kind.
     """
     spark = docs.sparkSession
-    order = spread(F.col("doc_id"), F.col("start"), F.col("ids_crc32"))
-    pieces = pieces_of(docs, path, length, end_id).withColumn("size", F.when(F.col("length") < length, F.ceil(F.col("length") / step)).otherwise(0))
-    ranked = materialize(running_total(materialize(pieces, "pieces"), [F.col("size")], order, F.lit(1), "rank"), "ranked")
+    at = spread(F.col("doc_id"), F.col("start"), F.col("ids_crc32"))
+    pieces = pieces_of(docs, path, length, end_id)
+    group = F.when(F.col("length") < length, F.ceil(F.col("length") / step)).otherwise(0).cast("long").alias("group")
+    rows = materialize(pieces.select(F.struct("*").alias("row"), group, F.lit(1).cast("long").alias("value"), at.alias("at")), "pieces")
+    ranked = running_total(rows.withColumn("tie", F.lit(0)), rows.select("group", "value", "at"), "rank")
+    ranked = materialize(ranked.select("row.*", F.col("group").alias("size"), "rank"), "ranked")
     demand = {int(r["size"]): r["n"] for r in ranked.where("size > 0").groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most length / step rows
     plan = cutting_stock(demand, length // step)
     given, slots, first = Counter(), [], 0

@@ -13,41 +13,57 @@ from pyspark.sql import functions as F
 from .common import SPACES, table
 
 WINDOW = 8
-#: Phrases that mark a line as boilerplate, and words that make a short line navigation.
-BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "click here to", "subscribe to our newsletter", "lorem ipsum")
-NAVIGATION = ("home", "menu", "login", "log in", "sign in", "sign up", "register", "search", "next", "previous", "back to top", "share", "skip to content")
+#: Fixed values, by language: phrases that mark a line as boilerplate, and entries of menus.
+BOILERPLATE = (
+    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "click here to", "subscribe to our newsletter", "lorem ipsum",
+    "alle rechte vorbehalten", "cookie-richtlinie", "datenschutzerklärung", "nutzungsbedingungen", "javascript aktivieren", "klicken sie hier", "newsletter abonnieren",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "activer javascript", "cliquez ici", "abonnez-vous à notre newsletter",
+    "todos los derechos reservados", "política de cookies", "política de privacidad", "términos de uso", "aviso legal", "habilitar javascript", "haga clic aquí", "suscríbete a nuestro boletín",
+)
+NAVIGATION = (
+    "home", "menu", "login", "log in", "sign in", "sign up", "register", "search", "next", "previous", "back to top", "share", "skip to content",
+    "startseite", "menü", "anmelden", "abmelden", "registrieren", "suche", "weiter", "zurück", "nach oben", "teilen", "zum inhalt springen",
+    "accueil", "connexion", "se connecter", "s'inscrire", "rechercher", "suivant", "précédent", "haut de page", "partager", "aller au contenu",
+    "inicio", "menú", "iniciar sesión", "cerrar sesión", "registrarse", "buscar", "siguiente", "anterior", "volver arriba", "compartir", "ir al contenido",
+)
+#: A word of bars only, or one that ends in a run of symbols or marks; a line that may hold one; a word that closes a sentence.
+MARKED, MAY_HOLD_MARKED = r"^[|»›>•·]+$|[#*$%&|<>!?~^=_]{3,}$", r"[|»›>•·]|[#*$%&<>!?~^=_]{3}"
+CLOSING = r"""[.!?…:;。！？؟]['"”’»)\]]*(?:[\x20\x09-\x0D]|$)"""
 
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
 
 
-def line_verdict(line: Column) -> Column:
-    """The rule that a line fails, or null where it stays.
+def line_verdict(line: Column, words: Column) -> Column:
+    """The rule that a line of these words fails, or null where it stays.
 
-    punctuation: at least 5 words, of which more than half hold only bars or end in a run of 3 or more symbols or
-    marks; navigation: at most 4 words and one of the menu entries; boilerplate: holds a stock phrase and is short.
-    Blank lines fail no rule.
+    punctuation: at least 5 words, of which more than 40 % are bars or end in a run of 3 or more symbols or marks; navigation:
+    at most 4 words that are a menu's entry; boilerplate: at most 20 words and a stock phrase; line end: at least 5 words,
+    of which none closes a sentence. Blank lines fail no rule.
     """
-    words = F.size(_words(line))
-    marked = F.size(F.filter(_words(line), lambda w: w.rlike(r"^[|»›>•·]+$|[#*$%&|<>!?~^=_]{3,}$")))
+    n = F.size(words)
+    marked = F.when(line.rlike(MAY_HOLD_MARKED), F.size(F.filter(words, lambda w: w.rlike(MARKED)))).otherwise(0)
     low = F.lower(F.trim(line))
     return (
-        F.when(words == 0, F.lit(None).cast("string"))
-        .when((words >= 5) & (marked * 10 > words * 4), "punctuation")
-        .when((words <= 4) & low.isin(*NAVIGATION), "navigation")
-        .when((words <= 20) & F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda p: F.contains(low, p)), "boilerplate")
+        F.when(n == 0, F.lit(None).cast("string"))
+        .when((n >= 5) & (marked * 10 > n * 4), "punctuation")
+        .when((n <= 4) & low.isin(*NAVIGATION), "navigation")
+        .when((n <= 20) & F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda p: F.contains(low, p)), "boilerplate")
+        .when((n >= 5) & ~line.rlike(CLOSING), "line end")
     )
 
 
 def quality_rules(docs: DataFrame, max_lost: float = 0.5, max_symbols: float = 0.1, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, text, ...) -> one row per input row: counts, base_failed, kept, cleaned text and n_removed_lines.
 
-    keep names the columns of docs to carry, doc_id unless given; those named like an added one are not carried.
+    keep names the columns of docs to carry, doc_id unless given; those named like an added one are not carried (carry a
+    struct of them instead).
 
-    Counts are over the whole text, null as empty. kept is false where the base rules fail (under 20 words, or over
-    30 % of words in repeated windows), where the removed lines hold over max_lost of the word characters, or where
-    over max_symbols of them are symbols. Other columns are not read; repeated rows are judged each on its own.
+    Counts are over the whole text, null as empty, however long. kept is false where the base rules fail (under 20 words, or
+    over 30 % of words in repeated windows), where the removed lines hold over max_lost of the word characters, or where over
+    max_symbols of them are symbols. cleaned is the text without its failing lines, the text itself where none fails. Other
+    columns are not read; repeated rows are judged each on its own; an empty table gives an empty result.
     """
     carried = [c for c in (keep or ["doc_id"])]
     whole = F.struct(*(F.col(c) for c in carried)).alias("_row")
@@ -68,14 +84,17 @@ def quality_rules(docs: DataFrame, max_lost: float = 0.5, max_symbols: float = 0
                     (k > 0 AND s[k - 1].x = e.x) OR (k < size(s) - 1 AND get(s, k + 1).x = e.x) AS again)), z -> z.again), z -> z.i))) END"""
         ),
     ).drop("win")
-    lines = F.filter("l", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    verdicts = F.transform("l", lambda x: F.struct(x.alias("line"), line_verdict(x).alias("fails")))
+    # Words are split once a line: the inner struct is made before the verdict reads it several times.
+    split = F.transform("l", lambda x: F.struct(x.alias("line"), _words(x).alias("words")))
+    verdicts = F.transform(split, lambda x: F.struct(x["line"].alias("line"), (F.size(x["words"]) > 0).alias("filled"), line_verdict(x["line"], x["words"]).alias("fails")))
     out = placed.select(
         "_row", "n_words", "word_chars", "t",
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).alias("n_symbols"),
-        lines.alias("lw"), verdicts.alias("v"),
+        verdicts.alias("v"),
         F.expr(f"CASE WHEN size(p) = 0 THEN 0 ELSE {WINDOW} + aggregate(transform(slice(p, 2, size(p)), (x, k) -> least({WINDOW}, x - p[k])), 0, (a, x) -> a + x) END").alias("n_repeat_words"),
     )
+    lines = F.transform(F.filter("v", lambda x: x["filled"]), lambda x: x["line"])
+    out = out.withColumn("lw", lines)
     out = out.select(
         "_row",
         *(F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols")),

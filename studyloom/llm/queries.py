@@ -9,9 +9,9 @@ from __future__ import annotations
 from .embeddings import op5_pivot_permutation
 from .empirical_bayes import op2_empirical_bayes
 from .licenses import op1_license_scan
-from .mixing import CAP, WEIGHTS, op3_curriculum_mix
+from .mixing import CAP, SCHEDULE, WEIGHTS, op3_curriculum_mix
 from .packing import op6_packing
-from .quality import BOILERPLATE, NAVIGATION, op8_quality_rules
+from .quality import BOILERPLATE, CLOSING, MARKED, NAVIGATION, op8_quality_rules
 from .secrets import op7_secret_scan
 from .simhash import op10_simhash
 from .tokens import op4_token_huffman
@@ -25,7 +25,22 @@ QUERIES = {
     )
 }
 
-MIX = rf"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+
+
+def _positions() -> str:
+    """The inverse of each schedule's integral at u."""
+    by_place = []
+    for i, schedule in enumerate(SCHEDULE):
+        total, met, cases = sum(schedule), 0.0, []
+        for k, w in enumerate(schedule):
+            if w > 0:
+                cases.append(f"WHEN u < {met + w / total!r}::DOUBLE THEN ({k}::DOUBLE + (u - {met!r}::DOUBLE) / {w / total!r}::DOUBLE) / {len(schedule)}::DOUBLE")
+                met += w / total
+        by_place.append(f"WHEN place % {len(SCHEDULE)} = {i} THEN CASE {' '.join(cases)} ELSE 1::DOUBLE END")
+    return f"CASE {' '.join(by_place)} END"
+
+
+MIX = rf"""WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS hash, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
  p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
  w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM p),
  v AS (SELECT *, CAST(list_extract([{", ".join(map(str, WEIGHTS))}], place % {len(WEIGHTS)} + 1) AS BIGINT) AS weight FROM w),
@@ -33,15 +48,19 @@ MIX = rf"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesc
  e AS (SELECT *, sum(source_size) OVER () - {CAP} * coalesce(sum(source_size) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_words,
   sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_weight FROM r),
  f AS (SELECT * FROM e WHERE left_words * weight <= {CAP} * source_size * left_weight ORDER BY rank LIMIT 1),
- t AS (SELECT e.source, e.source_size, CASE WHEN e.rank < f.rank THEN ({CAP} * e.source_size)::DOUBLE ELSE e.weight::DOUBLE * f.left_words::DOUBLE / f.left_weight::DOUBLE END AS target FROM e, f),
- o AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size::DOUBLE) AS BIGINT) ELSE 0 END AS whole,
-  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY substr(md5(coalesce(d.doc_id::VARCHAR, '') || '|' || d.size), 1, 15), d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+ t AS (SELECT e.source, e.source_size, e.place, CASE WHEN e.rank < f.rank THEN ({CAP} * e.source_size)::DOUBLE ELSE e.weight::DOUBLE * f.left_words::DOUBLE / f.left_weight::DOUBLE END AS target FROM e, f),
+ o AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.place, CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size::DOUBLE) AS BIGINT) ELSE 0 END AS whole,
+  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY substr(md5(coalesce(d.doc_id::VARCHAR, '') || '|' || d.size || '|' || d.hash), 1, 15), d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
- q AS (SELECT *, least(size, greatest(0, CAST(floor(target - (whole * source_size)::DOUBLE) AS BIGINT) - before)) AS part FROM o)
- SELECT doc_id, size, source_size, target, CAST(whole * size + part AS BIGINT) AS taken, CAST(CASE WHEN size > 0 THEN whole + CASE WHEN part > 0 THEN 1 ELSE 0 END ELSE 0 END AS INTEGER) AS copies FROM q"""
+ q AS (SELECT *, least(size, greatest(0, CAST(floor(target - (whole * source_size)::DOUBLE) AS BIGINT) - before)) AS part FROM o),
+ m AS (SELECT *, CASE WHEN size > 0 THEN whole + CASE WHEN part > 0 THEN 1 ELSE 0 END ELSE 0 END AS copies,
+  least((before::DOUBLE + size::DOUBLE / 2) / greatest(target, 1::DOUBLE), 1::DOUBLE) AS u FROM q)
+ SELECT doc_id, size, source_size, target, CAST(whole * size + part AS BIGINT) AS taken, CAST(copies AS INTEGER) AS copies,
+  CASE WHEN copies > 0 THEN {_positions()} END AS position FROM m"""
 
 WORDS = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
-_nav, _boiler = (", ".join(f"'{x}'" for x in xs) for xs in (NAVIGATION, BOILERPLATE))
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_nav, _boiler = (", ".join(map(_quoted, xs)) for xs in (NAVIGATION, BOILERPLATE))
 RULES = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
  b AS (SELECT *, {WORDS.format("t")} AS w, string_split(t, chr(10)) AS l FROM d),
  c AS (SELECT r, doc_id, t, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, l,
@@ -51,8 +70,9 @@ RULES = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text,
  z AS (SELECT r, sum(least(8, coalesce(n - i, 8))) AS n_repeat_words FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS n FROM y) GROUP BY r),
  k AS (SELECT r, unnest(l) AS line FROM c),
  j AS (SELECT r, line, {WORDS.format("line")} AS lw, trim(lower(line), ' ') AS low FROM k),
- v AS (SELECT r, line, len(lw) > 0 AS filled, (len(lw) >= 5 AND len(list_filter(lw, lambda a: regexp_matches(a, '^[|»›>•·]+$|[#*$%&|<>!?~^=_]{{3,}}$'))) * 10 > len(lw) * 4)
-  OR (len(lw) BETWEEN 1 AND 4 AND low IN ({_nav})) OR (len(lw) BETWEEN 1 AND 20 AND len(list_filter([{_boiler}], lambda p: contains(low, p))) > 0) AS bad FROM j),
+ v AS (SELECT r, line, len(lw) > 0 AS filled, (len(lw) >= 5 AND len(list_filter(lw, lambda a: regexp_matches(a, {_quoted(MARKED)}))) * 10 > len(lw) * 4)
+  OR (len(lw) BETWEEN 1 AND 4 AND low IN ({_nav})) OR (len(lw) BETWEEN 1 AND 20 AND len(list_filter([{_boiler}], lambda p: contains(low, p))) > 0)
+  OR (len(lw) >= 5 AND NOT regexp_matches(line, {_quoted(CLOSING)})) AS bad FROM j),
  s AS (SELECT r, count(*) FILTER (filled) - count(DISTINCT CASE WHEN filled THEN line END) AS n_dup_lines, count(*) FILTER (bad) AS n_removed_lines,
   coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (bad), 0) AS lost FROM v GROUP BY r),
  u AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, n_removed_lines, lost FROM c JOIN s USING (r) LEFT JOIN z USING (r)),

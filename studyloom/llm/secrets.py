@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, replaced_text, table, whole_row
 
 SCOPE, BUCKET = 256, 512
 #: Kind, pattern, least length and the group it is measured on. The order of kinds breaks ties of start.
@@ -56,7 +56,7 @@ def rendered(spans: Column) -> Column:
 
 
 def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(_d, _h, s, k, e) spans of all kinds -> the weak ones whose complementary parts lie within `scope` code points.
+    """(doc_id, text_hash, s, k, e) spans of all kinds -> the weak ones whose complementary parts lie within `scope` code points.
 
     A weak identifier needs a secret, a weak secret an identifier or an endpoint, an endpoint both an identifier and a
     secret. Weak spans that overlap a strong one are left out. The interval join meets spans in buckets of positions,
@@ -66,11 +66,11 @@ def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     weak = parts.where(F.col("k") >= len(STRONG))
     slots = lambda lo, hi: F.explode(F.sequence(F.floor(lo / BUCKET), F.floor(hi / BUCKET)))
     left = weak.select("*", slots(F.col("s"), F.col("e")).alias("b"))
-    right = parts.select(F.col("_d").alias("pd"), F.col("_h").alias("ph"), F.col("s").alias("ps"), F.col("k").alias("pk"), F.col("e").alias("pe"), slots(F.col("s") - scope, F.col("e") + scope).alias("pb"))
-    near = F.col("_d").eqNullSafe(F.col("pd")) & (F.col("_h") == F.col("ph")) & (F.col("b") == F.col("pb"))
+    right = parts.select(F.col("doc_id").alias("pd"), F.col("text_hash").alias("ph"), F.col("s").alias("ps"), F.col("k").alias("pk"), F.col("e").alias("pe"), slots(F.col("s") - scope, F.col("e") + scope).alias("pb"))
+    near = F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("text_hash") == F.col("ph")) & (F.col("b") == F.col("pb"))
     pairs = left.join(right, near & (F.col("ps") < F.col("e") + scope) & (F.col("s") < F.col("pe") + scope))
     other = (F.col("ps") >= F.col("e")) | (F.col("s") >= F.col("pe"))
-    judged = pairs.groupBy("_d", "_h", "s", "k", "e").agg(
+    judged = pairs.groupBy("doc_id", "text_hash", "s", "k", "e").agg(
         F.bool_or(other & kind("access", "weak_id")).alias("id"),
         F.bool_or(other & kind("assign", "hex", "weak_secret")).alias("secret"),
         F.bool_or(other & kind("endpoint")).alias("place"),
@@ -78,49 +78,51 @@ def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     )
     mine = lambda n: F.col("k") == KINDS.index(n)
     whole = (mine("weak_id") & F.col("secret")) | (mine("weak_secret") & (F.col("id") | F.col("place"))) | (mine("endpoint") & F.col("id") & F.col("secret"))
-    return judged.where(whole & ~F.col("covered")).select("_d", "_h", F.struct("s", "k", "e").alias("span"))
+    return judged.where(whole & ~F.col("covered")).select("doc_id", "text_hash", F.struct("s", "k", "e").alias("span"))
 
 
 def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(doc_id, text, ...) -> one row per input row: doc_id, text_hash, base and all spans (array of start, kind, end).
 
-    Positions are code points, end exclusive; a null text is empty. Repeated rows have equal spans; an empty table gives
-    an empty result; other columns are not read.
+    Positions are code points, end exclusive; a null text is empty, a very long one is read whole. Repeated rows have equal
+    spans; spans that tie in start are told apart by kind. An empty table gives an empty result; other columns are not read.
+    Texts are read once: their candidates, strong and weak, are written as a table, from which both sides of the interval join
+    and the result are taken.
     """
-    rows = docs.select(F.col("doc_id").alias("_d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    rows = rows.withColumn("_h", F.xxhash64("t"))
-    strong = rows.select("_d", "_h", *(found("t", *x).alias(x[0]) for x in STRONG))
-    base = strong.select("_d", "_h", F.concat(*(x[0] for x in STRONG)).alias("base"))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    any_weak = F.col("t").rlike("|".join(f"(?:{x[1]})" for x in WEAK))
+    strong, weak = (F.concat(*(found("t", *x) for x in kinds)) for kinds in (STRONG, WEAK))
+    weak = F.when(any_weak, weak).otherwise(F.array().cast(PART))
+    held = materialize(rows.select("doc_id", F.xxhash64("t").alias("text_hash"), strong.alias("base"), weak.alias("weak")), "candidates")
     # Only texts with a weak candidate can gain spans.
-    some = rows.where(F.col("t").rlike("|".join(f"(?:{x[1]})" for x in WEAK)))
-    parts = some.select("_d", "_h", F.explode(F.concat(*(found("t", *x) for x in (*STRONG, *WEAK)))).alias("x")).select("_d", "_h", "x.s", "x.k", "x.e").distinct()
-    more = linked_parts(parts, scope).groupBy("_d", "_h").agg(F.collect_list("span").alias("more"))
-    more = more.select(F.col("_d").alias("md"), F.col("_h").alias("mh"), "more")
-    out = base.join(more, F.col("_d").eqNullSafe(F.col("md")) & (F.col("_h") == F.col("mh")), "left")
-    return out.select(F.col("_d").alias("doc_id"), F.col("_h").alias("text_hash"), "base", F.concat("base", F.coalesce("more", F.array().cast(PART))).alias("spans"))
+    parts = held.where(F.size("weak") > 0).select("doc_id", "text_hash", F.explode(F.concat("base", "weak")).alias("x")).select("doc_id", "text_hash", "x.s", "x.k", "x.e").distinct()
+    more = linked_parts(parts, scope).groupBy("doc_id", "text_hash").agg(F.collect_list("span").alias("more"))
+    more = more.select(F.col("doc_id").alias("md"), F.col("text_hash").alias("mh"), "more")
+    out = held.join(more, F.col("doc_id").eqNullSafe(F.col("md")) & (F.col("text_hash") == F.col("mh")), "left")
+    return out.select("doc_id", "text_hash", "base", F.concat("base", F.coalesce("more", F.array().cast(PART))).alias("spans"))
 
 
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """All columns of docs, each reported span of the text replaced by its kind in angle brackets; n_chars follows.
+    """All columns of docs, each reported span of the text replaced by its kind in angle brackets; n_chars, where docs has it,
+    follows.
 
-    Overlapping spans are replaced as one. A null text stays null.
+    Overlapping spans are replaced as one. A null or empty text, and any without a span, stays as it is. Rows ride as one struct, so
+    no column name clashes; repeated rows are each redacted; an empty table gives an empty result.
     """
-    spans = scan_secrets(docs, scope).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.first("spans").alias("_s"))
-    rows = docs.withColumn("_t", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    both = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left")
+    spans = scan_secrets(docs, scope).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.first("spans").alias("spans"))
+    text = F.col("row.text").cast("string")
+    rows = docs.select(whole_row(docs).alias("row"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"))
+    both = rows.join(spans, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
     names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, x: Column) -> Column:
-        between = F.substring(F.col("text"), acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
+        between = F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
         mark = F.when(x["s"] >= acc["at"], F.concat(between, F.element_at(names, x["k"] + 1))).otherwise(F.lit(""))
         return F.struct(F.concat(acc["out"], mark).alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
 
-    clean = F.aggregate(F.array_sort("_s"), begin, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    out = both.withColumn("text", F.when(F.col("_s").isNull(), F.col("text")).otherwise(clean))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_s").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    clean = F.aggregate(F.array_sort("spans"), begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return replaced_text(both.select("row", F.when(F.col("spans").isNotNull(), clean).alias("text")), docs.columns)
 
 
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ASCII_LOWER, connected_components, materialize
+from .common import ASCII_LOWER, connected_components, few_texts, materialize, row_hash, whole_row
 
 SEED, SHINGLE, BUDGET = 42, 3, 3
 
@@ -41,13 +41,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column("text")
         prints = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(prints)], names=["doc_id", "text_hash", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), pa.array(prints)], names=["doc_id", "row_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, text_hash, fp long), one row per input row, nulls in any column allowed."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
+    """(doc_id, text, ...) -> (doc_id, row_hash, fp long), one row per input row, nulls in any column allowed."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_hash(docs).alias("row_hash"))
+    return few_texts(rows).mapInArrow(_fingerprints, "doc_id long, row_hash long, fp long")
 
 
 def trie_links(prints: DataFrame) -> DataFrame:
@@ -86,12 +86,13 @@ def trie_links(prints: DataFrame) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, ...) -> (doc_id, text_hash, fp, component_id), one row per input row.
+    """(doc_id, text, ...) -> (doc_id, row_hash, fp, component_id, component), one row per input row.
 
     Fingerprints at most 3 bits apart are linked; component_id is the smallest doc_id reachable over links, itself
-    included. Equal fingerprints (repeated rows, empty and null texts, whose fingerprint is 0) are one node. A null
-    doc_id is a member but never the smallest; where a whole component has none, component_id is null. An empty table
-    gives an empty result; other columns are not read.
+    included. Equal fingerprints (repeated rows, empty and null texts, whose fingerprint is 0) are one node. A very long text
+    is hashed whole, in slices. A null doc_id is a member but never the smallest; where a whole component has none,
+    component_id is null. row_hash is a hash of all columns; they are not returned, so no name clashes. An empty table
+    gives an empty result.
     """
     prints = materialize(fingerprints(docs), "fingerprints")
     members = connected_components(trie_links(prints))
@@ -99,22 +100,25 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     nodes = nodes.select("fp", "first", F.coalesce("component", "fp").alias("component"))
     smallest = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = materialize(nodes.join(smallest, "component").select("fp", "component_id", "component"), "classes")
-    return prints.join(classes, "fp").select("doc_id", "text_hash", "fp", "component_id", "component")
+    return prints.join(classes, "fp").select("doc_id", "row_hash", "fp", "component_id", "component")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Keep one row of each component: the smallest doc_id (null last), then the smallest text hash. Columns stay."""
+    """Keep one row of each component, whole: that of the smallest doc_id (null last), then of the smallest hash of all its
+    columns; of rows equal in every column, one. All columns stay, whatever their names; empty and null texts are one
+    component; an empty table gives an empty result."""
     members = simhash_components(docs)
-    best = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("b"))
-    best = best.select(F.col("b.doc_id").alias("_d"), F.col("b.text_hash").alias("_h"))
-    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.xxhash64(F.col("text").cast("string")))
-    kept = rows.join(best, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), "left_semi")
-    first = Window.partitionBy("_id", "_th").orderBy(F.lit(1))
-    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
+    best = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("b"))
+    keys = ["id", "none", "hash"]  # plain columns: the join and the window share one exchange
+    best = best.select(F.coalesce("b.doc_id", F.lit(0)).alias("id"), F.col("b.none").alias("none"), F.col("b.row_hash").alias("hash"))
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(whole_row(docs).alias("row"), F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("none"), row_hash(docs).alias("hash"))
+    kept = rows.join(best, keys, "left_semi").withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("hash")))
+    return kept.where("n = 1").select("row.*")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    out = simhash_components(table(spark, sf_dir, "documents"))
+    out = simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, materialize, table
+from .common import ASCII_LOWER, few_texts, materialize, table
 
 #: Words a window, bytes of the shared dictionary and of the fragments, zstandard level.
 WINDOW, SHARED, FRAGMENTS, LEVEL = 12, 32_768, 2_048, 4
@@ -149,7 +149,7 @@ def featured(docs: DataFrame, model: Dictionaries, keep: str) -> DataFrame:
             rows = [features(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(rows, pa.list_(pa.float64()))], names=[*names, "f"])
 
-    return docs.select(*names, "text").mapInArrow(of, f"{keep}, f array<double>")
+    return few_texts(docs.select(*names, "text")).mapInArrow(of, f"{keep}, f array<double>")
 
 
 @dataclass(frozen=True)

@@ -71,6 +71,44 @@ def test_license_templates(text, labels):
     assert {licenses.TEMPLATES[k].label for k, _, _ in index.scan(licenses.words_of(text))} == labels
 
 
+def test_full_notices():
+    index = licenses.PositionalIndex(licenses.TEMPLATES, {}, 100)
+    for label, text, _ in licenses.NOTICES:
+        for around in ("{}", "Copyright (c) 2020 Someone. {} int main(void) { return 0; }".replace("{ return", "{{ return").replace("; }", "; }}")):
+            found = {licenses.TEMPLATES[k].label for k, _, _ in index.scan(licenses.words_of(around.format(text)))}
+            assert label in found and not found & ({"gpl-2", "gpl-3", "lgpl", "agpl-3", "mpl-2", "zlib", "unlicense"} - {label}), (label, found)
+
+
+def test_index_finds_what_a_plain_search_finds():
+    r = random.Random(5)
+    index = licenses.PositionalIndex(licenses.TEMPLATES, {}, 100)
+    vocabulary = sorted(index.vocabulary)
+    for _ in range(300):
+        words = [r.choice(vocabulary) for _ in range(r.randrange(0, 60))]
+        for _ in range(r.randrange(0, 4)):  # a template with some of its words changed
+            t = list(r.choice(index.words))[: r.randrange(3, 40)]
+            t[r.randrange(len(t))] = b"other"
+            at = r.randrange(len(words) + 1)
+            words[at:at] = t if r.random() < 0.5 else r.choice(index.words)
+        want = {}
+        for k, t in enumerate(index.templates):
+            if t.base:
+                want[k] = {s for s in licenses.places_of(index.words[k], words)}
+            elif share := max((index.verified(k, words, s) for s in range(-len(index.words[k]), len(words) + 1)), default=0):
+                want[k] = share
+        got = collections.defaultdict(set)
+        for k, s, share in index.scan(words):
+            if index.templates[k].base:
+                got[k].add(s)
+            else:
+                got[k] = share
+                assert share <= want[k] and share >= licenses.COVER
+        # Every base place; a template that verifies anywhere is found, though its best share may lie a few words off.
+        assert {k for k in want if want[k]} >= set(got) and all(got[k] == v for k, v in want.items() if index.templates[k].base and v)
+        missed = {k for k in want if want[k]} - set(got)
+        assert not {k for k in missed if index.templates[k].base or len(index.words[k]) == len(index.phrases[k][0])}
+
+
 # Tokens and packing -------------------------------------------------------------------------------------------------------
 
 
@@ -100,6 +138,20 @@ def test_letters_that_end_in_a_mark_once_normalised(model, word):
     assert [x.tolist() for x in t.encode_all(texts)] == [model.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_random_words_equal_whole_texts(model, seed):
+    r = random.Random(seed)
+    letters = [*"abcdefghijklmnopqrstuvwxyzABCXYZ", *"éÉßñüÜçœŒøæþðĳŀŉǅﬁΣσςЖж", *sorted(tokens.unsound_letters()), *"日本語한국가나עברितਸ਼ไทย"]
+    other = [*tokens.MARKS, "'", "\u0301", "\u0307", "\u094d", "5", "½", "²", "😀", "\u200d", "\u00a0", "’", "—", "…", "¿"]
+    # Letters, letters with marks behind, marks, and any mixture.
+    word = lambda: "".join(r.choice(letters) for _ in range(r.randrange(0, 7))) + "".join(r.choice(tokens.MARKS) for _ in range(r.choice((0, 0, 1, 1, 2, 3))))
+    mixed = lambda: "".join(r.choice(letters if r.random() < 0.6 else other) for _ in range(r.randrange(1, 9)))
+    texts = [r.choice((" ", "\n", "\t ")).join(word() if r.random() < 0.7 else mixed() for _ in range(20)) for _ in range(500)]
+    t = tokens.WordTokenizer(tokens.default_path())
+    for text, ids in zip(texts, t.encode_all(texts)):
+        assert ids.tolist() == model.encode(text, add_special_tokens=False).ids, text
+
+
 def test_slices_of_a_long_text(model, monkeypatch):
     monkeypatch.setattr(tokens, "SLICE", 1000)
     monkeypatch.setattr(tokens, "CACHED", 50)
@@ -172,7 +224,8 @@ def test_cutting_stock_uses_up_the_demand(seed):
 
 
 def test_mixing(docs, empty):
-    got = mixing.curriculum_mix(docs).collect()
+    flat = lambda df: df.select("row.doc_id", "row.source", *(c for c in df.columns if c != "row"))
+    got = flat(mixing.curriculum_mix(docs)).collect()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     assert key((r.doc_id, r["size"]) for r in got) == key((d, size(t)) for d, t, *_ in corpus())
     taken, target, own = collections.Counter(), {}, collections.Counter()
@@ -185,8 +238,14 @@ def test_mixing(docs, empty):
     assert abs(sum(t for t, _ in target.values()) - sum(own.values())) < 1e-6
     assert mixing.curriculum_mix(empty).count() == 0
     assert mixing.curriculum_mix(docs.where("doc_id < 4")).count() == 4
-    again = mixing.curriculum_mix(docs.repartition(7)).collect()
-    assert key((r.doc_id, r.taken) for r in again) == key((r.doc_id, r.taken) for r in got)
+    again = flat(mixing.curriculum_mix(docs.repartition(7))).collect()
+    assert key((r.doc_id, r.taken, tuple(r.positions or ())) for r in again) == key((r.doc_id, r.taken, tuple(r.positions or ())) for r in got)
+    copies = mixing.in_training_order(mixing.curriculum_mix(docs)).collect()
+    assert [r.position for r in copies] == sorted(r.position for r in copies)
+    words = collections.Counter()
+    for r in copies:
+        words[r.row.source] += r.words
+    assert words == collections.Counter({s: n for s, n in taken.items() if n})
 
 
 def test_position_is_the_inverse_of_the_schedule(spark):
@@ -367,14 +426,35 @@ def test_pivots_beside_a_hot_group_of_near_copies(spark):
     assert embeddings.near_duplicates(df).agg(F.sum("n_links")).first()[0] >= 0.99 * want > 200_000
 
 
-@pytest.mark.parametrize("block", [4, 512])
+@pytest.mark.parametrize("block", [4, 7, 512])
 def test_blocks_of_a_list_lose_no_link(spark, block):
     r = np.random.default_rng(1)
-    rows = [("a", 0, 1, i, [float(x) for x in (lambda v: v / np.linalg.norm(v))(np.ones(8) + r.normal(size=8) * 0.5)]) for i in range(40)]
-    v = [np.array(x[4]) for x in rows]
-    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if v[i] @ v[j] >= 0.93}
-    lists = spark.createDataFrame(rows, "label string, p int, q int, entry long, u array<double>")
-    assert {(x.a, x.b) for x in embeddings.verified_links(lists, block=block).collect()} == want
+    unit = lambda v: v / np.linalg.norm(v)
+    v = [unit(np.ones(8) + r.normal(size=8) * 0.5) for _ in range(40)]
+    first = [sorted(r.choice(4, 3, replace=False).tolist()) for _ in range(40)]  # any two share two pivots at least
+    rows = [("a", p, q, f, i, 1 + i % 3, x.tolist()) for i, (x, f) in enumerate(zip(v, first)) for k, p in enumerate(f) for q in f[k + 1 :]]
+    pairs = [(i, j) for i in range(40) for j in range(i + 1, 40) if v[i] @ v[j] >= 0.93]
+    linked = collections.Counter()
+    for i, j in pairs:
+        linked[i] += 1 + j % 3
+        linked[j] += 1 + i % 3
+    root = groups(40, pairs)
+    found = embeddings.verified_links(spark.createDataFrame(rows, embeddings.LISTS), block=block).collect()
+    got = collections.Counter()
+    for x in found:
+        got[x.entry] += x.linked
+    bonds = groups(40, [(x.entry, x.bond) for x in found])
+    assert got == linked and bonds == root and len(pairs) > 80
+
+
+def test_vectors_of_many_lengths(spark):
+    rows = [(i, [1.0] * (1 + i % 90), "x") for i in range(270)] + [(None, [2.0] * 5, "x"), (None, [0.0, 1.0], "y")]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        if x.vec_id is not None:
+            assert x.component_id == x.vec_id % 90 and x.n_links == (3 if x.component_id == 4 else 2)
+    assert sorted((x.component_id is None, x.n_links, x.kept) for x in got if x.vec_id is None) == [(False, 3, False), (True, 0, True)]
 
 
 # Models -------------------------------------------------------------------------------------------------------------------
@@ -418,6 +498,42 @@ def test_digest_of_no_spans(docs):
     assert row.s == hashlib.sha256(b"").hexdigest()
 
 
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _id int, _t int, _d int, _h int, _s int, _n int, _r int, _o int, size int, weight int, row int, id int, hash int, at int, tie int, `group` int, value int, place int, position int, copy int, words int, spans int, key int, n int, kept int"
+
+
+def test_stages_with_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    n = len(CLASHING.split(", "))
+    texts = [prose(1, 60), prose(1, 60), prose(2, 80), "login: bob99 and pwd = hunter2222 " + prose(3, 40), 'password = "abc123xyz" ' + prose(4, 50) + "\nHome\n" + prose(5, 30), None, "", prose(6, 9000)]
+    rows = [(i, t, "en", f"s{i % 2}", None if t is None else len(t), *([i] * (n - 5))) for i, t in enumerate(texts)]
+    rows += [rows[0], rows[2], (None, texts[2], None, None, len(texts[2]), *([99] * (n - 5)))]
+    df = spark.createDataFrame(rows, CLASHING).repartition(3)
+    extra = df.columns[5:]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for at, whole in ((df, True), (df.limit(0), False)):
+            out = stage(spark, at, str(tmp_path))
+            got = out.collect()
+            assert out.columns == df.columns and (len(got) > 0) == whole, name
+            assert {c: k for c, k in out.dtypes} == {c: k for c, k in df.dtypes}, name
+            for r in got:  # the other columns of a row stay with it
+                assert len({r[c] for c in extra}) == 1 and (r.doc_id is None) == (r["_id"] == 99) and r.doc_id in (None, r["_id"]), name
+                assert r.n_chars == (None if r.text is None else len(r.text)), name
+            ids = collections.Counter(r.doc_id for r in got)
+            if whole and name == "quality rules":
+                assert ids == {0: 2, 1: 1, 2: 2, 3: 1, 4: 1, 7: 1, None: 1} and "Home" not in next(r.text for r in got if r.doc_id == 4)
+                assert all(r.text == texts[r.doc_id] for r in got if r.doc_id in (0, 1, 2, 3, 7))
+            elif whole and name == "near duplicates":
+                assert ids == {0: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 1}
+            elif whole and name == "secret scans":
+                text = {r.doc_id: r.text for r in got}
+                assert len(got) == len(rows) and text[3].startswith("<weak_id> and <weak_secret> ") and text[4].startswith("<assign>") and text[5] is None and text[6] == ""
+            elif whole:
+                assert not {5, 6} & set(ids) and abs(sum(len(r.text.split()) for r in got) - sum(len((t or "").split()) for _, t, *_ in rows)) < 3
+    pieces = corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == {None, *range(8)} and len(pieces) == len(rows) + sum(r.start > 0 for r in pieces)
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     import corpus_pipeline
 
