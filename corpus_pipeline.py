@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm.common import materialize, table
-from studyloom.llm.mixing import curriculum_mix
+from studyloom.llm.common import SPACES, materialize, replaced_text, table, whole_row
+from studyloom.llm.mixing import curriculum_mix, in_training_order
 from studyloom.llm.packing import pack
 from studyloom.llm.quality import quality_rules
 from studyloom.llm.secrets import redact
@@ -19,38 +19,44 @@ from studyloom.llm.tokens import default_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go; the others stay as they are."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    judged = quality_rules(rows, keep=["row"]).select("row", "kept")
+    """Documents that the rules reject go; from the others their failing lines go (n_chars follows). Those without such lines
+    stay byte for byte. A null or empty text has too few words and is rejected; very long texts are read whole; repeated rows
+    are judged each on its own; an empty table stays empty; rows ride as one struct, so no column name clashes."""
+    rows = docs.select(whole_row(docs).alias("row"), "text")
+    judged = quality_rules(rows, keep=["row"]).select("row", "kept", F.when(F.col("n_removed_lines") > 0, F.col("cleaned")).alias("text"))
     # One row made at a time, so that the filter is not moved into, and does not repeat, the rules' expressions.
-    return judged.select(F.inline(F.array(F.struct("row", "kept")))).where("kept").select("row.*")
+    kept = judged.select(F.inline(F.array(F.struct("row", "kept", "text")))).where("kept")
+    return replaced_text(kept.select("row", "text"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one of the smallest doc_id."""
+    """One document of each group of near-duplicates stays, the one of the smallest doc_id (null last), then of the smallest
+    hash of the whole row; of equal rows one stays. Null and empty texts are one group; a very long text is hashed whole; an
+    empty table stays empty; columns keep their names, whatever they are."""
     return drop_near_duplicates(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every reported span of a text is replaced by its kind."""
+    """Every reported span of a text, however long, is replaced by its kind (n_chars follows). A null or empty text stays;
+    repeated rows are each redacted; an empty table stays empty; rows ride as one struct, so no column name clashes."""
     return redact(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per copy that the mix takes, in training order; a copy taken in part holds that many words."""
-    mixed = curriculum_mix(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text"))
-    copies = mixed.select("row", "text", "doc_id", "size", "part", "copies", F.posexplode("positions").alias("copy", "position"))
-    cut = (F.col("part") > 0) & (F.col("copy") == F.col("copies") - 1) & (F.col("part") < F.col("size"))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    short = F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ")
-    changed = F.col("row").withField("text", short)
-    if "n_chars" in docs.columns:
-        changed = changed.withField("n_chars", F.length(short).cast("long"))
-    return copies.withColumn("row", F.when(cut, changed).otherwise(F.col("row"))).orderBy("position", "doc_id").select("row.*")
+    """A row per copy that the mix takes, in training order; a copy taken in part holds that many words (n_chars follows).
+
+    A null, empty or blank text has no words to take and no row. Repeated rows are mixed each on its own; ties are ordered by a hash
+    of the text, then of the row; an empty table stays empty; rows ride as one struct, so no column name clashes."""
+    copies = in_training_order(curriculum_mix(docs))
+    words = F.filter(F.split(F.col("row.text").cast("string"), SPACES), lambda w: w != "")
+    short = F.array_join(F.slice(words, 1, F.col("words").cast("int")), " ")
+    return replaced_text(copies.select("row", F.when(F.col("words") < F.col("size"), short).alias("text")), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of at most 2048 ids."""
+    """The pieces of all documents and their places in sequences of at most 2048 ids. A null or empty text is its end id alone; a very
+    long one is cut into as many pieces as it needs; repeated rows are packed each on its own; an empty table gives no pieces;
+    columns other than doc_id and text are not read."""
     return pack(docs, default_path())
 
 
