@@ -35,24 +35,32 @@ def priority(weight: Column, days: Column) -> Column:
     return (weight + 1) / F.greatest(days, F.lit(0.5))
 
 
-#: Weight of a kind without an assessment, and the least score of each tier.
+#: Weight of a kind without an assessment, and the least weight of each tier.
 KIND_WEIGHT = {"deadline": 5.0, "event": 0.0, "class": 0.0}
 TIERS = (("high", 15.0), ("medium", 5.0))
 
 
+def finite(x: Column) -> Column:
+    """A double, null where it is no finite number."""
+    d = x.cast("double")
+    return F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d)
+
+
 def item_weight(override: Column, assessment: Column, kind: Column) -> Column:
+    """The override, else the assessment's weight, else the kind's default; an explicit 0 counts."""
     default = F.when(kind == "deadline", KIND_WEIGHT["deadline"]).otherwise(F.lit(0.0))
-    return F.coalesce(override.cast("double"), assessment.cast("double"), default)
+    return F.coalesce(finite(override), finite(assessment), default)
 
 
 def weight_source(override: Column, assessment: Column) -> Column:
-    return F.when(override.isNotNull(), "override").when(assessment.isNotNull(), "assessment").otherwise("default")
+    return F.when(finite(override).isNotNull(), "override").when(finite(assessment).isNotNull(), "assessment").otherwise("kind_default")
 
 
-def tier(overdue: Column, kind: Column, score: Column) -> Column:
+def tier(overdue: Column, kind: Column, weight: Column) -> Column:
+    """Badge of an item by its weight in percent; overdue ones and classes have badges of their own."""
     out = F.lit("low")
     for name, least in reversed(TIERS):
-        out = F.when(score >= least, name).otherwise(out)
+        out = F.when(weight >= least, name).otherwise(out)
     return F.when(overdue, "overdue").when(kind == "class", "info").otherwise(out)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterator
 
@@ -35,13 +36,23 @@ def fold_accents(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def identity_key(x: Column) -> Column:
     """Lower case, accents folded, everything but letters and digits one space."""
-    folded = F.when(x.rlike(r"[^\x00-\x7F]"), fold_accents(F.lower(x))).otherwise(F.lower(x))
+    folded = F.coalesce(fold_accents(F.when(x.rlike(r"[^\x00-\x7F]"), F.lower(x))), F.lower(x))  # plain texts don't travel
     return F.trim(F.regexp_replace(folded, r"[^a-z0-9]+", " "))
 
 
+@F.pandas_udf(StringType())
+def compatible(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """NFKD, combining marks and all; Spark has no built-in normalisation."""
+    for x in batches:
+        yield x.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s))
+
+
 def token_set(x: Column, least: int = 3) -> Column:
-    """Distinct words of letters and digits of at least `least` characters, of the identity key."""
-    return F.filter(F.array_distinct(F.split(identity_key(x), " ")), lambda w: F.length(w) >= least)
+    """Distinct words of a-z and 0-9 of at least `least` characters, lower case. A letter's combining mark (after NFKD) parts
+    words like any other character: `r\u00e9sum\u00e9` gives `sume`."""
+    low = F.lower(x)
+    apart = F.coalesce(compatible(F.when(low.rlike(r"[^\x00-\x7F]"), low)), low)  # plain texts don't travel
+    return F.filter(F.array_distinct(F.split(apart, r"[^a-z0-9]+")), lambda w: F.length(w) >= least)
 
 
 def fuzzy_score(tokens: Column, other: Column) -> Column:
@@ -50,11 +61,16 @@ def fuzzy_score(tokens: Column, other: Column) -> Column:
     return F.when(n > 0, F.size(F.array_intersect(tokens, other)) / n).otherwise(F.lit(0.0))
 
 
+#: Ends of a line, and white space at a text's edges, as scripts of the web know them.
+LINE_END, EDGE = r"\n\r\u2028\u2029", r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+
+
 def hash_normal(x: Column) -> Column:
-    """Line ends to \\n, no blanks at line ends, at most one empty line in a row, trimmed."""
-    y = F.regexp_replace(x, r"\r\n?", "\n")
-    y = F.regexp_replace(y, r"[ \t]+\n", "\n")
-    return F.regexp_replace(F.regexp_replace(y, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    """CR LF to LF (a lone CR stays), no blanks before the end of a line or text, at most one empty line in a row, and no
+    Unicode white space at the edges."""
+    y = F.regexp_replace(x, r"\r\n", "\n")
+    y = F.regexp_replace(y, rf"[ \t]+(?=[{LINE_END}]|\z)", "")
+    return F.regexp_replace(F.regexp_replace(y, r"\n{3,}", "\n\n"), rf"\A[{EDGE}]+|[{EDGE}]+\z", "")
 
 
 def text_hash(x: Column) -> Column:
@@ -67,8 +83,10 @@ def chunk_identity(locator: Column, content: Column) -> Column:
 
 
 def token_estimate(x: Column) -> Column:
-    """A quarter of the trimmed code points, rounded up, at least 1."""
-    return F.greatest(F.lit(1), F.ceil(F.length(trim(x)) / 4)).cast("int")
+    """A quarter of the trimmed UTF-16 units (a character beyond U+FFFF is two), rounded up, at least 1."""
+    t = F.regexp_replace(x, rf"\A[{EDGE}]+|[{EDGE}]+\z", "")
+    units = F.length(t) + F.when(t.rlike(r"[\x{10000}-\x{10FFFF}]"), F.regexp_count(t, F.lit(r"[\x{10000}-\x{10FFFF}]"))).otherwise(0)
+    return F.greatest(F.lit(1), F.ceil(units / 4)).cast("int")
 
 
 def word_count(x: Column) -> Column:
@@ -106,6 +124,31 @@ def byte_size_label(n: Column) -> Column:
     return F.when(n < kb, F.format_string("%d B", n.cast("long"))).when(n < mb, F.format_string("%.0f KB", n / kb)).otherwise(F.format_string("%.1f MB", n / mb))
 
 
+@F.pandas_udf(StringType())
+def canonical_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """JSON without blanks, the keys of every object in order; null where the text is none. Spark sorts no keys."""
+
+    def one(s: str | None) -> str | None:
+        try:
+            return None if s is None else json.dumps(json.loads(s), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    for x in batches:
+        yield x.map(one)
+
+
+def canonical_hash(x: Column) -> Column:
+    """sha256 of a JSON text in canonical form, so that the order of keys doesn't count."""
+    return F.sha2(canonical_json(x), 256)
+
+
+def ago_label(minutes: Column) -> Column:
+    """How long ago, from whole minutes."""
+    n = lambda size, unit: F.concat(F.floor(minutes / size).cast("string"), F.lit(f" {unit} ago"))
+    return F.when(minutes < 1, "just now").when(minutes < 60, n(1, "min")).when(minutes < 1440, n(60, "h")).when(minutes < 2880, "yesterday").otherwise(n(1440, "days"))
+
+
 def due_label(days: Column) -> Column:
     return F.when(days < 0, "overdue").when(days < 1, "today").when(days < 2, "tomorrow").otherwise(F.format_string("in %d days", F.floor(days)))
 

@@ -14,7 +14,8 @@ from ..functions.dates import local_day
 def daily_cost(calls: DataFrame, zone: str = "Europe/Madrid") -> DataFrame:
     """One row per user, local day, provider and model.
 
-    calls: user_id, created_at, provider, model, outcome, input_tokens, output_tokens, cost_usd (null: unpriced).
+    calls: user_id, created_at, provider, model, outcome, input_tokens, output_tokens, cache_read_tokens,
+    cache_write_tokens, cost_usd (null: unpriced). cost_usd of a day is a lower bound, to be read with unpriced_calls.
     """
     priced = F.coalesce(F.sum("cost_usd"), F.lit(0)).cast("decimal(14,8)")
     return calls.groupBy("user_id", local_day("created_at", zone).alias("day"), "provider", "model").agg(
@@ -22,6 +23,8 @@ def daily_cost(calls: DataFrame, zone: str = "Europe/Madrid") -> DataFrame:
         F.count_if(F.col("outcome") == "success").alias("successes"),
         F.sum(F.col("input_tokens").cast("long")).alias("input_tokens"),
         F.sum(F.col("output_tokens").cast("long")).alias("output_tokens"),
+        F.sum(F.col("cache_read_tokens").cast("long")).alias("cache_read_tokens"),
+        F.sum(F.col("cache_write_tokens").cast("long")).alias("cache_write_tokens"),
         priced.alias("cost_usd"),
         F.count_if(F.col("cost_usd").isNull()).alias("unpriced_calls"),
     )

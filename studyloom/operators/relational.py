@@ -61,15 +61,28 @@ def covering(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str,
 
 
 def within_any(points: DataFrame, bounds: DataFrame, at: str, low: str, high: str, name: str) -> DataFrame:
-    """Is each point inside any of the bounds? Bounds are merged to disjoint intervals and looked up by the last start at or
-    before the point, so that the join is not a product."""
-    order = Window.orderBy(low, high)
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    runs = bounds.withColumn("_new", (F.col(low) > F.coalesce(F.max(high).over(earlier), F.col(low) - F.expr("interval 1 second"))).cast("int"))
-    merged = runs.withColumn("_k", F.sum("_new").over(order)).groupBy("_k").agg(F.min(low).alias(low), F.max(high).alias(high))
-    one = F.lit(1).alias("_g")
-    found = as_of(points.select("*", one), merged.select(one, F.col(low).alias(at), F.col(high).alias("_high")), "_g", at, "_high", "_h")
-    return found.withColumn(name, F.coalesce(F.col(at) <= F.col("_h"), F.lit(False))).drop("_h", "_g")
+    """Adds `name`: is each point inside any of the bounds, both ends included? Bounds that are null or reversed hold nothing; a
+    null point is inside of none.
+
+    The axis is cut into buckets as wide as the bounds are on average, so that bounds make at most two pieces each on average;
+    a bucket's pieces are merged to disjoint ones, and points meet those of their own bucket by an equi-join.
+    """
+
+    def number(df: DataFrame, c: str) -> Column:
+        return F.unix_micros(F.col(c).cast("timestamp")) if dict(df.dtypes)[c].startswith(("timestamp", "date")) else F.col(c).cast("double")
+
+    spans = bounds.select(number(bounds, low).alias("_lo"), number(bounds, high).alias("_hi")).where("_lo <= _hi")
+    n, total = spans.agg(F.count("*"), F.sum(F.col("_hi") - F.col("_lo"))).first()
+    width = max(float(total or 0) / max(n, 1), 1e-6)
+    bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
+    pieces = spans.select("_lo", "_hi", F.explode(F.sequence(bucket(F.col("_lo")), bucket(F.col("_hi")))).alias("_b"))
+    order = Window.partitionBy("_b").orderBy("_lo", "_hi")
+    reached = F.max("_hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = pieces.withColumn("_new", F.when(F.col("_lo") <= reached, 0).otherwise(1)).withColumn("_k", F.sum("_new").over(order))
+    merged = runs.groupBy("_b", "_k").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).drop("_k")
+    placed = points.withColumn("_at", number(points, at)).withColumn("_pb", bucket(F.col("_at")))
+    hit = (F.col("_pb") == F.col("_b")) & F.col("_at").between(F.col("_lo"), F.col("_hi"))
+    return placed.join(merged, hit, "left").withColumn(name, F.col("_lo").isNotNull()).select(*points.columns, name)
 
 
 def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:

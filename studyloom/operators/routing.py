@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.text import normal_title
 from .relational import top_per
 from .windows import first_wins
 
@@ -37,6 +39,43 @@ def map_signals(signals: DataFrame, topics: DataFrame, sources: DataFrame) -> Da
     )
 
 
+def resolve_decisions(decisions: DataFrame, segments: DataFrame, topics: DataFrame) -> DataFrame:
+    """(batch_id, segment_key, kind, topic_id, title, how), one row per segment and per decision that is not followed.
+
+    decisions: batch_id, ord, segment_key, assign_to, new_title; segments: batch_id, segment_key, title; topics: topic_id.
+    An assignment to a known topic is followed (assigned). One that names a title which the batch creates, in any case and
+    spacing, creates that topic, in its first spelling (batch-local). One that names nothing creates the segment's topic
+    (unresolvable), as a create without a title does (created). Of several decisions for a segment the first stands, the
+    others are duplicate-segment; those for no segment are unknown-segment; a segment without any is no-decision. Blank
+    strings count as none.
+    """
+    blank = lambda c: F.when(F.col(c) != "", F.col(c))
+    known = segments.select("batch_id", "segment_key", F.col("title").alias("segment_title"))
+    rows = decisions.select("batch_id", "ord", "segment_key", blank("assign_to").alias("assign_to"), blank("new_title").alias("new_title"))
+    rows = rows.join(known, ["batch_id", "segment_key"], "full_outer")
+    told, real = F.col("ord").isNotNull(), F.col("segment_title").isNotNull()
+    place = F.row_number().over(Window.partitionBy("batch_id", "segment_key").orderBy("ord"))
+    rows = rows.withColumn("_n", place)
+    created = rows.where(told & real & F.col("assign_to").isNull() & F.col("new_title").isNotNull())
+    titles = created.groupBy("batch_id", normal_title(F.col("new_title")).alias("_key")).agg(F.min_by("new_title", "ord").alias("_title"))
+    rows = rows.withColumn("_key", normal_title(F.col("assign_to"))).join(titles, ["batch_id", "_key"], "left")
+    rows = rows.join(topics.select(F.col("topic_id").alias("assign_to"), F.lit(True).alias("_topic")).distinct(), "assign_to", "left")
+    how = (
+        F.when(~told, "no-decision").when(~real, "unknown-segment").when(F.col("_n") > 1, "duplicate-segment").when(F.col("assign_to").isNull(), "created")
+        .when(F.col("_topic"), "assigned").when(F.col("_title").isNotNull(), "batch-local").otherwise("unresolvable")
+    )
+    rows = rows.withColumn("how", how)
+    made = F.col("how").isin("created", "batch-local", "unresolvable")
+    kind = F.when(F.col("how") == "assigned", "assign").when(made, "create")
+    title = F.when(F.col("how") == "batch-local", F.col("_title")).when(made, F.coalesce("new_title", "segment_title"))
+    return rows.select("batch_id", "segment_key", kind.alias("kind"), F.when(kind == "assign", F.col("assign_to")).alias("topic_id"), title.alias("title"), "how")
+
+
+def signals_per_topic(mapped: DataFrame) -> DataFrame:
+    """(topic_id, signals) of map_signals; unmapped signals count for no topic."""
+    return mapped.where("topic_id IS NOT NULL").groupBy("topic_id").agg(F.count("*").alias("signals"))
+
+
 def reprocess_plan(targets: DataFrame, prior: DataFrame) -> DataFrame:
     """targets (target, topic_id, revision) with `work`: merge, or skip where this document is in the topic already.
 

@@ -45,6 +45,74 @@ def bump_revision(current: DataFrame, history: DataFrame, merged: DataFrame, key
     return upsert(current, fresh.select(*current.columns), [key]), history.unionByName(changed.select(*history.columns))
 
 
+def log_rows(calls: DataFrame, price: Column) -> DataFrame:
+    """Rows of the append-only call log: token counts that the provider didn't report are 0, and where it reported none, or the
+    model has no price, cost_usd is null: unknown, not free.
+
+    calls: call_id, user_id, model, outcome, created_at, latency_ms and the four token counts, null without a report.
+    """
+    counts = [f"{c}_tokens" for c in ("input", "output", "cache_read", "cache_write")]
+    reported = F.coalesce(*(F.col(c) for c in counts)).isNotNull()
+    return calls.select(
+        "call_id", "user_id", "model", "outcome", "created_at", F.floor(F.col("latency_ms") + 0.5).cast("long").alias("latency_ms"),
+        *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts), F.when(reported, price).cast("decimal(14,8)").alias("cost_usd"),
+    )
+
+
+def append_log(log: DataFrame, new: DataFrame, *order: Column, key: str = "call_id") -> DataFrame:
+    """The log with new rows behind; a call that is logged already is not logged again (of several new rows of a call the first in
+    `order` is), and no row is ever changed."""
+    return insert_ignore(log, new, [key], *order)
+
+
+def reuse_vectors(chunks: DataFrame, stored: DataFrame) -> DataFrame:
+    """chunks (user_id, chunk_hash, ...) with the user's own stored vector of the same content, the first (by id) that is not null,
+    and `fresh`: whether it has to be made. stored: id, user_id, chunk_hash, embedding."""
+    known = first_wins(stored.where("embedding IS NOT NULL"), ["user_id", "chunk_hash"], F.col("id")).select("user_id", "chunk_hash", "embedding")
+    return chunks.drop("embedding").join(known, ["user_id", "chunk_hash"], "left").withColumn("fresh", F.col("embedding").isNull())
+
+
+# What the reference's triggers do, as steps of a write path ---------------------------------------------------------------
+
+
+def touched(old: DataFrame, new: DataFrame, keys: list[str], now: Column) -> DataFrame:
+    """new with updated_at set to now where a row differs from the old one; others keep theirs."""
+    fields = [c for c in new.columns if c not in (*keys, "updated_at")]
+    before = old.select(*keys, F.struct(*fields).alias("_old"), F.col("updated_at").alias("_at"))
+    rows = new.join(before, keys, "left")
+    same = F.coalesce(F.col("_old") == F.struct(*fields), F.lit(False)) | F.col("_old").eqNullSafe(F.struct(*fields))
+    return rows.select(*(F.when(same, F.col("_at")).otherwise(now).alias(c) if c == "updated_at" else F.col(c) for c in new.columns))
+
+
+def unconfirmed(old: DataFrame, new: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """new with `confirmed` false for rows that are inserted or whose tag changed: only a later edit may confirm them."""
+    before = old.select(*keys, F.col(tag).alias("_tag"), F.lit(True).alias("_known"))
+    rows = new.join(before, keys, "left")
+    keep = F.coalesce(F.col("_known"), F.lit(False)) & F.col("_tag").eqNullSafe(F.col(tag))
+    return rows.select(*((keep & F.col("confirmed")).alias(c) if c == "confirmed" else F.col(c) for c in new.columns))
+
+
+def append_only(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of old that new lacks or changes: an append-only table allows none."""
+    return old.join(new.select(*old.columns).intersect(old), keys, "left_anti")
+
+
+def merged_once(merges: DataFrame) -> DataFrame:
+    """(topic_id, document_id, n) that were merged more than once."""
+    return not_unique(merges, ["topic_id", "document_id"])
+
+
+def without_source(topics: DataFrame, sources: DataFrame) -> DataFrame:
+    """Topics that no source backs any more; they go with their last one."""
+    return topics.join(sources.select("topic_id"), "topic_id", "left_anti")
+
+
+def without_topic(chunks: DataFrame, topics: DataFrame) -> DataFrame:
+    """Chunks that stay once topics are gone: those made of a topic's page go with it, a document's own stay."""
+    gone = chunks.where("source = 'topic_page'").join(topics.select("topic_id"), "topic_id", "left_anti").select("chunk_id")
+    return chunks.join(gone, "chunk_id", "left_anti")
+
+
 def write_error(code: Column) -> Column:
     """delivered (no error, or a row that is there already), rejected (never will be), or failed (try again)."""
     return F.when(code.isNull() | (code == "23505"), "delivered").when(code.isin("23502", "23503", "23514", "22P02", "42501"), "rejected").otherwise("failed")

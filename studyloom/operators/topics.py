@@ -74,6 +74,67 @@ def provenance(block_rows: DataFrame, pages_read: DataFrame) -> DataFrame:
     return rows.select("topic_id", "key", F.col("n").alias("citations"), strength.alias("strength"))
 
 
+#: Citations and pages read from which a single cited place is a collapse.
+COLLAPSE_CITATIONS, COLLAPSE_PAGES = 3, 4
+
+
+def provenance_report(block_rows: DataFrame, pages_read: DataFrame) -> DataFrame:
+    """One row per topic: blocks, citations, places (distinct, of resolved citations), pages_available (read, of the documents
+    that it cites), without_sources, broken, collapse (3 citations or more, all of one place, though 4 pages or more were
+    read) and weak."""
+    cited = citations(block_rows, pages_read)
+    good = F.col("status") == "resolved"
+    place = F.concat_ws("#", F.coalesce("document_id", F.lit("?")), F.coalesce(F.col("page").cast("string"), F.lit("?")))
+    per = cited.groupBy("topic_id").agg(F.count("*").alias("citations"), F.count_if(good).alias("_good"), F.count_if(~good).alias("broken"), F.count_distinct(F.when(good, place)).alias("places"))
+    read = pages_read.where("page IS NOT NULL").groupBy("document_id").agg(F.count_distinct("page").alias("_pages"))
+    available = cited.select("topic_id", "document_id").distinct().join(read, "document_id").groupBy("topic_id").agg(F.sum("_pages").alias("pages_available"))
+    absent = block_rows.groupBy("topic_id").agg(F.count("*").alias("blocks"), F.count_if(F.size("sources") == 0).alias("without_sources"))
+    rows = absent.join(per, "topic_id", "left").join(available, "topic_id", "left").fillna(0)
+    collapse = (F.col("_good") >= COLLAPSE_CITATIONS) & (F.col("places") == 1) & (F.col("pages_available") >= COLLAPSE_PAGES)
+    weak = collapse | (F.col("without_sources") > 0) | (F.col("broken") > 0) | ((F.col("blocks") > 0) & (F.col("citations") == 0))
+    return rows.select("topic_id", "blocks", "citations", "places", "pages_available", "without_sources", "broken", collapse.alias("collapse"), weak.alias("weak"))
+
+
+def locator_unit(locator: Column) -> Column:
+    """The page that a locator names, else its slide, else null."""
+    finite = lambda x: F.when(x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), x)
+    return F.coalesce(finite(locator["page"]), finite(locator["slide"]))
+
+
+def revert(current: DataFrame, history: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(next current, next history): topics of wanted (topic_id, revision) get that revision's page back as a new revision; the
+    page that they had is kept in the history under its own. A revision that the history doesn't hold changes nothing.
+
+    current, history: topic_id, revision, page.
+    """
+    old = history.join(wanted, ["topic_id", "revision"]).groupBy("topic_id").agg(F.first("page").alias("_page"))
+    rows = current.join(old, "topic_id", "left")
+    hit = F.col("_page").isNotNull()
+    after = rows.select("topic_id", (F.col("revision") + hit.cast("int")).alias("revision"), F.coalesce("_page", "page").alias("page"))
+    kept = rows.where(hit).select("topic_id", "revision", "page").join(history.select("topic_id", "revision"), ["topic_id", "revision"], "left_anti")
+    return after, history.unionByName(kept)
+
+
+def read_snapshot(json: Column) -> Column:
+    """A review's snapshot as an array of (topicId, revision); the id's key may be written topicId or topic_id. Null where the
+    text is no array or any entry can't be read: such a review can't be shown to be fresh."""
+    raw = F.from_json(json, "array<struct<topicId: string, topic_id: string, revision: double>>")
+    pairs = F.transform(raw, lambda e: F.struct(F.coalesce(e["topicId"], e["topic_id"]).alias("topicId"), e["revision"].cast("long").alias("revision")))
+    good = F.forall(pairs, lambda p: F.coalesce(p.isNotNull() & p["topicId"].isNotNull() & p["revision"].isNotNull(), F.lit(False)))
+    return F.when(F.ltrim(json).startswith("[") & good, pairs)
+
+
+def counted(n: Column, one: str, many: str | None = None) -> Column:
+    """`1 page`, `3 pages`."""
+    return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(many or f"{one}s"))
+
+
+def diff_label(removed: Column, changed: Column, added: Column) -> Column:
+    """Counts of a page's diff that are not zero, joined by middle dots; `no changes` without any."""
+    parts = F.array_compact(F.array(*(F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {word}"))) for n, word in ((removed, "removed"), (changed, "changed"), (added, "added")))))
+    return F.when(F.size(parts) == 0, "no changes").otherwise(F.array_join(parts, " \u00b7 "))
+
+
 def merge_loss(before: DataFrame, after: DataFrame, removals: DataFrame) -> DataFrame:
     """(topic_id, kind, severity, subject): blocks that a merge lost without declaring it, emptied, or removed in name only."""
     old, new = before.select("topic_id", "key", F.col("text").alias("o")), after.select("topic_id", "key", F.col("text").alias("n"))

@@ -12,13 +12,16 @@ from .relational import top_per
 MOST = 200
 
 
-def match_chunks(chunks: DataFrame, query: list[float], k: int, *, user: str | None = None, **filters: str | None) -> DataFrame:
+def match_chunks(chunks: DataFrame, query: list[float], k: int, *, user: str, **filters: str | None) -> DataFrame:
     """The k chunks (1 to 200) nearest to the query by cosine, after the tenant's and the optional filters.
 
-    Null vectors are left out. Ties go to the smaller id. Adds similarity as float.
+    The tenant is required: no search crosses tenants. Null vectors are left out. Ties go to the smaller id. Adds similarity
+    as float.
     """
-    rows = chunks.where(F.col("embedding").isNotNull())
-    for name, value in ({"user_id": user} | filters).items():
+    if not user:
+        raise ValueError("a search needs a tenant")
+    rows = chunks.where(F.col("embedding").isNotNull() & (F.col("user_id") == F.lit(user)))
+    for name, value in filters.items():
         if value is not None:
             rows = rows.where(F.col(name) == F.lit(value))
     vector = F.array(*(F.lit(float(x)) for x in query))
@@ -28,8 +31,8 @@ def match_chunks(chunks: DataFrame, query: list[float], k: int, *, user: str | N
 
 def nearest_of(left: DataFrame, right: DataFrame, on: Column | str, k: int, least: float = -1.0) -> DataFrame:
     """Left rows (lid, lvec) with their k nearest right rows (rid, rvec) of similarity `least` or more among those that
-    `on` brings together; ties to the smaller rid."""
-    pairs = left.join(right, on).withColumn("similarity", cosine(F.col("lvec"), F.col("rvec"))).where(F.col("similarity") >= least)
+    `on` brings together, themselves (rid = lid) left out; ties to the smaller rid."""
+    pairs = left.join(right, on).where("lid <> rid").withColumn("similarity", cosine(F.col("lvec"), F.col("rvec"))).where(F.col("similarity") >= least)
     return top_per(pairs, ["lid"], [F.desc("similarity"), F.col("rid")], k)
 
 

@@ -19,6 +19,7 @@ def calls(spark, folder) -> DataFrame:
         "user_id", F.col("ts").cast("timestamp").alias("created_at"), F.lit("p").alias("provider"),
         F.col("event_type").alias("model"), F.when(F.col("event_type") == "error", "error").otherwise("success").alias("outcome"),
         F.floor(F.col("value")).alias("input_tokens"), F.floor(F.col("value") * 2).alias("output_tokens"),
+        F.floor(F.col("value") / 2).alias("cache_read_tokens"), F.floor(F.col("value") / 3).alias("cache_write_tokens"),
         cost.alias("cost_usd"), F.col("event_type").alias("job"),
     )
 
@@ -47,6 +48,7 @@ def run_scoped_spend(spark, folder):
 DAILY = """SELECT user_id, CAST(timezone('Europe/Madrid', timezone('UTC', ts)) AS DATE) AS day, 'p' AS provider,
  event_type AS model, count(*) AS calls, count(*) FILTER (event_type <> 'error') AS successes,
  CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS input_tokens, CAST(sum(CAST(floor(value * 2) AS BIGINT)) AS BIGINT) AS output_tokens,
+ CAST(sum(CAST(floor(value / 2) AS BIGINT)) AS BIGINT) AS cache_read_tokens, CAST(sum(CAST(floor(value / 3) AS BIGINT)) AS BIGINT) AS cache_write_tokens,
  CAST(coalesce(sum(CASE WHEN event_type <> 'error' THEN CAST(value AS DECIMAL(14,8)) END), 0) AS DECIMAL(14,8)) AS cost_usd,
  count(*) FILTER (event_type = 'error') AS unpriced_calls FROM events GROUP BY ALL"""
 MONTH = f"""SELECT CAST(coalesce(sum(cost_usd), 0) AS DECIMAL(22,8)) AS cost_usd, CAST(coalesce(sum(unpriced_calls), 0) AS BIGINT) AS unpriced_calls

@@ -79,9 +79,8 @@ def stream_latest(spark, folder):
     """The latest event of each user, kept by a stream of changes; an error deletes."""
     out = shared_folder(spark, "view")
     feed = stream(spark, folder).select(F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.when(F.col("event_type") == "error", "DELETE").otherwise("UPDATE").alias("op"), F.col("user_id").cast("string").alias("id"), F.lit("c").alias("course_id"), F.col("event_type").alias("body"))
-    changes.keep_view(changes.once(feed), out, shared_folder(spark, "ck")).trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(out)  # version n in partition v=n
-    return last.join(last.agg(F.max("v").alias("v")), "v").select("id", "body")
+    changes.keep_view(changes.once(feed), out, shared_folder(spark, "ck"), buckets=8).trigger(availableNow=True).start().awaitTermination()
+    return changes.read_view(spark, out).select("id", "body")
 
 
 QUERIES = {f.__name__: f for f in (ics_expand, file_probe, strip_document, stream_hourly, stream_latest)}

@@ -12,7 +12,7 @@ from ..sources.tables import scan
 
 def nested_order_embed(spark, folder):
     """Orders inner customer left nation, with their line items nested; flattened to counts and sums."""
-    orders = scan(spark, folder, "orders", "o_orderkey", "o_custkey", "o_totalprice")
+    orders = scan(spark, folder, "orders", "o_orderkey", "o_custkey")
     lines = scan(spark, folder, "lineitem", F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
     nested = relational.nest(orders, lines, "o_orderkey", "lines", "l_linenumber")
     customer = scan(spark, folder, "customer", F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
@@ -58,22 +58,16 @@ def week_buckets(spark, folder):
     return orders.groupBy(F.to_date(week_start("o_orderdate", "Europe/Madrid")).alias("week"), day_key("o_orderdate", "Europe/Madrid").alias("day")).agg(F.count("*").alias("n"))
 
 
-def priority_rank_all(spark, folder):
-    """Orders as items: weight from the price, due by date; all of them, overdue first, then score, then id."""
-    now = F.lit("1998-01-01").cast("timestamp")
+def priority_rank(spark, folder):
+    """All orders as items: weight from the price, due by date; finished ones are completed; overdue first, then score, then id."""
+    now = F.lit("1996-01-01").cast("timestamp")
     o = scan(spark, folder, "orders", "o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus", "o_totalprice")
-    days = F.datediff(F.col("o_orderdate"), F.lit("1998-01-01").cast("date")).cast("double")
     kind = F.when(F.col("o_orderpriority") == "1-URGENT", "deadline").when(F.col("o_orderpriority") == "5-LOW", "class").otherwise("event")
-    weight = M.item_weight(F.when(F.col("o_orderstatus") == "F", F.floor(F.col("o_totalprice") / 10000)), F.lit(None).cast("double"), kind)
-    late = (F.col("o_orderdate") < now) & (F.col("o_orderstatus") == "O")
-    score = M.priority(weight, F.when(days < 0, 0.0).otherwise(days))
-    rows = o.select("o_orderkey", late.alias("overdue"), score.alias("score"), M.tier(late, kind, score).alias("tier"))
-    return rows.orderBy(F.desc("overdue"), F.desc("score"), "o_orderkey").select("o_orderkey", "overdue", F.round("score", 9).alias("score"), "tier")
-
-
-def priority_rank(spark, folder):
-    """The first 500 of priority_rank_all."""
-    return priority_rank_all(spark, folder).limit(500)
+    items = o.select(
+        F.col("o_orderkey").alias("id"), kind.alias("kind"), F.col("o_orderdate").cast("timestamp").alias("due"), F.when(F.col("o_orderkey") % 3 == 0, F.floor(F.col("o_totalprice") / 10000)).alias("weight_override"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.lit(12.5)).alias("assessment_weight"), F.when(F.col("o_orderstatus") == "F", now).alias("completed_at"),
+    )
+    return calendar.rank_items(items, now).select(F.col("id").alias("o_orderkey"), "weight", "weight_source", "overdue", F.round("score", 9).alias("score"), "tier")
 
 
 def weight_verdict(spark, folder):
@@ -103,7 +97,7 @@ def tombstones(spark, folder):
     items = o.select(
         F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 10 != 0, "f").alias("feed_id"), F.col("o_orderkey").cast("string").alias("ics_uid"),
         F.when(F.col("o_orderkey") % 3 == 0, F.expr("TIMESTAMP '1997-06-01 00:00:00' - make_interval(0, 0, 0, CAST(o_orderkey % 13 AS INT))")).alias("missing_since"),
-        at.alias("latest_start"), (F.col("o_orderstatus") == "F").alias("graded"),
+        F.when(F.col("o_orderkey") % 7 != 0, at).alias("latest_start"), (F.col("o_orderstatus") == "F").alias("graded"),
     )
     present = o.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").cast("string").alias("ics_uid"))
     return calendar.plan_tombstones(items, present, F.lit("1997-06-01").cast("timestamp"))
@@ -197,7 +191,7 @@ def union_distinct_ledgers(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        nested_order_embed, semi_anti_customers, max_correlated_default, recency_rank, range_bounds, week_buckets, priority_rank, priority_rank_all,
+        nested_order_embed, semi_anti_customers, max_correlated_default, recency_rank, range_bounds, week_buckets, priority_rank,
         weight_verdict, page_diff, snapshot_diff, tombstones, exam_weight, upsert_orders, quality_constraints, attendance_gate,
         participation_standings, asof_previous_event, nearest_position, topk_per_segment, sync_counters, attendance_last_write, union_distinct_ledgers,
     )
@@ -220,10 +214,11 @@ ORACLES = {
     "range_bounds": """WITH t(a, b) AS (VALUES (TIMESTAMP '1995-01-01', TIMESTAMP '1995-06-30'), (TIMESTAMP '1995-05-01', TIMESTAMP '1995-12-31'), (TIMESTAMP '1996-03-01', TIMESTAMP '1996-03-31'), (TIMESTAMP '1997-09-01', TIMESTAMP '1998-01-31'))
  SELECT EXISTS (SELECT 1 FROM t WHERE o_orderdate BETWEEN a AND b) AS inside, CASE WHEN day(o_orderdate) <= 10 THEN 'early' WHEN day(o_orderdate) <= 20 THEN 'middle' WHEN day(o_orderdate) >= 25 THEN 'late' END AS span, count(*) AS n FROM orders GROUP BY ALL""",
     "week_buckets": """SELECT CAST(date_trunc('week', x) AS DATE) AS week, strftime(x, '%Y-%m-%d') AS day, count(*) AS n FROM (SELECT timezone('Europe/Madrid', timezone('UTC', o_orderdate)) AS x FROM orders) GROUP BY ALL""",
-    "priority_rank": """WITH k AS (SELECT o_orderkey, o_orderdate < TIMESTAMP '1998-01-01' AND o_orderstatus = 'O' AS overdue, CASE o_orderpriority WHEN '1-URGENT' THEN 'deadline' WHEN '5-LOW' THEN 'class' ELSE 'event' END AS kind,
- CASE WHEN o_orderstatus = 'F' THEN floor(o_totalprice / 10000) END AS w, CAST(date_diff('day', DATE '1998-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS days FROM orders),
- s AS (SELECT *, (coalesce(w, CASE WHEN kind = 'deadline' THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END) + 1) / greatest(CASE WHEN days < 0 THEN 0 ELSE days END, 0.5::DOUBLE) AS score FROM k)
- SELECT o_orderkey, overdue, round(score, 9) AS score, CASE WHEN overdue THEN 'overdue' WHEN kind = 'class' THEN 'info' WHEN score >= 15 THEN 'high' WHEN score >= 5 THEN 'medium' ELSE 'low' END AS tier FROM s ORDER BY overdue DESC, s.score DESC, o_orderkey LIMIT 500""",
+    "priority_rank": """WITH k AS (SELECT o_orderkey, (epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1996-01-01'))::DOUBLE / 86400000000.0::DOUBLE AS days, CASE o_orderpriority WHEN '1-URGENT' THEN 'deadline' WHEN '5-LOW' THEN 'class' ELSE 'event' END AS kind,
+ CASE WHEN o_orderkey % 3 = 0 THEN floor(o_totalprice / 10000)::DOUBLE END AS w, CASE WHEN o_orderkey % 2 = 0 THEN 12.5::DOUBLE END AS a FROM orders WHERE o_orderstatus <> 'F'),
+ s AS (SELECT *, days < 0 AS overdue, coalesce(w, a, CASE WHEN kind = 'deadline' THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END) AS weight FROM k)
+ SELECT o_orderkey, weight, CASE WHEN w IS NOT NULL THEN 'override' WHEN a IS NOT NULL THEN 'assessment' ELSE 'kind_default' END AS weight_source, overdue, round((weight + 1) / greatest(days, 0.5::DOUBLE), 9) AS score,
+ CASE WHEN overdue THEN 'overdue' WHEN kind = 'class' THEN 'info' WHEN weight >= 15 THEN 'high' WHEN weight >= 5 THEN 'medium' ELSE 'low' END AS tier FROM s""",
     "weight_verdict": """WITH t AS (SELECT l_orderkey, sum(floor((l_discount * 1000) * 100 + 0.5)) AS h FROM lineitem GROUP BY 1)
  SELECT CASE WHEN abs(h - 10000) <= 1 THEN 'balanced' WHEN h < 10000 THEN 'under' ELSE 'over' END AS verdict, count(*) AS n, CAST(sum(h) AS BIGINT) AS hundredths FROM t GROUP BY 1""",
     "page_diff": """WITH b AS (SELECT o_orderkey AS k, o_orderpriority AS t FROM orders WHERE o_orderkey % 2 = 1), a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'new' ELSE o_orderpriority END AS t FROM orders WHERE o_orderkey % 3 = 0),
@@ -231,8 +226,9 @@ ORACLES = {
  SELECT status, CAST(CASE status WHEN 'removed' THEN 1 WHEN 'changed' THEN 2 WHEN 'added' THEN 3 ELSE 4 END AS INTEGER) AS rank, count(*) AS n FROM d GROUP BY ALL""",
     "snapshot_diff": DIFF,
     "sync_counters": f"SELECT action, count(*) AS n FROM ({DIFF}) GROUP BY 1",
-    "tombstones": """WITH i AS (SELECT o_orderkey AS id, o_orderkey % 4 = 0 AS present, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 13 AS INTEGER) END AS gone, o_orderdate < TIMESTAMP '1997-06-01' AS rolled, o_orderstatus = 'F' AS graded FROM orders WHERE o_orderkey % 10 <> 0)
- SELECT * FROM (SELECT id, CASE WHEN present THEN CASE WHEN gone IS NOT NULL THEN 'clear' END WHEN rolled THEN 'retain_rolloff' WHEN graded THEN 'retain_graded' WHEN gone IS NULL THEN 'mark' WHEN gone >= 7 THEN 'delete' ELSE 'keep' END AS action FROM i) WHERE action IS NOT NULL""",
+    "tombstones": """WITH i AS (SELECT o_orderkey AS id, o_orderkey % 4 = 0 AS present, CASE WHEN o_orderkey % 3 = 0 THEN TIMESTAMP '1997-06-01' - to_days(CAST(o_orderkey % 13 AS INTEGER)) END AS gone, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END AS last, o_orderstatus = 'F' AS graded FROM orders WHERE o_orderkey % 10 <> 0),
+ a AS (SELECT *, CASE WHEN present THEN CASE WHEN gone IS NOT NULL THEN 'clear' END WHEN last IS NULL OR last < TIMESTAMP '1997-06-01' THEN 'retain_rolloff' WHEN graded THEN 'retain_graded' WHEN gone IS NULL THEN 'mark' WHEN gone <= TIMESTAMP '1997-05-25' THEN 'delete' ELSE 'keep' END AS action FROM i)
+ SELECT id, action, CASE WHEN action = 'clear' OR (action = 'retain_rolloff' AND gone IS NOT NULL AND NOT coalesce(gone < last, false)) THEN 'clear' WHEN action IN ('mark', 'retain_graded') AND gone IS NULL THEN 'set' END AS write FROM a WHERE action IS NOT NULL""",
     "exam_weight": """WITH p AS (SELECT l_orderkey AS topic_id, count(*)::DOUBLE AS s, count(DISTINCT l_returnflag)::DOUBLE AS c, (count(*) FILTER (l_linestatus = 'F'))::DOUBLE AS f FROM lineitem GROUP BY 1),
  t AS (SELECT o_orderkey AS topic_id, o_custkey, o_orderdate, s, c, f FROM orders JOIN p ON o_orderkey = topic_id),
  r AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY o_custkey) = 1 THEN 1.0::DOUBLE ELSE (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, topic_id) - 1)::DOUBLE / (count(*) OVER (PARTITION BY o_custkey) - 1)::DOUBLE END AS a FROM t),
@@ -258,4 +254,3 @@ ORACLES = {
     "union_distinct_ledgers": "SELECT o_custkey AS key FROM orders UNION SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0",
 }
 
-ORACLES["priority_rank_all"] = ORACLES["priority_rank"].removesuffix(" LIMIT 500")

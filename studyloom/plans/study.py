@@ -32,20 +32,15 @@ def week_view(spark, folder):
     return calendar.week_view(rows, now(), "Europe/Madrid").select("id", "section", "tier", "overdue", F.round("score", 9).alias("score"), "local_day")
 
 
-def exam_detection(spark, folder, sessions="o_orderkey % 3 <> 0"):
-    """Customers as courses, their orders (two thirds of them) as numbered sessions, urgent orders as confirmed exams."""
+def exam_detection(spark, folder):
+    """Customers as courses, their orders as numbered sessions, urgent orders as confirmed exams."""
     o = scan(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
-    events = o.where(sessions).select(F.col("o_custkey").alias("course_id"), F.col("o_orderkey").alias("uid"), F.col("o_orderdate").cast("timestamp").alias("starts_at"), (F.col("o_orderkey") % 12 + 1).cast("int").alias("session_from"), (F.col("o_orderkey") % 12 + 1 + F.col("o_orderkey") % 2).cast("int").alias("session_to"))
+    events = o.select(F.col("o_custkey").alias("course_id"), F.col("o_orderkey").alias("uid"), F.col("o_orderdate").cast("timestamp").alias("starts_at"), (F.col("o_orderkey") % 12 + 1).cast("int").alias("session_from"), (F.col("o_orderkey") % 12 + 1 + F.col("o_orderkey") % 2).cast("int").alias("session_to"))
     courses = scan(spark, folder, "customer", F.col("c_custkey").alias("course_id"), F.when(F.col("c_custkey") % 3 == 0, F.lit(10)).alias("total_sessions"))
     exams = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("course_id"), F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderstatus") == "F", "The final").otherwise("Part").alias("title"), F.lit("Written exam").alias("kind"), (F.col("o_orderkey") % 12 + 1).cast("int").alias("session_number"), (F.col("o_orderkey") % 2 == 0).alias("confirmed"))
     return calendar.detect_exams(events, courses, exams).select("course_id", "outcome", "source", "session", "uid")
 
 
-def exam_detection_all(spark, folder):
-    """All orders as sessions."""
-    return exam_detection(spark, folder, "true")
-
-
 def group_unassigned(spark, folder):
     p = scan(spark, folder, "part", "p_partkey", "p_name", "p_size")
     rows = p.select(F.concat(F.lit("  "), F.upper("p_name"), F.lit(" ")).alias("name"), F.col("p_partkey").alias("id"), F.timestamp_seconds(F.lit(866000000) + F.col("p_size") * 86400).alias("starts_at"))
@@ -69,32 +64,22 @@ def merge_loss(spark, folder):
     return topics.merge_loss(before, after, removals).groupBy("kind", "severity").agg(F.count("*").alias("n"), F.sum("subject").alias("subjects"))
 
 
-def signal_mapping(spark, folder, chosen="o_orderkey % 5 = 0"):
-    """Orders (a fifth of them) as signals: a customer is a topic that cites the pages of its own order dates' months."""
+def signal_mapping(spark, folder):
+    """Orders as signals: a customer is a topic that cites the pages of its own order dates' months."""
     o = scan(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
-    signals = o.where(chosen).select(F.col("o_orderkey").alias("signal_id"), (F.col("o_custkey") % 50).alias("document_id"), (F.col("o_orderkey") % 40).alias("page"), F.array(F.lower("o_orderpriority"), F.concat(F.lit("st"), "o_orderstatus"), F.concat(F.lit("w"), F.col("o_orderkey") % 60), F.lit("exam"), F.lit("unit")).alias("tokens"))
+    signals = o.select(F.col("o_orderkey").alias("signal_id"), (F.col("o_custkey") % 50).alias("document_id"), (F.col("o_orderkey") % 40).alias("page"), F.array(F.lower("o_orderpriority"), F.concat(F.lit("st"), "o_orderstatus"), F.concat(F.lit("w"), F.col("o_orderkey") % 60), F.lit("exam"), F.lit("unit")).alias("tokens"))
     tops = spark.range(0, 30).select(F.col("id").alias("topic_id"), F.col("id").alias("ord"), F.array(F.concat(F.lit("w"), F.col("id")), F.concat(F.lit("w"), F.col("id") + 30), F.lit("stF"), F.lit("topic")).alias("tokens"))
     sources = tops.select("topic_id", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("document_id")).where("(document_id + topic_id) % 7 = 0").select("topic_id", "document_id", (F.col("topic_id") % 20).alias("page"))
     return routing.map_signals(signals, tops, sources).select("signal_id", "topic_id", "method", F.round("score", 9).alias("score"))
 
 
-def signal_mapping_all(spark, folder):
-    """All orders as signals."""
-    return signal_mapping(spark, folder, "true")
-
-
-def reprocess_plan(spark, folder, chosen="o_orderkey % 2 = 0"):
+def reprocess_plan(spark, folder):
     o = scan(spark, folder, "orders", "o_orderkey", "o_custkey")
-    targets = o.where(chosen).select(F.col("o_orderkey").alias("target"), F.when(F.col("o_orderkey") % 10 != 0, F.col("o_custkey")).alias("topic_id"), (F.col("o_orderkey") % 6).alias("revision"))
+    targets = o.select(F.col("o_orderkey").alias("target"), F.when(F.col("o_orderkey") % 10 != 0, F.col("o_custkey")).alias("topic_id"), (F.col("o_orderkey") % 6).alias("revision"))
     prior = scan(spark, folder, "customer", F.col("c_custkey").alias("topic_id"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey") % 5).alias("snapshot_revision"), (F.col("c_custkey") % 3 == 0).alias("has_provenance")).where("topic_id % 7 <> 0")
     return routing.reprocess_plan(targets, prior)
 
 
-def reprocess_plan_all(spark, folder):
-    """All orders as targets."""
-    return reprocess_plan(spark, folder, "true")
-
-
 def attempts_outcome(spark, folder):
     """A user's events of a day as the attempts of one call."""
     ev = scan(spark, folder, "events", "event_id", "user_id", "event_type", F.to_date("ts").cast("string").alias("day"), "value")
@@ -171,7 +156,7 @@ def vector_codec(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        week_view, exam_detection, exam_detection_all, group_unassigned, course_match, merge_loss, signal_mapping, signal_mapping_all, reprocess_plan, reprocess_plan_all, attempts_outcome, document_outcome, insert_ignore_orders,
+        week_view, exam_detection, group_unassigned, course_match, merge_loss, signal_mapping, reprocess_plan, attempts_outcome, document_outcome, insert_ignore_orders,
         patch_with_locks, replace_partition, queue_flush, change_feed_view, text_functions, document_kinds, vector_codec,
     )
 }
@@ -180,13 +165,14 @@ ORACLES = {
     "week_view": f"""WITH r AS (SELECT o_orderkey AS id, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS atx, o_orderstatus, o_orderkey, TIMESTAMP '{NOW}' AS n,
  CASE WHEN o_orderkey % 9 = 0 THEN 'deadline' WHEN o_orderpriority = '1-URGENT' THEN 'deadline' WHEN o_orderpriority = '5-LOW' THEN 'class' ELSE 'event' END AS kind,
  CASE WHEN o_orderkey % 4 = 0 THEN floor(o_totalprice / 10000) END AS w FROM orders),
- s AS (SELECT *, kind = 'deadline' AND atx < n AND o_orderstatus <> 'F' AS overdue, (coalesce(w, CASE WHEN kind = 'deadline' THEN 5 ELSE 0 END)::DOUBLE + 1) / greatest((epoch_us(atx) - epoch_us(n))::DOUBLE / 86400000000.0::DOUBLE, 0.5::DOUBLE) AS score FROM r
+ s AS (SELECT *, kind = 'deadline' AND atx < n AND o_orderstatus <> 'F' AS overdue, coalesce(w, CASE WHEN kind = 'deadline' THEN 5 ELSE 0 END)::DOUBLE AS weight, (coalesce(w, CASE WHEN kind = 'deadline' THEN 5 ELSE 0 END)::DOUBLE + 1) / greatest((epoch_us(atx) - epoch_us(n))::DOUBLE / 86400000000.0::DOUBLE, 0.5::DOUBLE) AS score FROM r
  WHERE o_orderkey % 17 <> 0 AND NOT (o_orderkey % 5 = 0 AND o_orderkey % 48 >= 24) AND NOT (o_orderstatus = 'P' AND o_orderkey % 10 >= 7)),
- t AS (SELECT *, CASE WHEN overdue THEN 'overdue' WHEN kind = 'class' THEN 'info' WHEN score >= 15 THEN 'high' WHEN score >= 5 THEN 'medium' ELSE 'low' END AS tier FROM s),
+ t AS (SELECT *, CASE WHEN overdue THEN 'overdue' WHEN kind = 'class' THEN 'info' WHEN weight >= 15 THEN 'high' WHEN weight >= 5 THEN 'medium' ELSE 'low' END AS tier FROM s),
  u AS (SELECT *, TIMESTAMP '1997-06-15 22:00:00' AS a, TIMESTAMP '1997-06-22 22:00:00' AS b, TIMESTAMP '1997-07-06 22:00:00' AS c FROM t),
- v AS (SELECT *, CASE WHEN overdue THEN 'overdue' WHEN kind = 'class' AND atx >= a AND atx < b THEN 'class_days' WHEN kind <> 'class' AND atx >= a AND atx < b AND atx >= n THEN 'deadlines' WHEN atx >= b AND atx < c AND tier IN ('high', 'medium') THEN 'horizon' END AS section FROM u)
- SELECT id, section, tier, overdue, round(score, 9) AS score, CAST(timezone('Europe/Madrid', timezone('UTC', atx)) AS DATE) AS local_day FROM v WHERE section IS NOT NULL""",
-    "exam_detection": """WITH e AS (SELECT o_custkey AS c, o_orderkey AS uid, o_orderdate AS at, CAST(o_orderkey % 12 + 1 AS INTEGER) AS f, CAST(o_orderkey % 12 + 1 + o_orderkey % 2 AS INTEGER) AS t FROM orders WHERE o_orderkey % 3 <> 0),
+ v AS (SELECT *, CASE WHEN overdue THEN 'overdue' WHEN kind = 'class' AND atx >= a AND atx < b THEN 'class_days' WHEN kind <> 'class' AND atx >= a AND atx < b AND atx >= n THEN 'deadlines' WHEN atx >= b AND atx < c AND notable THEN 'horizon' END AS section FROM (SELECT *, kind <> 'class' AND tier IN ('high', 'medium') AND o_orderstatus <> 'F' AS notable FROM u)),
+ y AS (SELECT * REPLACE ('next_beyond_horizon' AS section) FROM v WHERE notable AND atx >= c AND NOT EXISTS (SELECT 1 FROM v WHERE section = 'horizon') ORDER BY atx, id LIMIT 1)
+ SELECT id, section, tier, overdue, round(score, 9) AS score, CAST(timezone('Europe/Madrid', timezone('UTC', atx)) AS DATE) AS local_day FROM (SELECT * FROM v WHERE section IS NOT NULL UNION ALL SELECT * FROM y)""",
+    "exam_detection": """WITH e AS (SELECT o_custkey AS c, o_orderkey AS uid, o_orderdate AS at, CAST(o_orderkey % 12 + 1 AS INTEGER) AS f, CAST(o_orderkey % 12 + 1 + o_orderkey % 2 AS INTEGER) AS t FROM orders),
  x AS (SELECT o_custkey AS c, arg_max(CAST(o_orderkey % 12 + 1 AS INTEGER), (o_orderstatus = 'F', o_orderkey % 12)) AS s FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0 GROUP BY 1),
  m AS (SELECT c, max(t) AS m FROM e GROUP BY 1),
  k AS (SELECT c_custkey AS c, CASE WHEN c_custkey % 3 = 0 THEN 'syllabus_total_sessions' WHEN x.s IS NOT NULL THEN 'assessment_session_number' WHEN m.m IS NOT NULL THEN 'feed_max_session' END AS source, CASE WHEN c_custkey % 3 = 0 THEN 10 ELSE coalesce(x.s, m.m) END AS session FROM customer LEFT JOIN x ON x.c = c_custkey LEFT JOIN m ON m.c = c_custkey),
@@ -197,15 +183,15 @@ ORACLES = {
  a AS (SELECT id, ord, course_id, CASE WHEN p_size = 7 AND course_id = 3 THEN 1 WHEN regexp_matches(t, '(?i)(^|[^a-z0-9])' || code || '($|[^a-z0-9])') THEN 3 WHEN lower(t) = lower(title) THEN 4 WHEN contains(lower(t), lower(title)) OR contains(lower(title), lower(t)) THEN 5 END AS step FROM i, c
  UNION ALL SELECT id, ord, course_id, 2 FROM i, m WHERE contains(lower(t), pattern))
  SELECT id, arg_min(course_id, (step, ord, course_id)) AS course_id, min(step) AS step FROM a WHERE step IS NOT NULL GROUP BY id""",
-    "merge_loss": """WITH b AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0), a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE 'x' END AS t FROM orders WHERE o_orderkey % 3 <> 0), r AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 9 = 0),
+    "merge_loss": """WITH b AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0), a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE 'x' END AS t FROM orders), r AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 9 = 0),
  f AS (SELECT 'undeclared-removal' AS kind, 'red' AS severity, k FROM b WHERE k NOT IN (SELECT k FROM a) AND k NOT IN (SELECT k FROM r) UNION ALL SELECT 'emptied-block', 'red', k FROM b JOIN a USING (k) WHERE t = '' UNION ALL SELECT 'phantom-removal', 'amber', k FROM r WHERE k NOT IN (SELECT k FROM b))
  SELECT kind, severity, count(*) AS n, CAST(sum(k) AS BIGINT) AS subjects FROM f GROUP BY ALL""",
-    "signal_mapping": """WITH s AS (SELECT o_orderkey AS id, o_custkey % 50 AS d, o_orderkey % 40 AS page, o_orderkey % 60 AS w, o_orderstatus = 'F' AS f FROM orders WHERE o_orderkey % 5 = 0), t AS (SELECT range AS topic FROM range(30)),
+    "signal_mapping": """WITH s AS (SELECT o_orderkey AS id, o_custkey % 50 AS d, o_orderkey % 40 AS page, o_orderkey % 60 AS w, o_orderstatus = 'F' AS f FROM orders), t AS (SELECT range AS topic FROM range(30)),
  x AS (SELECT id, topic, ((CASE WHEN w = topic OR w = topic + 30 THEN 1 ELSE 0 END) + (CASE WHEN f THEN 1 ELSE 0 END))::DOUBLE / 5.0::DOUBLE AS score, (d + topic) % 7 = 0 AND page = topic % 20 AS on_page FROM s, t),
  p AS (SELECT id, count(*) AS n, arg_max(topic, (score, -topic)) AS topic, max(score) AS score FROM x WHERE on_page GROUP BY id), q AS (SELECT id, arg_max(topic, (score, -topic)) AS topic, max(score) AS score FROM x WHERE score > 0 GROUP BY id)
  SELECT s.id AS signal_id, CASE WHEN p.id IS NOT NULL THEN p.topic WHEN q.score >= 0.18 THEN q.topic END AS topic_id, CASE WHEN p.id IS NOT NULL THEN 'page' WHEN q.score >= 0.18 THEN 'fuzzy' ELSE 'unmapped' END AS method,
  round(CASE WHEN p.n = 1 THEN 1.0::DOUBLE WHEN p.n > 1 THEN p.score ELSE coalesce(q.score, 0) END, 9) AS score FROM s LEFT JOIN p ON p.id = s.id LEFT JOIN q ON q.id = s.id""",
-    "reprocess_plan": """WITH t AS (SELECT o_orderkey AS target, CASE WHEN o_orderkey % 10 <> 0 THEN o_custkey END AS topic_id, o_orderkey % 6 AS revision FROM orders WHERE o_orderkey % 2 = 0), p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 5 END AS snap, c_custkey % 3 = 0 AS prov FROM customer WHERE c_custkey % 7 <> 0),
+    "reprocess_plan": """WITH t AS (SELECT o_orderkey AS target, CASE WHEN o_orderkey % 10 <> 0 THEN o_custkey END AS topic_id, o_orderkey % 6 AS revision FROM orders), p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 5 END AS snap, c_custkey % 3 = 0 AS prov FROM customer WHERE c_custkey % 7 <> 0),
  s AS (SELECT t.*, snap, id IS NOT NULL AND CASE WHEN snap IS NULL THEN prov ELSE revision > snap END AS skip FROM t LEFT JOIN p ON id = topic_id)
  SELECT target, topic_id, revision, CASE WHEN skip THEN 'skip' ELSE 'merge' END AS work, CASE WHEN skip THEN coalesce(snap + 1, revision) END AS merged_at_revision FROM s""",
     "attempts_outcome": """WITH a AS (SELECT user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS call_id, event_id, event_type <> 'error' AS ok, CASE WHEN value > 50 THEN 'large' ELSE 'small' END AS model FROM events), l AS (SELECT call_id, count(*) AS attempts, arg_max(ok, event_id) AS ok, arg_max(model, event_id) AS m, arg_min(model, event_id) AS f FROM a GROUP BY 1)
@@ -229,7 +215,3 @@ ORACLES = {
  CASE WHEN p_size * 10 IN (401, 403, 410) THEN 'unauthorized' WHEN p_size * 10 BETWEEN 200 AND 299 THEN 'ok' ELSE 'retryable' END AS fetch FROM x""",
     "vector_codec": "SELECT event_id, event_id % 3 = 0 AS valid, CASE WHEN event_id % 3 = 0 THEN value END AS first FROM events",
 }
-
-ORACLES["exam_detection_all"] = ORACLES["exam_detection"].replace("FROM orders WHERE o_orderkey % 3 <> 0)", "FROM orders)")
-ORACLES["signal_mapping_all"] = ORACLES["signal_mapping"].replace(" WHERE o_orderkey % 5 = 0", "")
-ORACLES["reprocess_plan_all"] = ORACLES["reprocess_plan"].replace(" FROM orders WHERE o_orderkey % 2 = 0", " FROM orders")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,8 +26,9 @@ def page_ranges(spark, folder):
 
 
 def lines_of(spark, folder):
-    d = scan(spark, folder, "documents", "doc_id", "text").where("text IS NOT NULL")
-    return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("doc_id", (F.col("i") + 1).cast("int").alias("page"), "line")
+    """The lines of every text as pages; a null text is an empty line."""
+    d = scan(spark, folder, "documents", "doc_id", "text")
+    return d.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line")).select("doc_id", (F.col("i") + 1).cast("int").alias("page"), "line")
 
 
 def segment_runs(spark, folder):
@@ -69,32 +72,20 @@ def token_estimate(spark, folder):
 
 def chunk_document(spark, folder):
     """Every document's lines as pages, merged and split into chunks; the chunk's hash stands for its content."""
-    pages = lines_of(spark, folder).select("doc_id", "page", F.lit("").alias("title"), F.col("line").alias("markdown"))
-    return D.chunk_documents(pages).select("doc_id", "page", "to_page", "part", "token_count", F.sha2("content", 256).alias("content_hash"))
+    return D.chunk_texts(scan(spark, folder, "documents", "doc_id", "text")).select("doc_id", "page", "to_page", "part", "token_count", F.sha2("content", 256).alias("content_hash"))
 
 
-def nearest_items(spark, folder, d):
-    """The documents' nearest benchmark item by shared words, 0.18 at least: an inverted list of the items' words finds the
+def fuzzy_map(spark, folder):
+    """Every document's nearest benchmark item by shared words, 0.18 at least: an inverted list of the items' words finds the
     pairs, so texts that share nothing never meet."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: F.length(w) >= 3))
-    items = scan(spark, folder, "benchmark", "item_id", words("text").alias("w")).select("item_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    docs = d.select("doc_id", F.explode(words("text")).alias("word"))
+    items = scan(spark, folder, "benchmark", "item_id", T.token_set(F.col("text")).alias("w")).select("item_id", F.size("w").alias("n"), F.explode("w").alias("word"))
+    docs = scan(spark, folder, "documents", "doc_id", "text").select("doc_id", F.explode(T.token_set(F.col("text"))).alias("word"))
     shared = docs.join(items, "word").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("shared"))
     scored = shared.withColumn("score", F.col("shared") / F.col("n")).where("score >= 0.18")
     best = relational.top_per(scored, ["doc_id"], [F.desc("score"), F.col("item_id")], 1)
     return best.select("doc_id", "item_id", F.round("score", 9).alias("score"))
 
 
-def fuzzy_map(spark, folder):
-    """English documents only; fuzzy_map_all maps every language."""
-    return nearest_items(spark, folder, scan(spark, folder, "documents", "doc_id", "text", "lang").where("lang = 'en'"))
-
-
-def fuzzy_map_all(spark, folder):
-    """Documents of every language, and of none."""
-    return nearest_items(spark, folder, scan(spark, folder, "documents", "doc_id", "text"))
-
-
 #: Dollars a million tokens in and out by role, for the price query.
 RATES = {"user": (0.8, 4.0), "assistant": (3.0, 15.0), "system": (15.0, 75.0)}
 
@@ -109,13 +100,13 @@ def price_tokens(spark, folder):
 
 def chunks_of(spark, folder):
     e = scan(spark, folder, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("course_id"), "embedding")
+    return e.select(F.col("vec_id").alias("id"), F.lit("u1").alias("user_id"), F.col("label").cast("string").alias("course_id"), "embedding")
 
 
 def match_chunks(spark, folder):
     """The 10 nearest chunks of course 3 to a fixed query vector."""
     query = [((i * 37) % 11 - 5) / 5 for i in range(64)]
-    return vectors.match_chunks(chunks_of(spark, folder), query, 10, course_id="3").select("id", F.round(F.col("similarity").cast("double"), 4).alias("similarity"))
+    return vectors.match_chunks(chunks_of(spark, folder), query, 10, user="u1", course_id="3").select("id", F.round(F.col("similarity").cast("double"), 4).alias("similarity"))
 
 
 def topk_similar(spark, folder):
@@ -128,11 +119,11 @@ def topk_similar(spark, folder):
 
 
 def duplicate_guard(spark, folder):
-    """Proposals (ids divisible by 100) against all other vectors of their label."""
+    """Proposals (ids divisible by 100) against all other vectors of their label, at the guard's own threshold."""
     e = scan(spark, folder, "embeddings", "vec_id", "label", "embedding")
     left = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("lid"), F.concat(F.lit("Topic "), F.col("vec_id") % 300).alias("title"), "label", F.col("embedding").alias("lvec"))
-    right = e.where("vec_id % 100 <> 0").select(F.col("vec_id").alias("rid"), "label", F.col("embedding").alias("rvec"))
-    return vectors.guard_duplicates(left, right, "label", 0.3).select("lid", "decision", "rid")
+    right = e.select(F.col("vec_id").alias("rid"), "label", F.col("embedding").alias("rvec"))
+    return vectors.guard_duplicates(left, right, "label").select("lid", "decision", "rid")
 
 
 def coalesce_singletons(spark, folder):
@@ -172,15 +163,23 @@ QUERIES = {
     f.__name__: f
     for f in (
         newest_turn_per_conv, page_ranges, segment_runs, coverage_map, coverage_gaps, hash_normalise, chunk_identity, token_estimate, chunk_document,
-        fuzzy_map, fuzzy_map_all, price_tokens, match_chunks, topk_similar, duplicate_guard, coalesce_singletons, provenance, tail_turns, summary_normalise,
+        fuzzy_map, price_tokens, match_chunks, topk_similar, duplicate_guard, coalesce_singletons, provenance, tail_turns, summary_normalise,
     )
 }
 
-LINES = "SELECT doc_id, CAST(generate_subscripts(l, 1) AS INTEGER) AS page, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)"
-NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+LINES = "SELECT doc_id, CAST(generate_subscripts(l, 1) AS INTEGER) AS page, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)"
+EDGE = r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+NORMAL = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n', chr(10), 'g'), '[ \t]+([\n\r\x{{2028}}\x{{2029}}]|$)', '\1', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^{EDGE}|{EDGE}$', '', 'g')"
 COSINE = "list_cosine_similarity(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
 QUERY = "[" + ", ".join(str(((i * 37) % 11 - 5) / 5) for i in range(64)) + "]"
 
+#: As NFKD does to Latin letters with a mark: the letter, then a character that is none.
+_marked = [c for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFKD", c)) == 2 and d[0].isascii() and unicodedata.combining(d[1]) and c == c.lower()]
+_apart = "lower(text)"
+for _c in _marked:
+    _apart = f"replace({_apart}, '{_c}', '{unicodedata.normalize('NFKD', _c)[0]} ')"
+TOKENS = f"list_distinct(list_filter(string_split_regex({_apart}, '[^a-z0-9]+'), lambda w: length(w) >= 3))"
+
 ORACLES = {
     "newest_turn_per_conv": "SELECT conv_id, max(turn) AS turn, arg_max(role, (turn, role)) AS role FROM conversations GROUP BY conv_id",
     "page_ranges": """SELECT conv_id, min(turn) AS first, max(turn) AS last, count(*) AS n FROM (SELECT *, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'user')) GROUP BY conv_id, g""",
@@ -198,9 +197,9 @@ ORACLES = {
  SELECT doc_id, kind, min(page) AS first, max(page) AS last, count(*) AS n FROM g GROUP BY doc_id, kind, g""",
     "hash_normalise": f"SELECT doc_id, sha256({NORMAL}) AS hash FROM documents",
     "chunk_identity": f"SELECT doc_id, sha256('page:' || doc_id || chr(10) || {NORMAL}) AS chunk_hash FROM documents",
-    "token_estimate": r"SELECT doc_id, CAST(greatest(1, ceil(length(regexp_replace(coalesce(text, ''), '^[\s\x{85}\x{A0}]+|[\s\x{85}\x{A0}]+$', '', 'g'))::DOUBLE / 4)) AS INTEGER) AS tokens FROM documents",
-    "fuzzy_map": """WITH i AS (SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 3))) AS word FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1),
- d AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 3))) AS word FROM documents WHERE lang = 'en'),
+    "token_estimate": rf"SELECT doc_id, CAST(greatest(1, ceil((length(t) + len(regexp_extract_all(t, '[\x{{10000}}-\x{{10FFFF}}]')))::DOUBLE / 4)) AS INTEGER) AS tokens FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^{EDGE}|{EDGE}$', '', 'g') AS t FROM documents)",
+    "fuzzy_map": f"""WITH i AS (SELECT item_id, unnest({TOKENS}) AS word FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1),
+ d AS (SELECT doc_id, unnest({TOKENS}) AS word FROM documents),
  s AS (SELECT doc_id, item_id, count(*)::DOUBLE / any_value(n)::DOUBLE AS score FROM d JOIN i USING (word) JOIN n USING (item_id) GROUP BY doc_id, item_id)
  SELECT doc_id, item_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS r FROM s WHERE score >= 0.18) WHERE r = 1""",
     "price_tokens": """WITH r(role, a, b) AS (VALUES ('user', 0.8::DOUBLE, 4.0::DOUBLE), ('assistant', 3.0::DOUBLE, 15.0::DOUBLE), ('system', 15.0::DOUBLE, 75.0::DOUBLE)), c AS (SELECT role, a, b, ceil(length(text)::DOUBLE / 4) AS t FROM conversations JOIN r USING (role))
@@ -208,7 +207,7 @@ ORACLES = {
     "match_chunks": f"SELECT vec_id AS id, round({COSINE.format('embedding', QUERY)}, 4) AS similarity FROM embeddings WHERE label = 3 AND embedding IS NOT NULL ORDER BY {COSINE.format('embedding', QUERY)} DESC, vec_id LIMIT 10",
     "topk_similar": f"""SELECT lid, rid, rank FROM (SELECT a.vec_id AS lid, b.vec_id AS rid, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE.format('a.embedding', 'b.embedding')} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) WHERE rank <= 3""",
     "duplicate_guard": f"""WITH l AS (SELECT *, 'Topic ' || vec_id % 300 AS title, min(vec_id) OVER (PARTITION BY label, vec_id % 300) AS first_id FROM embeddings WHERE vec_id % 100 = 0),
- s AS (SELECT l.vec_id AS lid, r.vec_id AS rid, row_number() OVER (PARTITION BY l.vec_id ORDER BY {COSINE.format('l.embedding', 'r.embedding')} DESC, r.vec_id) AS k FROM l JOIN embeddings r ON l.label = r.label AND r.vec_id % 100 <> 0 WHERE {COSINE.format('l.embedding', 'r.embedding')} >= 0.3)
+ s AS (SELECT l.vec_id AS lid, r.vec_id AS rid, row_number() OVER (PARTITION BY l.vec_id ORDER BY {COSINE.format('l.embedding', 'r.embedding')} DESC, r.vec_id) AS k FROM l JOIN embeddings r ON l.label = r.label AND l.vec_id <> r.vec_id WHERE {COSINE.format('l.embedding', 'r.embedding')} >= 0.85)
  SELECT l.vec_id AS lid, CASE WHEN rid IS NOT NULL THEN 'existing' WHEN l.vec_id <> first_id THEN 'merged' ELSE 'create' END AS decision, rid FROM l LEFT JOIN s ON s.lid = l.vec_id AND k = 1""",
     "coalesce_singletons": """WITH p AS (SELECT conv_id AS deck_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS position, role AS proposal FROM conversations), s AS (SELECT *, count(*) OVER (PARTITION BY deck_id, proposal) AS n FROM p),
  w AS (SELECT *, max(CASE WHEN n >= 2 THEN position END) OVER (PARTITION BY deck_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, min(CASE WHEN n >= 2 THEN position END) OVER (PARTITION BY deck_id ORDER BY position ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM s),
@@ -219,5 +218,3 @@ ORACLES = {
  SELECT CASE WHEN n = 0 THEN 'absent' WHEN good = 0 THEN 'broken' WHEN places >= 2 THEN 'corroborated' ELSE 'single' END AS strength, count(*) AS n, CAST(sum(n) AS BIGINT) AS citations FROM b GROUP BY 1""",
     "tail_turns": "SELECT * FROM (SELECT conv_id * 1000 + turn AS k, role FROM conversations WHERE role = 'user' ORDER BY 1 DESC LIMIT 40) ORDER BY k",
 }
-
-ORACLES["fuzzy_map_all"] = ORACLES["fuzzy_map"].replace(" WHERE lang = 'en'", "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,18 @@ def scan(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFram
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors see; a temporary one only where the session names none (tests)."""
+    """A fresh path in the folder that all executors see. Where the session names none, a local session (tests) gets a temporary
+    one, any other an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="studyloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more; one that isn't there is no error."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 from pyspark.sql.window import Window
 
+from ..sources.tables import remove_folder
+
 CHANGE = "seq long, at timestamp, op string, id string, course_id string, body string"
 
 
@@ -35,19 +37,72 @@ def apply_changes(view: DataFrame, changes: DataFrame) -> DataFrame:
     return view.join(last.select("id"), "id", "left_anti").unionByName(fresh)
 
 
-def keep_view(changes: DataFrame, folder: str, checkpoint: str):
-    """Writer of the latest view: version n of `folder` from version n - 1 and micro-batch n; a repeated batch rewrites the
-    same version, so it is idempotent."""
+VIEW = "id string, course_id string, body string, seq long, b int, v long"
+
+
+def read_view(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The view that keep_view wrote: of each bucket its last version (before batch `before`, where given)."""
+    rows = spark.read.schema(VIEW).parquet(folder)
+    rows = rows if before is None else rows.where(F.col("v") < before)
+    last = rows.groupBy("b").agg(F.max("v").alias("v"))  # a row a bucket
+    return rows.join(F.broadcast(last), ["b", "v"]).where("id IS NOT NULL").select("id", "course_id", "body", "seq")
+
+
+def keep_view(changes: DataFrame, folder: str, checkpoint: str, buckets: int = 64):
+    """Writer of the latest view in `buckets` buckets of ids: a micro-batch rewrites the buckets that it changes, as version n
+    from those before it, so that a repeated batch writes the same. A bucket keeps its last two versions."""
+    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         columns = ["id", "course_id", "body", "seq"]
-        before = spark.read.parquet(f"{folder}/v={n - 1}") if n else batch.select(*columns).limit(0)
-        apply_changes(before.select(*columns), batch).write.mode("overwrite").parquet(f"{folder}/v={n}")
+        batch.persist()
+        touched = batch.select(bucket.alias("b")).distinct()
+        # A row without id keeps an emptied bucket's version; the schema is given, as there may be no file yet.
+        blank = touched.select(*(F.lit(None).cast("long" if c == "seq" else "string").alias(c) for c in columns), "b")
+        if n == 0:
+            before = batch.select(*columns).limit(0)
+        else:
+            ours = touched.select(F.col("b").alias("_b"))
+            before = read_view(spark, folder, n).join(F.broadcast(ours), bucket == F.col("_b"), "left_semi")
+        after = apply_changes(before, batch).withColumn("b", bucket).unionByName(blank).withColumn("v", F.lit(n).cast("long"))
+        after.repartition("b").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("b", "v").parquet(folder)
+        batch.unpersist()
+        versions = spark.read.schema(VIEW).parquet(folder).groupBy("b").agg(F.array_sort(F.collect_set("v")).alias("v")).where(F.size("v") > 2)
+        for row in versions.collect():  # a row a bucket at most
+            for v in row.v[:-2]:
+                remove_folder(spark, f"{folder}/b={row.b}/v={v}")
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def backfill(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
+    """What a late subscriber sees, as a batch: the snapshot's rows as changes (UPDATE, at their own seq) and the feed's, each (id,
+    seq) once, so that a change which both hold counts once."""
+    rows = snapshot.select(F.col("seq"), F.lit("UPDATE").alias("op"), "id", "body").unionByName(changes.select("seq", "op", "id", "body"))
+    return rows.dropDuplicates(["id", "seq"])
+
+
+def split_failures(results: DataFrame, attempts: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(done, again, dead) of a batch or stream of results (id, attempt, error, retriable): failures go back with an attempt
+    more until `attempts` are used up; those not worth a retry are dead letters at once."""
+    failed, last = F.col("error").isNotNull(), ~F.col("retriable") | (F.col("attempt") >= attempts)
+    again = results.where(failed & ~last).withColumn("attempt", F.col("attempt") + 1)
+    return results.where(~failed), again, results.where(failed & last)
+
+
+def keep_failures(results: DataFrame, done: str, again: str, dead: str, checkpoint: str, attempts: int = 3):
+    """Writer of a stream of results into three tables, a folder a micro-batch, so that a repeated batch rewrites its own."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.persist()
+        for part, folder in zip(split_failures(batch, attempts), (done, again, dead)):
+            part.write.mode("overwrite").parquet(f"{folder}/batch={n}")
+        batch.unpersist()
+
+    return results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 def tumbling(events: DataFrame, width: str, late: str) -> DataFrame:
     """Counts and sums by event-time window and type, complete once the watermark has passed."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
@@ -57,6 +112,7 @@ def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SIGHT = StructType([StructField("id", StringType()), StructField("action", StringType()), StructField("at", TimestampType())])
 
 
@@ -75,7 +131,7 @@ class Disappearance(StatefulProcessor):
         self.state.update((seen.to_pydatetime(), phase))
         self.handle.registerTimer(int(seen.timestamp() * 1000) + after_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seen = max(r["at"].max() for r in rows)
         before = self.state.get() if self.state.exists() else None
         last = pd.Timestamp(before[0]) if before else None
@@ -84,9 +140,9 @@ class Disappearance(StatefulProcessor):
         if before and before[1] == "hidden" and seen > last:
             yield pd.DataFrame({"id": [key[0]], "action": ["resurrect"], "at": [seen]})
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         seen, phase = self.state.get()
-        at = pd.Timestamp(expired_timer_info.get_expiry_time_in_ms(), unit="ms")
+        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
         if phase == "seen":
             self._set(pd.Timestamp(seen), "hidden", self.DELETE_MS)
             yield pd.DataFrame({"id": [key[0]], "action": ["hide"], "at": [at]})
