@@ -75,9 +75,11 @@ def strength(rate_mean: Column, rate_var: Column, mean_noise: Column) -> Column:
 def hierarchical_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5) -> DataFrame:
     """(doc_id, text, host and path columns) -> one row per input row: doc_id, evidence, host_rate, path_rate, score, kept.
 
-    evidence is the classifier's probability of good quality (0.5 for all without labels of both classes). A null host
-    or path is a group of its own; a document alone in its path gets its host's rate, alone in its host the global one.
-    An empty table gives an empty result; labels are used for the fit alone.
+    evidence is the classifier's probability of good quality (0.5 for all without labels of both classes), of the whole text,
+    however long; a null or empty text has the evidence of one without words. A null host or path is a group of its own; a
+    document alone in its path gets its host's rate, alone in its host the global one. A repeated row is a further document
+    of its group; rows that tie have equal scores. An empty table gives an empty result; labels are used for the fit alone;
+    other columns are not read, and none is returned, so no name clashes.
     """
     fit = fit_evidence(docs, labels)
     features = evidence_features(F.col("text"))

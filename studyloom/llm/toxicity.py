@@ -1,10 +1,11 @@
 """Toxicity by compression distance to two zstandard dictionaries.
 
 A text's windows are compressed with a dictionary of toxic and with one of ordinary text; a window that the toxic
-dictionary shortens more speaks for toxicity. Both dictionaries end in the same dictionary trained on ordinary text, so
-that common prose compresses alike; before it stand, in the one, the fragments that recur in toxic texts far above their
-rate in ordinary ones, in the other as many bytes of ordinary words. Savings are turned into a score by a logistic
-fit on labelled texts that neither dictionary has seen, its threshold moved to 0.5.
+dictionary shortens more speaks for toxicity. The toxic dictionary is trained on narrow windows of toxic texts, those around
+words with a fragment that recurs in toxic texts far above its rate in ordinary ones, as most of a toxic text is ordinary
+prose; the ordinary one on as narrow windows of ordinary texts. Behind both stands the same dictionary trained on wider
+ordinary windows, so that common prose compresses alike. Savings are turned into a score by a logistic fit on labelled texts
+that no dictionary has seen, its threshold moved to 0.5.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, few_texts, materialize, table
 
-#: Words a window, bytes of the shared dictionary and of the fragments, zstandard level.
-WINDOW, SHARED, FRAGMENTS, LEVEL = 12, 32_768, 2_048, 4
+#: Words of a window that is scored, bytes of the shared and of the trained narrow dictionaries and of the fragments, level.
+WINDOW, SHARED, NARROW, FRAGMENTS, LEVEL = 12, 32_768, 2_048, 2_048, 4
+#: Words on either side in a narrow window, words of a window for the shared dictionary, windows that a dictionary is trained on
+#: at most (those of the smallest hash: a bound on the model's sample), and the trainer's segment and match sizes.
+AROUND, WIDE, WINDOWS, SEGMENT, MATCH = 1, 8, 60_000, 16, 8
 #: Labelled texts a class that the fit uses at most (a bound on the model's sample, not on what is scored), and the
 #: share of a fragment's texts and its rate that mark it: z score and log ratio.
 SAMPLE, LEAST_Z, LEAST_RATIO, GRAMS = 4_000, 4.0, 1.5, (4, 5, 6, 7, 8)
@@ -70,19 +74,22 @@ class Dictionaries:
 
 
 def fragment_counts(labelled: DataFrame) -> DataFrame:
-    """(text, toxic) -> per class and fragment of words: texts that hold it, and its count, at most 6 a text."""
+    """(text, toxic) -> fragment, and by class the texts that hold it and its count (t, tn of toxic, o, on of ordinary texts); under
+    the empty fragment all texts and all words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, times = (Counter(), Counter()), (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 mine: Counter = Counter()
-                for w, n in Counter(words_of(text)).items():
+                words = Counter(words_of(text))
+                mine[b""] = sum(words.values())
+                for w, n in words.items():
                     spaced = b" " + w + b" "
                     for g in {spaced[i : i + k] for k in GRAMS for i in range(len(spaced) - k + 1)}:
                         mine[g] += n
                 held[toxic].update(mine.keys())
-                times[toxic].update({g: min(n, 6) for g, n in mine.items()})
+                times[toxic].update(mine)
         for toxic in (0, 1):
             keys = list(held[toxic])
             for k in range(0, len(keys), 50_000):
@@ -96,13 +103,14 @@ def fragment_counts(labelled: DataFrame) -> DataFrame:
 
 def toxic_fragments(labelled: DataFrame, room: int = FRAGMENTS) -> list[bytes]:
     """The fragments of toxic texts of the highest excess, best first, about `room` bytes of them."""
-    sizes = {r.toxic: (r.docs, r.words) for r in labelled.groupBy("toxic").agg(F.count("*").alias("docs"), F.sum(F.least(F.size(F.split("text", r"\s+")), F.lit(2000))).alias("words")).collect()}
-    (nt, wt), (no, wo) = sizes[1], sizes[0]
+    counts = materialize(fragment_counts(labelled), "fragments")
+    all_ = counts.where("gram = X''").first()
+    nt, no, wt, wo = all_.t, all_.o, max(all_.tn, 1), max(all_.on, 1)
     p, q = F.col("t") / nt, (F.col("o") + 0.5) / no
     mean = (p + q) / 2
     ratio = F.log(((F.col("tn") + 0.5) / wt) / ((F.col("on") + 0.5) / wo))
     z = (p - q) / F.sqrt(mean * (1 - mean) * (1 / nt + 1 / no) + 1e-12)
-    strong = fragment_counts(labelled).where("t >= 5").select("gram", ratio.alias("r"), z.alias("z")).where((F.col("r") >= LEAST_RATIO) & (F.col("z") >= LEAST_Z))
+    strong = counts.where("t >= 5 AND gram <> X''").select("gram", ratio.alias("r"), z.alias("z")).where((F.col("r") >= LEAST_RATIO) & (F.col("z") >= LEAST_Z))
     rows = strong.select("gram", (F.col("z") * F.col("r")).alias("s")).orderBy(F.desc("s"), "gram").limit(2 * room).collect()
     chosen: list[bytes] = []
     for gram in (bytes(r.gram) for r in sorted(rows, key=lambda r: (-r.s, -len(r.gram), bytes(r.gram)))):
@@ -111,19 +119,38 @@ def toxic_fragments(labelled: DataFrame, room: int = FRAGMENTS) -> list[bytes]:
     return chosen
 
 
-def build_dictionaries(labelled: DataFrame, room: int = FRAGMENTS, shared: int = SHARED) -> Dictionaries:
-    fragments = toxic_fragments(labelled, room)
-    texts = [r.text for r in labelled.where("toxic = 0").orderBy(F.xxhash64("text")).limit(2_000).collect()]
-    windows = [w for t in texts for w in windows_of(words_of(t), 8)]
-    words = sorted({w for t in texts for w in words_of(t)})
+def training_windows(texts: DataFrame, size: int, fragments: list[bytes] | None = None, most: int = WINDOWS) -> list[bytes]:
+    """At most `most` windows of the texts, those of the smallest hash: `size` words each, one after another, or, where fragments
+    are given, around each word that holds one."""
+    holds = re.compile(b"|".join(map(re.escape, sorted(fragments)))).search if fragments else None
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text"):
+                words = words_of(text.as_py())
+                at = [i for i, w in enumerate(words) if holds(b" " + w + b" ")] if holds else []
+                found = [b" " + b" ".join(words[max(0, i - AROUND) : i + AROUND + 1]) + b" " for i in at] if holds else windows_of(words, size)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["window"])
+
+    rows = few_texts(texts.select("text")).mapInArrow(cut, "window binary")
+    return [bytes(r.window) for r in rows.orderBy(F.xxhash64("window"), "window").limit(most).collect()]
+
+
+def trained(size: int, windows: list[bytes], **shape: int) -> bytes:
     try:
-        base = zstandard.train_dictionary(shared, windows).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        base = b"".join(windows)[-shared:]
-    front = b"".join(reversed(fragments))
-    filler = b" ".join(words[:: max(1, len(words) // 1_000)])
-    filler = (filler * (len(front) // max(1, len(filler)) + 1))[: len(front)] if filler else b" " * len(front)
-    return Dictionaries(front + base, filler + base)
+        return zstandard.train_dictionary(size, windows, **shape).as_bytes()
+    except zstandard.ZstdError:  # too little text to train on: the windows themselves
+        return b"".join(windows)[-size:]
+
+
+def build_dictionaries(labelled: DataFrame, room: int = FRAGMENTS, shared: int = SHARED, narrow: int = NARROW) -> Dictionaries:
+    toxic, ordinary = labelled.where("toxic = 1"), labelled.where("toxic = 0")
+    fragments = toxic_fragments(labelled, room)
+    base = trained(shared, training_windows(ordinary, WIDE))
+    shape = {"k": SEGMENT, "d": MATCH}
+    marked = trained(narrow, training_windows(toxic, 2 * AROUND + 1, fragments), **shape) if fragments else b""
+    plain = trained(narrow, training_windows(ordinary, 2 * AROUND + 1), **shape)
+    return Dictionaries(marked + base, plain + base)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -167,7 +194,9 @@ class ToxicityModel:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel | None:
     """Fit on at most about `sample` labelled texts of each class, those of the smallest hash of their id, whose fold is not
-    0; fold 1 calibrates. None where a class is missing. A doc_id with several labels is toxic if one says so."""
+    0; fold 1 calibrates. None where a class is missing, as in empty tables. A doc_id with several labels is toxic if one says
+    so; a row that is repeated is fitted as often; a null text is empty. Of labels doc_id and toxic are read, of docs doc_id and
+    text."""
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(fold(F.col("doc_id")) != 0)
     sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -200,7 +229,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     """(doc_id, text, ...) -> one row per input row: doc_id, held_out, score, predicted. Only the text is scored.
 
-    A null text is empty; an empty text scores as one without savings. Without a model all scores are 0.
+    A null text is empty; an empty text scores as one without savings; a very long one is compressed whole, window by window.
+    Repeated rows, and texts that tie, have equal scores. Without a model all scores are 0. An empty table gives an empty
+    result; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if model is None:

@@ -493,6 +493,62 @@ def test_empirical_bayes(spark, docs, empty):
     assert empirical_bayes.hierarchical_quality(empty, labels).count() == 0
 
 
+def test_empirical_bayes_against_plain_formulas(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(400):
+        host = r.choice(["big"] * 6 + [f"h{r.randrange(20)}", None])
+        bad = r.random() < {"big": 0.2}.get(host, 0.5)
+        rows.append((i, "###ab ### " * 20 + prose(i, 10) if bad else prose(i, 30 + i % 50), host, r.choice(["en", "de", None])))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(5)
+    labels = spark.createDataFrame([(i, int("###" not in t)) for i, t, *_ in rows if i % 4], "doc_id long, quality int")
+    got = {x.doc_id: x for x in empirical_bayes.hierarchical_quality(df, labels).collect()}
+    e = {i: got[i].evidence for i, *_ in rows}
+
+    def pooled(key):
+        of = collections.defaultdict(list)
+        for i, _, h, p in rows:
+            of[key(h, p)].append(e[i])
+        return of
+
+    def prior(groups_):
+        rate = np.array([np.mean(v) for v in groups_.values()])
+        n = np.array([len(v) for v in groups_.values()])
+        mean, noise = np.mean(rate), np.mean(rate * (1 - rate) / n)
+        spread = max((np.var(rate, ddof=1) if len(rate) > 1 else 0) - noise, 1e-6)
+        return sum(map(sum, groups_.values())) / n.sum(), min(max(mean * (1 - mean) / spread - 1, 2.0), 1000.0)
+
+    hosts, paths = pooled(lambda h, p: h), pooled(lambda h, p: (h, p))
+    (mean, host_k), (_, path_k) = prior(hosts), prior(paths)
+    logit = lambda x: math.log(min(max(x, 1e-4), 1 - 1e-4) / (1 - min(max(x, 1e-4), 1 - 1e-4)))
+    for i, _, h, p in rows:
+        host = (sum(hosts[h]) - e[i] + host_k * mean) / (len(hosts[h]) - 1 + host_k)
+        path = (sum(paths[h, p]) - e[i] + path_k * host) / (len(paths[h, p]) - 1 + path_k)
+        score = 1 / (1 + math.exp(-(logit(e[i]) + logit(path) - logit(mean))))
+        assert abs(got[i].host_rate - host) < 1e-9 and abs(got[i].path_rate - path) < 1e-9 and abs(got[i].score - score) < 1e-9 and got[i].kept == (got[i].score >= 0.5)
+    unseen = [i for i, *_ in rows if i % 4 == 0]
+    assert sum(got[i].kept == ("###" not in rows[i][1]) for i in unseen) >= 0.97 * len(unseen)
+
+
+def test_toxicity_features_against_plain_compression(spark):
+    import zstandard
+
+    texts = [None, "", "one", prose(1, 200), "idiot " * 30 + prose(2, 40), prose(3, 12), "ÄÖ ß " + prose(4, 25)] * 2
+    d = toxicity.Dictionaries(b"a total idiot here idiot there", b"the other words nt er ly")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def size(raw, window):
+        shape = zstandard.ZstdCompressionParameters.from_level(4, source_size=256, dict_size=len(raw), write_checksum=False, write_content_size=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=shape).compress(window))
+
+    for r in toxicity.featured(df, d, "doc_id long").collect():
+        words = re.findall(r"[a-z\u0080-\U0010ffff]+", (texts[r.doc_id] or "").translate(LOW))
+        saved = sorted((size(d.ordinary, w.encode()) - size(d.toxic, w.encode()) for w in (" " + " ".join(words[i : i + 12]) + " " for i in range(0, len(words), 12))), reverse=True)
+        n = len(saved) + 1
+        want = [saved[0], sum(saved[:3]), sum(x for x in saved if x > 0) / n, sum(saved) / n, sum(x >= 2 for x in saved) / n] if saved else [0.0] * 5
+        assert np.allclose(r.f, want)
+
+
 def test_digest_of_no_spans(docs):
     row = secrets.scan_secrets(docs.where("doc_id = 3")).select(F.sha2(secrets.rendered(F.col("base")), 256).alias("s")).first()
     assert row.s == hashlib.sha256(b"").hexdigest()
