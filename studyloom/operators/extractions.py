@@ -76,6 +76,23 @@ def newest_flagged(reviews: DataFrame) -> DataFrame:
     return newest(reviews, ["topic_id"], F.col("revision")).agg(F.count_if("needs_review").alias("flagged"))
 
 
+def materials_through(documents: DataFrame) -> DataFrame:
+    """(course_id, label): the newest document's session label, or its file name where that is blank.
+
+    documents: course_id, id, created_at, session_label, filename.
+    """
+    top = newest(documents.select("course_id", "id", "created_at", "session_label", "filename"), ["course_id"], F.col("created_at"), F.col("id"))
+    return top.select("course_id", F.coalesce(F.nullif(F.trim("session_label"), F.lit("")), "filename").alias("label"))
+
+
+def add_matcher(matchers: DataFrame, pattern: str, course_id: str) -> DataFrame:
+    """The course's matchers with one for the pattern, unless it has one in any case. matchers: course_id, pattern."""
+    new = matchers.sparkSession.createDataFrame([(course_id, pattern.strip())], "course_id string, pattern string")
+    there = matchers.select("course_id", F.lower("pattern").alias("_p")).distinct()
+    fresh = new.withColumn("_p", F.lower("pattern")).join(there, ["course_id", "_p"], "left_anti").select("course_id", "pattern")
+    return matchers.select("course_id", "pattern").unionByName(fresh)
+
+
 def bulk_file(items: DataFrame, pattern: str, course_id: str) -> DataFrame:
     """Unassigned items whose summary or title holds the pattern get the course and a lock on it."""
     low = F.lower(F.concat_ws(" ", "raw_summary", "title"))

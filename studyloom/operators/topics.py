@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.math import exam_weight
+from ..functions.math import changed_enough, exam_weight
 from ..functions.text import normal_title
 from .relational import nearest
 from .windows import recency
@@ -129,10 +129,39 @@ def counted(n: Column, one: str, many: str | None = None) -> Column:
     return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(many or f"{one}s"))
 
 
-def diff_label(removed: Column, changed: Column, added: Column) -> Column:
-    """Counts of a page's diff that are not zero, joined by middle dots; `no changes` without any."""
-    parts = F.array_compact(F.array(*(F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {word}"))) for n, word in ((removed, "removed"), (changed, "changed"), (added, "added")))))
-    return F.when(F.size(parts) == 0, "no changes").otherwise(F.array_join(parts, " \u00b7 "))
+def joined(parts: list[Column], empty: Column | None = None) -> Column:
+    """The parts that are not null, joined by middle dots; `empty` (null unless given) where there are none."""
+    some = F.array_compact(F.array(*parts))
+    return F.when(F.size(some) > 0, F.array_join(some, " \u00b7 ")).otherwise(F.lit(None).cast("string") if empty is None else empty)
+
+
+def diff_label(added: Column, changed: Column, removed: Column, summary_changed: Column) -> Column:
+    """Counts of a page's diff that are not zero; null where nothing changed at all."""
+    part = lambda n, word: F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {word}")))
+    return joined([part(added, "added"), part(changed, "rewritten"), part(removed, "removed")], F.when(summary_changed, "summary rewritten"))
+
+
+def coverage_label(mapped: Column, total: Column, unmapped: Column, skipped: Column, undeclared: Column, n_topics: Column, checked: Column, because: dict[str, Column] | None = None) -> Column:
+    """A document's coverage in a line; `because` gives by kind (unmapped, skipped) an array of reasons, of which three are named."""
+    why = lambda kind: F.when(F.size(because[kind]) > 0, F.concat(F.lit(" ("), F.array_join(F.slice(because[kind], 1, 3), ", "), F.lit(")"))).otherwise("") if because else F.lit("")
+    part = lambda n, word, reason: F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {word}"), reason))
+    across = F.concat(F.lit(" mapped across "), counted(n_topics, "topic"))
+    head = F.concat(mapped.cast("string"), F.lit(" of "), total.cast("string"), F.lit(" pages"), across)
+    rest = [part(unmapped, "unmapped", why("unmapped")), part(skipped, "skipped", why("skipped")), part(undeclared, "unaccounted for", F.lit(""))]
+    unknown = F.concat(counted(mapped, "page"), across, F.lit(" \u00b7 this document's length couldn't be verified, so coverage is unknown"))
+    return F.when(checked, joined([head, *rest])).otherwise(unknown)
+
+
+def outcome_label(outcome: Column, n_failed: Column) -> Column:
+    """What a document's outcome means to its reader; null where it is ready."""
+    none = n_failed == 0
+    failed = F.when(none, "This file was read, but none of its material could be written into your topic pages. Try again.").otherwise(
+        F.concat(F.lit("This file was read, but none of its "), counted(n_failed, "topic"), F.lit(" could be updated. Try again."))
+    )
+    partial = F.when(none, "Your topic pages were updated, but part of the indexing didn\u2019t finish. The pages are readable; search may lag.").otherwise(
+        F.concat(F.lit("Your topic pages were updated, except for "), n_failed.cast("string"), F.lit(" of them. Retry to finish the rest."))
+    )
+    return F.when(outcome == "failed", failed).when(outcome == "partial", partial)
 
 
 def merge_loss(before: DataFrame, after: DataFrame, removals: DataFrame) -> DataFrame:
@@ -173,6 +202,12 @@ def topic_weights(topics: DataFrame) -> DataFrame:
     return aged.withColumn("weight", exam_weight(F.col("signals"), F.col("sources"), F.col("recency"), F.col("formulas") + F.col("examples"), F.col("override")))
 
 
+def recomputed_weights(topics: DataFrame) -> DataFrame:
+    """(topic_id, weight): the topics whose recomputed weight is worth a write. topics: as topic_weights, and exam_weight."""
+    fresh = topic_weights(topics)
+    return fresh.where(changed_enough(F.col("weight"), F.col("exam_weight"))).select("topic_id", "weight")
+
+
 def weight_verdict(weights: DataFrame, keys: list[str], percent: str) -> DataFrame:
     """(keys, total, verdict): in whole hundredths; balanced within 0.01 of 100, empty without a row of weight."""
     hundredths = F.sum(F.floor(F.col(percent).cast("double") * 100 + 0.5))
@@ -182,11 +217,12 @@ def weight_verdict(weights: DataFrame, keys: list[str], percent: str) -> DataFra
 
 
 def document_outcome(topics: DataFrame) -> DataFrame:
-    """(document_id, outcome, ready, failed): ready, partial or failed from its topics' outcomes; topics: document_id, outcome,
-    downgraded."""
-    per = topics.groupBy("document_id").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "ok").alias("ready"), F.count_if(F.col("outcome") != "ok").alias("failed"), F.bool_or("downgraded").alias("_d"))
+    """(document_id, outcome, ready, failed, failed_topics): ready, partial or failed from its topics' outcomes; topics: document_id,
+    topic_id, outcome, downgraded."""
+    lost = F.array_sort(F.collect_list(F.when(F.col("outcome") != "ok", F.col("topic_id"))))
+    per = topics.groupBy("document_id").agg(lost.alias("failed_topics"), F.count("*").alias("n"), F.count_if(F.col("outcome") == "ok").alias("ready"), F.count_if(F.col("outcome") != "ok").alias("failed"), F.bool_or("downgraded").alias("_d"))
     outcome = F.when(F.col("ready") == 0, "failed").when((F.col("failed") > 0) | F.col("_d"), "partial").otherwise("ready")
-    return per.select("document_id", outcome.alias("outcome"), "ready", "failed")
+    return per.select("document_id", outcome.alias("outcome"), "ready", "failed", "failed_topics")
 
 
 def group_unassigned(items: DataFrame, now: Column) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import json
 import zipfile
 
 from pyspark.sql import functions as F
@@ -11,9 +13,10 @@ from ..functions import dates as D
 from ..functions import math as M
 from ..functions import text as T
 from ..operators import calendar, documents, pages, relational, routing, sinks, topics
-from ..sources import files
+from ..sources import files, provider
 from ..sources.tables import scan, shared_folder
 from ..streaming import changes
+from .feeds import FEED
 
 
 def grounding(spark, folder):
@@ -222,6 +225,17 @@ def deck_slides(spark, folder):
     return files.read_decks(rows).select("path", "slide", "title", "body", "notes", "words", F.col("error").isNotNull().alias("failed"))
 
 
+def provider_sync(spark, folder):
+    """Three fixed feeds through the calendar data source: a good one, one of an unknown zone, and one whose hash is known."""
+    provider.register(spark)
+    at = shared_folder(spark, "feeds")
+    rows = [("good", FEED), ("bad", FEED.replace("Europe/Madrid", "Not/There")), ("known", FEED + " ")]
+    spark.createDataFrame(rows, "name string, value string").write.partitionBy("name").text(at)
+    known = hashlib.sha256(f"{FEED} \n".encode()).hexdigest()
+    out = spark.read.format("calendar_feed").options(**{"path": at, "timezone": "Europe/Madrid", "from": "2026-01-01", "to": "2026-06-30", "known": json.dumps([known])}).load()
+    return out.groupBy(F.regexp_extract("path", "name=([a-z]+)", 1).alias("name"), "uid", "changed", F.col("error").isNotNull().alias("failed")).agg(F.count("*").alias("n"), F.count_distinct("cursor").alias("cursors"))
+
+
 def failed_deliveries(spark, folder):
     """Events as results: errors of even ids may be tried again up to the third time."""
     ev = scan(spark, folder, "events", "event_id", "event_type")
@@ -256,7 +270,7 @@ QUERIES = {
     for f in (
         grounding, merge_verification, page_expansion, delete_impact, frozen_plans, objective_triage, merge_targets, page_markdown, completeness_index,
         append_once, revision_bump, feed_state, wall_instants, unfiled_items, sourceless_topics, orphaned_chunks, touched_rows, confirmed_rows, log_violations,
-        weight_writes, first_positions, skip_sets, sentence_counts, canonical_hashes, late_labels, deck_slides, failed_deliveries, late_subscriber, disappearances,
+        weight_writes, first_positions, skip_sets, sentence_counts, canonical_hashes, late_labels, deck_slides, provider_sync, failed_deliveries, late_subscriber, disappearances,
     )
 }
 
@@ -291,6 +305,7 @@ ORACLES = {
     "canonical_hashes": """SELECT o_orderkey, sha256('{"a":"' || o_orderstatus || '","b":' || o_custkey || ',"c":{"y":[true,null],"z":1}}') AS hash FROM orders""",
     "late_labels": """SELECT o_orderkey, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || ' min ago' WHEN m < 1440 THEN (m // 60) || ' h ago' WHEN m < 2880 THEN 'yesterday' ELSE (m // 1440) || ' days ago' END AS label FROM (SELECT o_orderkey, o_orderkey % 5000 AS m FROM orders)""",
     "deck_slides": "SELECT path, CAST(slide AS INTEGER) AS slide, title, body, notes, CAST(words AS INTEGER) AS words, failed FROM (VALUES ('deck', 1, 'First title', '', '', 2, false), ('deck', 2, 'Second title', 'some body text', 'say this', 5, false), ('broken', NULL, NULL, NULL, NULL, NULL, true)) t(path, slide, title, body, notes, words, failed)",
+    "provider_sync": "SELECT name, uid, changed, failed, CAST(n AS BIGINT) AS n, CAST(1 AS BIGINT) AS cursors FROM (VALUES ('good', 'weekly', true, false, 3), ('good', 'day', true, false, 1), ('bad', NULL, true, true, 1), ('known', NULL, false, false, 1)) t(name, uid, changed, failed, n)",
     "failed_deliveries": """WITH r AS (SELECT event_id % 4 + 1 AS a, CASE WHEN event_type <> 'error' THEN 'done' WHEN event_id % 2 <> 0 OR event_id % 4 + 1 >= 3 THEN 'dead' ELSE 'again' END AS part FROM events) SELECT part, count(*) AS n, CAST(sum(CASE WHEN part = 'again' THEN a + 1 ELSE a END) AS BIGINT) AS attempts FROM r GROUP BY part""",
     "disappearances": """WITH l AS (SELECT user_id, max(ts) AS seen FROM events GROUP BY 1)
  SELECT CAST(user_id AS VARCHAR) AS id, 'hide' AS action, CAST(floor(epoch(seen + INTERVAL 24 HOUR)) AS BIGINT) AS at FROM l WHERE seen + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",

@@ -127,7 +127,7 @@ def diff_labels(spark, folder):
     """Each customer's orders by what remains of a diff's counts."""
     o = scan(spark, folder, "orders", "o_custkey", "o_orderkey")
     n = o.groupBy("o_custkey").agg(*(F.count_if(F.col("o_orderkey") % 3 == k).alias(name) for k, name in enumerate(("removed", "changed", "added"))), F.count("*").alias("n"))
-    return n.select("o_custkey", topics.diff_label(F.col("removed"), F.col("changed"), F.col("added")).alias("label"), topics.counted(F.col("n"), "order").alias("orders"))
+    return n.select("o_custkey", topics.diff_label(F.col("added"), F.col("changed"), F.col("removed"), F.lit(True)).alias("label"), topics.counted(F.col("n"), "order").alias("orders"))
 
 
 def chunk_units(spark, folder):
@@ -202,7 +202,7 @@ ORACLES = {
  SELECT t AS topic_id, CASE WHEN back THEN 4 ELSE 3 END AS revision, CASE WHEN back THEN c_name || '/1' ELSE c_name END AS page, 'current' AS state FROM c UNION ALL SELECT t, r, c_name || '/' || r, 'history' FROM c, (VALUES (1), (2)) v(r) UNION ALL SELECT t, 3, c_name, 'history' FROM c WHERE back""",
     "snapshot_reader": """WITH c AS (SELECT c_custkey AS k, c_custkey % 11 <> 0 AND c_custkey % 7 > 1 AS ok FROM customer) SELECT k AS c_custkey, ok AS read, CASE WHEN ok THEN 't' || k END AS topic, CASE WHEN ok THEN CASE WHEN k % 2 = 0 THEN 2 ELSE 4 END END AS revision FROM c""",
     "diff_labels": """WITH n AS (SELECT o_custkey, count(*) FILTER (o_orderkey % 3 = 0) AS a, count(*) FILTER (o_orderkey % 3 = 1) AS b, count(*) FILTER (o_orderkey % 3 = 2) AS c, count(*) AS n FROM orders GROUP BY 1)
- SELECT o_custkey, concat_ws(' · ', CASE WHEN a > 0 THEN a || ' removed' END, CASE WHEN b > 0 THEN b || ' changed' END, CASE WHEN c > 0 THEN c || ' added' END) AS label, n || CASE WHEN n = 1 THEN ' order' ELSE ' orders' END AS orders FROM n""",
+ SELECT o_custkey, concat_ws(' · ', CASE WHEN c > 0 THEN c || ' added' END, CASE WHEN b > 0 THEN b || ' rewritten' END, CASE WHEN a > 0 THEN a || ' removed' END) AS label, n || CASE WHEN n = 1 THEN ' order' ELSE ' orders' END AS orders FROM n""",
     "chunk_units": """WITH l AS (SELECT doc_id, coalesce(lang = 'en', false) AS r, generate_subscripts(l, 1) AS page, unnest(l) AS m FROM (SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL)),
  h AS (SELECT *, r AND length(m) BETWEEN 1 AND 39 AND page % 3 + 1 <= 2 AS head FROM l), a AS (SELECT *, NOT (r AND bool_or(head) OVER (PARTITION BY doc_id)) AS alone FROM h),
  g AS (SELECT *, sum(CASE WHEN alone OR head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page) AS run FROM a)

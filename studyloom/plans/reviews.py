@@ -8,6 +8,7 @@ from ..operators import extractions as X
 from ..operators import pages as P
 from ..operators import topics as T
 from ..sources.tables import scan
+from . import star
 
 
 def conversations(spark, folder):
@@ -77,6 +78,29 @@ def prior_contributions(spark, folder):
     return X.prior_contributions(lines.where("l_quantity < 10"), lines.where("l_quantity > 45"))
 
 
+def materials_through(spark, folder):
+    """Customers as courses, their orders as documents: the label of the newest."""
+    o = scan(spark, folder, "orders", "o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority")
+    rows = o.select(F.col("o_custkey").alias("course_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit(" Session "), F.col("o_orderkey") % 20)).otherwise("  ").alias("session_label"), F.concat("o_orderpriority", F.lit(".pdf")).alias("filename"))
+    return X.materials_through(rows)
+
+
+def weight_recompute(spark, folder):
+    """Topics (orders) whose weight of line items differs from the stored one, which every fourth has already."""
+    lines = scan(spark, folder, "lineitem", "l_orderkey", "l_returnflag", "l_linestatus")
+    per = lines.groupBy(F.col("l_orderkey").alias("topic_id")).agg(F.count("*").alias("signals"), F.count_distinct("l_returnflag").alias("sources"), F.count_if(F.col("l_linestatus") == "F").alias("formulas"))
+    o = scan(spark, folder, "orders", F.col("o_orderkey").alias("topic_id"), F.col("o_custkey").alias("course_id"), F.col("o_orderdate").alias("updated_at"))
+    rows = o.join(per, "topic_id").select("*", F.lit(0).alias("examples"), F.lit(None).cast("double").alias("override"))
+    now = T.topic_weights(rows).select(*rows.columns, F.when(F.col("topic_id") % 4 == 0, F.col("weight")).when(F.col("topic_id") % 4 == 1, F.col("weight") + 0.00005).when(F.col("topic_id") % 4 == 2, F.lit(0.0)).alias("exam_weight"))
+    return T.recomputed_weights(now).select("topic_id", F.round("weight", 9).alias("weight"))
+
+
+def matcher_rows(spark, folder):
+    """Suppliers' matchers, and one more that is new for one course and there for another."""
+    s = scan(spark, folder, "supplier", F.concat(F.lit("c"), F.col("s_suppkey") % 3).alias("course_id"), F.concat(F.lit("Word "), F.col("s_suppkey") % 2).alias("pattern"))
+    return X.add_matcher(X.add_matcher(s, " word 1 ", "c0"), "word 7", "c1").groupBy("course_id", "pattern").agg(F.count("*").alias("n"))
+
+
 def newest_flagged(spark, folder):
     o = scan(spark, folder, "orders", F.col("o_custkey").alias("topic_id"), F.col("o_orderkey").alias("revision"), (F.col("o_orderstatus") == "F").alias("needs_review"))
     return X.newest_flagged(o)
@@ -113,7 +137,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         citation_findings, uncited_pages, extraction_fan_out, extraction_confirm, extraction_reject, topic_creation, review_staleness, prior_contributions,
-        newest_flagged, bulk_file, exam_choice, audit_verdicts, strip_plan,
+        materials_through, weight_recompute, matcher_rows, newest_flagged, bulk_file, exam_choice, audit_verdicts, strip_plan,
     )
 }
 TURNS = "SELECT DISTINCT conv_id, turn FROM conversations"
@@ -128,6 +152,9 @@ ORACLES = {
     "review_staleness": """WITH c AS (SELECT l_orderkey AS review_id, count(*) FILTER (p_partkey IS NULL OR p_size % 6 > l_linenumber) AS changed FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_partkey % 9 <> 0 GROUP BY 1) SELECT *, changed > 0 AS stale FROM c""",
     "prior_contributions": """WITH a AS (SELECT l_partkey AS k, max(l_linenumber) AS m FROM lineitem WHERE l_quantity < 10 GROUP BY 1), b AS (SELECT DISTINCT l_partkey AS k, true AS p FROM lineitem WHERE l_quantity > 45)
  SELECT k AS topic_id, m AS snapshot_revision, coalesce(p, false) AS has_provenance FROM a FULL JOIN b USING (k)""",
+    "materials_through": """WITH l AS (SELECT o_custkey AS course_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS k, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS p FROM orders GROUP BY 1) SELECT course_id, CASE WHEN k % 3 <> 0 THEN 'Session ' || k % 20 ELSE p || '.pdf' END AS label FROM l""",
+    "weight_recompute": f"SELECT topic_id, weight FROM ({star.ORACLES['exam_weight']}) WHERE topic_id % 4 IN (2, 3)",
+    "matcher_rows": """WITH s AS (SELECT 'c' || s_suppkey % 3 AS course_id, 'Word ' || s_suppkey % 2 AS pattern FROM supplier UNION ALL SELECT 'c1', 'word 7') SELECT course_id, pattern, count(*) AS n FROM s GROUP BY ALL""",
     "newest_flagged": "SELECT count(*) FILTER (s = 'F') AS flagged FROM (SELECT arg_max(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY o_custkey)",
     "bulk_file": """WITH h AS (SELECT *, p_size % 2 <> 0 AND contains(lower(p_name || ' ' || p_type), 'widget economy') AS hit FROM part) SELECT p_partkey, CASE WHEN hit THEN 'c9' WHEN p_size % 2 = 0 THEN 'c0' END AS course_id, CASE WHEN hit THEN 'course_id,title' ELSE 'title' END AS locks FROM h""",
     "exam_choice": """WITH m AS (SELECT *, o_orderkey % 7 = 0 AS is_exam, o_custkey % 3 <> 0 AND o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey) AS want FROM orders) SELECT o_orderkey AS id, o_custkey AS course_id, want AS is_exam, 'user' AS source FROM m WHERE want <> is_exam""",

@@ -88,8 +88,9 @@ def attempts_outcome(spark, folder):
 
 
 def document_outcome(spark, folder):
-    o = scan(spark, folder, "orders", F.col("o_custkey").alias("document_id"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("ok").alias("outcome"), (F.col("o_orderkey") % 20 == 0).alias("downgraded"))
-    return topics.document_outcome(o)
+    o = scan(spark, folder, "orders", F.col("o_custkey").alias("document_id"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("ok").alias("outcome"), (F.col("o_orderkey") % 20 == 0).alias("downgraded"), F.col("o_orderkey").alias("topic_id"))
+    out = topics.document_outcome(o)
+    return out.select("document_id", "outcome", "ready", "failed", F.array_join(F.transform("failed_topics", lambda x: x.cast("string")), ",").alias("failed_topics"), topics.outcome_label(F.col("outcome"), F.col("failed")).alias("label"))
 
 
 def insert_ignore_orders(spark, folder):
@@ -196,8 +197,10 @@ ORACLES = {
  SELECT target, topic_id, revision, CASE WHEN skip THEN 'skip' ELSE 'merge' END AS work, CASE WHEN skip THEN coalesce(snap + 1, revision) END AS merged_at_revision FROM s""",
     "attempts_outcome": """WITH a AS (SELECT user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS call_id, event_id, event_type <> 'error' AS ok, CASE WHEN value > 50 THEN 'large' ELSE 'small' END AS model FROM events), l AS (SELECT call_id, count(*) AS attempts, arg_max(ok, event_id) AS ok, arg_max(model, event_id) AS m, arg_min(model, event_id) AS f FROM a GROUP BY 1)
  SELECT call_id, attempts, CASE WHEN NOT ok THEN 'dead_letter' WHEN m <> f THEN 'escalated' ELSE 'delivered' END AS status FROM l""",
-    "document_outcome": """WITH d AS (SELECT o_custkey AS document_id, count(*) FILTER (o_orderstatus <> 'F') AS ready, count(*) FILTER (o_orderstatus = 'F') AS failed, bool_or(o_orderkey % 20 = 0) AS low FROM orders GROUP BY 1)
- SELECT document_id, CASE WHEN ready = 0 THEN 'failed' WHEN failed > 0 OR low THEN 'partial' ELSE 'ready' END AS outcome, ready, failed FROM d""",
+    "document_outcome": """WITH d AS (SELECT o_custkey AS document_id, count(*) FILTER (o_orderstatus <> 'F') AS ready, count(*) FILTER (o_orderstatus = 'F') AS failed, bool_or(o_orderkey % 20 = 0) AS low, coalesce(string_agg(o_orderkey, ',' ORDER BY o_orderkey) FILTER (o_orderstatus = 'F'), '') AS failed_topics FROM orders GROUP BY 1)
+ SELECT document_id, CASE WHEN ready = 0 THEN 'failed' WHEN failed > 0 OR low THEN 'partial' ELSE 'ready' END AS outcome, ready, failed, failed_topics,
+ CASE WHEN ready = 0 THEN 'This file was read, but none of its ' || failed || CASE WHEN failed = 1 THEN ' topic' ELSE ' topics' END || ' could be updated. Try again.' WHEN failed > 0 THEN 'Your topic pages were updated, except for ' || failed || ' of them. Retry to finish the rest.'
+ WHEN low THEN 'Your topic pages were updated, but part of the indexing didn’t finish. The pages are readable; search may lag.' END AS label FROM d""",
     "insert_ignore_orders": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE 'N' END AS o_orderstatus FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0",
     "patch_with_locks": """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE o_orderpriority END AS o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN 'o_orderstatus,title' END AS locks FROM orders""",
     "replace_partition": """SELECT o_custkey, o_orderpriority AS hash, o_orderkey FROM orders WHERE o_custkey % 4 = 2 UNION ALL SELECT o_custkey, o_orderpriority, -max(o_orderkey) FROM orders WHERE o_custkey % 4 = 0 GROUP BY ALL""",

@@ -46,15 +46,18 @@ def coverage_map(spark, folder):
     cited = read.where("page % 3 <> 0")
     skipped = pages.where("length(line) < 20").select("doc_id", F.col("page").alias("to_page"), F.col("page").alias("from_page"), F.when(F.col("doc_id") % 10 == 0, "n/a").otherwise("cover page").alias("reason"))
     marked = D.coverage_pages(totals, read, cited, skipped)
-    return D.coverage(marked, totals).select("doc_id", "pages_total", "pages_mapped", "pages_skipped", "pages_unmapped", "pages_undeclared", F.round("mapped_ratio", 9).alias("mapped_ratio"), "trustworthy")
+    label = topics.coverage_label(*(F.col(f"pages_{c}") for c in ("mapped", "total", "unmapped", "skipped", "undeclared")), F.lit(2), F.col("checked"))
+    return D.coverage(marked, totals).select("doc_id", "pages_total", "pages_mapped", "pages_skipped", "pages_unmapped", "pages_undeclared", F.round("mapped_ratio", 9).alias("mapped_ratio"), "trustworthy", label.alias("label"))
 
 
 def coverage_gaps(spark, folder):
     pages = lines_of(spark, folder)
     totals = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("total"))
     read = pages.where(F.length("line") >= 20).select("doc_id", "page")
-    none = pages.where("false").select("doc_id", F.col("page").alias("from_page"), F.col("page").alias("to_page"), F.lit("").alias("reason"))
-    return D.coverage_gaps(D.coverage_pages(totals, read, read.where("page % 3 <> 0"), none)).select("doc_id", "kind", "first", "last", "n")
+    reason = F.when(F.col("page") % 5 == 0, "n/a").otherwise(F.concat(F.lit(" heading of page "), "page"))
+    skips = pages.where((F.length("line") < 20) & (F.col("doc_id") % 2 == 0)).select("doc_id", F.col("page").alias("from_page"), F.col("page").alias("to_page"), reason.alias("reason"))
+    gaps = D.coverage_gaps(D.coverage_pages(totals, read, read.where("page % 3 <> 0"), skips))
+    return D.gap_reasons(gaps, skips).select("doc_id", "kind", "first", "last", "n", "reason")
 
 
 def hash_normalise(spark, folder):
@@ -191,10 +194,12 @@ ORACLES = {
  c AS (SELECT p.doc_id, total, CASE WHEN line IS NOT NULL AND length(line) >= 20 THEN CASE WHEN p.page % 3 <> 0 THEN 'mapped' ELSE 'unmapped' END WHEN line IS NOT NULL AND p.doc_id % 10 <> 0 THEN 'skipped' ELSE 'undeclared' END AS k FROM p LEFT JOIN l ON l.doc_id = p.doc_id AND l.page = p.page),
  n AS (SELECT doc_id, count(*) AS pages_total, count(*) FILTER (k = 'mapped') AS pages_mapped, count(*) FILTER (k = 'skipped') AS pages_skipped, count(*) FILTER (k = 'unmapped') AS pages_unmapped, count(*) FILTER (k = 'undeclared') AS pages_undeclared FROM c GROUP BY doc_id),
  r AS (SELECT *, CASE WHEN pages_total = pages_skipped THEN 1.0::DOUBLE ELSE pages_mapped::DOUBLE / (pages_total - pages_skipped)::DOUBLE END AS q FROM n)
- SELECT doc_id, pages_total, pages_mapped, pages_skipped, pages_unmapped, pages_undeclared, round(q, 9) AS mapped_ratio, pages_undeclared = 0 AND q >= 0.6 AND pages_skipped::DOUBLE / pages_total::DOUBLE <= 0.3 AS trustworthy FROM r""",
-    "coverage_gaps": f"""WITH k AS (SELECT doc_id, page, CASE WHEN length(line) < 20 THEN 'undeclared' WHEN page % 3 <> 0 THEN 'mapped' ELSE 'unmapped' END AS kind FROM ({LINES})),
- g AS (SELECT *, page - row_number() OVER (PARTITION BY doc_id, kind ORDER BY page) AS g FROM k WHERE kind <> 'mapped')
- SELECT doc_id, kind, min(page) AS first, max(page) AS last, count(*) AS n FROM g GROUP BY doc_id, kind, g""",
+ SELECT doc_id, pages_total, pages_mapped, pages_skipped, pages_unmapped, pages_undeclared, round(q, 9) AS mapped_ratio, pages_undeclared = 0 AND q >= 0.6 AND pages_skipped::DOUBLE / pages_total::DOUBLE <= 0.3 AS trustworthy,
+ concat_ws(' · ', pages_mapped || ' of ' || pages_total || ' pages mapped across 2 topics', CASE WHEN pages_unmapped > 0 THEN pages_unmapped || ' unmapped' END, CASE WHEN pages_skipped > 0 THEN pages_skipped || ' skipped' END, CASE WHEN pages_undeclared > 0 THEN pages_undeclared || ' unaccounted for' END) AS label FROM r""",
+    "coverage_gaps": f"""WITH k AS (SELECT doc_id, page, CASE WHEN length(line) < 20 THEN CASE WHEN doc_id % 2 = 0 AND page % 5 <> 0 THEN 'skipped' ELSE 'undeclared' END WHEN page % 3 <> 0 THEN 'mapped' ELSE 'unmapped' END AS kind FROM ({LINES})),
+ g AS (SELECT *, page - row_number() OVER (PARTITION BY doc_id, kind ORDER BY page) AS g FROM k WHERE kind <> 'mapped'),
+ r AS (SELECT doc_id, kind, min(page) AS first, max(page) AS last, count(*) AS n FROM g GROUP BY doc_id, kind, g)
+ SELECT *, CASE WHEN kind = 'skipped' THEN 'heading of page ' || first WHEN kind = 'unmapped' THEN 'read, but no topic page cites it' WHEN doc_id % 2 = 0 THEN 'reported skipped without a usable reason' ELSE 'not read and not declared skipped' END AS reason FROM r""",
     "hash_normalise": f"SELECT doc_id, sha256({NORMAL}) AS hash FROM documents",
     "chunk_identity": f"SELECT doc_id, sha256('page:' || doc_id || chr(10) || {NORMAL}) AS chunk_hash FROM documents",
     "token_estimate": rf"SELECT doc_id, CAST(greatest(1, ceil((length(t) + len(regexp_extract_all(t, '[\x{{10000}}-\x{{10FFFF}}]')))::DOUBLE / 4)) AS INTEGER) AS tokens FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^{EDGE}|{EDGE}$', '', 'g') AS t FROM documents)",
