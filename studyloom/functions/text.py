@@ -120,8 +120,19 @@ def sentences(x: Column) -> Column:
 
 
 def byte_size_label(n: Column) -> Column:
-    kb, mb = 1024, 1024 * 1024
-    return F.when(n < kb, F.format_string("%d B", n.cast("long"))).when(n < mb, F.format_string("%.0f KB", n / kb)).otherwise(F.format_string("%.1f MB", n / mb))
+    """Bytes in the largest unit that they reach, up to TB; one decimal below 10, none if it is 0."""
+    d = n.cast("double")
+
+    def shown(k: int, unit: str) -> Column:
+        v = d / 1024**k
+        some = F.regexp_replace(F.format_string("%.1f", F.floor(v * 10 + 0.5) / 10), r"\.0$", "")
+        return F.concat(F.when(v >= 10, F.floor(v + 0.5).cast("string")).otherwise(some), F.lit(f" {unit}"))
+
+    unknown = d.isNull() | F.isnan(d) | (d < 0) | (d == float("inf"))
+    label = F.when(unknown, "an unknown size").when(d < 1024, F.concat(F.floor(d + 0.5).cast("string"), F.lit(" bytes")))
+    for k, unit in ((1, "KB"), (2, "MB"), (3, "GB")):
+        label = label.when(d < 1024 ** (k + 1), shown(k, unit))
+    return label.otherwise(shown(4, "TB"))
 
 
 @F.pandas_udf(StringType())
@@ -143,14 +154,19 @@ def canonical_hash(x: Column) -> Column:
     return F.sha2(canonical_json(x), 256)
 
 
-def ago_label(minutes: Column) -> Column:
-    """How long ago, from whole minutes."""
-    n = lambda size, unit: F.concat(F.floor(minutes / size).cast("string"), F.lit(f" {unit} ago"))
-    return F.when(minutes < 1, "just now").when(minutes < 60, n(1, "min")).when(minutes < 1440, n(60, "h")).when(minutes < 2880, "yesterday").otherwise(n(1440, "days"))
+def ago_label(ms: Column) -> Column:
+    """How long ago something was synced, from milliseconds; null: never."""
+    n = lambda size, unit: F.concat(F.floor(ms / size).cast("string"), F.lit(f"{unit} ago"))
+    return F.when(ms.isNull(), "never synced").when(ms < 60_000, "just now").when(ms < 3_600_000, n(60_000, " min")).when(ms < 86_400_000, n(3_600_000, "h")).otherwise(n(86_400_000, "d"))
 
 
 def due_label(days: Column) -> Column:
-    return F.when(days < 0, "overdue").when(days < 1, "today").when(days < 2, "tomorrow").otherwise(F.format_string("in %d days", F.floor(days)))
+    """When something is due, from fractional days: hours within a day, whole days beyond."""
+    hours, whole = F.abs(days) * 24, F.floor(F.abs(days))
+    n = lambda x: F.floor(x).cast("string")
+    late = F.when(hours < 1, "just now").when(hours < 24, F.concat(n(hours), F.lit("h ago"))).otherwise(F.concat(n(whole), F.when(whole == 1, " day ago").otherwise(" days ago")))
+    ahead = F.when(hours < 1, "now").when(hours < 24, F.concat(F.lit("in "), n(hours), F.lit("h"))).when(whole == 1, "tomorrow").otherwise(F.concat(F.lit("in "), n(whole), F.lit(" days")))
+    return F.when(days < 0, late).otherwise(ahead)
 
 
 # Calendar summaries -------------------------------------------------------------------------------------------------

@@ -45,6 +45,13 @@ def bump_revision(current: DataFrame, history: DataFrame, merged: DataFrame, key
     return upsert(current, fresh.select(*current.columns), [key]), history.unionByName(changed.select(*history.columns))
 
 
+def upsert_provenance(old: DataFrame, cited: DataFrame) -> DataFrame:
+    """(topic_id, document_id, pages) after a merge: what it cites of a document replaces what was known, its pages distinct and in
+    order; a citation without a page keeps the document with no page. cited: topic_id, document_id, page."""
+    fresh = cited.groupBy("topic_id", "document_id").agg(F.array_sort(F.collect_set("page")).alias("pages"))
+    return upsert(old.select("topic_id", "document_id", "pages"), fresh, ["topic_id", "document_id"])
+
+
 def log_rows(calls: DataFrame, price: Column) -> DataFrame:
     """Rows of the append-only call log: token counts that the provider didn't report are 0, and where it reported none, or the
     model has no price, cost_usd is null: unknown, not free.

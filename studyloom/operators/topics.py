@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.math import changed_enough, exam_weight
+from ..functions.math import changed_enough, exam_weight, weight_band
 from ..functions.text import normal_title
 from .relational import nearest
 from .windows import recency
@@ -202,6 +202,34 @@ def topic_weights(topics: DataFrame) -> DataFrame:
     return aged.withColumn("weight", exam_weight(F.col("signals"), F.col("sources"), F.col("recency"), F.col("formulas") + F.col("examples"), F.col("override")))
 
 
+def by_effective_weight(topics: DataFrame) -> DataFrame:
+    """topics (course_id, topic_id, weight, override) with `effective`, the override where there is one, and their place by it in the
+    course, the heaviest first, ties by id."""
+    rows = topics.withColumn("effective", F.coalesce(F.col("override").cast("double"), F.col("weight").cast("double")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("course_id").orderBy(F.desc("effective"), "topic_id")))
+
+
+def topic_text(topic_id: Column, title: Column, weight: Column, summary: Column, formulas: Column, terms: Column, examples: Column, questions: Column) -> Column:
+    """A topic as text for a review: its weight with its band, its summary, and its lists of strings, blanks left out."""
+    items = lambda a: F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    listed = lambda a: F.when(F.size(items(a)) == 0, "none").otherwise(F.array_join(items(a), "; "))
+    head = F.concat(F.lit("[topic-id: "), topic_id, F.lit("] "), title)
+    about = F.when(F.trim(summary) == "", "(none)").otherwise(F.trim(summary))
+    lines = [head, F.concat(F.lit("  exam weight: "), F.format_string("%.2f", weight), F.lit(" ("), weight_band(weight), F.lit(")")), F.concat(F.lit("  summary: "), about)]
+    named = (("formulas", formulas), ("key terms", terms), ("worked examples", examples), ("open questions", questions))
+    return F.concat_ws("\n", *lines, *(F.concat(F.lit(f"  {name}: "), listed(a)) for name, a in named))
+
+
+def exam_format(json: Column) -> Column:
+    """A course's exam-format profile (JSON) as text: a string as it is, an object's entries a line each."""
+    none = "No exam-format profile recorded for this course"
+    text = F.get_json_object(F.concat(F.lit('{"x":'), json, F.lit("}")), "$.x")
+    entries = F.transform(F.map_entries(F.from_json(json, "map<string, string>")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    lines = F.when(F.size(entries) > 0, F.array_join(entries, "\n")).otherwise(f"{none}.")
+    missing = json.isNull() | (F.trim(json) == "null")
+    return F.when(missing, f"{none} \u2014 assume a standard written final exam covering the whole course.").when(F.ltrim(json).startswith("{"), lines).when(F.trim(text) == "", f"{none}.").otherwise(text)
+
+
 def recomputed_weights(topics: DataFrame) -> DataFrame:
     """(topic_id, weight): the topics whose recomputed weight is worth a write. topics: as topic_weights, and exam_weight."""
     fresh = topic_weights(topics)

@@ -59,6 +59,17 @@ def model_escalation(spark, folder):
     return R.escalation_targets(jobs, R.rate_card(spark)).select("job", "target")
 
 
+def job_models(spark, folder):
+    """Every job's model under each limit of rank, and where it escalates to from there."""
+    card, jobs = R.rate_card(spark), R.job_registry(spark, (("own-job", "claude-haiku-4-5"), ("quick-add", "claude-opus-4-8")))
+    out = None
+    for rank in (0, 1, 2):
+        at = R.resolve_models(jobs.withColumn("max_rank", F.lit(rank)), card).withColumn("max_rank", F.lit(rank))
+        part = R.escalation_targets(at, card)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def call_log(spark, folder):
     """A log of even calls, to which all are appended; those without a reported count cost an unknown amount."""
     c = calls(spark, folder)
@@ -80,7 +91,7 @@ def vector_reuse(spark, folder):
     return sinks.reuse_vectors(chunks, stored).select("doc_id", "fresh", F.col("embedding")[0].alias("vector"))
 
 
-QUERIES = {f.__name__: f for f in (call_prices, long_context_calls, embedding_prices, model_resolution, model_escalation, call_log, vector_reuse)}
+QUERIES = {f.__name__: f for f in (call_prices, long_context_calls, embedding_prices, model_resolution, model_escalation, job_models, call_log, vector_reuse)}
 
 _num = lambda x: "NULL::DOUBLE" if x is None else f"{x!r}::DOUBLE"
 _rows = []
@@ -107,6 +118,11 @@ ORACLES = {
  SELECT job, CASE WHEN max_rank IS NULL OR rank <= max_rank THEN model ELSE m END AS model FROM u WHERE k = 1""",
     "model_escalation": f"""WITH {CARD}, {JOBS}, u AS (SELECT j.job, b.model AS m, row_number() OVER (PARTITION BY j.job ORDER BY b.rank, b.provider = a.provider, b.place) AS k FROM jobs j JOIN card a USING (model) JOIN card b ON b.rank > a.rank AND b.rank <= coalesce(j.max_rank, 99))
  SELECT j.job, u.m AS target FROM jobs j LEFT JOIN u ON u.job = j.job AND k = 1""",
+    "job_models": f"""WITH {CARD}, j AS (SELECT job, CASE job WHEN 'quick-add' THEN 'claude-opus-4-8' ELSE model END AS own FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in R.JOBS)}, ('own-job', 'claude-haiku-4-5')) t(job, model)),
+ u AS (SELECT job, own, a.rank, m.r AS max_rank, b.model AS best, row_number() OVER (PARTITION BY job, m.r ORDER BY b.provider = a.provider DESC, b.rank DESC, b.place) AS k FROM j JOIN card a ON a.model = own, (VALUES (0), (1), (2)) m(r) JOIN card b ON b.rank <= m.r),
+ v AS (SELECT job, max_rank, CASE WHEN rank <= max_rank THEN own ELSE best END AS model FROM u WHERE k = 1),
+ x AS (SELECT v.*, b.model AS target, row_number() OVER (PARTITION BY job, max_rank ORDER BY b.rank, b.provider = a.provider, b.place) AS k FROM v JOIN card a USING (model) LEFT JOIN card b ON b.rank > a.rank AND b.rank <= max_rank)
+ SELECT job, model, max_rank, target FROM x WHERE k = 1""",
     "call_log": f"""WITH {PRICED}, said AS (SELECT *, call_id % 10 = 3 AS silent FROM costed QUALIFY call_id % 2 = 0 OR row_number() OVER (PARTITION BY call_id ORDER BY model, latency) = 1)
  SELECT model, outcome, count(*) AS calls, CAST(sum(CASE WHEN silent THEN 0 ELSE i END) AS BIGINT) AS input_tokens, CAST(sum(CASE WHEN silent THEN 0 ELSE o END) AS BIGINT) AS output_tokens, CAST(sum(CASE WHEN silent THEN 0 ELSE coalesce(r, 0) END) AS BIGINT) AS cache_read_tokens,
  CAST(sum(CASE WHEN silent THEN 0 ELSE coalesce(w, 0) END) AS BIGINT) AS cache_write_tokens, CAST(sum(CAST(floor(latency + 0.5) AS BIGINT)) AS BIGINT) AS latency_ms, round(sum(CASE WHEN NOT silent THEN CAST(CAST(cost AS DECIMAL(14, 8)) AS DOUBLE) END), 3) AS usd, count(*) FILTER (silent OR cost IS NULL) AS unpriced FROM said GROUP BY ALL""",

@@ -104,9 +104,11 @@ def feed_state(spark, folder):
     synced = F.when(F.col("s_suppkey") % 5 != 0, now - F.expr("make_interval(0, 0, 0, 0, 0, CAST(s_suppkey % 60 AS INT))"))
     body = F.col("s_name").cast("binary")
     known = F.when(F.col("s_suppkey") % 3 == 0, F.sha2(body, 256)).when(F.col("s_suppkey") % 3 == 1, "other")
+    k = F.col("s_suppkey")
+    layer = files.fetch_layer(F.when(k % 2 == 0, "t0"), F.when(k % 6 == 0, "t0").otherwise("t1"), F.when(k % 5 == 0, now), F.when(k % 10 == 0, now).otherwise(now + F.expr("INTERVAL 1 DAY")), known, body)
     left = calendar.remaining_ms(F.lit(60_000), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_suppkey") * 1000))
     inside = calendar.horizon(now + F.expr("make_interval(0, 0, 0, CAST(s_suppkey % 400 - 100 AS INT))"), now)
-    return s.select("s_suppkey", calendar.stale_feed(F.col("s_suppkey") % 7 != 0, synced, now).alias("stale"), left.cast("long").alias("left_ms"), files.unchanged(body, known).alias("unchanged"), inside.alias("inside"))
+    return s.select("s_suppkey", calendar.stale_feed(F.col("s_suppkey") % 7 != 0, synced, now).alias("stale"), left.cast("long").alias("left_ms"), files.unchanged(body, known).alias("unchanged"), inside.alias("inside"), layer.alias("layer"))
 
 
 def wall_instants(spark, folder):
@@ -165,6 +167,28 @@ def log_violations(spark, folder):
     return count(lost, "append only").unionByName(count(twice, "merged once"))
 
 
+def merge_provenance(spark, folder):
+    """Orders' days as cited pages of a status as document, upserted into those of old orders: pages distinct and in order."""
+    o = scan(spark, folder, "orders", "o_orderkey", F.col("o_custkey").alias("topic_id"), F.col("o_orderstatus").alias("document_id"), F.dayofmonth("o_orderdate").alias("page"))
+    old = sinks.upsert_provenance(o.limit(0).select("topic_id", "document_id", F.array("page").alias("pages")), o.where("o_orderkey % 2 = 0"))
+    return sinks.upsert_provenance(old, o.where("o_orderkey % 3 = 0")).select("topic_id", "document_id", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
+
+
+def effective_order(spark, folder):
+    """Topics of a course by their effective weight, the override before the computed one."""
+    o = scan(spark, folder, "orders", F.col("o_orderkey").alias("topic_id"), F.col("o_custkey").alias("course_id"), (F.col("o_totalprice") / 500000).cast("double").alias("weight"), F.when(F.col("o_orderkey") % 5 == 0, F.lit(0.9)).alias("override"))
+    return topics.by_effective_weight(o).select("topic_id", F.round("effective", 9).alias("effective"), "place")
+
+
+def review_index(spark, folder):
+    """The first three topics of each customer as text for a review, with the course's exam format."""
+    c = scan(spark, folder, "customer", "c_custkey", "c_name", "c_acctbal")
+    weight = F.abs(F.col("c_acctbal")) / 10000
+    lines = topics.topic_text(F.concat(F.lit("t"), "c_custkey"), F.col("c_name"), weight.cast("double"), F.when(F.col("c_custkey") % 2 == 0, " sum ").otherwise("  "), F.array(F.lit("F = ma")), F.array(F.lit(" mass "), F.lit("")), F.array().cast("array<string>"), F.array().cast("array<string>"))
+    json = F.when(F.col("c_custkey") % 4 == 0, '{"length":"2h","parts":["a",1]}').when(F.col("c_custkey") % 4 == 1, '"open book"').when(F.col("c_custkey") % 4 == 2, "{}")
+    return c.select("c_custkey", lines.alias("topic"), topics.exam_format(json).alias("format"))
+
+
 def weight_writes(spark, folder):
     """Orders' weights that are worth a write."""
     o = scan(spark, folder, "orders", "o_orderkey", "o_totalprice")
@@ -203,7 +227,7 @@ def canonical_hashes(spark, folder):
 
 def late_labels(spark, folder):
     o = scan(spark, folder, "orders", "o_orderkey")
-    return o.select("o_orderkey", T.ago_label(F.col("o_orderkey") % 5000).alias("label"))
+    return o.select("o_orderkey", T.ago_label(F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderkey") % 5000 * 30_000)).alias("label"))
 
 
 def deck_slides(spark, folder):
@@ -270,7 +294,7 @@ QUERIES = {
     for f in (
         grounding, merge_verification, page_expansion, delete_impact, frozen_plans, objective_triage, merge_targets, page_markdown, completeness_index,
         append_once, revision_bump, feed_state, wall_instants, unfiled_items, sourceless_topics, orphaned_chunks, touched_rows, confirmed_rows, log_violations,
-        weight_writes, first_positions, skip_sets, sentence_counts, canonical_hashes, late_labels, deck_slides, provider_sync, failed_deliveries, late_subscriber, disappearances,
+        merge_provenance, effective_order, review_index, weight_writes, first_positions, skip_sets, sentence_counts, canonical_hashes, late_labels, deck_slides, provider_sync, failed_deliveries, late_subscriber, disappearances,
     )
 }
 
@@ -288,7 +312,8 @@ ORACLES = {
     "completeness_index": "SELECT p_size AS course_id, sha256(string_agg(t, chr(10) ORDER BY t)) AS hash FROM (SELECT p_size, p_name || ' ' || p_partkey AS t FROM part) GROUP BY 1",
     "append_once": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'n1,n3' WHEN 1 THEN 'n1,n2,n3' WHEN 2 THEN 'n1,n2,n3' ELSE 'n1,n2,n3,n4' END AS notes FROM customer",
     "revision_bump": "WITH c AS (SELECT c_custkey AS t, CAST(c_custkey % 5 AS INTEGER) AS r, c_name AS p, c_custkey % 3 = 0 AS m FROM customer) SELECT t AS topic_id, CASE WHEN m THEN r + 1 ELSE r END AS revision, CASE WHEN m THEN upper(p) ELSE p END AS page, 'current' AS state FROM c UNION ALL SELECT t, r, p, 'history' FROM c WHERE m",
-    "feed_state": """SELECT s_suppkey, s_suppkey % 7 <> 0 AND (s_suppkey % 5 = 0 OR s_suppkey % 60 >= 30) AS stale, CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE greatest(60000 - s_suppkey * 1000, 0) END AS left_ms, s_suppkey % 3 = 0 AS unchanged, s_suppkey % 400 - 100 BETWEEN -30 AND 180 AS inside FROM supplier""",
+    "feed_state": """SELECT s_suppkey, s_suppkey % 7 <> 0 AND (s_suppkey % 5 = 0 OR s_suppkey % 60 >= 30) AS stale, CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE greatest(60000 - s_suppkey * 1000, 0) END AS left_ms, s_suppkey % 3 = 0 AS unchanged, s_suppkey % 400 - 100 BETWEEN -30 AND 180 AS inside,
+ CASE WHEN s_suppkey % 6 = 0 THEN 'etag' WHEN s_suppkey % 10 = 0 THEN 'last-modified' WHEN s_suppkey % 3 = 0 THEN 'hash' END AS layer FROM supplier""",
     "wall_instants": """WITH w AS (SELECT o_orderkey, CASE WHEN NOT (month(o_orderdate) IN (3, 10) AND day(o_orderdate) >= 25 AND dayofweek(o_orderdate) = 0) THEN o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) END AS w FROM orders)
  SELECT o_orderkey, CAST(epoch(timezone('Europe/Madrid', w)) AS BIGINT) AS instant, CAST(epoch(w) - epoch(timezone('Europe/Madrid', w)) AS BIGINT) AS "offset" FROM w""",
     "unfiled_items": "WITH c AS (SELECT c_custkey FROM customer WHERE c_nationkey <= 9 ORDER BY 1 LIMIT 2000) SELECT c_custkey AS o_custkey, coalesce(string_agg(o_orderkey, ',' ORDER BY o_orderkey), '') AS orders FROM c LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
@@ -297,13 +322,19 @@ ORACLES = {
     "touched_rows": "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'Z' WHEN o_orderkey % 10 <> 1 THEN o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 10 = 1 THEN '2026-02-01' ELSE '2026-01-01' END AS day, count(*) AS n FROM orders GROUP BY ALL",
     "confirmed_rows": "SELECT o_orderkey % 2 = 0 AND o_orderkey % 6 <> 0 AND o_orderkey % 5 <> 0 AS confirmed, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1",
     "log_violations": "SELECT 'append only' AS rule, count(*) AS n FROM orders WHERE o_orderkey % 8 = 0 OR o_orderkey % 9 = 0 UNION ALL SELECT 'merged once', count(*) FROM (SELECT 1 FROM orders GROUP BY o_custkey, o_orderstatus HAVING count(*) > 1)",
+    "merge_provenance": """WITH p AS (SELECT DISTINCT o_custkey AS t, o_orderstatus AS d, CAST(day(o_orderdate) AS INTEGER) AS page FROM orders WHERE o_orderkey % 3 = 0), q AS (SELECT DISTINCT o_custkey AS t, o_orderstatus AS d, CAST(day(o_orderdate) AS INTEGER) AS page FROM orders WHERE o_orderkey % 2 = 0)
+ SELECT t AS topic_id, d AS document_id, string_agg(page, ',' ORDER BY page) AS pages FROM (SELECT * FROM p UNION ALL SELECT * FROM q WHERE (t, d) NOT IN (SELECT t, d FROM p)) GROUP BY ALL""",
+    "effective_order": "SELECT o_orderkey AS topic_id, round(e, 9) AS effective, row_number() OVER (PARTITION BY o_custkey ORDER BY e DESC, o_orderkey) AS place FROM (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 0.9::DOUBLE ELSE (o_totalprice / 500000)::DOUBLE END AS e FROM orders)",
+    "review_index": """WITH c AS (SELECT *, (abs(c_acctbal) / 10000)::DOUBLE AS w FROM customer)
+ SELECT c_custkey, '[topic-id: t' || c_custkey || '] ' || c_name || chr(10) || '  exam weight: ' || printf('%.2f', w) || ' (' || CASE WHEN w >= 0.6 THEN 'HIGH' WHEN w >= 0.35 THEN 'MID' ELSE 'LOW' END || ')' || chr(10) || '  summary: ' || CASE WHEN c_custkey % 2 = 0 THEN 'sum' ELSE '(none)' END || chr(10) || '  formulas: F = ma' || chr(10) || '  key terms: mass' || chr(10) || '  worked examples: none' || chr(10) || '  open questions: none' AS topic,
+ CASE c_custkey % 4 WHEN 0 THEN 'length: 2h' || chr(10) || 'parts: ["a",1]' WHEN 1 THEN 'open book' WHEN 2 THEN 'No exam-format profile recorded for this course.' ELSE 'No exam-format profile recorded for this course — assume a standard written final exam covering the whole course.' END AS format FROM c""",
     "weight_writes": "SELECT o_orderkey FROM orders WHERE o_orderkey % 6 = 0 OR abs(o_totalprice::DOUBLE - (o_totalprice::DOUBLE + (o_orderkey % 3)::DOUBLE * 0.00006::DOUBLE)) >= 1e-4",
     "first_positions": "WITH w AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS p, unnest(l) AS word FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents)) SELECT doc_id, word, CAST(min(p) AS INTEGER) AS first FROM w WHERE word <> '' GROUP BY doc_id, word HAVING count(*) > 40",
     "skip_sets": """WITH d AS (SELECT DISTINCT o_custkey AS doc_id, CAST(day(o_orderdate) AS INTEGER) AS page, o_orderkey % 2 <> 0 AS good FROM orders WHERE o_orderkey % 3 = 0), c AS (SELECT doc_id, page FROM d WHERE good), r AS (SELECT o_custkey, CAST(day(o_orderdate) AS INTEGER) FROM orders WHERE o_orderkey % 5 = 0)
  SELECT *, 'skipped' AS "set" FROM (SELECT * FROM c EXCEPT SELECT * FROM r) UNION ALL SELECT *, 'discredited' FROM (SELECT doc_id, page FROM d WHERE NOT good EXCEPT SELECT * FROM c)""",
     "sentence_counts": "SELECT doc_id, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[^.!?]+[.!?]*'), lambda s: trim(s, ' ') <> '')) AS INTEGER) AS n FROM documents",
     "canonical_hashes": """SELECT o_orderkey, sha256('{"a":"' || o_orderstatus || '","b":' || o_custkey || ',"c":{"y":[true,null],"z":1}}') AS hash FROM orders""",
-    "late_labels": """SELECT o_orderkey, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || ' min ago' WHEN m < 1440 THEN (m // 60) || ' h ago' WHEN m < 2880 THEN 'yesterday' ELSE (m // 1440) || ' days ago' END AS label FROM (SELECT o_orderkey, o_orderkey % 5000 AS m FROM orders)""",
+    "late_labels": """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'never synced' WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || ' min ago' WHEN m < 1440 THEN (m // 60) || 'h ago' ELSE (m // 1440) || 'd ago' END AS label FROM (SELECT o_orderkey, o_orderkey % 5000 // 2 AS m FROM orders)""",
     "deck_slides": "SELECT path, CAST(slide AS INTEGER) AS slide, title, body, notes, CAST(words AS INTEGER) AS words, failed FROM (VALUES ('deck', 1, 'First title', '', '', 2, false), ('deck', 2, 'Second title', 'some body text', 'say this', 5, false), ('broken', NULL, NULL, NULL, NULL, NULL, true)) t(path, slide, title, body, notes, words, failed)",
     "provider_sync": "SELECT name, uid, changed, failed, CAST(n AS BIGINT) AS n, CAST(1 AS BIGINT) AS cursors FROM (VALUES ('good', 'weekly', true, false, 3), ('good', 'day', true, false, 1), ('bad', NULL, true, true, 1), ('known', NULL, false, false, 1)) t(name, uid, changed, failed, n)",
     "failed_deliveries": """WITH r AS (SELECT event_id % 4 + 1 AS a, CASE WHEN event_type <> 'error' THEN 'done' WHEN event_id % 2 <> 0 OR event_id % 4 + 1 >= 3 THEN 'dead' ELSE 'again' END AS part FROM events) SELECT part, count(*) AS n, CAST(sum(CASE WHEN part = 'again' THEN a + 1 ELSE a END) AS BIGINT) AS attempts FROM r GROUP BY part""",

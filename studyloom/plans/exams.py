@@ -145,6 +145,18 @@ def topic_page_chunks(spark, folder):
     return documents.chunk_topic_pages(rows).select("topic_id", "section", "part", "content", "token_count")
 
 
+def feed_summaries(spark, folder):
+    """Parts as raw feed summaries: their names, a kind of session, its numbers, and the room that the location repeats."""
+    p = scan(spark, folder, "part", "p_partkey", "p_name", "p_size")
+    k = F.col("p_partkey")
+    kind = F.element_at(F.array(*map(F.lit, ("", "Extra", "Retake Exam June", "Final exam", "| | , null"))), (k % 5 + 1).cast("int"))
+    numbers = F.when(k % 3 == 0, F.concat(F.lit("(Ses. "), "p_size", F.lit(")"))).when(k % 3 == 1, F.concat(F.lit("(Ses. "), "p_size", F.lit("-"), F.col("p_size") + 1, F.lit(")"))).otherwise("")
+    room = F.format_string("T-%02d.%02d", k % 20, k % 7)
+    rows = p.select("p_partkey", F.concat(F.upper("p_name"), F.lit("    "), kind, F.lit(" "), numbers, F.lit(" "), room).alias("raw"), F.when(k % 2 == 0, room).alias("location"))
+    out = rows.select("p_partkey", *T.normalize_summary(F.col("raw"), F.col("location")))
+    return out.withColumn("label", T.occurrence_label(F.col("title"), F.col("session_from"), F.col("session_to"), F.col("descriptor")))
+
+
 def item_kinds(spark, folder):
     """Orders as items, classified by the six rules."""
     o = scan(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
@@ -160,7 +172,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         exam_status, exam_retakes, semester_bounds, routing_decisions, signals_per_topic, provenance_report, locator_units, page_revert, snapshot_reader,
-        diff_labels, chunk_units, topic_page_chunks, item_kinds,
+        diff_labels, chunk_units, topic_page_chunks, feed_summaries, item_kinds,
     )
 }
 
@@ -209,5 +221,8 @@ ORACLES = {
  SELECT doc_id, CAST(min(page) AS INTEGER) AS page, CAST(max(page) AS INTEGER) AS to_page, CAST(length(coalesce(max(CASE WHEN head AND NOT alone THEN trim(m) END), '')) AS INTEGER) AS title_length,
  sha256(CASE WHEN bool_and(alone) THEN min(m) ELSE coalesce(string_agg(trim(m), chr(10) || chr(10) ORDER BY page) FILTER (trim(m) <> ''), '') END) AS hash FROM g GROUP BY doc_id, run""",
     "topic_page_chunks": """SELECT conv_id AS topic_id, CAST(turn AS VARCHAR) AS section, 0 AS part, 'Turn ' || turn || ' ' || role AS content, CAST(ceil(length('Turn ' || turn || ' ' || role)::DOUBLE / 4) AS INTEGER) AS token_count FROM (SELECT DISTINCT conv_id, turn, role FROM conversations WHERE conv_id IS NOT NULL)""",
+    "feed_summaries": """WITH p AS (SELECT p_partkey, upper(p_name) AS course_name, ['', 'Extra', 'Retake Exam June', 'Final exam', ''][CAST(p_partkey % 5 + 1 AS INTEGER)] AS title, CASE WHEN p_partkey % 3 < 2 THEN p_size END AS a, CASE p_partkey % 3 WHEN 0 THEN p_size WHEN 1 THEN p_size + 1 END AS b,
+ ['regular', 'extra', 'retake', 'final_exam', 'regular'][CAST(p_partkey % 5 + 1 AS INTEGER)] AS descriptor FROM part)
+ SELECT p_partkey, course_name, title, CAST(a AS INTEGER) AS session_from, CAST(b AS INTEGER) AS session_to, descriptor, NULL::VARCHAR AS pseudo, CASE WHEN title <> '' THEN title WHEN b > a THEN 'Sessions ' || a || '–' || b WHEN a IS NOT NULL THEN 'Session ' || a ELSE 'Class' END AS label FROM p""",
     "item_kinds": """SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 OR o_orderkey % 13 = 0 THEN 'class' WHEN o_orderkey % 7 = 0 AND o_orderkey % 2 = 0 THEN 'class' WHEN (o_orderkey % 2 <> 0 OR o_orderkey % 8 = 0) AND o_orderkey % 3 = 0 THEN 'deadline' WHEN o_orderkey % 5 = 0 THEN 'deadline' WHEN o_orderkey % 4 = 0 AND o_orderkey % 2 = 0 THEN 'class' ELSE 'event' END AS kind FROM orders""",
 }

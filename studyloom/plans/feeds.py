@@ -41,7 +41,7 @@ def file_probe(spark, folder):
         ("a.pdf", b"%PDF-1.4 /Type /Pages /Count 2 /Type /Page /Type /Page %%EOF"), ("e.pdf", b"%PDF-1.4 /Encrypt 5 0 R /Type /Page"),
         ("d.pptx", z.getvalue()), ("x.zip", b"PK\x03\x04 broken"), ("t.txt", b"plain text"), ("none", b""),
     ]
-    return files.probed(spark.createDataFrame(rows, "path string, content binary")).select("path", "kind", "encrypted", "pages", "entries", "inflated", "damaged")
+    return files.probed(spark.createDataFrame(rows, "path string, content binary")).select("path", "kind", "encrypted", "has_eof", "pages", "entries", "inflated", "damaged")
 
 
 def strip_document(spark, folder):
@@ -88,7 +88,7 @@ ORACLES = {
     "ics_expand": """SELECT * FROM (VALUES ('good', 'day', '2026-01-19 23:00', '2026-01-19 23:00', NULL, true, 'confirmed', false, false), ('good', 'weekly', '2026-03-16 09:00', '2026-03-16 09:00', '2026-03-16 10:30', false, 'confirmed', false, false),
  ('good', 'weekly', '2026-03-30 08:00', '2026-03-31 10:00', '2026-03-31 11:00', false, 'cancelled', true, false), ('good', 'weekly', '2026-04-06 08:00', '2026-04-06 08:00', '2026-04-06 09:30', false, 'confirmed', false, false), ('bad', NULL, NULL, NULL, NULL, NULL, NULL, NULL, true))
  t(path, uid, recurrence_id, starts_at, ends_at, all_day, status, overridden, failed)""",
-    "file_probe": """SELECT path, kind, encrypted, CAST(pages AS INTEGER) AS pages, CAST(entries AS INTEGER) AS entries, CAST(inflated AS BIGINT) AS inflated, damaged FROM (VALUES ('a.pdf', 'pdf', false, 2, NULL, NULL, false), ('e.pdf', 'pdf', true, NULL, NULL, NULL, true),
+    "file_probe": """SELECT path, kind, encrypted, CASE path WHEN 'a.pdf' THEN true WHEN 'e.pdf' THEN false END AS has_eof, CAST(pages AS INTEGER) AS pages, CAST(entries AS INTEGER) AS entries, CAST(inflated AS BIGINT) AS inflated, damaged FROM (VALUES ('a.pdf', 'pdf', false, 2, NULL, NULL, false), ('e.pdf', 'pdf', true, NULL, NULL, NULL, true),
  ('d.pptx', 'pptx', false, NULL, 2, 6, false), ('x.zip', 'zip', false, NULL, NULL, NULL, true), ('t.txt', 'txt', false, NULL, NULL, NULL, false), ('none', 'empty', false, NULL, NULL, NULL, false)) t(path, kind, encrypted, pages, entries, inflated, damaged)""",
     "strip_document": """SELECT conv_id AS topic_id, count(*) AS blocks, CAST(sum(CASE WHEN turn % 5 = 0 THEN 0 WHEN turn % 3 = 0 THEN CASE WHEN turn % 2 = 1 THEN 1 ELSE 2 END ELSE 1 END) AS BIGINT) AS citations
  FROM (SELECT DISTINCT conv_id, turn FROM conversations) WHERE turn % 5 = 0 OR turn % 3 = 0 OR turn % 2 = 0 GROUP BY 1""",

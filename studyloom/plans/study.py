@@ -206,11 +206,12 @@ ORACLES = {
     "replace_partition": """SELECT o_custkey, o_orderpriority AS hash, o_orderkey FROM orders WHERE o_custkey % 4 = 2 UNION ALL SELECT o_custkey, o_orderpriority, -max(o_orderkey) FROM orders WHERE o_custkey % 4 = 0 GROUP BY ALL""",
     "queue_flush": "SELECT event_id AS client_id, event_id % 3 + CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS attempts FROM events WHERE event_type IN ('view', 'click')",
     "change_feed_view": """WITH l AS (SELECT user_id AS id, arg_max(event_type, event_id) AS body FROM events GROUP BY 1) SELECT * FROM l WHERE body <> 'error' UNION ALL SELECT id + 1000, 'old' FROM l WHERE id % 2 = 0""",
-    "text_functions": r"""WITH n AS (SELECT *, ' ' || c_name || '  /' || c_mktsegment || '% ' AS s FROM customer), k AS (SELECT *, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS key FROM n)
+    "text_functions": r"""WITH n AS (SELECT *, ' ' || c_name || '  /' || c_mktsegment || '% ' AS s FROM customer), k AS (SELECT *, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS key, CAST(trunc(abs(c_acctbal)) AS BIGINT) AS n, floor(c_acctbal)::DOUBLE / 1000 AS d FROM n)
  SELECT c_custkey, lower(trim(regexp_replace(s, '\s+', ' ', 'g'))) AS title, replace(key, ' ', '-') AS slug, key, regexp_replace(s, '[/\\%]', '_', 'g') AS file, array_to_string(list_filter(string_split(key, ' '), lambda w: length(w) >= 3), ',') AS tokens,
  CAST(len(string_split_regex(trim(s), '\s+')) AS INTEGER) AS words, array_to_string(list_slice(string_split_regex(trim(s), '\s+'), 1, 2), ' ') AS head, c_mktsegment = 'MACHINERY' AS machinery,
- CASE WHEN trunc(abs(c_acctbal)) < 1024 THEN CAST(CAST(trunc(abs(c_acctbal)) AS BIGINT) AS VARCHAR) || ' B' ELSE CAST(CAST(floor(trunc(abs(c_acctbal)) / 1024 + 0.5) AS BIGINT) AS VARCHAR) || ' KB' END AS size,
- CASE WHEN floor(c_acctbal) < 0 THEN 'overdue' WHEN floor(c_acctbal) < 1000 THEN 'today' WHEN floor(c_acctbal) < 2000 THEN 'tomorrow' ELSE 'in ' || CAST(CAST(floor(floor(c_acctbal) / 1000) AS BIGINT) AS VARCHAR) || ' days' END AS due FROM k""",
+ CASE WHEN n < 1024 THEN n || ' bytes' ELSE replace(CAST(floor(n::DOUBLE / 1024 * 10 + 0.5) / 10 AS VARCHAR), '.0', '') || ' KB' END AS size,
+ CASE WHEN d < 0 THEN CASE WHEN abs(d) * 24 < 1 THEN 'just now' WHEN abs(d) < 1 THEN CAST(floor(abs(d) * 24) AS INTEGER) || 'h ago' WHEN floor(abs(d)) = 1 THEN '1 day ago' ELSE CAST(floor(abs(d)) AS INTEGER) || ' days ago' END
+ WHEN d * 24 < 1 THEN 'now' WHEN d < 1 THEN 'in ' || CAST(floor(d * 24) AS INTEGER) || 'h' WHEN floor(d) = 1 THEN 'tomorrow' ELSE 'in ' || CAST(floor(d) AS INTEGER) || ' days' END AS due FROM k""",
     "document_kinds": """WITH x AS (SELECT *, ['pdf', 'pptx', 'exe', 'docx'][CAST(p_size % 4 + 1 AS INTEGER)] AS f, (p_partkey % 60) * 1000000 AS size FROM part)
  SELECT p_partkey, ['syllabus', 'case', 'reading', 'exercise', 'slides', 'other'][CAST(p_partkey % 6 + 1 AS INTEGER)] AS kind,
  CASE WHEN size = 0 THEN 'empty' WHEN size > 52428800 THEN 'too-large' WHEN f = 'pdf' AND p_size % 7 = 0 THEN 'encrypted-pdf' WHEN p_size * 25 > 1000 THEN 'archive-too-many-entries' WHEN p_size::BIGINT * 5000000 > 209715200 THEN 'archive-too-large' WHEN f = 'exe' THEN 'unsupported-format' WHEN p_size % 5 = 0 AND f IN ('pptx', 'docx') THEN 'damaged-archive' WHEN p_size % 5 = 0 THEN 'unreadable-format' END AS rejected,

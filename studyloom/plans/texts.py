@@ -221,5 +221,10 @@ ORACLES = {
     "provenance": """WITH k AS (SELECT DISTINCT conv_id, turn, role FROM conversations), c AS (SELECT conv_id, turn, role, 'd' || (conv_id + turn) % 7 AS d, turn * 3 AS page FROM k WHERE role <> 'system' UNION ALL SELECT conv_id, turn, role, 'd' || turn % 5, turn + 1 FROM k WHERE role <> 'system' AND turn % 2 <> 0),
  s AS (SELECT *, d <> 'd6' AND page BETWEEN 1 AND 10 AS ok FROM c), b AS (SELECT k.conv_id, k.turn, k.role, count(d) AS n, count(*) FILTER (ok) AS good, count(DISTINCT CASE WHEN ok THEN d || '#' || page END) AS places FROM k LEFT JOIN s USING (conv_id, turn, role) GROUP BY ALL)
  SELECT CASE WHEN n = 0 THEN 'absent' WHEN good = 0 THEN 'broken' WHEN places >= 2 THEN 'corroborated' ELSE 'single' END AS strength, count(*) AS n, CAST(sum(n) AS BIGINT) AS citations FROM b GROUP BY 1""",
+    "summary_normalise": """SELECT raw, course_name, title, CAST(a AS INTEGER) AS session_from, CAST(b AS INTEGER) AS session_to, descriptor, pseudo, label FROM (VALUES
+ ('MACROECONOMICS  Monetary policy (Ses. 4-5)  T-05.02', 'MACROECONOMICS', 'Monetary policy', 4, 5, 'regular', NULL, 'Monetary policy'), ('FINANCE  Extra session online', 'FINANCE', 'Extra session', NULL, NULL, 'extra', NULL, 'Extra session'),
+ ('STATISTICS  Retake (Ses. 9-7)', 'STATISTICS', 'Retake', 9, 9, 'retake', NULL, 'Retake'), ('LAW  | | , null', 'LAW', '', NULL, NULL, 'regular', NULL, 'Class'), ('** Last update 2026-01-02', '** Last update 2026-01-02', '', NULL, NULL, 'regular', 'last_update', 'Class'),
+ ('DATA  Final exam', 'DATA', 'Final exam', NULL, NULL, 'final_exam', NULL, 'Final exam'), ('OPS  smowl check', 'OPS', 'smowl check', NULL, NULL, 'regular', 'proctoring_check', 'smowl check'), ('ETHICS', 'ETHICS', '', NULL, NULL, 'regular', NULL, 'Class'))
+ t(raw, course_name, title, a, b, descriptor, pseudo, label)""",
     "tail_turns": "SELECT * FROM (SELECT conv_id * 1000 + turn AS k, role FROM conversations WHERE role = 'user' ORDER BY 1 DESC LIMIT 40) ORDER BY k",
 }

@@ -114,5 +114,11 @@ def unchanged(content: Column, known_hash: Column) -> Column:
     return F.sha2(content, 256).eqNullSafe(known_hash)
 
 
+def fetch_layer(known_etag: Column, etag: Column, known_modified: Column, modified: Column, known_hash: Column, content: Column) -> Column:
+    """By which layer a fetched file is known not to have changed: its tag, its time, the hash of its bytes; null where it changed. A
+    tag or time that either side lacks tells nothing."""
+    return F.when(etag == known_etag, "etag").when(modified <= known_modified, "last-modified").when(F.sha2(content, 256) == known_hash, "hash")
+
+
 def fetch_status(code: Column) -> Column:
     return F.when(code.isin(401, 403, 410), "unauthorized").when(code == 304, "not_modified").when(code.between(200, 299), "ok").otherwise("retryable")

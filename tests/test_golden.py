@@ -1,5 +1,6 @@
 """Golden cases of the semantics that the engine must share, transcribed as values."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -148,6 +149,62 @@ def test_token_estimate(spark, text, n):
     assert one(spark, T.token_estimate(F.lit(text)))[0] == n == documents.tokens(text)
 
 
+@pytest.mark.parametrize(
+    ("raw", "location", "title"),
+    [
+        ("MARKETING MANAGEMENT    (Ses. 1) T-06.02", "T-06.02", ""), ("BUILDING POWERFUL RELATIONSHIPS   (Ses. 21) Asynchronous", "Asynchronous", ""), ("IE HUMANITIES   | | | , null, null (Ses. 4-5) T-06.04", "T-06.04", ""),
+        ("DATA INSIGHTS AND VISUALIZATION   (Ses. 12) T-09.03A", "T-09.03A", ""), ("SOME COURSE   (Ses. 2) IE TOWER", "IE TOWER", ""), ("DATA INSIGHTS AND VISUALIZATION    (Ses. 20) T-03.01|T-03.02", "T-03.01|T-03.02", ""),
+        ("COST ACCOUNTING   Extra T-03.01", "T-03.01", "Extra"), ("FINANCE LAB   Extra Live online", "Live online", "Extra"), ("IE HUMANITIES   Class Participation ", None, "Class Participation"),
+        ("IE HUMANITIES   Final Exam - Session 30 ", None, "Final Exam - Session 30"), ("CORPORATE FINANCE   Retake Exam Corporate Finance June 2026 ", None, "Retake Exam Corporate Finance June 2026"),
+    ],
+)
+def test_titles_of_raw_summaries(spark, raw, location, title):
+    row = one(spark, *T.normalize_summary(F.lit(raw), F.lit(location).cast("string")))
+    assert row.title == title
+
+
+def test_small_units_are_joined_as_by_plain_restarts():
+    r = random.Random(1)
+
+    def plain(units):
+        size = lambda u: documents.tokens(documents.rendered(u["title"], u["body"]))
+        units = list(units)
+        while len(units) > 1:
+            k = next((k for k, u in enumerate(units) if size(u) < 120), None)
+            if k is None:
+                return units
+            pairs = [p for p in ((k, k + 1), (k - 1, k)) if 0 <= p[0] and p[1] < len(units)]
+            a, b = next((p for p in pairs if size(documents.merged(units[p[0]], units[p[1]])) <= 800), pairs[0])
+            units[a : b + 1] = [documents.merged(units[a], units[b])]
+        return units
+
+    for _ in range(200):
+        units = [{"page": k, "to_page": k, "title": r.choice(["", "T", f"t{k}"]), "body": "w " * r.choice([0, 5, 100, 230, 300, 900, 1700])} for k in range(r.randrange(1, 12))]
+        assert documents.merge_small(units) == plain(units)
+
+
+def test_lines_are_chunked_as_pages(spark):
+    r = random.Random(2)
+    texts = ["\n".join("word. " * r.choice([0, 1, 20, 90, 200, 900]) for _ in range(r.randrange(1, 9))) for _ in range(30)] + [None, "", "\n\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    pages = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "markdown")).select("doc_id", (F.col("i") + 1).alias("page"), F.lit("").alias("title"), "markdown")
+    rows = lambda df: sorted(tuple(x) for x in df.collect())
+    got = rows(documents.chunk_texts(docs))
+    assert got == rows(documents.chunk_documents(pages)) and all(c[5] <= 800 or c[3] for c in got) and {c[0] for c in got} >= {i for i, t in enumerate(texts) if t and t.strip()}
+
+
+@pytest.mark.parametrize(("n", "label"), [(0, "0 bytes"), (1023, "1023 bytes"), (1024, "1 KB"), (1536, "1.5 KB"), (52_428_800, "50 MB"), (10 * 1024**3 + 1, "10 GB"), (3 * 1024**4, "3 TB"), (-1, "an unknown size"), (None, "an unknown size")])
+def test_byte_sizes(spark, n, label):
+    assert one(spark, T.byte_size_label(F.lit(n).cast("long")))[0] == label
+
+
+@pytest.mark.parametrize(
+    ("days", "label"), [(-0.01, "just now"), (-0.5, "12h ago"), (-1.5, "1 day ago"), (-3.2, "3 days ago"), (0.01, "now"), (0.5, "in 12h"), (1.2, "tomorrow"), (2.0, "in 2 days")]
+)
+def test_due(spark, days, label):
+    assert one(spark, T.due_label(F.lit(days)))[0] == label
+
+
 # Prices ------------------------------------------------------------------------------------------------------------------
 
 

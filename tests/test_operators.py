@@ -157,9 +157,19 @@ def test_change_stream(spark, tmp_path):
     rows = [(1, "a", "INSERT", "v1"), (2, "b", "INSERT", "v1"), (1, "a", "INSERT", "v1"), (3, "a", "UPDATE", "v2"), (4, "b", "DELETE", None)]
     df = spark.createDataFrame([(s, datetime(2026, 1, 1, 0, s), o, i, "c", b) for s, i, o, b in rows], changes.CHANGE)
     df.write.parquet(str(tmp_path / "in"))
-    stream = changes.once(changes.for_course(changes.source(spark, str(tmp_path / "in")), "c"))
-    changes.keep_view(stream, str(tmp_path / "view"), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
-    last = sorted((tmp_path / "view").iterdir())[0]
-    assert [(r.id, r.body) for r in spark.read.parquet(str(last)).collect()] == [("a", "v2")]
-    batch = changes.apply_changes(spark.createDataFrame([("z", "c", "old", 0)], "id string, course_id string, body string, seq long"), df)
+    def run():
+        stream = changes.once(changes.for_course(changes.source(spark, str(tmp_path / "in")), "c"))
+        changes.keep_view(stream, str(tmp_path / "view"), str(tmp_path / "ck"), buckets=2).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.id, r.body) for r in changes.read_view(spark, str(tmp_path / "view")).collect())
+
+    assert run() == [("a", "v2")]
+    for k, more in enumerate(([(5, "b", "INSERT", "v3")], [(6, "a", "DELETE", None)], [(7, "c", "INSERT", "v1"), (8, "b", "UPDATE", "v4")], [(9, "c", "DELETE", None)]), 1):
+        df = spark.createDataFrame([(s, datetime(2026, 1, 1, k, s), o, i, "c", b) for s, i, o, b in more], changes.CHANGE)
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        want = [[("a", "v2"), ("b", "v3")], [("b", "v3")], [("b", "v4"), ("c", "v1")], [("b", "v4")]][k - 1]
+        assert run() == want
+    versions = {b.name: len(list(b.iterdir())) for b in (tmp_path / "view").glob("b=*")}
+    assert versions and max(versions.values()) <= 2
+    first = spark.createDataFrame([(s, datetime(2026, 1, 1, 0, s), o, i, "c", b) for s, i, o, b in rows], changes.CHANGE)
+    batch = changes.apply_changes(spark.createDataFrame([("z", "c", "old", 0)], "id string, course_id string, body string, seq long"), first)
     assert sorted((r.id, r.body) for r in batch.collect()) == [("a", "v2"), ("z", "old")]
