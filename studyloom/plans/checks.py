@@ -277,6 +277,17 @@ def late_subscriber(spark, folder):
     return changes.apply_changes(ev.select("id", "body", "seq").limit(0), changes.backfill(snapshot, feed)).select("id", "body")
 
 
+def keyed_turns(spark, folder):
+    """Events of a user as jobs of one key, each in its turn."""
+    out, provider_class = shared_folder(spark, "turns"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider_class, None)
+    spark.conf.set(provider_class, changes.ROCKSDB)
+    jobs = spark.readStream.schema("event_id long, user_id long").parquet(f"{folder}/event[s].parquet").select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("seq"))
+    changes.in_turn(jobs).writeStream.format("parquet").option("checkpointLocation", shared_folder(spark, "ck")).trigger(availableNow=True).start(out).awaitTermination()
+    spark.conf.set(provider_class, before) if before else spark.conf.unset(provider_class)
+    return spark.read.schema("id string, seq long, turn long").parquet(out)
+
+
 def disappearances(spark, folder):
     """Sightings of users as a stream, in one batch: who is hidden, a day and the watermark's delay after the last sighting."""
     out, provider = shared_folder(spark, "gone"), "spark.sql.streaming.stateStore.providerClass"
@@ -294,7 +305,7 @@ QUERIES = {
     for f in (
         grounding, merge_verification, page_expansion, delete_impact, frozen_plans, objective_triage, merge_targets, page_markdown, completeness_index,
         append_once, revision_bump, feed_state, wall_instants, unfiled_items, sourceless_topics, orphaned_chunks, touched_rows, confirmed_rows, log_violations,
-        merge_provenance, effective_order, review_index, weight_writes, first_positions, skip_sets, sentence_counts, canonical_hashes, late_labels, deck_slides, provider_sync, failed_deliveries, late_subscriber, disappearances,
+        merge_provenance, effective_order, review_index, weight_writes, first_positions, skip_sets, sentence_counts, canonical_hashes, late_labels, deck_slides, provider_sync, failed_deliveries, late_subscriber, keyed_turns, disappearances,
     )
 }
 
@@ -338,6 +349,7 @@ ORACLES = {
     "deck_slides": "SELECT path, CAST(slide AS INTEGER) AS slide, title, body, notes, CAST(words AS INTEGER) AS words, failed FROM (VALUES ('deck', 1, 'First title', '', '', 2, false), ('deck', 2, 'Second title', 'some body text', 'say this', 5, false), ('broken', NULL, NULL, NULL, NULL, NULL, true)) t(path, slide, title, body, notes, words, failed)",
     "provider_sync": "SELECT name, uid, changed, failed, CAST(n AS BIGINT) AS n, CAST(1 AS BIGINT) AS cursors FROM (VALUES ('good', 'weekly', true, false, 3), ('good', 'day', true, false, 1), ('bad', NULL, true, true, 1), ('known', NULL, false, false, 1)) t(name, uid, changed, failed, n)",
     "failed_deliveries": """WITH r AS (SELECT event_id % 4 + 1 AS a, CASE WHEN event_type <> 'error' THEN 'done' WHEN event_id % 2 <> 0 OR event_id % 4 + 1 >= 3 THEN 'dead' ELSE 'again' END AS part FROM events) SELECT part, count(*) AS n, CAST(sum(CASE WHEN part = 'again' THEN a + 1 ELSE a END) AS BIGINT) AS attempts FROM r GROUP BY part""",
+    "keyed_turns": "SELECT CAST(user_id AS VARCHAR) AS id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS turn FROM events",
     "disappearances": """WITH l AS (SELECT user_id, max(ts) AS seen FROM events GROUP BY 1)
  SELECT CAST(user_id AS VARCHAR) AS id, 'hide' AS action, CAST(floor(epoch(seen + INTERVAL 24 HOUR)) AS BIGINT) AS at FROM l WHERE seen + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
     "late_subscriber": "SELECT user_id AS id, arg_max(event_type, event_id) AS body FROM events GROUP BY 1",

@@ -154,6 +154,31 @@ class Disappearance(StatefulProcessor):
         pass
 
 
+class InOrder(StatefulProcessor):
+    """Per key: its jobs one after another, by seq, each once, numbered from 1; one that comes after a later one was done is late and
+    left out."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "last long, n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seqs = sorted({int(s) for r in rows for s in r["seq"]})
+        last, n = self.state.get() if self.state.exists() else (None, 0)
+        fresh = [s for s in seqs if last is None or s > last]
+        if fresh:
+            self.state.update((fresh[-1], n + len(fresh)))
+            yield pd.DataFrame({"id": [key[0]] * len(fresh), "seq": fresh, "turn": range(n + 1, n + len(fresh) + 1)})
+
+    def close(self) -> None:
+        pass
+
+
+def in_turn(jobs: DataFrame) -> DataFrame:
+    """(id string, seq long) stream -> (id, seq, turn): a key's jobs are handled by one task at a time, in order. Needs the RocksDB
+    state store."""
+    return jobs.select("id", "seq").groupBy("id").transformWithStateInPandas(InOrder(), "id string, seq long, turn long", "append", "none")
+
+
 def disappearances(sightings: DataFrame, late: str = "10 minutes") -> DataFrame:
     """(id string, at timestamp) stream -> actions. Needs the RocksDB state store."""
     return sightings.withWatermark("at", late).groupBy("id").transformWithStateInPandas(Disappearance(), SIGHT, "append", "eventTime")
