@@ -79,7 +79,7 @@ def call_log(spark, folder):
     priced = c.join(F.broadcast(R.rate_card(spark).drop("provider", "rank")), "model", "left")
     rows = sinks.log_rows(priced, R.call_price())
     log = sinks.append_log(rows.where("call_id % 2 = 0"), rows, F.col("model"), F.col("latency_ms"))
-    daily = log.groupBy("model", "outcome").agg(F.count("*").alias("calls"), *(F.sum(f"{x}_tokens").alias(f"{x}_tokens") for x in counts), F.sum("latency_ms").alias("latency_ms"), F.round(F.sum(F.col("cost_usd").cast("double")), 3).alias("usd"), F.count_if(F.col("cost_usd").isNull()).alias("unpriced"))
+    daily = log.groupBy("model", "outcome").agg(F.count("*").alias("calls"), *(F.sum(f"{x}_tokens").alias(f"{x}_tokens") for x in counts), F.sum("latency_ms").alias("latency_ms"), F.round(F.sum("cost_usd"), 3).cast("double").alias("usd"), F.count_if(F.col("cost_usd").isNull()).alias("unpriced"))
     return daily
 
 
@@ -125,7 +125,7 @@ ORACLES = {
  SELECT job, model, max_rank, target FROM x WHERE k = 1""",
     "call_log": f"""WITH {PRICED}, said AS (SELECT *, call_id % 10 = 3 AS silent FROM costed QUALIFY call_id % 2 = 0 OR row_number() OVER (PARTITION BY call_id ORDER BY model, latency) = 1)
  SELECT model, outcome, count(*) AS calls, CAST(sum(CASE WHEN silent THEN 0 ELSE i END) AS BIGINT) AS input_tokens, CAST(sum(CASE WHEN silent THEN 0 ELSE o END) AS BIGINT) AS output_tokens, CAST(sum(CASE WHEN silent THEN 0 ELSE coalesce(r, 0) END) AS BIGINT) AS cache_read_tokens,
- CAST(sum(CASE WHEN silent THEN 0 ELSE coalesce(w, 0) END) AS BIGINT) AS cache_write_tokens, CAST(sum(CAST(floor(latency + 0.5) AS BIGINT)) AS BIGINT) AS latency_ms, round(sum(CASE WHEN NOT silent THEN CAST(CAST(cost AS DECIMAL(14, 8)) AS DOUBLE) END), 3) AS usd, count(*) FILTER (silent OR cost IS NULL) AS unpriced FROM said GROUP BY ALL""",
+ CAST(sum(CASE WHEN silent THEN 0 ELSE coalesce(w, 0) END) AS BIGINT) AS cache_write_tokens, CAST(sum(CAST(floor(latency + 0.5) AS BIGINT)) AS BIGINT) AS latency_ms, CAST(round(sum(CASE WHEN NOT silent THEN CAST(cost AS DECIMAL(14, 8)) END), 3) AS DOUBLE) AS usd, count(*) FILTER (silent OR cost IS NULL) AS unpriced FROM said GROUP BY ALL""",
     "vector_reuse": """WITH c AS (SELECT doc_id, doc_id % 2 AS u, sha256(coalesce(text, '')) AS h FROM documents), s AS (SELECT u, h, min(doc_id) AS id FROM c WHERE doc_id % 3 = 0 AND doc_id % 9 <> 0 GROUP BY ALL)
  SELECT doc_id, id IS NULL AS fresh, id::DOUBLE AS vector FROM c LEFT JOIN s USING (u, h)""",
 }

@@ -116,7 +116,7 @@ def wall_instants(spark, folder):
     o = scan(spark, folder, "orders", "o_orderkey", "o_orderdate")
     wall = F.col("o_orderdate").cast("timestamp") + F.expr("make_interval(0, 0, 0, 0, CAST(o_orderkey % 24 AS INT))")
     at = D.to_instant(wall, "Europe/Madrid")
-    plain = F.when(~((F.month("o_orderdate").isin(3, 10)) & (F.dayofmonth("o_orderdate") >= 25) & (F.dayofweek("o_orderdate") == 1)), at)  # days without a change of clocks
+    plain = F.when(~((F.month("o_orderdate").isin(3, 9, 10)) & (F.dayofmonth("o_orderdate") >= 22) & (F.dayofweek("o_orderdate") == 1)), at)  # days without a change of clocks
     return o.select("o_orderkey", F.unix_timestamp(plain).alias("instant"), D.offset_seconds(plain, "Europe/Madrid").alias("offset"))
 
 
@@ -325,7 +325,7 @@ ORACLES = {
     "revision_bump": "WITH c AS (SELECT c_custkey AS t, CAST(c_custkey % 5 AS INTEGER) AS r, c_name AS p, c_custkey % 3 = 0 AS m FROM customer) SELECT t AS topic_id, CASE WHEN m THEN r + 1 ELSE r END AS revision, CASE WHEN m THEN upper(p) ELSE p END AS page, 'current' AS state FROM c UNION ALL SELECT t, r, p, 'history' FROM c WHERE m",
     "feed_state": """SELECT s_suppkey, s_suppkey % 7 <> 0 AND (s_suppkey % 5 = 0 OR s_suppkey % 60 >= 30) AS stale, CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE greatest(60000 - s_suppkey * 1000, 0) END AS left_ms, s_suppkey % 3 = 0 AS unchanged, s_suppkey % 400 - 100 BETWEEN -30 AND 180 AS inside,
  CASE WHEN s_suppkey % 6 = 0 THEN 'etag' WHEN s_suppkey % 10 = 0 THEN 'last-modified' WHEN s_suppkey % 3 = 0 THEN 'hash' END AS layer FROM supplier""",
-    "wall_instants": """WITH w AS (SELECT o_orderkey, CASE WHEN NOT (month(o_orderdate) IN (3, 10) AND day(o_orderdate) >= 25 AND dayofweek(o_orderdate) = 0) THEN o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) END AS w FROM orders)
+    "wall_instants": """WITH w AS (SELECT o_orderkey, CASE WHEN NOT (month(o_orderdate) IN (3, 9, 10) AND day(o_orderdate) >= 22 AND dayofweek(o_orderdate) = 0) THEN o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) END AS w FROM orders)
  SELECT o_orderkey, CAST(epoch(timezone('Europe/Madrid', w)) AS BIGINT) AS instant, CAST(epoch(w) - epoch(timezone('Europe/Madrid', w)) AS BIGINT) AS "offset" FROM w""",
     "unfiled_items": "WITH c AS (SELECT c_custkey FROM customer WHERE c_nationkey <= 9 ORDER BY 1 LIMIT 2000) SELECT c_custkey AS o_custkey, coalesce(string_agg(o_orderkey, ',' ORDER BY o_orderkey), '') AS orders FROM c LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
     "sourceless_topics": "SELECT c_custkey AS topic_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')",
