@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,32 +29,67 @@ def normal_title(x: Column) -> Column:
     return F.lower(collapse(x))
 
 
-@F.pandas_udf(StringType())
-def fold_accents(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """NFKD without combining marks; Spark has no built-in normalisation."""
-    for x in batches:
-        yield x.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)))
+@lru_cache(maxsize=1)
+def decomposed() -> tuple[dict[str, str], dict[str, str], dict[str, str], str]:
+    """What NFKD makes of characters, as far as a-z and 0-9 come out: letters with marks behind, single letters and digits, longer
+    strings; and the combining marks, as a character class."""
+    marked, single, longer, marks = {}, {}, {}, []
+    blocks = ((0x80, 0x3400), (0xA000, 0xAC00), (0xF900, 0x20000))  # ideographs and Hangul syllables between give none of it
+    for c in (c for lo, hi in blocks for c in map(chr, range(lo, hi))):
+        d = unicodedata.normalize("NFKD", c) if unicodedata.decomposition(c) else ""
+        if unicodedata.combining(c) or (d and all(map(unicodedata.combining, d))):
+            marks.append(ord(c))
+            continue
+        if not any("a" <= x <= "z" or "0" <= x <= "9" for x in d):
+            continue
+        if len(d) == 1:
+            single[c] = d
+        elif "a" <= d[0] <= "z" and all(unicodedata.combining(x) for x in d[1:]):
+            marked[c] = d[0]
+        else:
+            longer[c] = re.sub("[A-Z]", " ", d)
+    runs = [[marks[0], marks[0]]]
+    for m in marks[1:]:
+        runs[-1][1] = m if m == runs[-1][1] + 1 else runs[-1][1]
+        if m != runs[-1][1]:
+            runs.append([m, m])
+    return marked, single, longer, "".join(rf"\x{{{lo:X}}}-\x{{{hi:X}}}" for lo, hi in runs)
+
+
+PLAIN = r"[^\x00-\x7F]"
+
+
+def compatible(low: Column, apart: bool) -> Column:
+    """Lower-case text as NFKD has it, as far as a-z and 0-9 go: a letter's mark goes, or, where `apart`, is a blank. Spark has no
+    normalisation; the tables follow from Unicode's."""
+    marked, single, longer, combining = decomposed()
+    named = "".join(rf"\x{{{ord(c):X}}}" for c in longer)
+    table = F.create_map(*(F.lit(x) for kv in longer.items() for x in kv))
+    pieces = F.regexp_extract_all(low, F.lit(f"[{named}]|[^{named}]+"), F.lit(0))
+    long = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
+    some = F.length(F.translate(low, "".join(longer), "")) < F.length(low)  # much cheaper than a class of so many characters
+    text = F.when(some, long).otherwise(low)
+    text = F.translate(text, "".join(single), "".join(single.values()))
+    if not apart:
+        return F.regexp_replace(F.translate(text, "".join(marked), "".join(marked.values())), f"[{combining}]", "")
+    # No upper case is left in the text, so it can stand for "this letter and a blank" for a moment.
+    upper = F.translate(text, "".join(marked), "".join(marked.values()).upper())
+    return F.lower(F.regexp_replace(upper, "([A-Z])", "$1 "))
 
 
 def identity_key(x: Column) -> Column:
     """Lower case, accents folded, everything but letters and digits one space."""
-    folded = F.coalesce(fold_accents(F.when(x.rlike(r"[^\x00-\x7F]"), F.lower(x))), F.lower(x))  # plain texts don't travel
+    low = F.lower(x)
+    folded = F.when(low.rlike(PLAIN), compatible(low, apart=False)).otherwise(low)
     return F.trim(F.regexp_replace(folded, r"[^a-z0-9]+", " "))
 
 
-@F.pandas_udf(StringType())
-def compatible(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """NFKD, combining marks and all; Spark has no built-in normalisation."""
-    for x in batches:
-        yield x.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s))
-
-
 def token_set(x: Column, least: int = 3) -> Column:
     """Distinct words of a-z and 0-9 of at least `least` characters, lower case. A letter's combining mark (after NFKD) parts
     words like any other character: `r\u00e9sum\u00e9` gives `sume`."""
     low = F.lower(x)
-    apart = F.coalesce(compatible(F.when(low.rlike(r"[^\x00-\x7F]"), low)), low)  # plain texts don't travel
-    return F.filter(F.array_distinct(F.split(apart, r"[^a-z0-9]+")), lambda w: F.length(w) >= least)
+    split = F.when(low.rlike(PLAIN), compatible(low, apart=True)).otherwise(low)
+    return F.filter(F.array_distinct(F.split(split, r"[^a-z0-9]+")), lambda w: F.length(w) >= least)
 
 
 def fuzzy_score(tokens: Column, other: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import calendar, documents, routing, topics
-from ..sources.tables import scan
+from ..sources.tables import scan, scan_dealt
 from . import study
 
 SEMESTERS = (("1995-02-01", "1995-06-30"), ("1995-09-01", "1996-01-31"), ("1997-02-01", "1997-06-30"))
@@ -132,7 +132,7 @@ def diff_labels(spark, folder):
 
 def chunk_units(spark, folder):
     """Documents' lines as pages, English ones as readings: their lines of under 40 characters are headings of level 1 to 3."""
-    d = scan(spark, folder, "documents", "doc_id", "text", "lang").where("doc_id IS NOT NULL")
+    d = scan_dealt(spark, folder, "documents", "doc_id", "text", "lang").where("doc_id IS NOT NULL")
     lines = d.select("doc_id", F.when(F.col("lang") == "en", "reading").otherwise("slides").alias("kind"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "markdown")).select("doc_id", "kind", (F.col("i") + 1).alias("page"), F.lit(None).cast("string").alias("title"), "markdown")
     heads = lines.where((F.length("markdown") < 40) & (F.length("markdown") > 0)).select("doc_id", F.lit(1).alias("ord"), "page", (F.col("page") % 3 + 1).alias("level"), F.col("markdown").alias("text"))
     return documents.units_of(lines, heads).select("doc_id", "page", "to_page", F.length("title").alias("title_length"), F.sha2("markdown", 256).alias("hash"))

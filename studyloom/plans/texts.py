@@ -11,7 +11,7 @@ from ..functions import math as M
 from ..functions import text as T
 from ..operators import documents as D
 from ..operators import relational, topics, vectors, windows
-from ..sources.tables import scan
+from ..sources.tables import scan, scan_dealt
 
 
 def newest_turn_per_conv(spark, folder):
@@ -27,7 +27,7 @@ def page_ranges(spark, folder):
 
 def lines_of(spark, folder):
     """The lines of every text as pages; a null text is an empty line."""
-    d = scan(spark, folder, "documents", "doc_id", "text")
+    d = scan_dealt(spark, folder, "documents", "doc_id", "text")
     return d.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line")).select("doc_id", (F.col("i") + 1).cast("int").alias("page"), "line")
 
 
@@ -61,28 +61,28 @@ def coverage_gaps(spark, folder):
 
 
 def hash_normalise(spark, folder):
-    return scan(spark, folder, "documents", "doc_id", "text").select("doc_id", T.text_hash(F.col("text")).alias("hash"))
+    return scan_dealt(spark, folder, "documents", "doc_id", "text").select("doc_id", T.text_hash(F.col("text")).alias("hash"))
 
 
 def chunk_identity(spark, folder):
-    d = scan(spark, folder, "documents", "doc_id", "text")
+    d = scan_dealt(spark, folder, "documents", "doc_id", "text")
     return d.select("doc_id", T.chunk_identity(F.concat(F.lit("page:"), F.col("doc_id")), F.col("text")).alias("chunk_hash"))
 
 
 def token_estimate(spark, folder):
-    return scan(spark, folder, "documents", "doc_id", "text").select("doc_id", T.token_estimate(F.coalesce("text", F.lit(""))).alias("tokens"))
+    return scan_dealt(spark, folder, "documents", "doc_id", "text").select("doc_id", T.token_estimate(F.coalesce("text", F.lit(""))).alias("tokens"))
 
 
 def chunk_document(spark, folder):
     """Every document's lines as pages, merged and split into chunks; the chunk's hash stands for its content."""
-    return D.chunk_texts(scan(spark, folder, "documents", "doc_id", "text")).select("doc_id", "page", "to_page", "part", "token_count", F.sha2("content", 256).alias("content_hash"))
+    return D.chunk_texts(scan_dealt(spark, folder, "documents", "doc_id", "text")).select("doc_id", "page", "to_page", "part", "token_count", F.sha2("content", 256).alias("content_hash"))
 
 
 def fuzzy_map(spark, folder):
     """Every document's nearest benchmark item by shared words, 0.18 at least: an inverted list of the items' words finds the
     pairs, so texts that share nothing never meet."""
     items = scan(spark, folder, "benchmark", "item_id", T.token_set(F.col("text")).alias("w")).select("item_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    docs = scan(spark, folder, "documents", "doc_id", "text").select("doc_id", F.explode(T.token_set(F.col("text"))).alias("word"))
+    docs = scan_dealt(spark, folder, "documents", "doc_id", "text").select("doc_id", F.explode(T.token_set(F.col("text"))).alias("word"))
     shared = docs.join(items, "word").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("shared"))
     scored = shared.withColumn("score", F.col("shared") / F.col("n")).where("score >= 0.18")
     best = relational.top_per(scored, ["doc_id"], [F.desc("score"), F.col("item_id")], 1)

@@ -282,3 +282,16 @@ def test_a_search_needs_a_tenant(spark):
     for user in (None, ""):
         with pytest.raises(ValueError):
             vectors.match_chunks(chunks, [1.0, 0.0], 5, user=user)
+
+
+def test_every_character_is_decomposed_as_by_unicode(spark):
+    import re
+    import unicodedata
+
+    chars = [c for c in map(chr, range(0x80, 0x110000)) if not 0xD800 <= ord(c) < 0xE000 and (unicodedata.decomposition(c) or unicodedata.combining(c)) and not 0xAC00 <= ord(c) < 0xD7A4]
+    texts = [f"abc{c}def ghi{c} {c}12" for c in chars]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.lower("t").alias("low"), T.token_set(F.col("t")).alias("tokens"), T.identity_key(F.col("t")).alias("key")).collect()
+    for r in rows:
+        d = unicodedata.normalize("NFKD", r.low)
+        assert r.tokens == list(dict.fromkeys(w for w in re.split("[^a-z0-9]+", d) if len(w) >= 3)), r
+        assert r.key == re.sub("[^a-z0-9]+", " ", "".join(x for x in d if not unicodedata.combining(x))).strip(), r
