@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import scan, scan_dealt
+
 #: ASCII white space, as the contracts of these operators count words.
 SPACES = r"[\x20\x09-\x0D]+"
 #: bytes.translate table: A-Z to a-z, everything else as it is.
@@ -17,7 +19,8 @@ ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it lies; the texts of a small one are dealt to all cores."""
+    return scan_dealt(spark, sf_dir, name) if name == "documents" else scan(spark, sf_dir, name)
 
 
 def shared_dir(spark: SparkSession) -> str:
