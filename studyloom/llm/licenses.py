@@ -58,7 +58,8 @@ class PositionalIndex:
         self.vocabulary = frozenset(w for ps in self.phrases for p in ps for w in p)
         self.idf = {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) for w in self.vocabulary}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.indexed = []
+        self.indexed: list[list[bytes]] = []
+        self.rarest: dict[bytes, list[int]] = defaultdict(list)
         for k, phrases in enumerate(self.phrases):
             rarest = [sorted(set(p), key=lambda w: (-self.idf[w], w))[:RARE] for p in phrases]
             best = max(range(len(phrases)), key=lambda i: (sum(self.idf[w] for w in rarest[i]), -i))
@@ -67,14 +68,18 @@ class PositionalIndex:
             if not at:
                 raise ValueError(f"a phrase of template {k} does not stand in it")
             self.indexed.append(rare)
+            self.rarest[rare[0]].append(k)
             for w in rare:
                 self.postings[w] += [(k, at[0] + i) for i, x in enumerate(phrase) if x == w]
 
     def alignments(self, words: list[bytes]) -> dict[int, list[int]]:
         """template -> the starts that all of its rare words agree on."""
-        held = sorted(self.postings.keys() & set(words), key=lambda w: (-self.idf[w], w))
-        if not held:
+        seen = self.postings.keys() & set(words)
+        # Looked up by their rarest word; the others must be there too before any place is sought.
+        likely = {k for w in seen for k in self.rarest.get(w, ()) if seen.issuperset(self.indexed[k])}
+        if not likely:
             return {}
+        held = sorted({w for k in likely for w in self.indexed[k]}, key=lambda w: (-self.idf[w], w))
         places: dict[bytes, list[int]] = {w: [] for w in held}
         for at, w in enumerate(words):
             if w in places:
@@ -84,7 +89,8 @@ class PositionalIndex:
         for w in held:
             mine: dict[int, set[int]] = defaultdict(set)
             for k, position in self.postings[w]:
-                mine[k].update(at - position for at in places[w])
+                if k in likely:
+                    mine[k].update(at - position for at in places[w])
             for k, found in mine.items():
                 starts[k] = starts[k] & found if k in starts else found
                 met[k] += 1
