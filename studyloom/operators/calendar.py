@@ -10,7 +10,6 @@ from ..functions.math import item_weight, priority, tier, weight_source
 from .relational import within_any
 
 
-
 def hours(n: int) -> Column:
     return F.expr(f"INTERVAL {n} HOURS")
 

@@ -72,9 +72,13 @@ def within_any(points: DataFrame, bounds: DataFrame, at: str, low: str, high: st
         return F.unix_micros(F.col(c).cast("timestamp")) if dict(df.dtypes)[c].startswith(("timestamp", "date")) else F.col(c).cast("double")
 
     spans = bounds.select(number(bounds, low).alias("_lo"), number(bounds, high).alias("_hi")).where("_lo <= _hi")
-    n, total = spans.agg(F.count("*"), F.sum(F.col("_hi") - F.col("_lo"))).first()
-    width = max(float(total or 0) / max(n, 1), 1e-6)
-    bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
+    n, total, first, last = spans.agg(F.count("*"), F.sum(F.col("_hi") - F.col("_lo")), F.min("_lo"), F.max("_hi")).first()
+    if not n:
+        return points.withColumn(name, F.lit(False))
+    # At least a quarter of what the bounds' stretch has for each, so that there are few buckets though all bounds be points.
+    width = max(float(total) / n, float(last - first) / (4 * n)) or 1.0
+    inside = lambda c: c.between(F.lit(first), F.lit(last))
+    bucket = lambda c: F.when(inside(c), F.floor((c - F.lit(first)) / F.lit(width)).cast("long"))
     pieces = spans.select("_lo", "_hi", F.explode(F.sequence(bucket(F.col("_lo")), bucket(F.col("_hi")))).alias("_b"))
     order = Window.partitionBy("_b").orderBy("_lo", "_hi")
     reached = F.max("_hi").over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -273,6 +273,9 @@ def test_inside_any_bound(spark):
     bounds = spark.createDataFrame([(0.0, 3.0), (2.0, 9.0), (9.0, 9.0), (50.0, 90.0), (60.0, 61.0), (99.0, 98.0), (None, 4.0), (100.0, 100.0)], "lo double, hi double")
     got = {r.x: r.inside for r in relational.within_any(points, bounds, "x", "lo", "hi", "inside").collect()}
     assert got == {None: False} | {float(x): 0 <= x <= 9 or 50 <= x <= 90 or x == 100 for x in range(-5, 105)}
+    dots = spark.createDataFrame([(5.0, 5.0), (7.0, 7.0), (1e15, 1e15)], "lo double, hi double")
+    assert {r.x for r in relational.within_any(points, dots, "x", "lo", "hi", "inside").where("inside").collect()} == {5.0, 7.0}
+    assert {r.x for r in relational.within_any(points, dots.limit(1), "x", "lo", "hi", "inside").where("inside").collect()} == {5.0}
     assert not any(r.inside for r in relational.within_any(points, bounds.limit(0), "x", "lo", "hi", "inside").collect())
 
 
