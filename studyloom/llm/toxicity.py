@@ -120,7 +120,7 @@ def toxic_fragments(labelled: DataFrame, room: int = FRAGMENTS) -> list[bytes]:
 
 
 def training_windows(texts: DataFrame, size: int, fragments: list[bytes] | None = None, most: int = WINDOWS) -> list[bytes]:
-    """At most `most` windows of the texts, those of the smallest hash: `size` words each, one after another, or, where fragments
+    """About `most` windows of the texts at most, those of the smallest hash: `size` words each, one after another, or, where fragments
     are given, around each word that holds one."""
     holds = re.compile(b"|".join(map(re.escape, sorted(fragments)))).search if fragments else None
 
@@ -132,8 +132,10 @@ def training_windows(texts: DataFrame, size: int, fragments: list[bytes] | None
                 found = [b" " + b" ".join(words[max(0, i - AROUND) : i + AROUND + 1]) + b" " for i in at] if holds else windows_of(words, size)
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["window"])
 
-    rows = few_texts(texts.select("text")).mapInArrow(cut, "window binary")
-    return [bytes(r.window) for r in rows.orderBy(F.xxhash64("window"), "window").limit(most).collect()]
+    rows = few_texts(texts.select("text")).mapInArrow(cut, "window binary").withColumn("h", F.pmod(F.xxhash64("window"), F.lit(1_000_003)))
+    rows = materialize(rows, "windows")
+    kept = rows.where(F.col("h") < most / max(rows.count(), 1) * 1_000_003)  # about `most` rows reach the driver, from all tasks together
+    return [window for _, window in sorted((r.h, bytes(r.window)) for r in kept.collect())]
 
 
 def trained(size: int, windows: list[bytes], **shape: int) -> bytes:
