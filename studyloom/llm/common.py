@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,6 +95,14 @@ def replaced_text(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(F.when(F.col("text").isNull(), F.col("row")).otherwise(changed).alias("row")).select("row.*")
 
 
+def tree_merged(parts: DataFrame, read: Callable, merge: Callable, empty: Any) -> Any:
+    """A row per partition of bounded size -> `merge` over what `read` makes of them, by treeReduce: no task, nor the driver, takes
+    more than about 64 of them. `empty` where there is no partition."""
+    rows = parts.rdd.map(read)
+    number = rows.getNumPartitions()
+    return rows.treeReduce(merge, max(2, math.ceil(math.log(number, 64)))) if number else empty
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a long, b long) undirected edges -> (node, component), component the smallest node reachable.
 
