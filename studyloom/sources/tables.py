@@ -47,3 +47,20 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that nothing reads any more; one that isn't there is no error."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows up to which a side of a join is broadcast.
+FEW_ROWS = 200_000
+
+
+def sized(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """df with a hint to broadcast it if it has at most `most` rows, else as it is, to be joined by a shuffle. The count stops at the
+    first row beyond; df should be cheap to read twice."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def held(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: it is worked out once, whatever reads it, and survives lost executors."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
