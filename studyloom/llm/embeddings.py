@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize, table
 
 #: Least and most pivots (a bounded sample of the vectors; between them, the square root of the vectors' number, so that lists
-#: stay short), first places compared, threshold, entries of a block, rows of a call, and the vectors of one dimension up to
-#: which they are a single list.
-LEAST_PIVOTS, PIVOTS, PLACES, THRESHOLD, BLOCK, GROUP, SINGLE = 256, 2048, 5, 0.93, 1024, 8192, 512
+#: stay short, and an eighth of it where it is small), first places compared, threshold, entries of a block and rows of a call.
+LEAST_PIVOTS, PIVOTS, PLACES, THRESHOLD, BLOCK, GROUP = 256, 2048, 5, 0.93, 1024, 8192
 #: Candidates drawn for a pivot, and the cosine that no two pivots reach: pivots out of one group of near copies would be
 #: ordered by noise.
 DRAWN, APART = 16, 0.8
@@ -45,6 +44,22 @@ def pivot_sample(unit: DataFrame, pivots: int) -> np.ndarray:
     return drawn[chosen]
 
 
+def pivot_number(n: int) -> int:
+    return min(PIVOTS, max(LEAST_PIVOTS, math.isqrt(n)), max(2, n // 8))
+
+
+def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(vec_id, label, e) -> u, e at length 1; null where e is null or zero, or holds a null or a non-finite component."""
+    for batch in batches:
+        units: list = [None] * batch.num_rows
+        for i, e in enumerate(batch.column("e").to_pylist()):
+            v = np.array(e, float) if e and None not in e else np.zeros(0)
+            if np.isfinite(v).all() and v.any():
+                v = v / np.abs(v).max()
+                units[i] = v / math.sqrt(v @ v)
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(units, pa.list_(pa.float64()))], names=["vec_id", "label", "u"])
+
+
 def single_lists(unit: DataFrame) -> DataFrame:
     """(entry, label, copies, u) -> LISTS, one list a label."""
     return unit.select("label", F.lit(0).alias("p"), F.lit(1).alias("q"), F.array(F.lit(0), F.lit(1)).alias("first"), "entry", "copies", "u")
@@ -146,24 +161,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, pivots: in
     other but never the smallest; where a whole component has none, component_id is null. Other columns are not read; an
     empty table gives an empty result.
 
-    Each dimension with more than SINGLE different vectors has pivots of its own, a few jobs each; the vectors of all others
-    are a single list a label and dimension.
+    Each dimension has pivots of its own, a few jobs each; without two pivots that lie apart its vectors are one list a label.
+    A vector is scaled by its largest component before its length is taken, so that no finite size overflows or vanishes.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
-    finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.withColumn("norm", F.when(F.coalesce(finite, F.lit(False)), F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))))
-    able = F.col("label").isNotNull() & (F.col("norm") > 0) & (F.col("norm") < float("inf"))
-    scaled = F.when(able, F.transform("e", lambda x: x / F.col("norm")))
-    rows = rows.select("vec_id", F.concat_ws("/", "label", F.size("e").cast("string")).alias("label"), scaled.alias("u"))
-    held = materialize(rows, "unit")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.concat_ws("/", F.col("label").cast("string"), F.size("embedding").cast("string")).alias("label"), F.when(F.col("label").isNotNull(), F.col("embedding").cast("array<double>")).alias("e"))
+    held = materialize(rows.mapInArrow(scaled, "vec_id long, label string, u array<double>"), "unit")
     unique = held.where("u IS NOT NULL").groupBy("label", "u").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
     # An entry is named by its smallest vec_id; equal ids of different vectors are told apart by a hash of the vector.
     unique = materialize(unique.select("*", F.xxhash64("vec_id", "label", "u").alias("entry")), "entries")
-    many = {r["size"]: r["n"] for r in unique.groupBy(F.size("u").alias("size")).agg(F.count("*").alias("n")).where(F.col("n") > SINGLE).collect()}
-    lists = single_lists(unique.where(~F.size("u").isin(list(many))) if many else unique)
-    for size, n in many.items():
+    sizes = {r["size"]: r["n"] for r in unique.groupBy(F.size("u").alias("size")).agg(F.count("*").alias("n")).collect()}
+    lists = single_lists(unique.limit(0))
+    for size, n in sizes.items():
         part = unique.where(F.size("u") == size)
-        lists = lists.unionByName(pivot_lists(part, pivot_sample(part, pivots or min(PIVOTS, max(LEAST_PIVOTS, math.isqrt(n)))), places))
+        lists = lists.unionByName(pivot_lists(part, pivot_sample(part, pivots or pivot_number(n)), places))
     found = materialize(verified_links(lists, threshold), "links")
     degree = found.groupBy("entry").agg(F.sum("linked").alias("linked"))
     members = connected_components(found.select(F.col("entry").alias("a"), F.col("bond").alias("b"))).withColumnRenamed("node", "entry")

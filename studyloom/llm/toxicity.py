@@ -25,9 +25,8 @@ from .common import ASCII_LOWER, few_texts, materialize, table
 
 #: Words of a window that is scored, bytes of the shared and of the trained narrow dictionaries and of the fragments, level.
 WINDOW, SHARED, NARROW, FRAGMENTS, LEVEL = 12, 32_768, 2_048, 2_048, 4
-#: Words on either side in a narrow window, words of a window for the shared dictionary, windows that a dictionary is trained on
-#: at most (those of the smallest hash: a bound on the model's sample), and the trainer's segment and match sizes.
-AROUND, WIDE, WINDOWS, SEGMENT, MATCH = 1, 8, 60_000, 16, 8
+#: Words on either side in a narrow window, words of a window for the shared dictionary, and the trainer's segment and match sizes.
+AROUND, WIDE, SEGMENT, MATCH = 1, 8, 16, 8
 #: Labelled texts a class that the fit uses at most (a bound on the model's sample, not on what is scored), and the
 #: share of a fragment's texts and its rate that mark it: z score and log ratio.
 SAMPLE, LEAST_Z, LEAST_RATIO, GRAMS = 4_000, 4.0, 1.5, (4, 5, 6, 7, 8)
@@ -111,7 +110,7 @@ def toxic_fragments(labelled: DataFrame, room: int = FRAGMENTS) -> list[bytes]:
     ratio = F.log(((F.col("tn") + 0.5) / wt) / ((F.col("on") + 0.5) / wo))
     z = (p - q) / F.sqrt(mean * (1 - mean) * (1 / nt + 1 / no) + 1e-12)
     strong = counts.where("t >= 5 AND gram <> X''").select("gram", ratio.alias("r"), z.alias("z")).where((F.col("r") >= LEAST_RATIO) & (F.col("z") >= LEAST_Z))
-    rows = strong.select("gram", (F.col("z") * F.col("r")).alias("s")).orderBy(F.desc("s"), "gram").limit(2 * room).collect()
+    rows = strong.select("gram", (F.col("z") * F.col("r")).alias("s")).collect()  # of the labelled sample alone
     chosen: list[bytes] = []
     for gram in (bytes(r.gram) for r in sorted(rows, key=lambda r: (-r.s, -len(r.gram), bytes(r.gram)))):
         if sum(map(len, chosen)) < room and not any(gram in c for c in chosen):
@@ -119,9 +118,9 @@ def toxic_fragments(labelled: DataFrame, room: int = FRAGMENTS) -> list[bytes]:
     return chosen
 
 
-def training_windows(texts: DataFrame, size: int, fragments: list[bytes] | None = None, most: int = WINDOWS) -> list[bytes]:
-    """About `most` windows of the texts at most, those of the smallest hash: `size` words each, one after another, or, where fragments
-    are given, around each word that holds one."""
+def training_windows(texts: DataFrame, size: int, fragments: list[bytes] | None = None) -> list[bytes]:
+    """All windows of the texts, in order of a hash: `size` words each, one after another, or, where fragments are given, around each
+    word that holds one. A null or empty text has none. texts is the labelled sample: SAMPLE bounds what reaches the driver."""
     holds = re.compile(b"|".join(map(re.escape, sorted(fragments)))).search if fragments else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,10 +131,8 @@ def training_windows(texts: DataFrame, size: int, fragments: list[bytes] | None
                 found = [b" " + b" ".join(words[max(0, i - AROUND) : i + AROUND + 1]) + b" " for i in at] if holds else windows_of(words, size)
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["window"])
 
-    rows = few_texts(texts.select("text")).mapInArrow(cut, "window binary").withColumn("h", F.pmod(F.xxhash64("window"), F.lit(1_000_003)))
-    rows = materialize(rows, "windows")
-    kept = rows.where(F.col("h") < most / max(rows.count(), 1) * 1_000_003)  # about `most` rows reach the driver, from all tasks together
-    return [window for _, window in sorted((r.h, bytes(r.window)) for r in kept.collect())]
+    rows = few_texts(texts.select("text")).mapInArrow(cut, "window binary").withColumn("h", F.xxhash64("window"))
+    return [window for _, window in sorted((r.h, bytes(r.window)) for r in rows.collect())]
 
 
 def trained(size: int, windows: list[bytes], **shape: int) -> bytes:
@@ -146,6 +143,8 @@ def trained(size: int, windows: list[bytes], **shape: int) -> bytes:
 
 
 def build_dictionaries(labelled: DataFrame, room: int = FRAGMENTS, shared: int = SHARED, narrow: int = NARROW) -> Dictionaries:
+    """The dictionaries of a labelled sample (text, toxic). A class without texts, or with null and empty ones only, has what its windows
+    give: none, so that nothing is saved by it."""
     toxic, ordinary = labelled.where("toxic = 1"), labelled.where("toxic = 0")
     fragments = toxic_fragments(labelled, room)
     base = trained(shared, training_windows(ordinary, WIDE))
