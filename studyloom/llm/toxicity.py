@@ -119,20 +119,24 @@ def toxic_fragments(labelled: DataFrame, room: int = FRAGMENTS) -> list[bytes]:
 
 
 def training_windows(texts: DataFrame, size: int, fragments: list[bytes] | None = None) -> list[bytes]:
-    """All windows of the texts, in order of a hash: `size` words each, one after another, or, where fragments are given, around each
-    word that holds one. A null or empty text has none. texts is the labelled sample: SAMPLE bounds what reaches the driver."""
+    """All windows of the texts, which come in order of a hash: `size` words each, one after another, or, where fragments are given,
+    around each word that holds one. A null or empty text has none. texts is the labelled sample: SAMPLE bounds what reaches
+    the driver, a row of joined windows a text."""
     holds = re.compile(b"|".join(map(re.escape, sorted(fragments)))).search if fragments else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            joined = []
             for text in batch.column("text"):
                 words = words_of(text.as_py())
                 at = [i for i, w in enumerate(words) if holds(b" " + w + b" ")] if holds else []
                 found = [b" " + b" ".join(words[max(0, i - AROUND) : i + AROUND + 1]) + b" " for i in at] if holds else windows_of(words, size)
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["window"])
+                joined.append(b"\n".join(found))
+            yield pa.RecordBatch.from_arrays([pa.array(joined, pa.binary())], names=["windows"])
 
-    rows = few_texts(texts.select("text")).mapInArrow(cut, "window binary").withColumn("h", F.xxhash64("window"))
-    return [window for _, window in sorted((r.h, bytes(r.window)) for r in rows.collect())]
+    rows = few_texts(texts.select("text")).mapInArrow(cut, "windows binary").withColumn("h", F.xxhash64("windows"))
+    texts = sorted((r.h, bytes(r.windows)) for r in rows.where(F.length("windows") > 0).collect())
+    return [window for _, windows in texts for window in windows.split(b"\n")]
 
 
 def trained(size: int, windows: list[bytes], **shape: int) -> bytes:
