@@ -52,14 +52,6 @@ def nearest(points: DataFrame, group: str, at: str, is_target: Column, name: str
     return marked.withColumn(name, chosen).drop("_p", "_n")
 
 
-def covering(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, order: str, value: str, name: str) -> DataFrame:
-    """Each point with `value` of the range low..high (whole numbers, reversed bounds allowed) that holds it and comes first
-    in `order`; an equi-join on the ranges' expanded numbers, for short ranges."""
-    each = ranges.select(F.explode(F.sequence(F.least(low, high), F.greatest(low, high))).alias(at), F.struct(order, value).alias("_r"))
-    first = each.groupBy(at).agg(F.min("_r").alias("_r")).select(at, F.col("_r")[value].alias(name))
-    return points.join(first, at, "left")
-
-
 def within_any(points: DataFrame, bounds: DataFrame, at: str, low: str, high: str, name: str) -> DataFrame:
     """Adds `name`: is each point inside any of the bounds, both ends included? Bounds that are null or reversed hold nothing; a
     null point is inside of none.

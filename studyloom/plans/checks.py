@@ -342,7 +342,7 @@ ORACLES = {
     "weight_writes": "SELECT o_orderkey FROM orders WHERE o_orderkey % 6 = 0 OR abs(o_totalprice::DOUBLE - (o_totalprice::DOUBLE + (o_orderkey % 3)::DOUBLE * 0.00006::DOUBLE)) >= 1e-4",
     "first_positions": "WITH w AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS p, unnest(l) AS word FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents)) SELECT doc_id, word, CAST(min(p) AS INTEGER) AS first FROM w WHERE word <> '' GROUP BY doc_id, word HAVING count(*) > 40",
     "skip_sets": """WITH d AS (SELECT DISTINCT o_custkey AS doc_id, CAST(day(o_orderdate) AS INTEGER) AS page, o_orderkey % 2 <> 0 AS good FROM orders WHERE o_orderkey % 3 = 0), c AS (SELECT doc_id, page FROM d WHERE good), r AS (SELECT o_custkey, CAST(day(o_orderdate) AS INTEGER) FROM orders WHERE o_orderkey % 5 = 0)
- SELECT *, 'skipped' AS "set" FROM (SELECT * FROM c EXCEPT SELECT * FROM r) UNION ALL SELECT *, 'discredited' FROM (SELECT doc_id, page FROM d WHERE NOT good EXCEPT SELECT * FROM c)""",
+ SELECT *, 'skipped' AS "set" FROM (SELECT * FROM c EXCEPT SELECT * FROM r) UNION ALL SELECT *, 'discredited' FROM (SELECT doc_id, page FROM d WHERE NOT good EXCEPT SELECT * FROM c EXCEPT SELECT * FROM r)""",
     "sentence_counts": "SELECT doc_id, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[^.!?]+[.!?]*'), lambda s: trim(s, ' ') <> '')) AS INTEGER) AS n FROM documents",
     "canonical_hashes": """SELECT o_orderkey, sha256('{"a":"' || o_orderstatus || '","b":' || o_custkey || ',"c":{"y":[true,null],"z":1}}') AS hash FROM orders""",
     "late_labels": """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'never synced' WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || ' min ago' WHEN m < 1440 THEN (m // 60) || 'h ago' ELSE (m // 1440) || 'd ago' END AS label FROM (SELECT o_orderkey, o_orderkey % 5000 // 2 AS m FROM orders)""",

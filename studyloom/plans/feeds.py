@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import topics
 from ..sources import files, ics
 from ..sources.tables import scan, shared_folder
-from ..streaming import changes
+from ..streaming import changes, rollups
 
 FEED = "\r\n".join(
     (
@@ -64,15 +64,10 @@ def stream(spark, folder):
 
 
 def stream_hourly(spark, folder):
-    """Hourly counts by type over the events as a stream, the last state of the table."""
+    """Hourly counts by type over the events as a stream, from the rollup that it keeps."""
     out = shared_folder(spark, "hourly")
-
-    def keep(batch, n):
-        batch.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n").write.mode("overwrite").parquet(out)
-
-    windows = changes.tumbling(stream(spark, folder), "1 hour", "1 hour")
-    windows.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", shared_folder(spark, "ck")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    rollups.keep_rollup(stream(spark, folder), out, shared_folder(spark, "ck")).trigger(availableNow=True).start().awaitTermination()
+    return rollups.read_rollup(spark, out).select(F.date_format("hour", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
 
 
 def stream_latest(spark, folder):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import math as M
-from ..operators import calendar, ledger, relational, topics, windows
+from ..operators import calendar, intervals, ledger, relational, topics, windows
 from ..operators.sinks import not_unique, orphans, upsert, violates
 from ..sources.tables import scan
 
@@ -47,7 +47,7 @@ def range_bounds(spark, folder):
     terms = spark.createDataFrame([("1995-01-01", "1995-06-30"), ("1995-05-01", "1995-12-31"), ("1996-03-01", "1996-03-31"), ("1997-09-01", "1998-01-31")], "a string, b string").select(F.to_timestamp("a").alias("a"), F.to_timestamp("b").alias("b"))
     inside = relational.within_any(orders, terms, "at", "a", "b", "inside").withColumn("day", F.dayofmonth("at"))
     spans = spark.createDataFrame([(1, 10, "early", 1), (8, 20, "middle", 2), (31, 25, "late", 3)], "lo int, hi int, name string, ord int")
-    found = relational.covering(inside, spans, "day", "lo", "hi", "ord", "name", "span")
+    found = intervals.first_covering(inside, spans, "day", "lo", "hi", "ord", "name", "span")
     return found.groupBy("inside", "span").agg(F.count("*").alias("n"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from ..functions import math as M
 from ..functions import text as T
 from ..operators import documents as D
-from ..operators import relational, topics, vectors, windows
+from ..operators import intervals, relational, topics, vectors, windows
 from ..sources.tables import scan, scan_dealt
 
 
@@ -37,27 +37,30 @@ def segment_runs(spark, folder):
     return D.segments(pages, 5).select("doc_id", F.col("segment").cast("long").alias("segment"), "from_page", "to_page", "n")
 
 
-def coverage_map(spark, folder):
-    """Lines as pages: those of 20 characters or more were read, every third of them is cited, every fifth line of short
-    ones is declared skipped with a reason that doesn't count on every tenth document."""
+def marked_pages(spark, folder, extra, reason):
+    """Lines as pages: those of 20 characters or more were read, of them all but every third are cited, and every seventh of all; `reason`
+    says why short ones were skipped. Totals, the coverage's pieces, what is cited and the skips."""
     pages = lines_of(spark, folder)
-    totals = pages.groupBy("doc_id").agg((F.count("*") + F.col("doc_id") % 2).cast("int").alias("total"))
+    totals = pages.groupBy("doc_id").agg((F.count("*") + extra).cast("int").alias("total"))
     read = pages.where(F.length("line") >= 20).select("doc_id", "page")
-    cited = read.where("page % 3 <> 0")
-    skipped = pages.where("length(line) < 20").select("doc_id", F.col("page").alias("to_page"), F.col("page").alias("from_page"), F.when(F.col("doc_id") % 10 == 0, "n/a").otherwise("cover page").alias("reason"))
-    marked = D.coverage_pages(totals, read, cited, skipped)
+    cited = read.where("page % 3 <> 0").unionByName(pages.where("page % 7 = 0").select("doc_id", "page"))
+    skips = pages.where(F.length("line") < 20).select("doc_id", F.col("page").alias("ord"), F.col("page").alias("to_page"), F.col("page").alias("from_page"), reason.alias("reason"))
+    cited = intervals.ranges_of(cited, "page")
+    return totals, D.coverage_segments(totals, intervals.ranges_of(read, "page"), cited, skips), cited, skips
+
+
+def coverage_map(spark, folder):
+    """The coverage of every document, with its label and warnings; the reason of a skip doesn't count on every tenth."""
+    totals, pieces, cited, skips = marked_pages(spark, folder, F.col("doc_id") % 2, F.when(F.col("doc_id") % 10 == 0, "n/a").otherwise("cover page"))
     label = topics.coverage_label(*(F.col(f"pages_{c}") for c in ("mapped", "total", "unmapped", "skipped", "undeclared")), F.lit(2), F.col("checked"))
-    return D.coverage(marked, totals).select("doc_id", "pages_total", "pages_mapped", "pages_skipped", "pages_unmapped", "pages_undeclared", F.round("mapped_ratio", 9).alias("mapped_ratio"), "trustworthy", label.alias("label"))
+    told = D.coverage_warnings(D.coverage(pieces, totals), cited, skips)
+    return told.select("doc_id", "pages_total", "pages_mapped", "pages_skipped", "pages_unmapped", "pages_undeclared", F.round("mapped_ratio", 9).alias("mapped_ratio"), "trustworthy", label.alias("label"), F.array_join("warnings", "\n").alias("warnings"))
 
 
 def coverage_gaps(spark, folder):
-    pages = lines_of(spark, folder)
-    totals = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("total"))
-    read = pages.where(F.length("line") >= 20).select("doc_id", "page")
     reason = F.when(F.col("page") % 5 == 0, "n/a").otherwise(F.concat(F.lit(" heading of page "), "page"))
-    skips = pages.where((F.length("line") < 20) & (F.col("doc_id") % 2 == 0)).select("doc_id", F.col("page").alias("from_page"), F.col("page").alias("to_page"), reason.alias("reason"))
-    gaps = D.coverage_gaps(D.coverage_pages(totals, read, read.where("page % 3 <> 0"), skips))
-    return D.gap_reasons(gaps, skips).select("doc_id", "kind", "first", "last", "n", "reason")
+    _, pieces, _, skips = marked_pages(spark, folder, F.lit(0), F.when(F.col("doc_id") % 2 == 0, reason).otherwise(F.lit(None)))
+    return D.gap_reasons(D.coverage_gaps(pieces), skips.where("reason IS NOT NULL")).select("doc_id", "kind", "first", "last", "n", "reason")
 
 
 def hash_normalise(spark, folder):
@@ -191,12 +194,16 @@ ORACLES = {
  k AS (SELECT doc_id, g, i, min(page) AS from_page, max(page) AS to_page, count(*) AS n FROM r GROUP BY ALL)
  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY from_page) AS segment, from_page, to_page, n FROM k""",
     "coverage_map": f"""WITH l AS ({LINES}), t AS (SELECT doc_id, CAST(count(*) + doc_id % 2 AS INTEGER) AS total FROM l GROUP BY doc_id), p AS (SELECT doc_id, total, unnest(range(1, total + 1)) AS page FROM t),
- c AS (SELECT p.doc_id, total, CASE WHEN line IS NOT NULL AND length(line) >= 20 THEN CASE WHEN p.page % 3 <> 0 THEN 'mapped' ELSE 'unmapped' END WHEN line IS NOT NULL AND p.doc_id % 10 <> 0 THEN 'skipped' ELSE 'undeclared' END AS k FROM p LEFT JOIN l ON l.doc_id = p.doc_id AND l.page = p.page),
- n AS (SELECT doc_id, count(*) AS pages_total, count(*) FILTER (k = 'mapped') AS pages_mapped, count(*) FILTER (k = 'skipped') AS pages_skipped, count(*) FILTER (k = 'unmapped') AS pages_unmapped, count(*) FILTER (k = 'undeclared') AS pages_undeclared FROM c GROUP BY doc_id),
- r AS (SELECT *, CASE WHEN pages_total = pages_skipped THEN 1.0::DOUBLE ELSE pages_mapped::DOUBLE / (pages_total - pages_skipped)::DOUBLE END AS q FROM n)
+ c AS (SELECT p.doc_id, total, line IS NOT NULL AND (p.page % 7 = 0 OR (length(line) >= 20 AND p.page % 3 <> 0)) AS cited, coalesce(length(line) >= 20, false) AS read, line IS NOT NULL AND length(line) < 20 AND p.doc_id % 10 <> 0 AS skip,
+  CASE WHEN length(line) < 20 AND p.doc_id % 10 = 0 THEN 'Pages ' || p.page || '–' || p.page || ' were reported skipped with no usable reason (“n/a”), so they are counted as undeclared rather than as a reviewed omission.' END AS w, p.page FROM p LEFT JOIN l ON l.doc_id = p.doc_id AND l.page = p.page),
+ n AS (SELECT doc_id, count(*) AS pages_total, count(*) FILTER (cited) AS pages_mapped, count(*) FILTER (skip) AS pages_skipped, count(*) FILTER (read AND NOT cited) AS pages_unmapped, count(*) FILTER (NOT read AND NOT cited AND NOT skip) AS pages_undeclared, string_agg(w, chr(10) ORDER BY page) AS told FROM c GROUP BY doc_id),
+ r AS (SELECT *, pages_total - pages_skipped AS m, CASE WHEN pages_total = pages_skipped THEN 1.0::DOUBLE ELSE pages_mapped::DOUBLE / (pages_total - pages_skipped)::DOUBLE END AS q FROM n)
  SELECT doc_id, pages_total, pages_mapped, pages_skipped, pages_unmapped, pages_undeclared, round(q, 9) AS mapped_ratio, pages_undeclared = 0 AND q >= 0.6 AND pages_skipped::DOUBLE / pages_total::DOUBLE <= 0.3 AS trustworthy,
- concat_ws(' · ', pages_mapped || ' of ' || pages_total || ' pages mapped across 2 topics', CASE WHEN pages_unmapped > 0 THEN pages_unmapped || ' unmapped' END, CASE WHEN pages_skipped > 0 THEN pages_skipped || ' skipped' END, CASE WHEN pages_undeclared > 0 THEN pages_undeclared || ' unaccounted for' END) AS label FROM r""",
-    "coverage_gaps": f"""WITH k AS (SELECT doc_id, page, CASE WHEN length(line) < 20 THEN CASE WHEN doc_id % 2 = 0 AND page % 5 <> 0 THEN 'skipped' ELSE 'undeclared' END WHEN page % 3 <> 0 THEN 'mapped' ELSE 'unmapped' END AS kind FROM ({LINES})),
+ concat_ws(' · ', pages_mapped || ' of ' || pages_total || ' pages mapped across 2 topics', CASE WHEN pages_unmapped > 0 THEN pages_unmapped || ' unmapped' END, CASE WHEN pages_skipped > 0 THEN pages_skipped || ' skipped' END, CASE WHEN pages_undeclared > 0 THEN pages_undeclared || ' unaccounted for' END) AS label,
+ concat_ws(chr(10), told, CASE WHEN pages_undeclared = 1 THEN '1 page was neither read nor declared skipped. Content on it is missing from your notes without anything saying so.' WHEN pages_undeclared > 1 THEN pages_undeclared || ' pages were neither read nor declared skipped. Content on them is missing from your notes without anything saying so.' END,
+  CASE WHEN pages_skipped::DOUBLE / pages_total > 0.3 THEN pages_skipped || ' of ' || pages_total || ' pages were declared skipped — a large share for one document. The reasons are worth reading before trusting these notes as complete.' END,
+  CASE WHEN q < 0.6 THEN 'Only ' || pages_mapped || ' of ' || m || ' readable page' || CASE WHEN m = 1 THEN '' ELSE 's' END || ' in this document are cited by any topic. The rest was read but did not reach your notes — treat these notes as incomplete until that is explained.' END) AS warnings FROM r""",
+    "coverage_gaps": f"""WITH k AS (SELECT doc_id, page, CASE WHEN length(line) < 20 AND doc_id % 2 = 0 AND page % 5 <> 0 THEN 'skipped' WHEN page % 7 = 0 OR (length(line) >= 20 AND page % 3 <> 0) THEN 'mapped' WHEN length(line) >= 20 THEN 'unmapped' ELSE 'undeclared' END AS kind FROM ({LINES})),
  g AS (SELECT *, page - row_number() OVER (PARTITION BY doc_id, kind ORDER BY page) AS g FROM k WHERE kind <> 'mapped'),
  r AS (SELECT doc_id, kind, min(page) AS first, max(page) AS last, count(*) AS n FROM g GROUP BY doc_id, kind, g)
  SELECT *, CASE WHEN kind = 'skipped' THEN 'heading of page ' || first WHEN kind = 'unmapped' THEN 'read, but no topic page cites it' WHEN doc_id % 2 = 0 THEN 'reported skipped without a usable reason' ELSE 'not read and not declared skipped' END AS reason FROM r""",

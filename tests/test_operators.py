@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from studyloom.operators import calendar, documents, ledger, relational, sinks, topics, windows
+from studyloom.operators import calendar, documents, intervals, ledger, relational, sinks, topics, windows
 from studyloom.sources import files, ics
 from studyloom.streaming import changes
 
@@ -136,14 +136,63 @@ def test_sinks(spark):
     assert sorted(map(tuple, sinks.flush_queue(queue, results).collect())) == [("b", 2), ("c", 0)]
 
 
+def covered(spark, total, read=(), cited=(), skips=()):
+    docs = spark.createDataFrame([(1, total)], "doc_id int, total int")
+    pages = lambda ps: spark.createDataFrame([(1, x, x) for x in ps], "doc_id int, lo int, hi int")
+    said = spark.createDataFrame([(1, k, *s) for k, s in enumerate(skips)], "doc_id int, ord int, from_page int, to_page int, reason string")
+    pieces = documents.coverage_segments(docs, pages(read), pages(cited), said)
+    row = documents.coverage_warnings(documents.coverage(pieces, docs), pages(cited), said).first()
+    gaps = documents.gap_reasons(documents.coverage_gaps(pieces), said).orderBy("first", "last").collect()
+    return row, [(r.kind, r.first, r["last"], r.reason) for r in gaps]
+
+
 def test_coverage(spark):
-    docs = spark.createDataFrame([(1, 5)], "doc_id int, total int")
-    pages = lambda *p: spark.createDataFrame([(1, x) for x in p], "doc_id int, page int")
-    skips = spark.createDataFrame([(1, 5, 4, "appendix only"), (1, 3, 3, "n/a")], "doc_id int, from_page int, to_page int, reason string")
-    marked = documents.coverage_pages(docs, pages(1, 2), pages(1, 9), skips)
-    assert {r.page: r["class"] for r in marked.collect()} == {1: "mapped", 2: "unmapped", 3: "undeclared", 4: "skipped", 5: "skipped"}
-    row = documents.coverage(marked, docs).first()
-    assert (row.pages_mapped, row.pages_skipped, row.trustworthy) == (1, 2, False)
+    row, gaps = covered(spark, 5, (1, 2), (1, 9), [(5, 4, "appendix only"), (3, 3, "n/a"), (0, 2, "cover"), (7, 8, "index pages")])
+    assert gaps == [("unmapped", 2, 2, "read, but no topic page cites it"), ("undeclared", 3, 3, "reported skipped without a usable reason"), ("skipped", 4, 5, "appendix only")]
+    assert (row.pages_mapped, row.pages_skipped, row.pages_unmapped, row.pages_undeclared, row.trustworthy) == (1, 2, 1, 1, False)
+    assert row.warnings == [
+        "Pages 3–3 were reported skipped with no usable reason (“n/a”), so they are counted as undeclared rather than as a reviewed omission.", "A skipped range (0–2) was not a page range and was ignored.",
+        "A skipped range (7–8) lies outside this 5-page document and was ignored.", "1 citation point past the end of this 5-page document (9) and were not counted as covered.",
+        "1 page was neither read nor declared skipped. Content on it is missing from your notes without anything saying so.",
+        "2 of 5 pages were declared skipped — a large share for one document. The reasons are worth reading before trusting these notes as complete.",
+        "Only 1 of 3 readable pages in this document are cited by any topic. The rest was read but did not reach your notes — treat these notes as incomplete until that is explained.",
+    ]
+
+
+def test_a_page_both_skipped_and_cited_is_mapped_and_a_gap(spark):
+    row, gaps = covered(spark, 2, (1,), (1, 2), [(2, 2, "answer key"), (2, 2, "blank page"), (1, 1, "none")])
+    assert (row.pages_mapped, row.pages_skipped) == (2, 1) and gaps == [("skipped", 2, 2, "answer key")]
+
+
+def test_coverage_without_a_total(spark):
+    row, gaps = covered(spark, None, (1, 3), (3, 4))
+    assert (row.checked, row.pages_total, row.trustworthy) == (False, 4, False) and gaps == [("unmapped", 1, 1, "read, but no topic page cites it"), ("undeclared", 2, 2, "not read and not declared skipped")]
+    assert row.warnings[0].startswith("This document's page count could not be established")
+
+
+def test_a_read_page_is_in_no_skip_set(spark):
+    declared = spark.createDataFrame([(1, 1, "n/a"), (1, 2, "n/a"), (1, 3, "cover page"), (1, 4, "cover page"), (1, 4, "-")], "doc_id int, page int, reason string")
+    skips, bad = documents.skip_sets(declared, spark.createDataFrame([(1, 1), (1, 3)], "doc_id int, page int"))
+    assert [tuple(r) for r in skips.collect()] == [(1, 4)] and [tuple(r) for r in bad.collect()] == [(1, 2)]
+
+
+def test_intervals(spark):
+    r = random.Random(4)
+    rows = [(name, k, *sorted((r.randrange(60), r.randrange(60)), reverse=r.random() < 0.3)) for name in "ab" for k in range(3) for _ in range(r.randrange(1, 9))]
+    part = lambda name: spark.createDataFrame([x[1:] for x in rows if x[0] == name] + [(0, None, 5)], "k int, lo int, hi int")
+    held = lambda name, k: {i for n, j, a, b in rows if n == name and j == k for i in range(min(a, b), max(a, b) + 1)}
+    for got, want in ((intervals.union(part("a"), ["k"]), lambda a, b: a), (intervals.intersection(part("a"), part("b"), ["k"]), lambda a, b: a & b), (intervals.difference(part("a"), part("b"), ["k"]), lambda a, b: a - b)):
+        found = got.collect()
+        for k in range(3):
+            mine = sorted((x.lo, x.hi) for x in found if x.k == k)
+            assert {i for a, b in mine for i in range(a, b + 1)} == want(held("a", k), held("b", k))
+            assert all(a[1] + 1 < b[0] for a, b in zip(mine, mine[1:]))
+    wide = spark.createDataFrame([(1, 1, 10**10), (1, 5 * 10**9, 2 * 10**10)], "k int, lo long, hi long")
+    assert [tuple(x) for x in intervals.union(wide, ["k"]).collect()] == [(1, 1, 2 * 10**10)]
+    points = spark.createDataFrame([(x,) for x in [*range(-2, 64), 5, None]], "at int")
+    spans = spark.createDataFrame([(i, a, b) for i, (_, _, a, b) in enumerate(rows)] + [(99, None, 3)], "ord int, lo int, hi int")
+    for x in intervals.first_covering(points, spans, "at", "lo", "hi", "ord", "ord", "found").collect():
+        assert x.found == min((i for i, (_, _, a, b) in enumerate(rows) if x.at is not None and min(a, b) <= x.at <= max(a, b)), default=None)
 
 
 def test_merge_loss(spark):
