@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import normal_title
 from .relational import top_per
+from .similarity import held_share
 from .windows import first_wins
 
 #: The least fuzzy score, and the segments from which a single target looks like an under-split document.
@@ -19,14 +20,15 @@ def map_signals(signals: DataFrame, topics: DataFrame, sources: DataFrame) -> Da
     if several), else by shared words over all topics from 0.18 on, else unmapped.
 
     signals: signal_id, document_id, page, tokens; topics: topic_id, ord, tokens; sources: topic_id, document_id, page.
-    Topics meet a signal through their words, an inverted list, so nothing that shares no word meets.
+    Over all topics a signal meets those that hold one of its rarer words (held_share); on its page the few that cite it are
+    compared as they are. A signal's tokens are without repeats.
     """
-    n = F.size("tokens")
-    words = signals.select("signal_id", n.alias("n"), F.explode("tokens").alias("word"))
-    lists = topics.select("topic_id", "ord", F.explode("tokens").alias("word"))
-    shared = words.join(lists, "word").groupBy("signal_id", "topic_id", "ord", "n").agg(F.count("*").alias("s")).select("signal_id", "topic_id", "ord", (F.col("s") / F.col("n")).alias("score"))
-    on_page = signals.join(sources.distinct(), ["document_id", "page"]).select("signal_id", "topic_id").distinct().join(topics.select("topic_id", "ord"), "topic_id")
-    scored = on_page.join(shared.select("signal_id", "topic_id", "score"), ["signal_id", "topic_id"], "left").fillna(0.0, ["score"])
+    sets = topics.select(F.col("topic_id").alias("lid"), F.col("tokens").alias("words"))
+    near = held_share(sets, signals.select(F.col("signal_id").alias("rid"), F.col("tokens").alias("words")), FUZZY)
+    shared = near.select(F.col("rid").alias("signal_id"), F.col("lid").alias("topic_id"), "score").join(topics.select("topic_id", "ord"), "topic_id")
+    on_page = signals.join(sources.distinct(), ["document_id", "page"]).select("signal_id", "topic_id", F.col("tokens").alias("_s")).dropDuplicates(["signal_id", "topic_id"]).join(topics.select("topic_id", "ord", "tokens"), "topic_id")
+    score = F.when(F.size("_s") > 0, F.size(F.array_intersect("_s", "tokens")) / F.size("_s")).otherwise(F.lit(0.0))
+    scored = on_page.select("signal_id", "topic_id", "ord", score.alias("score"))
     several = on_page.groupBy("signal_id").agg(F.count("*").alias("pages"))
     best = lambda df: top_per(df, ["signal_id"], [F.desc("score"), F.col("ord")], 1).drop("rank")
     by_page = best(scored).join(several, "signal_id").select("signal_id", F.col("topic_id").alias("pt"), F.when(F.col("pages") == 1, 1.0).otherwise(F.col("score")).alias("ps"))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from ..functions import math as M
 from ..functions import text as T
 from ..operators import documents as D
-from ..operators import intervals, relational, topics, vectors, windows
+from ..operators import intervals, relational, similarity, topics, vectors, windows
 from ..sources.tables import scan, scan_dealt
 
 
@@ -82,14 +82,11 @@ def chunk_document(spark, folder):
 
 
 def fuzzy_map(spark, folder):
-    """Every document's nearest benchmark item by shared words, 0.18 at least: an inverted list of the items' words finds the
-    pairs, so texts that share nothing never meet."""
-    items = scan(spark, folder, "benchmark", "item_id", T.token_set(F.col("text")).alias("w")).select("item_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    docs = scan_dealt(spark, folder, "documents", "doc_id", "text").select("doc_id", F.explode(T.token_set(F.col("text"))).alias("word"))
-    shared = docs.join(items, "word").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("shared"))
-    scored = shared.withColumn("score", F.col("shared") / F.col("n")).where("score >= 0.18")
-    best = relational.top_per(scored, ["doc_id"], [F.desc("score"), F.col("item_id")], 1)
-    return best.select("doc_id", "item_id", F.round("score", 9).alias("score"))
+    """Every document's nearest benchmark item by shared words, 0.18 at least, through lists of the items' rarer words."""
+    items = scan(spark, folder, "benchmark", F.col("item_id").alias("rid"), T.token_set(F.col("text")).alias("words"))
+    docs = scan_dealt(spark, folder, "documents", F.col("doc_id").alias("lid"), T.token_set(F.col("text")).alias("words"))
+    best = relational.top_per(similarity.held_share(docs, items, 0.18), ["lid"], [F.desc("score"), F.col("rid")], 1)
+    return best.select(F.col("lid").alias("doc_id"), F.col("rid").alias("item_id"), F.round("score", 9).alias("score"))
 
 
 #: Dollars a million tokens in and out by role, for the price query.
