@@ -14,7 +14,7 @@ from ..functions import math as M
 from ..functions import text as T
 from ..operators import calendar, documents, pages, relational, routing, sinks, topics
 from ..sources import files, provider
-from ..sources.tables import scan, shared_folder
+from ..sources.tables import scan, shared_folder, timers
 from ..streaming import changes
 from .feeds import FEED
 
@@ -270,42 +270,104 @@ def failed_deliveries(spark, folder):
 
 
 def late_subscriber(spark, folder):
-    """A snapshot up to event 2,000 and a feed from 1,500 on: the view of both is that of all events."""
-    ev = scan(spark, folder, "events", F.col("event_id").alias("seq"), F.col("user_id").alias("id"), F.col("event_type").alias("body"))
-    snapshot = ev.where("seq <= 2000").groupBy("id").agg(F.max("seq").alias("seq"), F.max_by("body", "seq").alias("body"))
-    feed = ev.where("seq >= 1500").withColumn("op", F.lit("UPDATE"))
-    return changes.apply_changes(ev.select("id", "body", "seq").limit(0), changes.backfill(snapshot, feed)).select("id", "body")
+    """A live view from a snapshot of the first half of all events, and a feed from a quarter on, in files; it is stopped between
+    two of them and started again."""
+    source, out, checkpoint = shared_folder(spark, "feed"), shared_folder(spark, "view"), shared_folder(spark, "ck")
+    ev = scan(spark, folder, "events", F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("id"), F.lit("c").alias("course_id"), F.col("event_type").alias("body"))
+    half = ev.agg(F.coalesce(F.max("seq"), F.lit(0)).cast("long").alias("n")).first()["n"] // 2
+    snapshot = ev.where(F.col("seq") <= half).groupBy("id").agg(F.first("course_id").alias("course_id"), F.max("seq").alias("seq"), F.max_by("body", "seq").alias("body"))
+    feed = ev.withColumn("op", F.lit("UPDATE"))
+    for low, high in ((half // 2, half + half // 2), (half + half // 2, 2 * half + 2)):
+        feed.where(F.col("seq").between(low, high)).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        changes.keep_view_from(snapshot, half, stream, out, checkpoint, buckets=8).trigger(availableNow=True).start().awaitTermination()
+    return changes.read_view(spark, out).select("id", "body")
 
 
 def keyed_turns(spark, folder):
     """Events of a user as jobs of one key, each in its turn."""
-    out, provider_class = shared_folder(spark, "turns"), "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider_class, None)
-    spark.conf.set(provider_class, changes.ROCKSDB)
+    out = shared_folder(spark, "turns")
     jobs = spark.readStream.schema("event_id long, user_id long").parquet(f"{folder}/event[s].parquet").select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("seq"))
-    changes.in_turn(jobs).writeStream.format("parquet").option("checkpointLocation", shared_folder(spark, "ck")).trigger(availableNow=True).start(out).awaitTermination()
-    spark.conf.set(provider_class, before) if before else spark.conf.unset(provider_class)
+    with timers(spark):
+        changes.in_turn(jobs).writeStream.format("parquet").option("checkpointLocation", shared_folder(spark, "ck")).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema("id string, seq long, turn long").parquet(out)
 
 
 def disappearances(spark, folder):
     """Sightings of users as a stream, in one batch: who is hidden, a day and the watermark's delay after the last sighting."""
-    out, provider = shared_folder(spark, "gone"), "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, changes.ROCKSDB)  # timers need it
+    out = shared_folder(spark, "gone")
     seen = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long").parquet(f"{folder}/event[s].parquet").select(F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("at"))
-    actions = changes.disappearances(seen)
-    actions.writeStream.format("parquet").option("checkpointLocation", shared_folder(spark, "ck")).trigger(availableNow=True).start(out).awaitTermination()
-    spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+    with timers(spark):
+        changes.disappearances(seen).writeStream.format("parquet").option("checkpointLocation", shared_folder(spark, "ck")).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema("id string, action string, at timestamp").parquet(out).select("id", "action", F.unix_timestamp("at").alias("at"))
 
 
+def outcome(key: str, attempt: int) -> tuple[str | None, bool]:
+    """A delivery that fails as often as its key says; every eleventh key's error is not worth a retry."""
+    failing = attempt <= int(key) % 7
+    return ("unavailable" if failing else None), int(key) % 11 != 0
+
+
+def retried_deliveries(spark, folder):
+    """A delivery for each user of the events, tried up to five times; pauses are a hundredth of a second here, doubled up to eight."""
+    out, wanted = shared_folder(spark, "attempts"), scan(spark, folder, "events", "user_id").distinct().count()
+    asked = spark.readStream.schema("event_id long, user_id long").parquet(f"{folder}/event[s].parquet").select(F.col("user_id").cast("string").alias("id"))
+    attempts = lambda: spark.read.schema(changes.ATTEMPT).parquet(out)
+    with timers(spark):
+        query = changes.retried(asked, outcome, first=0.01, longest=0.08).writeStream.format("parquet").option("checkpointLocation", shared_folder(spark, "ck")).trigger(processingTime="0 seconds").start(out)
+        try:
+            for _ in range(600):  # till all are settled, ten minutes at most
+                if query.awaitTermination(1) or attempts().where("outcome <> 'again'").count() >= wanted:
+                    break
+        finally:
+            query.stop()
+    return attempts().select("id", "attempt", "outcome", F.round(F.col("pause") * 100).cast("long").alias("pause"))
+
+
+def review_invalidation(spark, folder):
+    """Users as topics whose revision is the event's number, errors remove them; customers as reviews that saw a revision by their key."""
+    out, source = shared_folder(spark, "flags"), shared_folder(spark, "topics")
+    ev = scan(spark, folder, "events", F.col("user_id").alias("topic_id"), F.col("event_id").alias("revision"), F.when((F.col("event_type") == "error") & (F.col("event_id") % 50 == 0), "DELETE").otherwise("UPDATE").alias("op"))
+    for k in (1, 0, 1):  # out of order, and a file twice
+        ev.where(F.col("revision") % 2 == k).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    reviews = scan(spark, folder, "customer", F.col("c_custkey").alias("review_id"), (F.col("c_custkey") % 100).alias("topic_id"), (F.col("c_custkey") * 7).alias("revision"))
+    changes.invalidated(reviews, stream).writeStream.format("parquet").option("checkpointLocation", shared_folder(spark, "ck")).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema("review_id long").parquet(out)
+
+
+def feed_changes(spark, folder):
+    """Orders as calendar feeds by customer, followed while some of them change; then once more while none does."""
+    provider.register(spark)
+    at, log, view, checkpoint = (shared_folder(spark, n) for n in ("feeds", "log", "view", "ck"))
+    o = scan(spark, folder, "orders", F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 20).alias("name"), F.date_format("o_orderdate", "yyyyMMdd").alias("day"))
+
+    def publish(rows, title):
+        event = F.concat(F.lit("BEGIN:VEVENT\r\nUID:"), "k", F.lit("\r\nDTSTART;VALUE=DATE:"), "day", F.lit("\r\nSUMMARY:"), title, F.lit("\r\nEND:VEVENT"))
+        feed = F.concat(F.lit("BEGIN:VCALENDAR\r\n"), F.array_join(F.array_sort(F.collect_list(event)), "\r\n"), F.lit("\r\nEND:VCALENDAR"))
+        rows.groupBy("name").agg(feed.alias("value")).repartition("name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").text(at)
+
+    def follow():
+        feeds = spark.readStream.format("calendar_feed").option("path", at).option("feed", "name=([0-9]+)").load()
+        changes.keep_feed_changes(feeds, log, view, checkpoint, buckets=8).trigger(availableNow=True).start().awaitTermination()
+
+    publish(o.where("k % 10 < 8"), F.lit("Order"))
+    follow()
+    publish(o.where("k % 10 >= 1 AND name < 15"), F.when(F.col("k") % 7 == 0, "Order, moved").otherwise("Order"))
+    publish(o.where("k % 10 < 8 AND name >= 15"), F.lit("Order"))  # written anew, with the bytes that it had
+    follow()
+    follow()
+    rows = spark.read.schema("op string, id string, course_id string, body string, seq long, batch int").parquet(log)
+    return rows.select(F.split("id", "\\|")[1].cast("long").alias("k"), "op", F.col("course_id").cast("long").alias("feed"), F.col("batch").cast("long").alias("batch"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         grounding, merge_verification, page_expansion, delete_impact, frozen_plans, objective_triage, merge_targets, page_markdown, completeness_index,
         append_once, revision_bump, feed_state, wall_instants, unfiled_items, sourceless_topics, orphaned_chunks, touched_rows, confirmed_rows, log_violations,
         merge_provenance, effective_order, review_index, weight_writes, first_positions, skip_sets, sentence_counts, canonical_hashes, late_labels, deck_slides, provider_sync, failed_deliveries, late_subscriber, keyed_turns, disappearances,
+        retried_deliveries, review_invalidation, feed_changes,
     )
 }
 
@@ -352,5 +414,10 @@ ORACLES = {
     "keyed_turns": "SELECT CAST(user_id AS VARCHAR) AS id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS turn FROM events",
     "disappearances": """WITH l AS (SELECT user_id, max(ts) AS seen FROM events GROUP BY 1)
  SELECT CAST(user_id AS VARCHAR) AS id, 'hide' AS action, CAST(floor(epoch(seen + INTERVAL 24 HOUR)) AS BIGINT) AS at FROM l WHERE seen + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
-    "late_subscriber": "SELECT user_id AS id, arg_max(event_type, event_id) AS body FROM events GROUP BY 1",
+    "late_subscriber": "SELECT CAST(user_id AS VARCHAR) AS id, arg_max(event_type, event_id) AS body FROM events GROUP BY 1",
+    "retried_deliveries": """WITH u AS (SELECT DISTINCT user_id AS k FROM events), a AS (SELECT k, unnest(range(1, 6)) AS attempt FROM u), r AS (SELECT k, attempt, CASE WHEN attempt > k % 7 THEN 'done' WHEN k % 11 = 0 OR attempt = 5 THEN 'dead' ELSE 'again' END AS outcome FROM a),
+ l AS (SELECT k, min(attempt) AS last FROM r WHERE outcome <> 'again' GROUP BY k) SELECT CAST(k AS VARCHAR) AS id, CAST(attempt AS INTEGER) AS attempt, outcome, CASE WHEN outcome = 'again' THEN least(1 << (attempt - 1), 8) END AS pause FROM r JOIN l USING (k) WHERE attempt <= last""",
+    "review_invalidation": "SELECT DISTINCT c_custkey AS review_id FROM customer JOIN events ON user_id = c_custkey % 100 WHERE event_id > c_custkey * 7 OR (event_type = 'error' AND event_id % 50 = 0)",
+    "feed_changes": """WITH o AS (SELECT o_orderkey AS k, o_custkey % 20 AS feed FROM orders) SELECT k, 'INSERT' AS op, feed, 0 AS batch FROM o WHERE k % 10 < 8
+ UNION ALL SELECT k, CASE WHEN k % 10 = 0 THEN 'DELETE' WHEN k % 10 >= 8 THEN 'INSERT' ELSE 'UPDATE' END, feed, 1 FROM o WHERE feed < 15 AND (k % 10 = 0 OR k % 10 >= 8 OR k % 7 = 0)""",
 }

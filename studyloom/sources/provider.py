@@ -1,6 +1,7 @@
 """Calendar providers as Spark data sources: `spark.read.format("calendar_feed")` reads a folder of feeds.
 
-Options are checked before anything is read. A feed whose bytes have a known hash (`known`, a JSON array) is not parsed; one that can't be parsed gives
+`spark.readStream` follows the folder: its offset is the hash of each feed, so that a feed whose bytes are what they were is not read
+again, whatever its date, and one that is gone gives a row without cursor. Options are checked before anything is read. A feed whose bytes have a known hash (`known`, a JSON array) is not parsed; one that can't be parsed gives
 a row with `error`. Files are reached through the file system of their path's scheme.
 """
 
@@ -8,16 +9,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from datetime import datetime
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from . import ics
 
-#: Options: name -> (how it is read, default; None where it is required).
-OPTIONS = {"path": (str, None), "timezone": (str, "UTC"), "from": (datetime.fromisoformat, "1970-01-01"), "to": (datetime.fromisoformat, "2100-01-01"), "known": (json.loads, "[]")}
+#: Options: name -> (how it is read, default; None where it is required). feed: a pattern whose first group, in a file's path below the
+#: folder, names its feed.
+OPTIONS = {"path": (str, None), "timezone": (str, "UTC"), "from": (datetime.fromisoformat, "1970-01-01"), "to": (datetime.fromisoformat, "2100-01-01"), "known": (json.loads, "[]"), "feed": (re.compile, "(.*)")}
 ROWS = f"{ics.SCHEMA}, cursor string, changed boolean"
 
 
@@ -33,15 +36,17 @@ def checked(options: dict[str, str]) -> dict:
             raise ValueError(f"option {name} is required")
         try:
             out[name] = read(value)
-        except ValueError as e:
+        except (ValueError, re.error) as e:
             raise ValueError(f"option {name} can't be read: {value}") from e
     ics.zone_of(out["timezone"], "UTC")
     return out
 
 
 class FeedFile(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    """A file; without a path, a feed that is gone."""
+
+    def __init__(self, path: str | None, feed: str | None = None):
+        self.path, self.feed = path, feed
 
 
 class FeedReader(DataSourceReader):
@@ -82,6 +87,46 @@ class FeedReader(DataSourceReader):
             yield row(True, path=name, dropped=dropped)
 
 
+class FeedStream(DataSourceStreamReader, FeedReader):
+    """The changes of a folder of feeds. The driver lists it and hashes files whose size or date is new to it; tasks parse."""
+
+    def __init__(self, options: dict[str, str]):
+        FeedReader.__init__(self, options)
+        self.hashes: dict[str, tuple[tuple, str]] = {}
+
+    def initialOffset(self) -> dict:
+        return {"feeds": {}}
+
+    def latestOffset(self) -> dict:
+        store, root = self._files()
+        found = {}
+        for path in (p.path for p in FeedReader.partitions(self)):
+            info = store.get_file_info(path)
+            seen = (info.size, info.mtime_ns)
+            if self.hashes.get(path, (None,))[0] != seen:
+                with store.open_input_stream(path) as f:
+                    self.hashes[path] = (seen, hashlib.sha256(f.read()).hexdigest())
+            found[self.feed_of(path, root)] = [path, self.hashes[path][1]]
+        return {"feeds": found}
+
+    def feed_of(self, path: str, root: str) -> str:
+        name = path.removeprefix(root).lstrip("/") or root.rpartition("/")[2]
+        named = self.options["feed"].search(name)
+        return named.group(1) if named else name
+
+    def partitions(self, start: dict, end: dict) -> list[FeedFile]:
+        before, after = start["feeds"], end["feeds"]
+        changed = [FeedFile(path, feed) for feed, (path, cursor) in sorted(after.items()) if feed not in before or before[feed][1] != cursor]
+        return changed + [FeedFile(None, feed) for feed in sorted(set(before) - set(after))]
+
+    def read(self, partition: FeedFile) -> Iterator[tuple]:
+        if partition.path is None:
+            yield (partition.feed, *[None] * (len(ics.SCHEMA.split(", ")) - 1), None, True)
+            return
+        for row in FeedReader.read(self, partition):
+            yield (partition.feed, *row[1:])
+
+
 class CalendarFeed(DataSource):
     """A provider: its options' check, its rows' schema, its reader."""
 
@@ -95,6 +140,9 @@ class CalendarFeed(DataSource):
     def reader(self, schema) -> FeedReader:
         return FeedReader(dict(self.options))
 
+    def streamReader(self, schema) -> FeedStream:
+        return FeedStream(dict(self.options))
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(CalendarFeed)
