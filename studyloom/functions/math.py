@@ -69,10 +69,13 @@ def saturate(x: Column, half: float) -> Column:
 
 
 def exam_weight(signals: Column, sources: Column, recency: Column, formulas_examples: Column, override: Column | None = None) -> Column:
-    """A topic's weight in the exam, 0 to 1: saturating shares of its signals, sources (more if recent) and formulas."""
-    w = 0.05 + 0.475 * saturate(signals, 1.0) + 0.285 * saturate(sources, 2.0) * (0.5 + 0.5 * recency) + 0.19 * saturate(formulas_examples, 3.0)
-    w = F.greatest(F.lit(0.0), F.least(F.lit(1.0), w))
-    return F.coalesce(override.cast("double"), w) if override is not None else w
+    """A topic's weight in the exam, 0 to 1: saturating shares of its signals, sources (more if recent) and formulas, a null count as
+    0; an override, held within 0 and 1, takes its place."""
+    held = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    count = lambda c: F.coalesce(c, F.lit(0))
+    recent = held(F.coalesce(recency.cast("double"), F.lit(0.0)))
+    w = held(0.05 + 0.475 * saturate(count(signals), 1.0) + 0.285 * saturate(count(sources), 2.0) * (0.5 + 0.5 * recent) + 0.19 * saturate(count(formulas_examples), 3.0))
+    return F.when(override.isNotNull(), held(override.cast("double"))).otherwise(w) if override is not None else w
 
 
 def weight_band(w: Column) -> Column:

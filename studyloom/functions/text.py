@@ -142,18 +142,23 @@ def has_whole_word(x: Column, word: Column) -> Column:
 
 
 def slug(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(identity_key(x), " ", "-"), r"^-+|-+$", "")
+    """Letters and digits of the folded text, joined by hyphens, at most 60 characters; `topic` where there are none."""
+    y = F.substring(F.regexp_replace(identity_key(x), " ", "-"), 1, 60)
+    return F.when(y != "", y).otherwise("topic")
 
 
 def safe_filename(x: Column, most: int = 200) -> Column:
+    """Without control characters, slashes and percents as hyphens, no leading dots, trimmed; `upload` where nothing is left."""
     y = F.regexp_replace(x, r"[\x00-\x1F\x7F]", "")
-    y = F.regexp_replace(F.regexp_replace(y, r"[/\\%]", "_"), r"^\.+", "")
-    return F.substring(y, 1, most)
+    y = F.regexp_replace(F.regexp_replace(y, r"[/\\%]", "-"), r"^\.+", "")
+    y = F.regexp_replace(y, rf"\A[{EDGE}]+|[{EDGE}]+\z", "")
+    return F.when(y != "", F.substring(y, 1, most)).otherwise("upload")
 
 
 def sentences(x: Column) -> Column:
-    """Runs up to and with their closing marks; the rest at the end counts too."""
-    return F.filter(F.transform(F.regexp_extract_all(x, F.lit(r"[^.!?]+[.!?]*"), F.lit(0)), F.trim), lambda s: s != "")
+    """Runs up to and with their closing marks, brackets and quotes; the rest at the end counts too."""
+    found = F.regexp_extract_all(x, F.lit(r"""([^.!?]+[.!?]+[\])'"`’”]*\s*|[^.!?]+\z)"""), F.lit(1))
+    return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def byte_size_label(n: Column) -> Column:

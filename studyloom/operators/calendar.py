@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import days_until, local_day, to_instant, week_start
 from ..functions.math import item_weight, priority, tier, weight_source
+from ..functions.text import EDGE
 from .relational import within_any
 
 
@@ -218,21 +219,30 @@ def plan_tombstones(items: DataFrame, present: DataFrame, now: Column, delete_af
     return rows.select("id", action.alias("action"), write.alias("write")).where("action IS NOT NULL")
 
 
-def match_course(items: DataFrame, courses: DataFrame, matchers: DataFrame, most: int = 2_000) -> DataFrame:
+def match_course(items: DataFrame, courses: DataFrame, matchers: DataFrame, block: int = 2_000) -> DataFrame:
     """(id, course_id, step): pinned course, matcher's substring, code as a whole word, equal title, title inside either way;
-    the first step, then the first course in order.
+    the first step, then the first course in order. A text that is blank matches by its pin alone; blank codes, titles and patterns
+    match nothing; all are trimmed and compared in any case. Pins and matchers of unknown courses count for nothing.
 
-    items: id, pinned, text; courses: course_id, ord, code, title; matchers: course_id, ord, pattern. The courses and
-    matchers of one user, a few dozen rows, meet each item; more than `most` of them are an error, as substrings have no key
-    to join by.
+    items: id, pinned, text; courses: course_id, ord, code, title; matchers: course_id, ord, pattern. Substrings have no key to join
+    by, so each item meets each course: those of one user, a few dozen rows, are broadcast at once, more in blocks.
     """
-    if courses.unionByName(matchers, allowMissingColumns=True).limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} courses and matchers")
-    courses, matchers = F.broadcast(courses), F.broadcast(matchers)
-    low = F.lower("text")
-    code = F.regexp_like(F.col("text"), F.concat(F.lit(r"(?i)(?<![a-z0-9])\Q"), F.col("code"), F.lit(r"\E(?![a-z0-9])")))
-    step = F.when(F.col("course_id") == F.col("pinned"), 1).when(code & (F.col("code") != ""), 3).when(low == F.lower("title"), 4).when(F.contains(low, F.lower("title")) | F.contains(F.lower("title"), low), 5)
-    by_course = items.join(courses, step.isNotNull()).select("id", step.alias("step"), "ord", "course_id")
-    by_matcher = items.join(matchers, F.contains(low, F.lower("pattern"))).select("id", F.lit(2).alias("step"), "ord", "course_id")
-    best = by_course.unionByName(by_matcher).groupBy("id").agg(F.min(F.struct("step", "ord", "course_id")).alias("_b"))
+    plain = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), rf"\A[{EDGE}]+|[{EDGE}]+\z", ""))
+    known = courses.select("course_id", "ord", plain(F.col("code")).alias("code"), plain(F.col("title")).alias("title"), F.lit(None).cast("string").alias("pattern"))
+    rules = matchers.join(courses.select("course_id").distinct(), "course_id", "left_semi").select("course_id", "ord", F.lit("").alias("code"), F.lit("").alias("title"), plain(F.col("pattern")).alias("pattern")).where("pattern <> ''")
+    said = known.unionByName(rules)
+    text, told = items.select("id", "pinned", plain(F.col("text")).alias("text")), F.col("text") != ""
+    word = F.regexp_like(F.col("text"), F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.col("code"), F.lit(r"\E(?![a-z0-9])")))
+    title = told & (F.col("title") != "")
+    step = (
+        F.when(F.col("pattern").isNotNull(), F.when(told & F.contains("text", "pattern"), 2)).when(F.col("course_id") == F.col("pinned"), 1).when(told & (F.col("code") != "") & word, 3)
+        .when(title & (F.col("text") == F.col("title")), 4).when(title & (F.contains("text", "title") | F.contains("title", "text")), 5)
+    )
+    blocks = max(1, -(-said.count() // block))
+    part = F.pmod(F.xxhash64("course_id", "ord", "code", "title", "pattern"), F.lit(blocks))
+    found = None
+    for k in range(blocks):
+        met = text.join(F.broadcast(said.where(part == k)), step.isNotNull()).groupBy("id").agg(F.min(F.struct(step.alias("step"), "ord", "course_id")).alias("_b"))
+        found = met if found is None else found.unionByName(met)
+    best = found if blocks == 1 else found.groupBy("id").agg(F.min("_b").alias("_b"))
     return best.select("id", F.col("_b.course_id").alias("course_id"), F.col("_b.step").alias("step"))

@@ -44,27 +44,32 @@ def run_spend(calls: DataFrame, jobs: list[str], since: Column) -> DataFrame:
     return mine.agg(F.sum("cost_usd").cast("decimal(22,8)").alias("spent_usd"), F.count_if(F.col("cost_usd").isNull()).alias("unpriced_calls"))
 
 
-#: Share of the budget from which each posture holds, mildest first, and the step for unpriced calls.
-POSTURES = (("normal", 0.0), ("defer_deep", 1.0), ("defer_balanced", 1.25), ("halt", 1.5))
-UNPRICED_LIMIT = 5
+#: Share of the budget from which each posture holds, mildest first, unpriced calls that are tolerated, the posture that
+#: more of them lead to, and ranks of models.
+POSTURES = (("normal", 0.0), ("defer-deep", 1.0), ("defer-balanced", 1.25), ("halt", 1.5))
+UNPRICED_TOLERANCE = 5
+ESCALATED = {"normal": "defer-deep", "defer-deep": "defer-balanced", "defer-balanced": "defer-balanced", "halt": "halt"}
+RANK = {"fast": 0, "balanced": 1, "deep": 2}
 
 
 def posture(spent: Column, budget: Column, unpriced: Column) -> Column:
-    """Spend posture: by the ratio spent/budget; a bad budget halts; over 5 unpriced calls go one step further."""
-    ratio = spent / budget
-    step = F.lit(0)
-    for i, (_, least) in enumerate(POSTURES[1:], 1):
-        step = F.when(ratio >= least, i).otherwise(step)
-    step = F.least(step + F.when(unpriced > UNPRICED_LIMIT, 1).otherwise(0), F.lit(len(POSTURES) - 1))
-    bad = budget.isNull() | F.isnan(budget.cast("double")) | (budget <= 0) | spent.isNull() | F.isnan(spent.cast("double"))
-    return F.element_at(F.array(*(F.lit(n) for n, _ in POSTURES)), F.when(bad, len(POSTURES)).otherwise(step + 1).cast("int"))
-
-
-def guard(posture_name: Column, call_kind: Column) -> Column:
-    """May a call of a kind (deep, balanced, light) go out under a posture? halt stops all."""
+    """Spend posture by the ratio spent/budget. A budget that is not a number above 0 halts; spend that is unknown or no number is
+    normal, negative spend counts as 0. More than 5 unpriced calls lead one step further, but never to a halt."""
+    sound = lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf"))
+    ratio = F.greatest(spent.cast("double"), F.lit(0.0)) / budget.cast("double")
+    observed = F.lit("normal")
+    for name, least in POSTURES[1:]:
+        observed = F.when(ratio >= least, name).otherwise(observed)
+    further = F.coalesce(*(F.when(observed == a, b) for a, b in ESCALATED.items()))
+    return F.when(~(sound(budget) & (budget > 0)), "halt").when(~sound(spent), "normal").when(unpriced > UNPRICED_TOLERANCE, further).otherwise(observed)
+
+
+def guard(kill_switch: Column, posture_name: Column, rank: Column, kind: Column) -> Column:
+    """Why a call may not go out, or null: the kill switch, then a halt, stop all; interactive calls pass; background ones wait by
+    their model's rank."""
+    level = F.coalesce(*(F.when(rank == n, k) for n, k in RANK.items()))
     return (
-        F.when(posture_name == "halt", "deny")
-        .when((posture_name == "defer_balanced") & call_kind.isin("deep", "balanced"), "defer")
-        .when((posture_name == "defer_deep") & (call_kind == "deep"), "defer")
-        .otherwise("allow")
-    )
+        F.when(kill_switch, "kill-switch").when(posture_name == "halt", "budget-halt").when(kind == "interactive", F.lit(None).cast("string"))
+        .when((posture_name == "defer-balanced") & (level >= RANK["balanced"]), "budget-defer-balanced")
+        .when((posture_name == "defer-deep") & (level >= RANK["deep"]), "budget-defer-deep")
+    )

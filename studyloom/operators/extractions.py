@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import chain, count
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,16 +44,25 @@ def reject(headers: DataFrame, components: DataFrame, ids: DataFrame) -> tuple[D
 
 
 def create_topics(existing: DataFrame, proposed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(topics to add, their revision 0): slugs are made unique in their course by a number behind.
+    """(topics to add, their revision 0): one after another, in order, each with its slug if that is free in its course, else with the
+    first free number from 2 on behind it, so that (course_id, slug) stays unique.
 
-    existing: course_id, slug; proposed: course_id, title, slug.
+    existing: course_id, slug; proposed: course_id, ord, title, slug. A slug may be taken by one that another got before it, so a
+    course is named by one task: its topics are few.
     """
-    taken = existing.select("course_id", "slug", F.lit(-1).cast("long").alias("_o"), F.lit(None).cast("string").alias("title"))
-    fresh = proposed.select("course_id", "slug", F.xxhash64("title").bitwiseAND(F.lit((1 << 62) - 1)).alias("_o"), "title")
-    place = F.row_number().over(Window.partitionBy("course_id", "slug").orderBy("_o", "title"))
-    rows = taken.unionByName(fresh).withColumn("_n", place).where("_o >= 0")
-    named = rows.select("course_id", F.when(F.col("_n") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", "_n")).alias("slug"), "title")
-    return named, named.select("course_id", "slug", F.lit(0).alias("revision"), "title")
+
+    def named(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        taken, out = set(old["slug"]), []
+        for base in new.sort_values(["ord", "title"])["slug"]:
+            free = next(s for s in chain([base], (f"{base}-{n}" for n in count(2))) if s not in taken)
+            taken.add(free)
+            out.append(free)
+        return new.sort_values(["ord", "title"]).assign(slug=out)[["course_id", "ord", "title", "slug"]]
+
+    fresh = proposed.select("course_id", "ord", "title", "slug")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fresh.schema)
+    made = fresh.groupBy("course_id").cogroup(existing.select("course_id", "slug").groupBy("course_id")).applyInPandas(named, kinds)
+    return made, made.select("course_id", "slug", F.lit(0).alias("revision"), "title")
 
 
 def changed_since(snapshots: DataFrame, topics: DataFrame) -> DataFrame:
@@ -100,11 +112,28 @@ def bulk_file(items: DataFrame, pattern: str, course_id: str) -> DataFrame:
     return items.withColumns({"course_id": F.when(hit, F.lit(course_id)).otherwise(F.col("course_id")), "locks": F.when(hit, add_lock(F.col("locks"), "course_id")).otherwise(F.col("locks"))})
 
 
-def choose_exam(items: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Items whose exam mark changes, the ones that lose it first: one exam a course. chosen: course_id, id (null: none)."""
-    rows = items.join(chosen.select("course_id", F.col("id").alias("_c")), "course_id")
-    want = F.coalesce(F.col("id") == F.col("_c"), F.lit(False))
-    return rows.where(want != F.col("is_exam")).select("id", "course_id", want.alias("is_exam"), F.lit("user").alias("source")).orderBy("is_exam", "id")
+#: The field that a decision locks, and the source of one made by hand.
+EXAM_FIELD, BY_HAND = "is_exam_candidate", "manual"
+
+
+def decide_exam(items: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Items that a course's decision changes, as (id, course_id, is_exam, source, locks), those that are no exam any more first.
+
+    items: id, course_id, is_exam, source, locks (array); decisions: course_id, intent, id. `set`: that item is the exam, by
+    hand, and locked; the course's others that were flagged, or set by hand, are not, and locked. `reject`: no item is, the
+    named one and those flagged are locked. `reset`: locked items lose lock, source and flag. Items that stay as they are are left
+    out.
+    """
+    rows = items.join(decisions.select("course_id", "intent", F.col("id").alias("_c")), "course_id").withColumn("locks", F.coalesce("locks", F.array().cast("array<string>")))
+    target = F.coalesce(F.col("id") == F.col("_c"), F.lit(False))
+    locked = F.array_contains("locks", EXAM_FIELD)
+    chosen = (F.col("intent") == "set") & target
+    recorded = target | F.col("is_exam") | F.coalesce(F.col("source") == BY_HAND, F.lit(False))
+    acts = F.when(F.col("intent") == "reset", locked).when(F.col("intent").isin("set", "reject"), recorded).otherwise(False)
+    locks = F.when(F.col("intent") == "reset", F.array_remove("locks", EXAM_FIELD)).otherwise(add_lock(F.col("locks"), EXAM_FIELD))
+    source = F.when(chosen, BY_HAND)
+    same = (F.col("is_exam") == chosen) & F.col("source").eqNullSafe(source) & (F.size("locks") == F.size(locks)) & (F.size(F.array_except(locks, "locks")) == 0)
+    return rows.where(acts & ~same).select("id", "course_id", chosen.alias("is_exam"), source.alias("source"), locks.alias("locks")).orderBy("is_exam", "id")
 
 
 def audit_actions(verdicts: DataFrame, topics: DataFrame) -> DataFrame:

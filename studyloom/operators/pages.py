@@ -4,30 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.text import identity_key
-from .topics import SECTIONS, blocks
+from .topics import PAGE, blocks
 
 #: Growth of a new page beyond which it is implausible, and the share of routed pages that a new page must cite.
 MOST_GROWTH, LEAST_CITED, LEAST_ROUTED = 8.0, 0.5, 3
 
 
 def expansion(page_json: Column, source_chars: Column, is_new: Column) -> list[Column]:
-    """ratio of a page's characters to its sources', and whether that is implausible (new topics only)."""
-    ratio = F.try_divide(F.length(page_json).cast("double"), source_chars)
+    """ratio of a page's characters to its sources', infinite without a source, and whether that is implausible (new topics only)."""
+    ratio = F.when(source_chars == 0, float("inf")).otherwise(F.try_divide(F.length(page_json).cast("double"), source_chars))
     return [ratio.alias("ratio"), F.coalesce(is_new & (ratio > MOST_GROWTH), F.lit(False)).alias("implausible")]
 
 
+#: Displayed mathematics in a source, and the letters of the shortest term that is looked for.
+DISPLAY_MATHS, SHORTEST_TERM = r"\$\$|\\\[|\\begin\{(?:equation|align|gather|multline)", 3
+
+
 def grounding(block_rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """(topic_id, kind, subject): formulas of topics whose source has no mathematics, terms that the source doesn't hold.
+    """(topic_id, kind, subject) of new topics: formulas-without-source-math, once a page, where the source displays none, and
+    unanchored-key-term for each term that the source, in any case and spacing, doesn't hold.
 
-    sources: topic_id, text.
+    sources: topic_id, text, is_new. Terms of under three characters are not looked for.
     """
-    maths = F.col("text_source").rlike(r"[=∑∫√^]|\\\w+|\d\s*[+*/]\s*\d")
-    rows = block_rows.where(F.col("kind").isin("formula", "keyTerm")).join(sources.withColumnRenamed("text", "text_source"), "topic_id")
-    absent = ~F.contains(F.concat(F.lit(" "), identity_key(F.col("text_source")), F.lit(" ")), identity_key(F.col("label")))
-    finding = F.when((F.col("kind") == "formula") & ~maths, "formula-without-maths").when((F.col("kind") == "keyTerm") & absent, "term-not-in-source")
-    return rows.withColumn("finding", finding).where("finding IS NOT NULL").select("topic_id", F.col("finding").alias("kind"), F.col("label").alias("subject"))
+    spaced = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
+    fresh = sources.where("is_new").select("topic_id", F.col("text").alias("_source"))
+    rows = block_rows.where(F.col("kind").isin("formula", "keyTerm")).join(fresh, "topic_id")
+    without = rows.where((F.col("kind") == "formula") & ~F.col("_source").rlike(DISPLAY_MATHS)).groupBy("topic_id").agg(F.count("*").alias("n"))
+    formulas = without.select("topic_id", F.lit("formulas-without-source-math").alias("kind"), F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " formula").otherwise(" formulas")).alias("subject"))
+    name = F.trim("label")
+    absent = (F.col("kind") == "keyTerm") & (F.length(name) >= SHORTEST_TERM) & ~F.contains(spaced(F.col("_source")), spaced(name))
+    return formulas.unionByName(rows.where(absent).select("topic_id", F.lit("unanchored-key-term").alias("kind"), name.alias("subject")))
 
 
 def citation_findings(block_rows: DataFrame, routed: DataFrame, documents: DataFrame) -> DataFrame:
@@ -60,21 +68,28 @@ def verification(*findings: DataFrame) -> DataFrame:
 
 
 def strip_plan(topic_sources: DataFrame, pages: DataFrame, document_id: str) -> DataFrame:
-    """(topic_id, plan, lost): remove-topic where the document is the only source, else rewrite-page if a block goes or loses
-    a citation, else unchanged. topic_sources: topic_id, document_id."""
+    """(topic_id, plan, lost, unattributed, stale): remove-topic where the document is the only source, else rewrite-page if a block goes
+    or loses a citation, else unchanged. Of a page that is rewritten: blocks lost, blocks without any source that stay, and whether
+    its summary may be stale (it has one, and blocks go). topic_sources: topic_id, document_id."""
     backing = topic_sources.distinct().groupBy("topic_id").agg(F.count("*").alias("n"), F.bool_or(F.col("document_id") == document_id).alias("mine")).where("mine")
     mine = lambda s: s["documentId"] == document_id
     per = blocks(pages).groupBy("topic_id").agg(
-        F.count_if((F.size("sources") > 0) & F.forall("sources", mine)).alias("lost"), F.count_if(F.exists("sources", mine)).alias("touched")
+        F.count_if((F.size("sources") > 0) & F.forall("sources", mine)).alias("_lost"), F.count_if(F.exists("sources", mine)).alias("_touched"), F.count_if(F.size("sources") == 0).alias("_bare")
     )
-    plan = F.when(F.col("n") == 1, "remove-topic").when(F.col("touched") > 0, "rewrite-page").otherwise("unchanged")
-    return backing.join(per, "topic_id", "left").fillna(0, ["lost", "touched"]).select("topic_id", plan.alias("plan"), "lost")
+    summary = pages.select("topic_id", (F.coalesce(F.trim(F.col("page")["summary"]), F.lit("")) != "").alias("_summary"))
+    plan = F.when(F.col("n") == 1, "remove-topic").when(F.col("_touched") > 0, "rewrite-page").otherwise("unchanged")
+    rows = backing.join(per, "topic_id", "left").join(summary, "topic_id", "left").fillna(0, ["_lost", "_touched", "_bare"]).withColumn("plan", plan)
+    rewritten = F.col("plan") == "rewrite-page"
+    of = lambda c: F.when(rewritten, F.col(c)).otherwise(0)
+    return rows.select("topic_id", "plan", of("_lost").alias("lost"), of("_bare").alias("unattributed"), F.coalesce(rewritten & F.col("_summary") & (F.col("_lost") > 0), F.lit(False)).alias("stale"))
 
 
 def delete_impact(plans: DataFrame, chunks: DataFrame, document_id: str) -> DataFrame:
-    """One row: topics by plan, blocks lost, chunks of the document."""
+    """One row: topics by plan; of pages that are rewritten the blocks lost, blocks left without a source and stale summaries; chunks of
+    the document."""
     of = lambda p: F.count_if(F.col("plan") == p)
-    totals = plans.agg(of("remove-topic").alias("removed"), of("rewrite-page").alias("rewritten"), of("unchanged").alias("unchanged"), F.coalesce(F.sum("lost"), F.lit(0)).alias("lost"))
+    kept = lambda c: F.coalesce(F.sum(F.when(F.col("plan") == "rewrite-page", F.col(c))), F.lit(0))
+    totals = plans.agg(of("remove-topic").alias("removed"), of("rewrite-page").alias("rewritten"), of("unchanged").alias("unchanged"), kept("lost").alias("lost"), kept("unattributed").alias("unattributed"), F.count_if((F.col("plan") == "rewrite-page") & F.col("stale")).alias("stale"))
     n = chunks.where(F.col("document_id") == document_id).agg(F.count("*").alias("chunks"))
     return totals.withColumn("_one", F.lit(1)).join(n.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
@@ -84,14 +99,26 @@ def append_once(items: Column, new: Column, same: Column) -> Column:
     return F.when(same, items).otherwise(F.array_append(items, new))
 
 
-def rendered(page: Column) -> Column:
-    """A page as markdown: its summary, then each section's blocks under their headings; empty sections are left out."""
-    heads = dict(zip((s for s, *_ in SECTIONS), ("Notes", "Key terms", "Formulas", "Worked examples")))
-    parts = [page["summary"]]
-    for section, _, _, fields in SECTIONS:
-        body = F.array_join(F.transform(page[section], lambda b: F.concat_ws("\n\n", F.concat(F.lit("### "), b[fields[0]]), b[fields[1]])), "\n\n")
-        parts.append(F.when(F.size(page[section]) > 0, F.concat(F.lit(f"## {heads[section]}\n\n"), body)))
-    return F.concat_ws("\n\n", *parts)
+def page_sections(page: Column) -> Column:
+    """A page as an array of (section, heading, markdown), in order: summary, each note under its id, key terms, formulas, and each
+    worked example under its place; empty ones are left out. These are the sections that chunk_topic_pages takes."""
+    row = lambda section, heading, markdown: F.struct(section.alias("section"), heading.alias("heading"), markdown.alias("markdown"))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("")) for p in parts))
+    none = F.array().cast("array<struct<section: string, heading: string, markdown: string>>")
+    some = lambda c: F.coalesce(page[c], F.array().cast(dict(page_types())[c]))
+    one = lambda there, section, heading, markdown: F.when(there, F.array(row(F.lit(section), F.lit(heading), markdown))).otherwise(none)
+    joined = lambda c, of: F.array_join(F.transform(some(c), of), "\n\n")
+    return F.concat(
+        one(F.coalesce(F.trim(page["summary"]), F.lit("")) != "", "summary", "Summary", page["summary"]),
+        F.transform(some("notes"), lambda b: row(text("note:", b["id"]), b["heading"], b["markdown"])),
+        one(F.size(some("keyTerms")) > 0, "keyTerms", "Key terms", joined("keyTerms", lambda b: text("**", b["term"], "** — ", b["definition"]))),
+        one(F.size(some("formulas")) > 0, "formulas", "Formulas", joined("formulas", lambda b: text("**", b["name"], "**\n\n$$", b["latex"], "$$\n\n", b["explanation"]))),
+        F.transform(some("workedExamples"), lambda b, i: row(text("example:", (i + 1).cast("string")), F.lit("Worked example"), text(b["problem"], "\n\n", b["solution"]))),
+    )
+
+
+def page_types() -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in StructType.fromDDL(PAGE).fields]
 
 
 def index_text(topics: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from .windows import first_wins
 
 #: The least fuzzy score, and the segments from which a single target looks like an under-split document.
 FUZZY, FUNNEL = 0.18, 12
+FUNNELLED = "[routing] Whole document funnelled into a single topic on an empty index (%s sections → 1 topic) — likely under-split."
 
 
 def map_signals(signals: DataFrame, topics: DataFrame, sources: DataFrame) -> DataFrame:
@@ -93,15 +94,20 @@ def reprocess_plan(targets: DataFrame, prior: DataFrame) -> DataFrame:
 
 
 def funnelled(documents: DataFrame) -> DataFrame:
-    """Documents of 12 or more segments that all went to one target with no topics there before."""
-    return documents.where((F.col("existing") == 0) & (F.col("targets") == 1) & (F.col("segments") >= FUNNEL))
+    """Documents (existing topics of the course, segments, targets) of 12 or more segments that all went to one target where there were
+    no topics before, with a warning."""
+    found = documents.where((F.col("existing") == 0) & (F.col("targets") == 1) & (F.col("segments") >= FUNNEL))
+    return found.withColumn("warning", F.format_string(FUNNELLED, F.col("segments").cast("string")))
 
 
 def attempts_outcome(attempts: DataFrame) -> DataFrame:
-    """(call_id, attempts, status): delivered, escalated (delivered by another model than the first), or dead_letter."""
+    """(call_id, attempts, status, reason): delivered, escalated (delivered by another model than the first), or dead_letter: by refusal,
+    no-escalation-target (two attempts of one model, and none above it) or schema. attempts: call_id, attempt, model, outcome
+    (success, refusal or any other failure)."""
     last = attempts.groupBy("call_id").agg(F.count("*").alias("attempts"), F.max_by("outcome", "attempt").alias("o"), F.max_by("model", "attempt").alias("m"), F.min_by("model", "attempt").alias("f"))
     status = F.when(F.col("o") != "success", "dead_letter").when(F.col("m") != F.col("f"), "escalated").otherwise("delivered")
-    return last.select("call_id", "attempts", status.alias("status"))
+    reason = F.when(F.col("o") == "refusal", "refusal").when((F.col("o") != "success") & (F.col("m") == F.col("f")), "no-escalation-target").when(F.col("o") != "success", "schema")
+    return last.select("call_id", "attempts", status.alias("status"), reason.alias("reason"))
 
 
 def freeze_plans(frozen: DataFrame, proposed: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

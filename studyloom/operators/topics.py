@@ -244,13 +244,19 @@ def weight_verdict(weights: DataFrame, keys: list[str], percent: str) -> DataFra
     return total.select(*keys, (F.col("hundredths") / 100).alias("total"), verdict.alias("verdict"))
 
 
-def document_outcome(topics: DataFrame) -> DataFrame:
-    """(document_id, outcome, ready, failed, failed_topics): ready, partial or failed from its topics' outcomes; topics: document_id,
-    topic_id, outcome, downgraded."""
-    lost = F.array_sort(F.collect_list(F.when(F.col("outcome") != "ok", F.col("topic_id"))))
-    per = topics.groupBy("document_id").agg(lost.alias("failed_topics"), F.count("*").alias("n"), F.count_if(F.col("outcome") == "ok").alias("ready"), F.count_if(F.col("outcome") != "ok").alias("failed"), F.bool_or("downgraded").alias("_d"))
-    outcome = F.when(F.col("ready") == 0, "failed").when((F.col("failed") > 0) | F.col("_d"), "partial").otherwise("ready")
-    return per.select("document_id", outcome.alias("outcome"), "ready", "failed", "failed_topics")
+def document_outcome(documents: DataFrame, topics: DataFrame) -> DataFrame:
+    """(document_id, outcome, merged, needs_review, failed, failed_topics): ready, partial or failed from its topics' outcomes.
+
+    documents: document_id, downgraded (degraded, or of a coverage that can't be trusted); topics: document_id, topic_id, outcome
+    (failed, or merged), needs_review. A document without topics is ready, or partial where it is downgraded.
+    """
+    lost = F.coalesce(F.col("outcome") == "failed", F.lit(False))
+    ids = F.array_sort(F.collect_list(F.when(lost, F.col("topic_id"))))
+    per = topics.groupBy("document_id").agg(ids.alias("failed_topics"), F.count_if(~lost).alias("merged"), F.count_if(~lost & F.col("needs_review")).alias("needs_review"), F.count_if(lost).alias("failed"))
+    rows = documents.join(per, "document_id", "left").fillna(0, ["merged", "needs_review", "failed"]).withColumn("failed_topics", F.coalesce("failed_topics", F.array().cast(dict(per.dtypes)["failed_topics"])))
+    down = F.coalesce("downgraded", F.lit(False))
+    outcome = F.when((F.col("failed") > 0) & (F.col("merged") == 0), "failed").when((F.col("failed") > 0) | down, "partial").otherwise("ready")
+    return rows.select("document_id", outcome.alias("outcome"), "merged", "needs_review", "failed", "failed_topics")
 
 
 def group_unassigned(items: DataFrame, now: Column) -> DataFrame:

@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.math import cosine
+from ..functions.text import normal_title
+from ..sources.tables import sized
 from .relational import top_per
 
 #: Fixed value: the most rows that a search returns.
 MOST = 200
+#: Rows with vectors that are broadcast at most.
+FEW = 20_000
 
 
 def match_chunks(chunks: DataFrame, query: list[float], k: int, *, user: str, **filters: str | None) -> DataFrame:
@@ -31,16 +35,34 @@ def match_chunks(chunks: DataFrame, query: list[float], k: int, *, user: str, **
 
 def nearest_of(left: DataFrame, right: DataFrame, on: Column | str, k: int, least: float = -1.0) -> DataFrame:
     """Left rows (lid, lvec) with their k nearest right rows (rid, rvec) of similarity `least` or more among those that
-    `on` brings together, themselves (rid = lid) left out; ties to the smaller rid."""
-    pairs = left.join(right, on).where("lid <> rid").withColumn("similarity", cosine(F.col("lvec"), F.col("rvec"))).where(F.col("similarity") >= least)
+    `on` brings together, themselves (rid = lid) left out; ties to the smaller rid.
+
+    Up to a checked number the left rows are broadcast, and right ones compared where they lie; more of them are joined by
+    `on`, whose keys Spark splits where they are hot.
+    """
+    pairs = right.join(sized(left, FEW), on).where("lid <> rid").withColumn("similarity", cosine(F.col("lvec"), F.col("rvec"))).where(F.col("similarity") >= least)
     return top_per(pairs, ["lid"], [F.desc("similarity"), F.col("rid")], k)
 
 
 def guard_duplicates(proposals: DataFrame, existing: DataFrame, on: str, threshold: float = 0.85) -> DataFrame:
-    """Proposals (lid, title, lvec) with a decision: `existing` where a known topic's vector is near enough, `merged` where
-    an earlier proposal has the same title, `unguarded` without a vector, else `create`."""
-    near = nearest_of(proposals.where(F.col("lvec").isNotNull()).select("lid", on, "lvec"), existing, on, 1, threshold).select("lid", "rid", "similarity")
-    first = proposals.groupBy(on, F.lower(F.trim("title")).alias("_t")).agg(F.min("lid").alias("first_id"))
-    rows = proposals.withColumn("_t", F.lower(F.trim("title"))).join(first, [on, "_t"]).join(near, "lid", "left")
-    kind = F.when(F.col("rid").isNotNull(), "existing").when(F.col("lid") != F.col("first_id"), "merged").when(F.col("lvec").isNull(), "unguarded").otherwise("create")
-    return rows.withColumn("decision", kind).drop("_t", "lvec")
+    """Proposals (lid, in their order; title, lvec, `on`) against existing topics (rid, rvec, `on`) -> decision, rid, similarity, into and
+    unguarded.
+
+    coerced-to-existing (rid, similarity) where a known topic's vector is near enough; of the others, merged-into-proposal
+    (into: the lid of the first accepted one of the same title, in any case and spacing; similarity 1), else create.
+    unguarded says why a proposal could not be compared: no-title-embedding, or no-comparable-existing-vectors where there are
+    topics but none whose vector it has a cosine with.
+    """
+    has = F.coalesce(F.size("lvec") > 0, F.lit(False))
+    near = nearest_of(proposals.where(has).select("lid", on, "lvec"), existing, on, 1, threshold).select("lid", "rid", "similarity")
+    sound = F.coalesce(F.forall("rvec", lambda x: x.isNotNull()) & F.exists("rvec", lambda x: x != 0), F.lit(False))
+    known = existing.select(on, F.col("rid").alias("_r"), F.when(sound, F.size("rvec")).alias("_n")).groupBy(on).agg(F.count("*").alias("_all"), F.collect_set("_n").alias("_sizes"))
+    rows = proposals.withColumn("_key", normal_title(F.col("title"))).join(near, "lid", "left").join(known, on, "left")
+    fresh = F.col("rid").isNull()
+    first = rows.where(fresh).groupBy(on, "_key").agg(F.min("lid").alias("_first"))
+    rows = rows.join(first, [on, "_key"], "left")
+    kind = F.when(~fresh, "coerced-to-existing").when(F.col("lid") != F.col("_first"), "merged-into-proposal").otherwise("create")
+    comparable = F.array_contains("_sizes", F.size("lvec")) & F.exists("lvec", lambda x: x != 0)
+    reason = F.when(~has, "no-title-embedding").when((F.col("_all") > 0) & ~F.coalesce(comparable, F.lit(False)), "no-comparable-existing-vectors")
+    merged = kind == "merged-into-proposal"
+    return rows.select(*(c for c in proposals.columns if c != "lvec"), kind.alias("decision"), "rid", F.when(merged, 1.0).otherwise(F.col("similarity")).alias("similarity"), F.when(merged, F.col("_first")).alias("into"), reason.alias("unguarded"))

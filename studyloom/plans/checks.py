@@ -20,12 +20,12 @@ from .feeds import FEED
 
 
 def grounding(spark, folder):
-    """Parts as blocks: their names are terms, every third is a formula; every fifth topic's source holds mathematics."""
+    """Parts as blocks: their names are terms, every third is a formula; even topics are new, every fifth topic's source displays mathematics."""
     p = scan(spark, folder, "part", "p_partkey", "p_name", "p_size")
-    rows = p.select((F.col("p_partkey") % 500).alias("topic_id"), F.when(F.col("p_partkey") % 3 == 0, "formula").otherwise("keyTerm").alias("kind"), F.col("p_name").alias("label"))
+    rows = p.select((F.col("p_partkey") % 500).alias("topic_id"), F.when(F.col("p_partkey") % 3 == 0, "formula").otherwise("keyTerm").alias("kind"), F.concat(F.lit(" "), F.col("p_name")).alias("label"))
     words = p.groupBy((F.col("p_partkey") % 500).alias("topic_id")).agg(F.min("p_name").alias("name"))
-    sources = words.select("topic_id", F.concat(F.upper("name"), F.when(F.col("topic_id") % 5 == 0, F.lit(" a = b")).otherwise("")).alias("text"))
-    return pages.grounding(rows, sources).groupBy("topic_id", "kind").agg(F.count("*").alias("n"))
+    sources = words.select("topic_id", F.concat(F.lit("a = b "), F.upper(F.regexp_replace("name", " ", "  ")), F.when(F.col("topic_id") % 5 == 0, F.lit(" $$x$$")).otherwise("")).alias("text"), (F.col("topic_id") % 2 == 0).alias("is_new"))
+    return pages.grounding(rows, sources).groupBy("topic_id", "kind", "subject").agg(F.count("*").alias("n"))
 
 
 def merge_verification(spark, folder):
@@ -44,7 +44,7 @@ def delete_impact(spark, folder):
     """Customers' order states as topics' plans; a status's orders as a document's chunks."""
     o = scan(spark, folder, "orders", "o_orderkey", "o_orderstatus", "o_custkey")
     plan = F.when(F.col("o_orderkey") % 5 == 0, "remove-topic").when(F.col("o_orderkey") % 5 < 3, "rewrite-page").otherwise("unchanged")
-    return pages.delete_impact(o.select(plan.alias("plan"), (F.col("o_orderkey") % 4).alias("lost")), o.select(F.col("o_orderstatus").alias("document_id")), "F")
+    return pages.delete_impact(o.select(plan.alias("plan"), (F.col("o_orderkey") % 4).alias("lost"), (F.col("o_orderkey") % 3).alias("unattributed"), (F.col("o_orderkey") % 7 == 0).alias("stale")), o.select(F.col("o_orderstatus").alias("document_id")), "F")
 
 
 def frozen_plans(spark, folder):
@@ -74,7 +74,7 @@ def page_markdown(spark, folder):
     term = F.struct(F.col("c_mktsegment").alias("term"), F.lit("a segment").alias("definition"), F.array().cast(f"array<{topics.SOURCE}>").alias("sources"))
     page = F.struct(F.lit("About").alias("summary"), F.array(note).alias("notes"), F.when(F.col("c_custkey") % 2 == 0, F.array(term)).otherwise(F.array()).alias("keyTerms"), F.lit(None).alias("formulas"), F.lit(None).alias("workedExamples"))
     parsed = c.select("c_custkey", topics.parse_page(F.to_json(page)).alias("page"))
-    return parsed.select("c_custkey", pages.rendered(F.col("page")).alias("markdown"))
+    return parsed.select("c_custkey", F.inline(pages.page_sections(F.col("page"))))
 
 
 def completeness_index(spark, folder):
@@ -372,16 +372,17 @@ QUERIES = {
 }
 
 ORACLES = {
-    "grounding": r"""WITH s AS (SELECT p_partkey % 500 AS t, upper(min(p_name)) || CASE WHEN p_partkey % 500 % 5 = 0 THEN ' a = b' ELSE '' END AS x FROM part GROUP BY p_partkey % 500),
- f AS (SELECT t, CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN NOT contains(x, '=') THEN 'formula-without-maths' END WHEN NOT contains(' ' || trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) || ' ', trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'))) THEN 'term-not-in-source' END AS kind FROM part JOIN s ON t = p_partkey % 500)
- SELECT t AS topic_id, kind, count(*) AS n FROM f WHERE kind IS NOT NULL GROUP BY ALL""",
+    "grounding": r"""WITH s AS (SELECT p_partkey % 500 AS t, min(p_name) AS name FROM part GROUP BY 1), f AS (SELECT t, p_partkey, p_name, name FROM part JOIN s ON t = p_partkey % 500 WHERE t % 2 = 0)
+ SELECT t AS topic_id, 'formulas-without-source-math' AS kind, count(*) || CASE WHEN count(*) = 1 THEN ' formula' ELSE ' formulas' END AS subject, CAST(1 AS BIGINT) AS n FROM f WHERE p_partkey % 3 = 0 AND t % 5 <> 0 GROUP BY t
+ UNION ALL SELECT t, 'unanchored-key-term', p_name, count(*) FROM f WHERE p_partkey % 3 <> 0 AND NOT contains('a = b ' || lower(name), lower(p_name)) GROUP BY t, p_name""",
     "merge_verification": "SELECT o_custkey AS topic_id, bool_or(o_orderkey % 40 < 2) AS needs_review, bool_or(o_orderkey % 40 = 0) AS blocked FROM orders WHERE o_orderkey % 40 < 2 OR o_orderkey % 3 = 0 GROUP BY 1",
-    "page_expansion": "WITH r AS (SELECT page_id, CASE WHEN length(url) * (page_id % 4) <> 0 THEN length(html)::DOUBLE / (length(url) * (page_id % 4))::DOUBLE END AS q FROM pages) SELECT page_id, round(q, 9) AS ratio, coalesce(page_id % 2 = 0 AND q > 8, false) AS implausible FROM r",
-    "delete_impact": "SELECT count(*) FILTER (o_orderkey % 5 = 0) AS removed, count(*) FILTER (o_orderkey % 5 IN (1, 2)) AS rewritten, count(*) FILTER (o_orderkey % 5 > 2) AS unchanged, CAST(sum(o_orderkey % 4) AS BIGINT) AS lost, count(*) FILTER (o_orderstatus = 'F') AS chunks FROM orders",
+    "page_expansion": "WITH r AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'inf'::DOUBLE ELSE length(html)::DOUBLE / (length(url) * (page_id % 4))::DOUBLE END AS q FROM pages) SELECT page_id, round(q, 9) AS ratio, coalesce(page_id % 2 = 0 AND q > 8, false) AS implausible FROM r",
+    "delete_impact": "SELECT count(*) FILTER (o_orderkey % 5 = 0) AS removed, count(*) FILTER (o_orderkey % 5 IN (1, 2)) AS rewritten, count(*) FILTER (o_orderkey % 5 > 2) AS unchanged, CAST(sum(o_orderkey % 4) FILTER (o_orderkey % 5 IN (1, 2)) AS BIGINT) AS lost, CAST(sum(o_orderkey % 3) FILTER (o_orderkey % 5 IN (1, 2)) AS BIGINT) AS unattributed, count(*) FILTER (o_orderkey % 5 IN (1, 2) AND o_orderkey % 7 = 0) AS stale, count(*) FILTER (o_orderstatus = 'F') AS chunks FROM orders",
     "frozen_plans": "SELECT o_custkey, CASE WHEN o_custkey % 2 = 0 THEN 'frozen' ELSE 'p' || lpad(CAST(min(o_orderkey) AS VARCHAR), 12, '0') END AS plan FROM orders GROUP BY o_custkey",
     "objective_triage": "SELECT o_orderkey AS objective_id, CASE WHEN o_orderkey % 3 = 0 THEN 'ignore' WHEN o_orderkey % 3 = 1 OR o_orderkey % 4 = 0 OR o_orderkey % 10 >= 6 THEN 'missing' ELSE 'gap' END AS action FROM orders",
     "merge_targets": "SELECT o_custkey AS target, string_agg(o_orderkey, ',' ORDER BY day(o_orderdate), o_orderkey) AS segments FROM orders GROUP BY 1",
-    "page_markdown": """SELECT c_custkey, 'About' || chr(10) || chr(10) || '## Notes' || chr(10) || chr(10) || '### ' || c_name || chr(10) || chr(10) || lower(c_mktsegment) || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || chr(10) || '## Key terms' || chr(10) || chr(10) || '### ' || c_mktsegment || chr(10) || chr(10) || 'a segment' ELSE '' END AS markdown FROM customer""",
+    "page_markdown": """SELECT c_custkey, 'summary' AS section, 'Summary' AS heading, 'About' AS markdown FROM customer UNION ALL SELECT c_custkey, 'note:n', c_name, lower(c_mktsegment) FROM customer
+ UNION ALL SELECT c_custkey, 'keyTerms', 'Key terms', '**' || c_mktsegment || '** — a segment' FROM customer WHERE c_custkey % 2 = 0""",
     "completeness_index": "SELECT p_size AS course_id, sha256(string_agg(t, chr(10) ORDER BY t)) AS hash FROM (SELECT p_size, p_name || ' ' || p_partkey AS t FROM part) GROUP BY 1",
     "append_once": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'n1,n3' WHEN 1 THEN 'n1,n2,n3' WHEN 2 THEN 'n1,n2,n3' ELSE 'n1,n2,n3,n4' END AS notes FROM customer",
     "revision_bump": "WITH c AS (SELECT c_custkey AS t, CAST(c_custkey % 5 AS INTEGER) AS r, c_name AS p, c_custkey % 3 = 0 AS m FROM customer) SELECT t AS topic_id, CASE WHEN m THEN r + 1 ELSE r END AS revision, CASE WHEN m THEN upper(p) ELSE p END AS page, 'current' AS state FROM c UNION ALL SELECT t, r, p, 'history' FROM c WHERE m",
@@ -405,7 +406,7 @@ ORACLES = {
     "first_positions": "WITH w AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS p, unnest(l) AS word FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents)) SELECT doc_id, word, CAST(min(p) AS INTEGER) AS first FROM w WHERE word <> '' GROUP BY doc_id, word HAVING count(*) > 40",
     "skip_sets": """WITH d AS (SELECT DISTINCT o_custkey AS doc_id, CAST(day(o_orderdate) AS INTEGER) AS page, o_orderkey % 2 <> 0 AS good FROM orders WHERE o_orderkey % 3 = 0), c AS (SELECT doc_id, page FROM d WHERE good), r AS (SELECT o_custkey, CAST(day(o_orderdate) AS INTEGER) FROM orders WHERE o_orderkey % 5 = 0)
  SELECT *, 'skipped' AS "set" FROM (SELECT * FROM c EXCEPT SELECT * FROM r) UNION ALL SELECT *, 'discredited' FROM (SELECT doc_id, page FROM d WHERE NOT good EXCEPT SELECT * FROM c EXCEPT SELECT * FROM r)""",
-    "sentence_counts": "SELECT doc_id, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[^.!?]+[.!?]*'), lambda s: trim(s, ' ') <> '')) AS INTEGER) AS n FROM documents",
+    "sentence_counts": r"""SELECT doc_id, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[^.!?]+[.!?]+[\])''"`’”]*\s*|[^.!?]+\z'), lambda s: trim(s, ' ') <> '')) AS INTEGER) AS n FROM documents""",
     "canonical_hashes": """SELECT o_orderkey, sha256('{"a":"' || o_orderstatus || '","b":' || o_custkey || ',"c":{"y":[true,null],"z":1}}') AS hash FROM orders""",
     "late_labels": """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'never synced' WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || ' min ago' WHEN m < 1440 THEN (m // 60) || 'h ago' ELSE (m // 1440) || 'd ago' END AS label FROM (SELECT o_orderkey, o_orderkey % 5000 // 2 AS m FROM orders)""",
     "deck_slides": "SELECT path, CAST(slide AS INTEGER) AS slide, title, body, notes, CAST(words AS INTEGER) AS words, failed FROM (VALUES ('deck', 1, 'First title', '', '', 2, false), ('deck', 2, 'Second title', 'some body text', 'say this', 5, false), ('broken', NULL, NULL, NULL, NULL, NULL, true)) t(path, slide, title, body, notes, words, failed)",

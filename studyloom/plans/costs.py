@@ -33,12 +33,14 @@ def month_to_date_spend(spark, folder):
 
 
 def spend_posture(spark, folder):
+    """The month's spend against eight budgets, with few and many unpriced calls, for every kind and rank of call."""
     month = month_to_date_spend(spark, folder)
-    budgets = spark.range(1, 9).select((F.col("id") * 100_000.0).alias("budget"))
-    kinds = F.explode(F.array(*map(F.lit, ("deep", "balanced", "light")))).alias("kind")
-    rows = budgets.select("budget", kinds).join(F.broadcast(month.withColumn("one", F.lit(True))), F.col("one"))
-    rows = rows.withColumn("posture", costs.posture(F.col("cost_usd").cast("double"), F.col("budget"), F.lit(0)))
-    return rows.select("budget", "kind", "posture", costs.guard(F.col("posture"), F.col("kind")).alias("decision"))
+    budgets = spark.range(1, 9).select((F.col("id") * 100_000.0).alias("budget"), F.explode(F.array(F.lit(5), F.lit(6))).alias("unpriced"))
+    each = lambda *xs: F.explode(F.array(*map(F.lit, xs)))
+    rows = budgets.select("*", each("deep", "balanced", "fast").alias("rank")).select("*", each("interactive", "background").alias("kind")).select("*", each(True, False).alias("stopped"))
+    rows = rows.join(F.broadcast(month.withColumn("one", F.lit(True))), F.col("one"))
+    rows = rows.withColumn("posture", costs.posture(F.col("cost_usd").cast("double"), F.col("budget"), F.col("unpriced")))
+    return rows.select("budget", "unpriced", "rank", "kind", "stopped", "posture", costs.guard(F.col("stopped"), F.col("posture"), F.col("rank"), F.col("kind")).alias("reason"))
 
 
 def run_scoped_spend(spark, folder):
@@ -58,11 +60,11 @@ QUERIES = {f.__name__: f for f in (daily_rollup_local_day, month_to_date_spend,
 ORACLES = {
     "daily_rollup_local_day": DAILY,
     "month_to_date_spend": MONTH,
-    "spend_posture": f"""WITH r AS (SELECT b * 100000.0::DOUBLE AS budget, kind, CAST(cost_usd AS DOUBLE) / (b * 100000.0::DOUBLE) AS ratio
- FROM range(1, 9) t(b), (VALUES ('deep'), ('balanced'), ('light')) k(kind), ({MONTH})),
- p AS (SELECT *, CASE WHEN ratio >= 1.5 THEN 'halt' WHEN ratio >= 1.25 THEN 'defer_balanced' WHEN ratio >= 1 THEN 'defer_deep' ELSE 'normal' END AS posture FROM r)
- SELECT budget, kind, posture, CASE WHEN posture = 'halt' THEN 'deny' WHEN posture = 'defer_balanced' AND kind <> 'light' THEN 'defer'
- WHEN posture = 'defer_deep' AND kind = 'deep' THEN 'defer' ELSE 'allow' END AS decision FROM p""",
+    "spend_posture": f"""WITH r AS (SELECT b * 100000.0::DOUBLE AS budget, CAST(unpriced AS INTEGER) AS unpriced, rank, kind, stopped, CAST(cost_usd AS DOUBLE) / (b * 100000.0::DOUBLE) AS ratio
+ FROM range(1, 9) t(b), (VALUES (5), (6)) n(unpriced), (VALUES ('deep'), ('balanced'), ('fast')) k(rank), (VALUES ('interactive'), ('background')) i(kind), (VALUES (true), (false)) q(stopped), ({MONTH})),
+ p AS (SELECT *, CASE WHEN ratio >= 1.5 THEN 'halt' WHEN ratio >= 1.25 OR (ratio >= 1 AND unpriced > 5) THEN 'defer-balanced' WHEN ratio >= 1 OR unpriced > 5 THEN 'defer-deep' ELSE 'normal' END AS posture FROM r)
+ SELECT budget, unpriced, rank, kind, stopped, posture, CASE WHEN stopped THEN 'kill-switch' WHEN posture = 'halt' THEN 'budget-halt' WHEN kind = 'interactive' THEN NULL WHEN posture = 'defer-balanced' AND rank <> 'fast' THEN 'budget-defer-balanced'
+ WHEN posture = 'defer-deep' AND rank = 'deep' THEN 'budget-defer-deep' END AS reason FROM p""",
     "run_scoped_spend": """SELECT CAST(sum(CASE WHEN event_type <> 'error' THEN CAST(value AS DECIMAL(14,8)) END) AS DECIMAL(22,8)) AS spent_usd,
  count(*) FILTER (event_type = 'error') AS unpriced_calls FROM events WHERE event_type IN ('purchase', 'error') AND ts >= TIMESTAMP '2024-01-15'""",
 }

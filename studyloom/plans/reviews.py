@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import slug
 from ..operators import extractions as X
 from ..operators import pages as P
 from ..operators import topics as T
@@ -59,11 +60,12 @@ def extraction_reject(spark, folder):
 
 
 def topic_creation(spark, folder):
+    """Parts as topics of their brand; those under 40 are there already, a third of them with a number behind."""
     p = scan(spark, folder, "part", "p_partkey", "p_brand", "p_name")
-    old = p.where("p_partkey < 40").select(F.col("p_brand").alias("course_id"), F.regexp_replace("p_name", " ", "-").alias("slug")).distinct()
-    new = p.where("p_partkey >= 40").select(F.col("p_brand").alias("course_id"), F.col("p_partkey").cast("string").alias("title"), F.regexp_replace("p_name", " ", "-").alias("slug"))
-    made, _ = X.create_topics(old, new)
-    return made.groupBy("course_id").agg(F.count("*").alias("n"), F.count_distinct("slug").alias("slugs"))
+    base = slug(F.col("p_name"))
+    old = p.where("p_partkey < 40").select(F.col("p_brand").alias("course_id"), F.when(F.col("p_partkey") % 3 == 0, F.concat(base, F.lit("-2"))).otherwise(base).alias("slug")).distinct()
+    new = p.where("p_partkey >= 40").select(F.col("p_brand").alias("course_id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("title"), base.alias("slug"))
+    return X.create_topics(old, new)[0].select("course_id", F.col("ord").alias("p_partkey"), "slug")
 
 
 def review_staleness(spark, folder):
@@ -112,9 +114,13 @@ def bulk_file(spark, folder):
 
 
 def exam_choice(spark, folder):
-    o = scan(spark, folder, "orders", F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("course_id"), (F.col("o_orderkey") % 7 == 0).alias("is_exam"))
-    chosen = o.groupBy("course_id").agg(F.max("id").alias("id")).select("course_id", F.when(F.col("course_id") % 3 != 0, F.col("id")).alias("id"))
-    return X.choose_exam(o, chosen)
+    """Orders as items: every seventh is flagged, every eleventh set by hand, every fifth locked; a third of the customers each set their last
+    order, reject their first one, or reset."""
+    o = scan(spark, folder, "orders", F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("course_id"))
+    items = o.select("id", "course_id", (F.col("id") % 7 == 0).alias("is_exam"), F.when(F.col("id") % 11 == 0, "manual").when(F.col("id") % 7 == 0, "detected").alias("source"), F.when(F.col("id") % 5 == 0, F.array(F.lit("is_exam_candidate"), F.lit("title"))).alias("locks"))
+    intent = F.element_at(F.array(F.lit("set"), F.lit("reject"), F.lit("reset")), (F.col("course_id") % 3 + 1).cast("int"))
+    decisions = o.groupBy("course_id").agg(F.max("id").alias("_last"), F.min("id").alias("_first")).select("course_id", intent.alias("intent"), F.when(F.col("course_id") % 3 == 0, F.col("_last")).otherwise(F.col("_first")).alias("id"))
+    return X.decide_exam(items, decisions).select("id", "course_id", "is_exam", "source", F.array_join("locks", ",").alias("locks"))
 
 
 def audit_verdicts(spark, folder):
@@ -148,7 +154,9 @@ ORACLES = {
     "extraction_fan_out": """SELECT o_orderkey AS extraction_id, CAST(k - 1 AS INTEGER) AS ord, 'C' || k || ' ' || o_orderkey AS title, CASE WHEN k = 1 THEN CAST(floor(o_totalprice) % 100 AS DOUBLE) END AS weight, CAST(k AS INTEGER) AS session_number FROM orders, range(1, 3) t(k)""",
     "extraction_confirm": """SELECT c_custkey AS course_id, CAST(coalesce((SELECT max(CASE WHEN o_orderkey % 20 <> 3 THEN o_orderkey % 40 END) FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 10 = 3), 7) AS BIGINT) AS total_sessions FROM customer""",
     "extraction_reject": "SELECT o_orderkey AS extraction_id FROM orders WHERE o_orderkey % 2 <> 0 OR o_orderkey % 5 = 0",
-    "topic_creation": "SELECT p_brand AS course_id, count(*) AS n, count(*) AS slugs FROM part WHERE p_partkey >= 40 GROUP BY 1",
+    "topic_creation": """WITH p AS (SELECT *, replace(lower(p_name), ' ', '-') AS base FROM part), t AS (SELECT DISTINCT p_brand, base, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS n FROM p WHERE p_partkey < 40), k AS (SELECT p_brand, base, list(n) AS taken FROM t GROUP BY ALL),
+ r AS (SELECT p_brand, p_partkey, p.base, row_number() OVER (PARTITION BY p_brand, p.base ORDER BY p_partkey) AS i, coalesce(taken, []) AS taken FROM p LEFT JOIN k USING (p_brand, base) WHERE p_partkey >= 40),
+ f AS (SELECT *, list_filter(range(1, i + 4), lambda n: NOT list_contains(taken, n))[i] AS n FROM r) SELECT p_brand AS course_id, p_partkey, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM f""",
     "review_staleness": """WITH c AS (SELECT l_orderkey AS review_id, count(*) FILTER (p_partkey IS NULL OR p_size % 6 > l_linenumber) AS changed FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_partkey % 9 <> 0 GROUP BY 1) SELECT *, changed > 0 AS stale FROM c""",
     "prior_contributions": """WITH a AS (SELECT l_partkey AS k, max(l_linenumber) AS m FROM lineitem WHERE l_quantity < 10 GROUP BY 1), b AS (SELECT DISTINCT l_partkey AS k, true AS p FROM lineitem WHERE l_quantity > 45)
  SELECT k AS topic_id, m AS snapshot_revision, coalesce(p, false) AS has_provenance FROM a FULL JOIN b USING (k)""",
@@ -157,7 +165,12 @@ ORACLES = {
     "matcher_rows": """WITH s AS (SELECT 'c' || s_suppkey % 3 AS course_id, 'Word ' || s_suppkey % 2 AS pattern FROM supplier UNION ALL SELECT 'c1', 'word 7') SELECT course_id, pattern, count(*) AS n FROM s GROUP BY ALL""",
     "newest_flagged": "SELECT count(*) FILTER (s = 'F') AS flagged FROM (SELECT arg_max(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY o_custkey)",
     "bulk_file": """WITH h AS (SELECT *, p_size % 2 <> 0 AND contains(lower(p_name || ' ' || p_type), 'widget economy') AS hit FROM part) SELECT p_partkey, CASE WHEN hit THEN 'c9' WHEN p_size % 2 = 0 THEN 'c0' END AS course_id, CASE WHEN hit THEN 'course_id,title' ELSE 'title' END AS locks FROM h""",
-    "exam_choice": """WITH m AS (SELECT *, o_orderkey % 7 = 0 AS is_exam, o_custkey % 3 <> 0 AND o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey) AS want FROM orders) SELECT o_orderkey AS id, o_custkey AS course_id, want AS is_exam, 'user' AS source FROM m WHERE want <> is_exam""",
+    "exam_choice": """WITH i AS (SELECT o_orderkey AS id, o_custkey AS c, o_orderkey % 7 = 0 AS e, CASE WHEN o_orderkey % 11 = 0 THEN 'manual' WHEN o_orderkey % 7 = 0 THEN 'detected' END AS s, o_orderkey % 5 = 0 AS locked,
+ o_custkey % 3 AS k, max(o_orderkey) OVER (PARTITION BY o_custkey) AS last, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first FROM orders),
+ n AS (SELECT *, k = 0 AND id = last AS ne, CASE WHEN k = 0 AND id = last THEN 'manual' END AS ns, CASE WHEN k = 2 THEN CASE WHEN locked THEN 'title' ELSE '' END WHEN locked THEN 'is_exam_candidate,title' ELSE 'is_exam_candidate' END AS nl FROM i
+ WHERE CASE WHEN k = 2 THEN locked ELSE e OR coalesce(s = 'manual', false) OR id = CASE WHEN k = 0 THEN last ELSE first END END)
+ SELECT id, c AS course_id, ne AS is_exam, ns AS source, nl AS locks FROM n WHERE e <> ne OR s IS DISTINCT FROM ns OR nl <> CASE WHEN locked THEN 'is_exam_candidate,title' ELSE '' END""",
     "audit_verdicts": """SELECT event_id AS verdict_id, CASE WHEN event_type = 'click' THEN 'skip' WHEN event_type = 'error' THEN 'create-topic' WHEN user_id % 4 = 0 THEN 'ignore' WHEN event_type = 'view' THEN 'append-note' WHEN event_type = 'purchase' THEN 'open-question' ELSE 'ignore' END AS action FROM events""",
-    "strip_plan": f"""SELECT conv_id AS topic_id, CASE WHEN conv_id % 2 = 0 AND count(*) FILTER (turn % 2 = 0) > 0 THEN 'rewrite-page' ELSE 'remove-topic' END AS plan, count(*) FILTER (turn % 2 = 1) AS lost FROM ({TURNS}) GROUP BY conv_id HAVING count(*) FILTER (turn % 2 = 1) > 0""",
+    "strip_plan": f"""WITH p AS (SELECT conv_id, conv_id % 2 = 0 AND count(*) FILTER (turn % 2 = 0) > 0 AS kept, count(*) FILTER (turn % 2 = 1) AS n FROM ({TURNS}) GROUP BY conv_id HAVING count(*) FILTER (turn % 2 = 1) > 0)
+ SELECT conv_id AS topic_id, CASE WHEN kept THEN 'rewrite-page' ELSE 'remove-topic' END AS plan, CASE WHEN kept THEN n ELSE 0 END AS lost, CAST(0 AS BIGINT) AS unattributed, kept AS stale FROM p""",
 }

@@ -134,20 +134,25 @@ def quality_constraints(spark, folder):
 
 
 def attendance_gate(spark, folder):
-    """Users as courses: clicks present, views late, errors absent."""
+    """Users as courses: clicks present, views excused, errors absent; every ninth has no total, every eighth a share of none."""
     ev = scan(spark, folder, "events", F.col("user_id").alias("course_id"), "event_type")
-    status = F.when(F.col("event_type") == "click", "present").when(F.col("event_type") == "view", "late").when(F.col("event_type") == "error", "absent")
-    courses = ev.groupBy("course_id").agg(F.count("*").cast("int").alias("total_sessions")).withColumn("absence_fail_pct", F.when(F.col("course_id") % 2 == 0, F.lit(15.0)))
-    return ledger.attendance_gate(ev.select("course_id", status.alias("status")), courses).select("course_id", "present", "late", "absent", "allowed", "left", "gate")
+    status = F.when(F.col("event_type") == "click", "present").when(F.col("event_type") == "view", "excused").when(F.col("event_type") == "error", "absent")
+    marks = ev.select("course_id", status.alias("status")).where("status IS NOT NULL")
+    total = F.when(F.col("course_id") % 9 != 0, F.count("*").cast("int"))
+    courses = ev.groupBy("course_id").agg(total.alias("total_sessions")).withColumn("absence_fail_pct", F.when(F.col("course_id") % 8 == 0, F.lit(101.0)).when(F.col("course_id") % 2 == 0, F.lit(15.0)))
+    return ledger.attendance_gate(marks, courses).select("course_id", "present", "absent", "excused", "allowed", "left", "gate")
 
 
 def participation_standings(spark, folder):
+    """Users as courses, their days as sessions (those of errors alone are absences), purchases as contributions; customers without
+    events are courses without sessions."""
     ev = scan(spark, folder, "events", "event_id", "user_id", "event_type", "ts")
     days = ev.withColumn("occurrence_id", F.concat_ws("/", "user_id", F.to_date("ts").cast("string")))
-    attended = days.groupBy(F.col("user_id").alias("course_id"), "occurrence_id").agg(F.min("ts").alias("starts_at"))
+    attended = days.groupBy(F.col("user_id").alias("course_id"), "occurrence_id").agg(F.min("ts").alias("starts_at"), F.when(F.bool_and(F.col("event_type") == "error"), "absent").otherwise("present").alias("status"))
     logs = days.where(F.col("event_type") == "purchase").select("occurrence_id")
-    out = ledger.participation(attended, logs, F.lit(1.5))
-    return out.select("course_id", "sessions", "contributions", F.round("mean", 9).alias("mean"), F.round("delta", 9).alias("delta"), "streak")
+    courses = scan(spark, folder, "customer", F.col("c_custkey").alias("course_id")).select("course_id", F.lit(20).alias("total_sessions"), F.lit(None).cast("double").alias("absence_fail_pct"), F.when(F.col("course_id") % 4 != 0, 1.5).otherwise(F.lit(0.0)).alias("target"))
+    out = ledger.course_standings(courses, attended, logs)
+    return out.select("course_id", "absent", "gate", "sessions", "contributions", F.round("mean", 9).alias("mean"), F.round("delta", 9).alias("delta"), "on_pace", "streak")
 
 
 def asof_previous_event(spark, folder):
@@ -239,12 +244,15 @@ ORACLES = {
  UNION ALL SELECT 'lineitem order', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
  UNION ALL SELECT 'order customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
  UNION ALL SELECT 'discount', count(*) FROM lineitem WHERE l_discount > 0.08""",
-    "attendance_gate": """WITH c AS (SELECT user_id AS course_id, count(*) FILTER (event_type = 'click') AS present, count(*) FILTER (event_type = 'view') AS late, count(*) FILTER (event_type = 'error') AS absent,
- CAST(floor(count(*)::DOUBLE * CASE WHEN user_id % 2 = 0 THEN 15.0::DOUBLE ELSE 20.0::DOUBLE END / 100) AS BIGINT) AS allowed FROM events GROUP BY user_id)
- SELECT *, allowed - absent AS "left", CASE WHEN allowed < absent THEN 'failed' WHEN allowed = absent THEN 'at_limit' WHEN allowed - absent = 1 THEN 'warning' ELSE 'ok' END AS gate FROM c""",
-    "participation_standings": """WITH d AS (SELECT user_id AS course_id, CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'purchase') AS n FROM events GROUP BY ALL),
- s AS (SELECT *, sum(CASE WHEN n > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY course_id ORDER BY day DESC) AS bad FROM d)
- SELECT course_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS contributions, round(sum(n)::DOUBLE / count(*)::DOUBLE, 9) AS mean, round(sum(n)::DOUBLE / count(*)::DOUBLE - 1.5::DOUBLE, 9) AS delta, count(*) FILTER (bad = 0) AS streak FROM s GROUP BY course_id""",
+    "attendance_gate": """WITH c AS (SELECT user_id AS course_id, count(*) FILTER (event_type = 'click') AS present, count(*) FILTER (event_type = 'error') AS absent, count(*) FILTER (event_type = 'view') AS excused,
+ CASE WHEN user_id % 9 <> 0 AND user_id % 8 <> 0 THEN CAST(floor(count(*)::DOUBLE * CASE WHEN user_id % 2 = 0 THEN 15.0::DOUBLE ELSE 20.0::DOUBLE END / 100) AS BIGINT) END AS allowed FROM events GROUP BY user_id)
+ SELECT *, allowed - absent AS "left", CASE WHEN allowed < absent THEN 'failed' WHEN allowed = absent THEN 'at_limit' WHEN allowed - absent = 1 THEN 'warning' WHEN allowed IS NOT NULL THEN 'ok' END AS gate FROM c""",
+    "participation_standings": """WITH d AS (SELECT user_id AS course_id, CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'purchase') AS n, bool_and(event_type = 'error') AS away FROM events GROUP BY ALL),
+ a AS (SELECT course_id, count(*) FILTER (away) AS absent FROM d GROUP BY 1), s AS (SELECT *, sum(CASE WHEN n > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY course_id ORDER BY day DESC) AS bad FROM d WHERE NOT away),
+ p AS (SELECT course_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS contributions, sum(n)::DOUBLE / count(*)::DOUBLE AS mean, count(*) FILTER (bad = 0) AS streak FROM s GROUP BY course_id),
+ r AS (SELECT c_custkey AS course_id, coalesce(absent, 0) AS absent, coalesce(sessions, 0) AS sessions, coalesce(contributions, 0) AS contributions, coalesce(mean, 0) AS mean, coalesce(streak, 0) AS streak, CASE WHEN sessions > 0 AND c_custkey % 4 <> 0 THEN mean - 1.5::DOUBLE END AS delta
+  FROM customer LEFT JOIN p ON p.course_id = c_custkey LEFT JOIN a ON a.course_id = c_custkey)
+ SELECT course_id, absent, CASE WHEN absent > 4 THEN 'failed' WHEN absent = 4 THEN 'at_limit' WHEN absent = 3 THEN 'warning' ELSE 'ok' END AS gate, sessions, contributions, round(mean, 9) AS mean, round(delta, 9) AS delta, delta >= 0 AS on_pace, streak FROM r""",
     "asof_previous_event": """SELECT p.event_id, c.ts AS last_click FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts""",
     "nearest_position": """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
  n AS (SELECT *, max(CASE WHEN event_type = 'error' THEN pos END) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, min(CASE WHEN event_type = 'error' THEN pos END) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS q FROM e)

@@ -50,9 +50,9 @@ def group_unassigned(spark, folder):
 
 def course_match(spark, folder):
     """Parts against four courses and two matchers."""
-    items = scan(spark, folder, "part", F.col("p_partkey").alias("id"), F.when(F.col("p_size") == 7, F.lit(3)).alias("pinned"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    courses = spark.createDataFrame([(1, 1, "ring", "no such"), (2, 2, "xx", "red widget ECONOMY"), (3, 3, "zz", "Small"), (4, 4, "promo", "gadget")], "course_id int, ord int, code string, title string")
-    matchers = spark.createDataFrame([(4, 4, "BLUE"), (2, 2, "green")], "course_id int, ord int, pattern string")
+    items = scan(spark, folder, "part", F.col("p_partkey").alias("id"), F.when(F.col("p_size") == 7, F.lit(3)).alias("pinned"), F.when(F.col("p_partkey") % 13 == 0, "  ").otherwise(F.concat_ws(" ", F.lit(" "), "p_name", "p_type")).alias("text"))
+    courses = spark.createDataFrame([(1, 1, "ring", "no such"), (2, 2, "xx", "red widget ECONOMY"), (3, 3, "zz", "Small"), (4, 4, " PROMO ", "gadget"), (5, 5, " ", "")], "course_id int, ord int, code string, title string")
+    matchers = spark.createDataFrame([(4, 4, " BLUE"), (2, 2, "green"), (5, 5, " "), (9, 0, "e")], "course_id int, ord int, pattern string")
     return calendar.match_course(items, courses, matchers)
 
 
@@ -83,14 +83,23 @@ def reprocess_plan(spark, folder):
 def attempts_outcome(spark, folder):
     """A user's events of a day as the attempts of one call."""
     ev = scan(spark, folder, "events", "event_id", "user_id", "event_type", F.to_date("ts").cast("string").alias("day"), "value")
-    rows = ev.select(F.concat_ws("/", "user_id", "day").alias("call_id"), F.col("event_id").alias("attempt"), F.when(F.col("event_type") == "error", "error").otherwise("success").alias("outcome"), F.when(F.col("value") > 50, "large").otherwise("small").alias("model"))
+    rows = ev.select(F.concat_ws("/", "user_id", "day").alias("call_id"), F.col("event_id").alias("attempt"), F.when(F.col("event_type") == "error", "schema").when(F.col("event_type") == "signup", "refusal").otherwise("success").alias("outcome"), F.when(F.col("value") > 50, "large").otherwise("small").alias("model"))
     return routing.attempts_outcome(rows)
 
 
+def funnelled_documents(spark, folder):
+    """Customers as documents: orders are their segments, the days of the month their targets; every third course has topics."""
+    o = scan(spark, folder, "orders", F.col("o_custkey").alias("document_id"), F.when(F.col("o_custkey") % 2 == 0, 1).otherwise(F.dayofmonth("o_orderdate")).alias("target"))
+    routed = o.groupBy("document_id").agg(F.count("*").alias("segments"), F.count_distinct("target").alias("targets")).withColumn("existing", F.col("document_id") % 3)
+    return routing.funnelled(routed).select("document_id", "segments", "warning")
+
+
 def document_outcome(spark, folder):
-    o = scan(spark, folder, "orders", F.col("o_custkey").alias("document_id"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("ok").alias("outcome"), (F.col("o_orderkey") % 20 == 0).alias("downgraded"), F.col("o_orderkey").alias("topic_id"))
-    out = topics.document_outcome(o)
-    return out.select("document_id", "outcome", "ready", "failed", F.array_join(F.transform("failed_topics", lambda x: x.cast("string")), ",").alias("failed_topics"), topics.outcome_label(F.col("outcome"), F.col("failed")).alias("label"))
+    """Customers as documents, their orders as topics; those without orders have none."""
+    o = scan(spark, folder, "orders", F.col("o_custkey").alias("document_id"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("merged").alias("outcome"), (F.col("o_orderkey") % 3 == 0).alias("needs_review"), F.col("o_orderkey").alias("topic_id"))
+    documents = scan(spark, folder, "customer", F.col("c_custkey").alias("document_id"), (F.col("c_custkey") % 5 == 0).alias("downgraded"))
+    out = topics.document_outcome(documents, o)
+    return out.select("document_id", "outcome", "merged", "needs_review", "failed", F.array_join(F.transform("failed_topics", lambda x: x.cast("string")), ",").alias("failed_topics"), topics.outcome_label(F.col("outcome"), F.col("failed")).alias("label"))
 
 
 def insert_ignore_orders(spark, folder):
@@ -138,13 +147,16 @@ def text_functions(spark, folder):
 
 
 def document_kinds(spark, folder):
-    """File names and summaries built from part names, classified."""
+    """File names and formats built from part names, judged and classified."""
     p = scan(spark, folder, "part", "p_partkey", "p_name", "p_size")
-    words = F.array(*map(F.lit, ("Syllabus 2026.pdf", "Case study.docx", "Reading list.pdf", "Homework 3.pdf", "Lecture 4.pptx", "notes.txt")))
-    file = F.element_at(words, (F.col("p_partkey") % 6 + 1).cast("int"))
-    kinds = F.element_at(F.array(*map(F.lit, ("pdf", "pptx", "exe", "docx"))), (F.col("p_size") % 4 + 1).cast("int"))
+    words = F.array(*map(F.lit, ("Syllabus 2026.pdf", "HBS 9-102.pdf", "textbook_2.pdf", "Week 3 unit.pdf", "course-guide case.pdf", "notes.txt", "thread.pdf", "S12 intro.pptx")))
+    file = F.element_at(words, (F.col("p_partkey") % 8 + 1).cast("int"))
+    kinds = F.element_at(F.array(*map(F.lit, ("pdf", "pptx", "txt", "docx", "zip", "xlsx"))), (F.col("p_size") % 6 + 1).cast("int"))
     reject = documents.admission((F.col("p_partkey") % 60) * 1_000_000, kinds, F.col("p_size") % 7 == 0, F.col("p_size") * 25, F.col("p_size").cast("long") * 5_000_000, F.col("p_size") % 5 == 0)
-    return p.select("p_partkey", documents.kind_of_name(file).alias("kind"), reject.alias("rejected"), documents.extraction_route(kinds, F.col("p_size") * 2).alias("route"), documents.genuine_reason(F.substring("p_name", 1, 2)).alias("genuine"), fetch_status(F.col("p_size") * 10).alias("fetch"))
+    return p.select(
+        "p_partkey", documents.kind_of_name(file, kinds).alias("kind"), reject.alias("rejected"), documents.extraction_route(kinds, F.col("p_size") * 2).alias("route"), documents.source_units(kinds, F.col("p_size"), F.col("p_size") - 10).alias("units"),
+        documents.genuine_reason(F.substring("p_name", 1, 2)).alias("genuine"), fetch_status(F.col("p_size") * 10).alias("fetch"),
+    )
 
 
 def vector_codec(spark, folder):
@@ -157,7 +169,7 @@ def vector_codec(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        week_view, exam_detection, group_unassigned, course_match, merge_loss, signal_mapping, reprocess_plan, attempts_outcome, document_outcome, insert_ignore_orders,
+        week_view, exam_detection, group_unassigned, course_match, merge_loss, signal_mapping, reprocess_plan, attempts_outcome, document_outcome, funnelled_documents, insert_ignore_orders,
         patch_with_locks, replace_partition, queue_flush, change_feed_view, text_functions, document_kinds, vector_codec,
     )
 }
@@ -180,7 +192,7 @@ ORACLES = {
  g AS (SELECT k.c, k.source, k.session, arg_min(e.uid, (e.at, e.uid)) AS uid FROM k LEFT JOIN e ON e.c = k.c AND k.session BETWEEN e.f AND e.t GROUP BY ALL)
  SELECT c AS course_id, CASE WHEN source IS NULL THEN 'unknown' WHEN uid IS NULL THEN 'pending' ELSE 'found' END AS outcome, source, session, uid FROM g""",
     "group_unassigned": """SELECT lower(trim(p_name)) AS name, count(*) AS n, array_to_string(list_sort(list(p_partkey)), ',') AS ids, 866000000 + min(p_size) * 86400::BIGINT AS first, 866000000 + max(p_size) * 86400::BIGINT AS last, max(p_size) >= 40 AS actionable FROM part GROUP BY 1""",
-    "course_match": """WITH i AS (SELECT p_partkey AS id, p_size, p_name || ' ' || p_type AS t FROM part), c(course_id, ord, code, title) AS (VALUES (1, 1, 'ring', 'no such'), (2, 2, 'xx', 'red widget ECONOMY'), (3, 3, 'zz', 'Small'), (4, 4, 'promo', 'gadget')), m(course_id, ord, pattern) AS (VALUES (4, 4, 'blue'), (2, 2, 'green')),
+    "course_match": """WITH i AS (SELECT p_partkey AS id, p_size, CASE WHEN p_partkey % 13 <> 0 THEN p_name || ' ' || p_type END AS t FROM part), c(course_id, ord, code, title) AS (VALUES (1, 1, 'ring', 'no such'), (2, 2, 'xx', 'red widget ECONOMY'), (3, 3, 'zz', 'Small'), (4, 4, 'promo', 'gadget')), m(course_id, ord, pattern) AS (VALUES (4, 4, 'blue'), (2, 2, 'green')),
  a AS (SELECT id, ord, course_id, CASE WHEN p_size = 7 AND course_id = 3 THEN 1 WHEN regexp_matches(t, '(?i)(^|[^a-z0-9])' || code || '($|[^a-z0-9])') THEN 3 WHEN lower(t) = lower(title) THEN 4 WHEN contains(lower(t), lower(title)) OR contains(lower(title), lower(t)) THEN 5 END AS step FROM i, c
  UNION ALL SELECT id, ord, course_id, 2 FROM i, m WHERE contains(lower(t), pattern))
  SELECT id, arg_min(course_id, (step, ord, course_id)) AS course_id, min(step) AS step FROM a WHERE step IS NOT NULL GROUP BY id""",
@@ -195,11 +207,14 @@ ORACLES = {
     "reprocess_plan": """WITH t AS (SELECT o_orderkey AS target, CASE WHEN o_orderkey % 10 <> 0 THEN o_custkey END AS topic_id, o_orderkey % 6 AS revision FROM orders), p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 5 END AS snap, c_custkey % 3 = 0 AS prov FROM customer WHERE c_custkey % 7 <> 0),
  s AS (SELECT t.*, snap, id IS NOT NULL AND CASE WHEN snap IS NULL THEN prov ELSE revision > snap END AS skip FROM t LEFT JOIN p ON id = topic_id)
  SELECT target, topic_id, revision, CASE WHEN skip THEN 'skip' ELSE 'merge' END AS work, CASE WHEN skip THEN coalesce(snap + 1, revision) END AS merged_at_revision FROM s""",
-    "attempts_outcome": """WITH a AS (SELECT user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS call_id, event_id, event_type <> 'error' AS ok, CASE WHEN value > 50 THEN 'large' ELSE 'small' END AS model FROM events), l AS (SELECT call_id, count(*) AS attempts, arg_max(ok, event_id) AS ok, arg_max(model, event_id) AS m, arg_min(model, event_id) AS f FROM a GROUP BY 1)
- SELECT call_id, attempts, CASE WHEN NOT ok THEN 'dead_letter' WHEN m <> f THEN 'escalated' ELSE 'delivered' END AS status FROM l""",
-    "document_outcome": """WITH d AS (SELECT o_custkey AS document_id, count(*) FILTER (o_orderstatus <> 'F') AS ready, count(*) FILTER (o_orderstatus = 'F') AS failed, bool_or(o_orderkey % 20 = 0) AS low, coalesce(string_agg(o_orderkey, ',' ORDER BY o_orderkey) FILTER (o_orderstatus = 'F'), '') AS failed_topics FROM orders GROUP BY 1)
- SELECT document_id, CASE WHEN ready = 0 THEN 'failed' WHEN failed > 0 OR low THEN 'partial' ELSE 'ready' END AS outcome, ready, failed, failed_topics,
- CASE WHEN ready = 0 THEN 'This file was read, but none of its ' || failed || CASE WHEN failed = 1 THEN ' topic' ELSE ' topics' END || ' could be updated. Try again.' WHEN failed > 0 THEN 'Your topic pages were updated, except for ' || failed || ' of them. Retry to finish the rest.'
+    "attempts_outcome": """WITH a AS (SELECT user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS call_id, event_id, event_type AS t, CASE WHEN value > 50 THEN 'large' ELSE 'small' END AS model FROM events), l AS (SELECT call_id, count(*) AS attempts, arg_max(t, event_id) AS t, arg_max(model, event_id) AS m, arg_min(model, event_id) AS f FROM a GROUP BY 1)
+ SELECT call_id, attempts, CASE WHEN t IN ('error', 'signup') THEN 'dead_letter' WHEN m <> f THEN 'escalated' ELSE 'delivered' END AS status, CASE WHEN t = 'signup' THEN 'refusal' WHEN t = 'error' AND m = f THEN 'no-escalation-target' WHEN t = 'error' THEN 'schema' END AS reason FROM l""",
+    "funnelled_documents": """WITH r AS (SELECT o_custkey AS document_id, count(*) AS segments, count(DISTINCT CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE day(o_orderdate) END) AS targets FROM orders GROUP BY 1)
+ SELECT document_id, segments, '[routing] Whole document funnelled into a single topic on an empty index (' || segments || ' sections → 1 topic) — likely under-split.' AS warning FROM r WHERE document_id % 3 = 0 AND targets = 1 AND segments >= 12""",
+    "document_outcome": """WITH o AS (SELECT o_custkey AS d, count(*) FILTER (o_orderstatus <> 'F') AS merged, count(*) FILTER (o_orderstatus <> 'F' AND o_orderkey % 3 = 0) AS needs_review, count(*) FILTER (o_orderstatus = 'F') AS failed, string_agg(o_orderkey, ',' ORDER BY o_orderkey) FILTER (o_orderstatus = 'F') AS ids FROM orders GROUP BY 1),
+ d AS (SELECT c_custkey AS document_id, coalesce(merged, 0) AS merged, coalesce(needs_review, 0) AS needs_review, coalesce(failed, 0) AS failed, coalesce(ids, '') AS failed_topics, c_custkey % 5 = 0 AS low FROM customer LEFT JOIN o ON d = c_custkey)
+ SELECT document_id, CASE WHEN failed > 0 AND merged = 0 THEN 'failed' WHEN failed > 0 OR low THEN 'partial' ELSE 'ready' END AS outcome, merged, needs_review, failed, failed_topics,
+ CASE WHEN failed > 0 AND merged = 0 THEN 'This file was read, but none of its ' || failed || CASE WHEN failed = 1 THEN ' topic' ELSE ' topics' END || ' could be updated. Try again.' WHEN failed > 0 THEN 'Your topic pages were updated, except for ' || failed || ' of them. Retry to finish the rest.'
  WHEN low THEN 'Your topic pages were updated, but part of the indexing didn’t finish. The pages are readable; search may lag.' END AS label FROM d""",
     "insert_ignore_orders": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE 'N' END AS o_orderstatus FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0",
     "patch_with_locks": """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE o_orderpriority END AS o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN 'o_orderstatus,title' END AS locks FROM orders""",
@@ -207,15 +222,15 @@ ORACLES = {
     "queue_flush": "SELECT event_id AS client_id, event_id % 3 + CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS attempts FROM events WHERE event_type IN ('view', 'click')",
     "change_feed_view": """WITH l AS (SELECT user_id AS id, arg_max(event_type, event_id) AS body FROM events GROUP BY 1) SELECT * FROM l WHERE body <> 'error' UNION ALL SELECT id + 1000, 'old' FROM l WHERE id % 2 = 0""",
     "text_functions": r"""WITH n AS (SELECT *, ' ' || c_name || '  /' || c_mktsegment || '% ' AS s FROM customer), k AS (SELECT *, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS key, CAST(trunc(abs(c_acctbal)) AS BIGINT) AS n, floor(c_acctbal)::DOUBLE / 1000 AS d FROM n)
- SELECT c_custkey, lower(trim(regexp_replace(s, '\s+', ' ', 'g'))) AS title, replace(key, ' ', '-') AS slug, key, regexp_replace(s, '[/\\%]', '_', 'g') AS file, array_to_string(list_filter(string_split(key, ' '), lambda w: length(w) >= 3), ',') AS tokens,
+ SELECT c_custkey, lower(trim(regexp_replace(s, '\s+', ' ', 'g'))) AS title, CASE WHEN key = '' THEN 'topic' ELSE substr(replace(key, ' ', '-'), 1, 60) END AS slug, key, trim(regexp_replace(s, '[/\\%]', '-', 'g')) AS file, array_to_string(list_filter(string_split(key, ' '), lambda w: length(w) >= 3), ',') AS tokens,
  CAST(len(string_split_regex(trim(s), '\s+')) AS INTEGER) AS words, array_to_string(list_slice(string_split_regex(trim(s), '\s+'), 1, 2), ' ') AS head, c_mktsegment = 'MACHINERY' AS machinery,
  CASE WHEN n < 1024 THEN n || ' bytes' ELSE replace(CAST(floor(n::DOUBLE / 1024 * 10 + 0.5) / 10 AS VARCHAR), '.0', '') || ' KB' END AS size,
  CASE WHEN d < 0 THEN CASE WHEN abs(d) * 24 < 1 THEN 'just now' WHEN abs(d) < 1 THEN CAST(floor(abs(d) * 24) AS INTEGER) || 'h ago' WHEN floor(abs(d)) = 1 THEN '1 day ago' ELSE CAST(floor(abs(d)) AS INTEGER) || ' days ago' END
  WHEN d * 24 < 1 THEN 'now' WHEN d < 1 THEN 'in ' || CAST(floor(d * 24) AS INTEGER) || 'h' WHEN floor(d) = 1 THEN 'tomorrow' ELSE 'in ' || CAST(floor(d) AS INTEGER) || ' days' END AS due FROM k""",
-    "document_kinds": """WITH x AS (SELECT *, ['pdf', 'pptx', 'exe', 'docx'][CAST(p_size % 4 + 1 AS INTEGER)] AS f, (p_partkey % 60) * 1000000 AS size FROM part)
- SELECT p_partkey, ['syllabus', 'case', 'reading', 'exercise', 'slides', 'other'][CAST(p_partkey % 6 + 1 AS INTEGER)] AS kind,
- CASE WHEN size = 0 THEN 'empty' WHEN size > 52428800 THEN 'too-large' WHEN f = 'pdf' AND p_size % 7 = 0 THEN 'encrypted-pdf' WHEN p_size * 25 > 1000 THEN 'archive-too-many-entries' WHEN p_size::BIGINT * 5000000 > 209715200 THEN 'archive-too-large' WHEN f = 'exe' THEN 'unsupported-format' WHEN p_size % 5 = 0 AND f IN ('pptx', 'docx') THEN 'damaged-archive' WHEN p_size % 5 = 0 THEN 'unreadable-format' END AS rejected,
- CASE WHEN f = 'pdf' THEN 'pdf_native' WHEN f = 'pptx' AND p_size * 2 < 40 THEN 'deck_converted' WHEN f = 'pptx' THEN 'deck_xml' ELSE 'text' END AS route, false AS genuine,
+    "document_kinds": """WITH x AS (SELECT *, ['pdf', 'pptx', 'txt', 'docx', 'zip', 'xlsx'][CAST(p_size % 6 + 1 AS INTEGER)] AS f, (p_partkey % 60) * 1000000 AS size FROM part)
+ SELECT p_partkey, coalesce(['syllabus', 'case', NULL, 'slides', 'syllabus', NULL, NULL, 'slides'][CAST(p_partkey % 8 + 1 AS INTEGER)], CASE WHEN f = 'pptx' THEN 'slides' ELSE 'reading' END) AS kind,
+ CASE WHEN size = 0 THEN 'empty' WHEN size > 52428800 THEN 'too-large' WHEN f = 'pdf' THEN CASE WHEN p_size % 7 = 0 THEN 'encrypted-pdf' END WHEN f = 'txt' THEN 'unreadable-format' WHEN p_size % 5 = 0 THEN 'damaged-archive' WHEN p_size * 25 > 1000 THEN 'archive-too-many-entries' WHEN p_size::BIGINT * 5000000 > 209715200 THEN 'archive-too-large' WHEN f <> 'pptx' THEN 'unsupported-format' END AS rejected,
+ CASE WHEN f = 'pdf' THEN 'pdf_native' WHEN f = 'pptx' AND p_size * 2 < 40 THEN 'deck_converted' WHEN f = 'pptx' THEN 'deck_xml' ELSE 'text' END AS route, CASE WHEN f = 'pdf' THEN p_size WHEN f = 'pptx' AND p_size > 10 THEN p_size - 10 END AS units, false AS genuine,
  CASE WHEN p_size * 10 IN (401, 403, 410) THEN 'unauthorized' WHEN p_size * 10 BETWEEN 200 AND 299 THEN 'ok' ELSE 'retryable' END AS fetch FROM x""",
     "vector_codec": "SELECT event_id, event_id % 3 = 0 AS valid, CASE WHEN event_id % 3 = 0 THEN value END AS first FROM events",
 }

@@ -32,9 +32,18 @@ def lines_of(spark, folder):
 
 
 def segment_runs(spark, folder):
-    """Lines as pages: a line of one sentence begins a run, as does every 5th line of a run."""
-    pages = lines_of(spark, folder).withColumn("heading", F.length("line") < 40)
-    return D.segments(pages, 5).select("doc_id", F.col("segment").cast("long").alias("segment"), "from_page", "to_page", "n")
+    """Lines as pages: a line of one sentence begins a run and titles it, as does every 5th line of a run."""
+    pages = lines_of(spark, folder).withColumn("heading", F.length("line") < 40).withColumn("title", F.col("line"))
+    return D.segments(pages, 5).select("doc_id", F.col("segment").cast("long").alias("segment"), "key", "title", "from_page", "to_page", "n")
+
+
+def unaccounted_pages(spark, folder):
+    """Lines as pages, of which there are two more than a document has: long ones were read, short ones of even documents declared skipped."""
+    pages = lines_of(spark, folder)
+    totals = pages.groupBy("doc_id").agg((F.count("*") + 2).cast("int").alias("total"))
+    read = intervals.ranges_of(pages.where(F.length("line") >= 20).select("doc_id", "page"), "page")
+    skips = pages.where((F.length("line") < 20) & (F.col("doc_id") % 2 == 0)).select("doc_id", F.col("page").alias("from_page"), F.col("page").alias("to_page"))
+    return D.unaccounted(totals, read, skips)
 
 
 def marked_pages(spark, folder, extra, reason):
@@ -122,11 +131,13 @@ def topk_similar(spark, folder):
 
 
 def duplicate_guard(spark, folder):
-    """Proposals (ids divisible by 100) against all other vectors of their label, at the guard's own threshold."""
+    """Proposals (ids divisible by 100, every seventh of them without a vector) against all other vectors of their label, at the guard's
+    own threshold; titles differ in case and spacing."""
     e = scan(spark, folder, "embeddings", "vec_id", "label", "embedding")
-    left = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("lid"), F.concat(F.lit("Topic "), F.col("vec_id") % 300).alias("title"), "label", F.col("embedding").alias("lvec"))
+    title = F.concat(F.when(F.col("vec_id") % 200 == 0, "Topic  ").otherwise(" topic "), F.col("vec_id") % 300)
+    left = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("lid"), title.alias("title"), "label", F.when(F.col("vec_id") % 700 != 0, F.col("embedding")).alias("lvec"))
     right = e.select(F.col("vec_id").alias("rid"), "label", F.col("embedding").alias("rvec"))
-    return vectors.guard_duplicates(left, right, "label").select("lid", "decision", "rid")
+    return vectors.guard_duplicates(left, right, "label").select("lid", "decision", "rid", "into", "unguarded")
 
 
 def coalesce_singletons(spark, folder):
@@ -165,7 +176,7 @@ def summary_normalise(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        newest_turn_per_conv, page_ranges, segment_runs, coverage_map, coverage_gaps, hash_normalise, chunk_identity, token_estimate, chunk_document,
+        newest_turn_per_conv, page_ranges, segment_runs, unaccounted_pages, coverage_map, coverage_gaps, hash_normalise, chunk_identity, token_estimate, chunk_document,
         fuzzy_map, price_tokens, match_chunks, topk_similar, duplicate_guard, coalesce_singletons, provenance, tail_turns, summary_normalise,
     )
 }
@@ -188,8 +199,11 @@ ORACLES = {
     "page_ranges": """SELECT conv_id, min(turn) AS first, max(turn) AS last, count(*) AS n FROM (SELECT *, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'user')) GROUP BY conv_id, g""",
     "segment_runs": f"""WITH b AS (SELECT *, sum(CASE WHEN length(line) < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page) AS g FROM ({LINES})),
  r AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, g ORDER BY page) - 1) // 5 AS i FROM b),
- k AS (SELECT doc_id, g, i, min(page) AS from_page, max(page) AS to_page, count(*) AS n FROM r GROUP BY ALL)
- SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY from_page) AS segment, from_page, to_page, n FROM k""",
+ k AS (SELECT doc_id, g, i, min(page) AS from_page, max(page) AS to_page, count(*) AS n FROM r GROUP BY ALL),
+ m AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY from_page) AS segment, from_page, to_page, n FROM k)
+ SELECT m.doc_id, segment, 'seg-' || segment AS key, CASE WHEN length(line) < 40 AND trim(line, ' ') <> '' THEN trim(line, ' ') WHEN from_page = to_page THEN 'Page ' || from_page ELSE 'Pages ' || from_page || '–' || to_page END AS title, from_page, to_page, n FROM m JOIN ({LINES}) l ON l.doc_id = m.doc_id AND l.page = from_page""",
+    "unaccounted_pages": f"""WITH l AS ({LINES}), t AS (SELECT doc_id, page FROM l WHERE length(line) < 20 AND doc_id % 2 <> 0 UNION ALL SELECT doc_id, unnest([count(*) + 1, count(*) + 2]) FROM l GROUP BY doc_id),
+ g AS (SELECT *, page - row_number() OVER (PARTITION BY doc_id ORDER BY page) AS g FROM t) SELECT doc_id, CAST(min(page) AS BIGINT) AS lo, CAST(max(page) AS BIGINT) AS hi FROM g GROUP BY doc_id, g""",
     "coverage_map": f"""WITH l AS ({LINES}), t AS (SELECT doc_id, CAST(count(*) + doc_id % 2 AS INTEGER) AS total FROM l GROUP BY doc_id), p AS (SELECT doc_id, total, unnest(range(1, total + 1)) AS page FROM t),
  c AS (SELECT p.doc_id, total, line IS NOT NULL AND (p.page % 7 = 0 OR (length(line) >= 20 AND p.page % 3 <> 0)) AS cited, coalesce(length(line) >= 20, false) AS read, line IS NOT NULL AND length(line) < 20 AND p.doc_id % 10 <> 0 AS skip,
   CASE WHEN length(line) < 20 AND p.doc_id % 10 = 0 THEN 'Pages ' || p.page || '–' || p.page || ' were reported skipped with no usable reason (“n/a”), so they are counted as undeclared rather than as a reviewed omission.' END AS w, p.page FROM p LEFT JOIN l ON l.doc_id = p.doc_id AND l.page = p.page),
@@ -215,9 +229,10 @@ ORACLES = {
  SELECT role, count(*) AS calls, round(sum(round((t * a / 1e6 + t * 2 * b / 1e6) * 1e9)) / 1e9, 9) AS usd FROM c GROUP BY role""",
     "match_chunks": f"SELECT vec_id AS id, round({COSINE.format('embedding', QUERY)}, 4) AS similarity FROM embeddings WHERE label = 3 AND embedding IS NOT NULL ORDER BY {COSINE.format('embedding', QUERY)} DESC, vec_id LIMIT 10",
     "topk_similar": f"""SELECT lid, rid, rank FROM (SELECT a.vec_id AS lid, b.vec_id AS rid, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE.format('a.embedding', 'b.embedding')} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) WHERE rank <= 3""",
-    "duplicate_guard": f"""WITH l AS (SELECT *, 'Topic ' || vec_id % 300 AS title, min(vec_id) OVER (PARTITION BY label, vec_id % 300) AS first_id FROM embeddings WHERE vec_id % 100 = 0),
- s AS (SELECT l.vec_id AS lid, r.vec_id AS rid, row_number() OVER (PARTITION BY l.vec_id ORDER BY {COSINE.format('l.embedding', 'r.embedding')} DESC, r.vec_id) AS k FROM l JOIN embeddings r ON l.label = r.label AND l.vec_id <> r.vec_id WHERE {COSINE.format('l.embedding', 'r.embedding')} >= 0.85)
- SELECT l.vec_id AS lid, CASE WHEN rid IS NOT NULL THEN 'existing' WHEN l.vec_id <> first_id THEN 'merged' ELSE 'create' END AS decision, rid FROM l LEFT JOIN s ON s.lid = l.vec_id AND k = 1""",
+    "duplicate_guard": f"""WITH l AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT l.vec_id AS lid, r.vec_id AS rid, row_number() OVER (PARTITION BY l.vec_id ORDER BY {COSINE.format('l.embedding', 'r.embedding')} DESC, r.vec_id) AS k
+ FROM l JOIN embeddings r ON l.label = r.label AND l.vec_id <> r.vec_id WHERE l.vec_id % 700 <> 0 AND {COSINE.format('l.embedding', 'r.embedding')} >= 0.85), g AS (SELECT l.vec_id AS lid, label, vec_id % 300 AS t, rid FROM l LEFT JOIN s ON s.lid = l.vec_id AND k = 1),
+ f AS (SELECT *, min(lid) FILTER (rid IS NULL) OVER (PARTITION BY label, t) AS first FROM g)
+ SELECT lid, CASE WHEN rid IS NOT NULL THEN 'coerced-to-existing' WHEN lid <> first THEN 'merged-into-proposal' ELSE 'create' END AS decision, rid, CASE WHEN rid IS NULL AND lid <> first THEN first END AS into, CASE WHEN lid % 700 = 0 THEN 'no-title-embedding' END AS unguarded FROM f""",
     "coalesce_singletons": """WITH p AS (SELECT conv_id AS deck_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS position, role AS proposal FROM conversations), s AS (SELECT *, count(*) OVER (PARTITION BY deck_id, proposal) AS n FROM p),
  w AS (SELECT *, max(CASE WHEN n >= 2 THEN position END) OVER (PARTITION BY deck_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, min(CASE WHEN n >= 2 THEN position END) OVER (PARTITION BY deck_id ORDER BY position ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM s),
  c AS (SELECT *, CASE WHEN n = 1 THEN CASE WHEN b IS NULL OR position - a <= b - position THEN a ELSE b END END AS near FROM w)

@@ -26,6 +26,10 @@ def pdf_pages(raw: bytes) -> int | None:
     return n if n and counts and n == max(counts) else None
 
 
+#: The part that tells an office file's kind.
+OOXML = {"pptx": "ppt/presentation.xml", "docx": "word/document.xml", "xlsx": "xl/workbook.xml"}
+
+
 def probe(raw: bytes) -> tuple:
     """(kind, encrypted, has_eof, pages, entries, inflated, damaged) of a file's bytes."""
     if b"%PDF-" in raw[:1024]:
@@ -36,7 +40,7 @@ def probe(raw: bytes) -> tuple:
         except (zipfile.BadZipFile, ValueError, OSError):
             return "zip", False, None, None, None, None, True
         names = {e.filename for e in entries}
-        kind = "pptx" if "ppt/presentation.xml" in names else "docx" if "word/document.xml" in names else "zip"
+        kind = next((k for k, part in OOXML.items() if part in names), "zip")
         return kind, any(e.flag_bits & 1 for e in entries), None, None, len(entries), sum(e.file_size for e in entries), False
     try:
         raw[:4096].decode("utf-8")

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from studyloom.functions import dates, math, text
-from studyloom.operators import costs, documents, topics
+from studyloom.functions import math as M
+from studyloom.operators import costs, documents, pages, topics
 
 
 def one(spark, column):
@@ -65,17 +66,93 @@ def test_normalize_summary(spark, raw, location, want):
     assert tuple(row) == want
 
 
-@pytest.mark.parametrize(("spent", "budget", "unpriced", "want"), [(1.0, 10.0, 0, "normal"), (10.0, 10.0, 0, "defer_deep"), (12.5, 10.0, 0, "defer_balanced"), (15.0, 10.0, 0, "halt"), (1.0, 10.0, 6, "defer_deep"), (15.0, 10.0, 9, "halt"), (1.0, 0.0, 0, "halt")])
+INF, NAN = float("inf"), float("nan")
+
+
+@pytest.mark.parametrize(
+    ("spent", "budget", "unpriced", "want"),
+    [
+        (1.0, 10.0, 0, "normal"), (10.0, 10.0, 0, "defer-deep"), (12.5, 10.0, 0, "defer-balanced"), (15.0, 10.0, 0, "halt"), (1.0, 10.0, 5, "normal"), (1.0, 10.0, 6, "defer-deep"), (10.0, 10.0, 6, "defer-balanced"),
+        (12.5, 10.0, 99, "defer-balanced"), (15.0, 10.0, 9, "halt"), (1.0, 0.0, 0, "halt"), (1.0, -1.0, 0, "halt"), (1.0, None, 0, "halt"), (1.0, NAN, 0, "halt"), (1.0, INF, 0, "halt"),
+        (None, 10.0, 0, "normal"), (NAN, 10.0, 9, "normal"), (INF, 10.0, 0, "normal"), (-5.0, 10.0, 0, "normal"), (1.0, 10.0, None, "normal"),
+    ],
+)
 def test_posture(spark, spent, budget, unpriced, want):
-    assert one(spark, costs.posture(F.lit(spent), F.lit(budget), F.lit(unpriced))) == want
+    assert one(spark, costs.posture(F.lit(spent).cast("double"), F.lit(budget).cast("double"), F.lit(unpriced).cast("int"))) == want
 
 
-@pytest.mark.parametrize(("size", "kind", "want"), [(0, "pdf", "empty"), (60 * 2**20, "pdf", "too-large"), (10, "exe", "unsupported-format"), (10, "pdf", None)])
-def test_admission(spark, size, kind, want):
-    got = one(spark, documents.admission(F.lit(size), F.lit(kind), F.lit(False), F.lit(1), F.lit(10), F.lit(False)))
+@pytest.mark.parametrize(
+    ("switch", "posture", "rank", "kind", "want"),
+    [
+        (True, "normal", "fast", "interactive", "kill-switch"), (True, "halt", "deep", "background", "kill-switch"), (False, "halt", "fast", "interactive", "budget-halt"), (False, "defer-balanced", "deep", "interactive", None),
+        (False, "defer-balanced", "balanced", "background", "budget-defer-balanced"), (False, "defer-balanced", "fast", "background", None), (False, "defer-deep", "deep", "background", "budget-defer-deep"),
+        (False, "defer-deep", "balanced", "background", None), (False, "normal", "deep", "background", None),
+    ],
+)
+def test_guard(spark, switch, posture, rank, kind, want):
+    assert one(spark, costs.guard(F.lit(switch), F.lit(posture), F.lit(rank), F.lit(kind))) == want
+
+
+@pytest.mark.parametrize(
+    ("size", "kind", "encrypted", "entries", "inflated", "damaged", "want"),
+    [
+        (0, "empty", False, None, None, False, "empty"), (None, "pdf", False, None, None, False, "empty"), (60 * 2**20, "pdf", True, None, None, False, "too-large"), (50 * 2**20, "pdf", False, None, None, False, None),
+        (10, "pdf", True, None, None, False, "encrypted-pdf"), (10, "pdf", False, None, None, True, None), (10, "pptx", False, 1000, 200 * 2**20, False, None), (10, "pptx", False, 1001, 10, False, "archive-too-many-entries"),
+        (10, "pptx", False, 10, 200 * 2**20 + 1, False, "archive-too-large"), (10, "docx", False, 10, 10, False, "unsupported-format"), (10, "xlsx", False, 10, 10, False, "unsupported-format"), (10, "zip", False, 10, 10, False, "unsupported-format"),
+        (10, "zip", False, None, None, True, "damaged-archive"), (10, "txt", False, None, None, False, "unreadable-format"), (10, "other", False, None, None, False, "unreadable-format"), (10, "docx", False, 1001, 10, False, "archive-too-many-entries"),
+    ],
+)
+def test_admission(spark, size, kind, encrypted, entries, inflated, damaged, want):
+    got = one(spark, documents.admission(F.lit(size).cast("long"), F.lit(kind), F.lit(encrypted), F.lit(entries).cast("int"), F.lit(inflated).cast("long"), F.lit(damaged)))
     assert got == want
 
 
+@pytest.mark.parametrize(
+    ("name", "file_format", "want"),
+    [
+        ("Week 3 unit.pdf", "pdf", "slides"), ("notes.pdf", "pdf", "reading"), ("HBS 9-102.pdf", "pdf", "case"), ("course-guide.pdf", "pdf", "syllabus"), ("thread.pdf", "pdf", "reading"), ("notes.pptx", "pptx", "slides"), ("S12.pdf", "pdf", "slides"),
+        ("s123.pdf", "pdf", "reading"), ("SYLLABUS case.pdf", "pdf", "syllabus"), ("showcase.pptx", "pptx", "slides"), ("Chapter 4.pptx", "pptx", "reading"), ("Programme guide.pdf", "pdf", "syllabus"), ("week_3.pdf", "pdf", "reading"), ("decks.pdf", "pdf", "reading"),
+    ],
+)
+def test_kind_of_name(spark, name, file_format, want):
+    assert one(spark, documents.kind_of_name(F.lit(name), F.lit(file_format))) == want
+
+
+@pytest.mark.parametrize(("kind", "pages", "slides", "want"), [("pdf", 7, None, 7), ("pptx", None, 9, 9), ("pdf", None, 3, None), ("pptx", 4, 0, None), ("docx", 4, 4, None)])
+def test_source_units(spark, kind, pages, slides, want):
+    assert one(spark, documents.source_units(F.lit(kind), F.lit(pages).cast("int"), F.lit(slides).cast("int"))) == want
+
+
+@pytest.mark.parametrize(("name", "want"), [("a/b%c.pdf", "a-b-c.pdf"), ("...", "upload"), ("", "upload"), (" .hidden\\x ", ".hidden-x"), ("..x\n.pdf\x7f", "x.pdf"), (".. y", "y"), ("z" * 300, "z" * 200)])
+def test_safe_filename(spark, name, want):
+    assert one(spark, text.safe_filename(F.lit(name))) == want
+
+
+@pytest.mark.parametrize(("title", "want"), [("Neural Networks", "neural-networks"), ("  Éa -- b!", "ea-b"), ("日本", "topic"), ("", "topic"), ("a" * 70, "a" * 60)])
+def test_slug(spark, title, want):
+    assert one(spark, text.slug(F.lit(title))) == want
+
+
+@pytest.mark.parametrize(("prose", "want"), [('He said (ok.) Then. "Hi."', ["He said (ok.)", "Then.", '"Hi."']), ("One. Two", ["One.", "Two"]), ("...", []), ("Wait?!” she said", ["Wait?!”", "she said"]), ("", [])])
+def test_sentences(spark, prose, want):
+    assert one(spark, text.sentences(F.lit(prose))) == want
+
+
+@pytest.mark.parametrize(
+    ("signals", "sources", "recency", "formulas", "override", "want"),
+    [(None, None, 0.0, None, None, 0.05), (1, 2, 1.0, 3, 2.5, 1.0), (1, 2, 1.0, 3, -1.0, 0.0), (1, 2, 1.0, 3, 0.4, 0.4), (1, 2, 1.0, 3, None, 0.05 + 0.475 / 2 + 0.285 / 2 + 0.19 / 2), (0, 2, 9.0, 0, None, 0.05 + 0.285 / 2), (0, 2, None, 0, None, 0.05 + 0.285 / 4)],
+)
+def test_exam_weight(spark, signals, sources, recency, formulas, override, want):
+    args = (F.lit(x).cast("double") for x in (signals, sources, recency, formulas, override))
+    assert one(spark, M.exam_weight(*args)) == pytest.approx(want)
+
+
+@pytest.mark.parametrize(("chars", "source", "new", "want"), [(90, 10, True, (9.0, True)), (80, 10, True, (8.0, False)), (90, 10, False, (9.0, False)), (5, 0, True, (INF, True)), (5, 0, False, (INF, False))])
+def test_expansion(spark, chars, source, new, want):
+    row = spark.range(1).select(*pages.expansion(F.lit("x" * chars), F.lit(source), F.lit(new))).first()
+    assert tuple(row) == want
+
+
 def test_chunks_merge_and_split():
     small = {"page": 1, "to_page": 1, "title": "A", "body": "x" * 100}
     merged = documents.merge_small([small, {**small, "page": 2, "to_page": 2, "title": "B", "body": "y" * 1200}])
