@@ -60,14 +60,17 @@ def model_escalation(spark, folder):
 
 
 def job_models(spark, folder):
-    """Every job's model under each limit of rank, and where it escalates to from there."""
+    """Events as calls of jobs, each under a limit of rank: the model that every job gets under each, where it escalates to from there,
+    and how many calls that serves."""
     card, jobs = R.rate_card(spark), R.job_registry(spark, (("own-job", "claude-haiku-4-5"), ("quick-add", "claude-opus-4-8")))
     out = None
     for rank in (0, 1, 2):
         at = R.resolve_models(jobs.withColumn("max_rank", F.lit(rank)), card).withColumn("max_rank", F.lit(rank))
         part = R.escalation_targets(at, card)
         out = part if out is None else out.unionByName(part)
-    return out
+    names = F.array(*(F.lit(j) for j, _ in R.JOBS), F.lit("own-job"))
+    calls = scan(spark, folder, "events", F.element_at(names, (F.col("event_id") % (len(R.JOBS) + 1) + 1).cast("int")).alias("job"), (F.col("event_id") % 7 % 3).cast("int").alias("max_rank"))
+    return calls.groupBy("job", "max_rank").agg(F.count("*").alias("calls")).join(F.broadcast(out), ["job", "max_rank"])
 
 
 def call_log(spark, folder):
@@ -122,7 +125,8 @@ ORACLES = {
  u AS (SELECT job, own, a.rank, m.r AS max_rank, b.model AS best, row_number() OVER (PARTITION BY job, m.r ORDER BY b.provider = a.provider DESC, b.rank DESC, b.place) AS k FROM j JOIN card a ON a.model = own, (VALUES (0), (1), (2)) m(r) JOIN card b ON b.rank <= m.r),
  v AS (SELECT job, max_rank, CASE WHEN rank <= max_rank THEN own ELSE best END AS model FROM u WHERE k = 1),
  x AS (SELECT v.*, b.model AS target, row_number() OVER (PARTITION BY job, max_rank ORDER BY b.rank, b.provider = a.provider, b.place) AS k FROM v JOIN card a USING (model) LEFT JOIN card b ON b.rank > a.rank AND b.rank <= max_rank)
- SELECT job, model, max_rank, target FROM x WHERE k = 1""",
+ ,c AS (SELECT [{", ".join(f"'{a}'" for a, _ in R.JOBS)}, 'own-job'][CAST(event_id % {len(R.JOBS) + 1} + 1 AS INTEGER)] AS job, event_id % 7 % 3 AS max_rank, count(*) AS calls FROM events GROUP BY ALL)
+ SELECT x.job, model, CAST(x.max_rank AS INTEGER) AS max_rank, target, calls FROM x JOIN c ON c.job = x.job AND c.max_rank = x.max_rank WHERE k = 1""",
     "call_log": f"""WITH {PRICED}, said AS (SELECT *, call_id % 10 = 3 AS silent FROM costed QUALIFY call_id % 2 = 0 OR row_number() OVER (PARTITION BY call_id ORDER BY model, latency) = 1)
  SELECT model, outcome, count(*) AS calls, CAST(sum(CASE WHEN silent THEN 0 ELSE i END) AS BIGINT) AS input_tokens, CAST(sum(CASE WHEN silent THEN 0 ELSE o END) AS BIGINT) AS output_tokens, CAST(sum(CASE WHEN silent THEN 0 ELSE coalesce(r, 0) END) AS BIGINT) AS cache_read_tokens,
  CAST(sum(CASE WHEN silent THEN 0 ELSE coalesce(w, 0) END) AS BIGINT) AS cache_write_tokens, CAST(sum(CAST(floor(latency + 0.5) AS BIGINT)) AS BIGINT) AS latency_ms, CAST(round(sum(CASE WHEN NOT silent THEN CAST(cost AS DECIMAL(14, 8)) END), 3) AS DOUBLE) AS usd, count(*) FILTER (silent OR cost IS NULL) AS unpriced FROM said GROUP BY ALL""",

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import io
 import json
 import zipfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
@@ -16,7 +16,7 @@ from ..operators import calendar, documents, pages, relational, routing, sinks,
 from ..sources import files, provider
 from ..sources.tables import scan, shared_folder, timers
 from ..streaming import changes
-from .feeds import FEED
+from .feeds import FEEDS, OCCURRENCES, ZONE, order_feeds
 
 
 def grounding(spark, folder):
@@ -197,10 +197,10 @@ def weight_writes(spark, folder):
 
 
 def first_positions(spark, folder):
-    """The first place of each word in a text, of words that stand more than once."""
+    """The first place of each word in a text."""
     d = scan(spark, folder, "documents", "doc_id", "text")
     words = d.select("doc_id", F.posexplode(F.split("text", " ")).alias("position", "word")).where("word <> ''")
-    return words.groupBy("doc_id", "word").agg(F.min("position").alias("first"), F.count("*").alias("n")).where("n > 40").select("doc_id", "word", "first")
+    return words.groupBy("doc_id", "word").agg(F.min("position").alias("first"))
 
 
 def skip_sets(spark, folder):
@@ -230,34 +230,45 @@ def late_labels(spark, folder):
     return o.select("o_orderkey", T.ago_label(F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderkey") % 5000 * 30_000)).alias("label"))
 
 
-def deck_slides(spark, folder):
-    """A deck of two slides with notes, and a broken one."""
+def decks(batches):
+    """Presentations of conversations: a slide a turn, listed against the order of its parts; every tenth is cut short."""
     a, p = "http://schemas.openxmlformats.org/drawingml/2006/main", "http://schemas.openxmlformats.org/presentationml/2006/main"
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    shape = lambda text, kind="": f'<p:sp><p:nvSpPr><p:nvPr>{kind}</p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>{text}</a:t></a:r></a:p></p:txBody></p:sp>'
+    shape = lambda text, kind="": f"<p:sp><p:nvSpPr><p:nvPr>{kind}</p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>{text}</a:t></a:r></a:p></p:txBody></p:sp>"
     slide = lambda body: f'<p:sld xmlns:a="{a}" xmlns:p="{p}"><p:cSld><p:spTree>{body}</p:spTree></p:cSld></p:sld>'
     links = lambda *xs: '<Relationships xmlns="x">' + "".join(f'<Relationship Id="{i}" Type="{rel}/{t}" Target="{to}"/>' for i, t, to in xs) + "</Relationships>"
-    z = io.BytesIO()
-    with zipfile.ZipFile(z, "w") as f:
-        f.writestr("ppt/presentation.xml", f'<p:presentation xmlns:p="{p}" xmlns:r="{rel}"><p:sldIdLst><p:sldId id="2" r:id="b"/><p:sldId id="1" r:id="a"/></p:sldIdLst></p:presentation>')
-        f.writestr("ppt/_rels/presentation.xml.rels", links(("a", "slide", "slides/slide1.xml"), ("b", "slide", "slides/slide2.xml")))
-        f.writestr("ppt/slides/slide1.xml", slide(shape("Second title", '<p:ph type="title"/>') + shape("some body text")))
-        f.writestr("ppt/slides/slide2.xml", slide(shape("First title", '<p:ph type="ctrTitle"/>')))
-        f.writestr("ppt/slides/_rels/slide1.xml.rels", links(("n", "notesSlide", "../notesSlides/notesSlide1.xml")))
-        f.writestr("ppt/notesSlides/notesSlide1.xml", slide(shape("say this")))
-    rows = spark.createDataFrame([("deck", z.getvalue()), ("broken", b"PK nothing")], "path string, content binary")
-    return files.read_decks(rows).select("path", "slide", "title", "body", "notes", "words", F.col("error").isNotNull().alias("failed"))
+    for b in batches:
+        made = []
+        for conv, turns in zip(b["conv_id"], b["turns"]):
+            z, n = io.BytesIO(), len(turns)
+            with zipfile.ZipFile(z, "w") as f:
+                f.writestr("ppt/presentation.xml", f'<p:presentation xmlns:p="{p}" xmlns:r="{rel}"><p:sldIdLst>' + "".join(f'<p:sldId id="{i}" r:id="r{i}"/>' for i in range(n)) + "</p:sldIdLst></p:presentation>")
+                f.writestr("ppt/_rels/presentation.xml.rels", links(*((f"r{i}", "slide", f"slides/slide{n - i}.xml") for i in range(n))))
+                for i, t in enumerate(turns):
+                    f.writestr(f"ppt/slides/slide{n - i}.xml", slide(shape(f"{t['chars']} characters in turn {t['turn']}") + shape(t["role"], '<p:ph type="title"/>')))
+                    f.writestr(f"ppt/slides/_rels/slide{n - i}.xml.rels", links(("n", "notesSlide", f"../notesSlides/note{i}.xml")))
+                    f.writestr(f"ppt/notesSlides/note{i}.xml", slide(shape(f"notes {conv}")))
+            made.append(z.getvalue()[: 40 if conv % 10 == 0 else None])
+        yield pd.DataFrame({"path": b["conv_id"].astype(str), "content": made})
+
+
+def deck_slides(spark, folder):
+    """Conversations as decks."""
+    c = scan(spark, folder, "conversations", "conv_id", "turn", "role", "text").where("conv_id IS NOT NULL").dropDuplicates(["conv_id", "turn", "role"])
+    turns = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("none")).alias("role"), F.length(F.col("role")).alias("chars")))).alias("turns"))
+    out = files.read_decks(turns.mapInPandas(decks, "path string, content binary"))
+    return out.select("path", "slide", "title", "body", "notes", "words", F.col("error").isNotNull().alias("failed"))
 
 
 def provider_sync(spark, folder):
-    """Three fixed feeds through the calendar data source: a good one, one of an unknown zone, and one whose hash is known."""
+    """The feeds of orders through the calendar data source; those whose name is 3, 13, 23 or 33 are known by their hash."""
     provider.register(spark)
-    at = shared_folder(spark, "feeds")
-    rows = [("good", FEED), ("bad", FEED.replace("Europe/Madrid", "Not/There")), ("known", FEED + " ")]
-    spark.createDataFrame(rows, "name string, value string").write.partitionBy("name").text(at)
-    known = hashlib.sha256(f"{FEED} \n".encode()).hexdigest()
-    out = spark.read.format("calendar_feed").options(**{"path": at, "timezone": "Europe/Madrid", "from": "2026-01-01", "to": "2026-06-30", "known": json.dumps([known])}).load()
-    return out.groupBy(F.regexp_extract("path", "name=([a-z]+)", 1).alias("name"), "uid", "changed", F.col("error").isNotNull().alias("failed")).agg(F.count("*").alias("n"), F.count_distinct("cursor").alias("cursors"))
+    at, feeds = shared_folder(spark, "feeds"), order_feeds(spark, folder)
+    feeds.repartition("name").write.partitionBy("name").text(at)
+    known = [r["h"] for r in feeds.where("name % 10 = 3").select(F.sha2(F.concat("value", F.lit("\n")), 256).alias("h")).collect()]  # four feeds
+    out = spark.read.format("calendar_feed").options(**{"path": at, "timezone": ZONE, "from": "1980-01-01", "to": "2040-01-01", "known": json.dumps(known)}).load()
+    name = F.regexp_extract("path", "name=([0-9]+)", 1).cast("long").alias("name")
+    return out.groupBy(name, "changed", F.col("error").isNotNull().alias("failed")).agg(F.count("*").alias("n"), F.count_distinct("cursor").alias("cursors"))
 
 
 def failed_deliveries(spark, folder):
@@ -403,14 +414,17 @@ ORACLES = {
  SELECT c_custkey, '[topic-id: t' || c_custkey || '] ' || c_name || chr(10) || '  exam weight: ' || printf('%.2f', w) || ' (' || CASE WHEN w >= 0.6 THEN 'HIGH' WHEN w >= 0.35 THEN 'MID' ELSE 'LOW' END || ')' || chr(10) || '  summary: ' || CASE WHEN c_custkey % 2 = 0 THEN 'sum' ELSE '(none)' END || chr(10) || '  formulas: F = ma' || chr(10) || '  key terms: mass' || chr(10) || '  worked examples: none' || chr(10) || '  open questions: none' AS topic,
  CASE c_custkey % 4 WHEN 0 THEN 'length: 2h' || chr(10) || 'parts: ["a",1]' WHEN 1 THEN 'open book' WHEN 2 THEN 'No exam-format profile recorded for this course.' ELSE 'No exam-format profile recorded for this course — assume a standard written final exam covering the whole course.' END AS format FROM c""",
     "weight_writes": "SELECT o_orderkey FROM orders WHERE o_orderkey % 6 = 0 OR abs(o_totalprice::DOUBLE - (o_totalprice::DOUBLE + (o_orderkey % 3)::DOUBLE * 0.00006::DOUBLE)) >= 1e-4",
-    "first_positions": "WITH w AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS p, unnest(l) AS word FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents)) SELECT doc_id, word, CAST(min(p) AS INTEGER) AS first FROM w WHERE word <> '' GROUP BY doc_id, word HAVING count(*) > 40",
+    "first_positions": "WITH w AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS p, unnest(l) AS word FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents)) SELECT doc_id, word, CAST(min(p) AS INTEGER) AS first FROM w WHERE word <> '' GROUP BY doc_id, word",
     "skip_sets": """WITH d AS (SELECT DISTINCT o_custkey AS doc_id, CAST(day(o_orderdate) AS INTEGER) AS page, o_orderkey % 2 <> 0 AS good FROM orders WHERE o_orderkey % 3 = 0), c AS (SELECT doc_id, page FROM d WHERE good), r AS (SELECT o_custkey, CAST(day(o_orderdate) AS INTEGER) FROM orders WHERE o_orderkey % 5 = 0)
  SELECT *, 'skipped' AS "set" FROM (SELECT * FROM c EXCEPT SELECT * FROM r) UNION ALL SELECT *, 'discredited' FROM (SELECT doc_id, page FROM d WHERE NOT good EXCEPT SELECT * FROM c EXCEPT SELECT * FROM r)""",
     "sentence_counts": r"""SELECT doc_id, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[^.!?]+[.!?]+[\])''"`’”]*\s*|[^.!?]+\z'), lambda s: trim(s, ' ') <> '')) AS INTEGER) AS n FROM documents""",
     "canonical_hashes": """SELECT o_orderkey, sha256('{"a":"' || o_orderstatus || '","b":' || o_custkey || ',"c":{"y":[true,null],"z":1}}') AS hash FROM orders""",
     "late_labels": """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'never synced' WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || ' min ago' WHEN m < 1440 THEN (m // 60) || 'h ago' ELSE (m // 1440) || 'd ago' END AS label FROM (SELECT o_orderkey, o_orderkey % 5000 // 2 AS m FROM orders)""",
-    "deck_slides": "SELECT path, CAST(slide AS INTEGER) AS slide, title, body, notes, CAST(words AS INTEGER) AS words, failed FROM (VALUES ('deck', 1, 'First title', '', '', 2, false), ('deck', 2, 'Second title', 'some body text', 'say this', 5, false), ('broken', NULL, NULL, NULL, NULL, NULL, true)) t(path, slide, title, body, notes, words, failed)",
-    "provider_sync": "SELECT name, uid, changed, failed, CAST(n AS BIGINT) AS n, CAST(1 AS BIGINT) AS cursors FROM (VALUES ('good', 'weekly', true, false, 3), ('good', 'day', true, false, 1), ('bad', NULL, true, true, 1), ('known', NULL, false, false, 1)) t(name, uid, changed, failed, n)",
+    "deck_slides": """WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'none') AS role, length(role) AS chars FROM conversations WHERE conv_id IS NOT NULL)
+ SELECT CAST(conv_id AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS INTEGER) AS slide, role AS title, chars || ' characters in turn ' || turn AS body, 'notes ' || conv_id AS notes, CAST(6 AS INTEGER) AS words, false AS failed FROM t WHERE conv_id % 10 <> 0
+ UNION ALL SELECT DISTINCT CAST(conv_id AS VARCHAR), NULL::INTEGER, NULL, NULL, NULL, NULL::INTEGER, true FROM t WHERE conv_id % 10 = 0""",
+    "provider_sync": f"""WITH n AS (SELECT DISTINCT o_custkey % {FEEDS} AS name FROM orders), o AS (SELECT name, count(*) AS n FROM ({OCCURRENCES}) GROUP BY 1)
+ SELECT name, name % 10 <> 3 AS changed, name % 10 <> 3 AND name % 13 = 5 AS failed, CASE WHEN name % 10 = 3 OR name % 13 = 5 THEN 1 ELSE n END AS n, CAST(1 AS BIGINT) AS cursors FROM n LEFT JOIN o USING (name)""",
     "failed_deliveries": """WITH r AS (SELECT event_id % 4 + 1 AS a, CASE WHEN event_type <> 'error' THEN 'done' WHEN event_id % 2 <> 0 OR event_id % 4 + 1 >= 3 THEN 'dead' ELSE 'again' END AS part FROM events) SELECT part, count(*) AS n, CAST(sum(CASE WHEN part = 'again' THEN a + 1 ELSE a END) AS BIGINT) AS attempts FROM r GROUP BY part""",
     "keyed_turns": "SELECT CAST(user_id AS VARCHAR) AS id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS turn FROM events",
     "disappearances": """WITH l AS (SELECT user_id, max(ts) AS seen FROM events GROUP BY 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import topics
@@ -12,36 +13,63 @@ from ..sources import files, ics
 from ..sources.tables import scan, shared_folder
 from ..streaming import changes, rollups
 
-FEED = "\r\n".join(
-    (
-        "BEGIN:VCALENDAR", "BEGIN:VEVENT", "UID:weekly", "DTSTART;TZID=Europe/Madrid:20260316T100000", "DURATION:PT1H30M", "RRULE:FREQ=WEEKLY;COUNT=4",
-        "EXDATE;TZID=Europe/Madrid:20260323T100000", "SUMMARY:ECON  Intro (Ses. 1-2)", "END:VEVENT", "BEGIN:VEVENT", "UID:weekly",
-        "RECURRENCE-ID;TZID=Europe/Madrid:20260330T100000", "DTSTART;TZID=Europe/Madrid:20260331T120000", "DTEND;TZID=Europe/Madrid:20260331T130000", "STATUS:CANCELLED",
-        "END:VEVENT", "BEGIN:VEVENT", "UID:day", "DTSTART;VALUE=DATE:20260120", "SUMMARY:All day", "END:VEVENT", "END:VCALENDAR",
-    )
-)
+ZONE, ABROAD, FEEDS = "Europe/Madrid", "America/New_York", 40
+
+
+def order_feeds(spark, folder):
+    """(name, value): calendar feeds of the orders by customer. By an order's key its event is a weekly rule of three with, at times, an
+    exception and an override; an all-day date; an hour in UTC; or a start and one further date in another zone. Feeds 5, 18
+    and 31 name a zone that there isn't."""
+    o = scan(spark, folder, "orders", F.col("o_orderkey").alias("k"), (F.col("o_custkey") % FEEDS).alias("name"), F.to_date("o_orderdate").alias("d"))
+    day = lambda n=0: F.date_format(F.date_add("d", n), "yyyyMMdd")
+    line = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts), F.lit("\r\n"))
+    zone = F.when(F.col("name") % 13 == 5, "Not/There").otherwise(ZONE)
+    at = lambda what, n, hour: line(what, ";TZID=", zone, ":", day(n), hour)
+    if_ = lambda which, text: F.when(which, text).otherwise("")
+    override = F.concat(F.lit("BEGIN:VEVENT\r\n"), line("UID:", "o", F.col("k").cast("string")), at("RECURRENCE-ID", 14, "T100000"), at("DTSTART", 15, "T120000"), at("DTEND", 15, "T130000"), F.lit("STATUS:CANCELLED\r\nEND:VEVENT\r\n"))
+    weekly = F.concat(at("DTSTART", 0, "T100000"), F.lit("DURATION:PT1H30M\r\nRRULE:FREQ=WEEKLY;COUNT=3\r\n"), if_(F.col("k") % 8 == 0, at("EXDATE", 7, "T100000")))
+    other = F.concat(line("DTSTART;TZID=", ABROAD, ":", day(), "T090000"), line("RDATE;TZID=", ABROAD, ":", day(1), "T090000"))
+    kind = F.col("k") % 4
+    body = F.when(kind == 0, weekly).when(kind == 1, line("DTSTART;VALUE=DATE:", day())).when(kind == 2, F.concat(line("DTSTART:", day(), "T080000Z"), line("DTEND:", day(), "T090000Z"))).otherwise(other)
+    event = F.concat(F.lit("BEGIN:VEVENT\r\n"), line("UID:", "o", F.col("k").cast("string")), body, line("SUMMARY:", "Order ", F.col("k").cast("string")), F.lit("END:VEVENT\r\n"), if_(F.col("k") % 12 == 0, override))
+    return o.groupBy("name").agg(F.concat(F.lit("BEGIN:VCALENDAR\r\n"), F.array_join(F.array_sort(F.collect_list(event)), ""), F.lit("END:VCALENDAR")).alias("value"))
 
 
 def ics_expand(spark, folder):
-    """A fixed feed: weekly rule over a clock change with an exception and an override, an all-day date, and a bad zone."""
-    rows = [("good", FEED), ("bad", FEED.replace("Europe/Madrid", "Not/There"))]
-    fed = spark.createDataFrame(rows, "path string, content string").select("*", F.lit("Europe/Madrid").alias("default_tz"), F.lit("2026-01-01").cast("timestamp").alias("horizon_from"), F.lit("2026-06-30").cast("timestamp").alias("horizon_to"))
+    """The occurrences of all feeds of orders: rules over clock changes with exceptions and overrides, dates, zones, and failing feeds."""
+    fed = order_feeds(spark, folder).select(F.col("name").cast("string").alias("path"), F.col("value").alias("content"), F.lit(ZONE).alias("default_tz"), F.lit("1980-01-01").cast("timestamp").alias("horizon_from"), F.lit("2040-01-01").cast("timestamp").alias("horizon_to"))
     out = ics.read_feeds(fed)
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
     return out.select("path", "uid", text("recurrence_id").alias("recurrence_id"), text("starts_at").alias("starts_at"), text("ends_at").alias("ends_at"), "all_day", "status", "overridden", F.col("error").isNotNull().alias("failed"))
 
 
+def document_bytes(batches):
+    """Bytes of a file made of a document, of a kind by its number."""
+    for b in batches:
+        made = []
+        for k, text in zip(b["doc_id"], b["text"]):
+            raw, kind = (text or "").encode(), k % 7
+            lines = raw.count(b"\n") + 1
+            if kind == 0:
+                raw = b"%PDF-1.4 /Type /Pages /Count " + str(lines).encode() + b" /Type /Page" * lines + b" %%EOF"
+            elif kind == 1:
+                raw = b"%PDF-1.4 /Encrypt 5 0 R /Type /Page"
+            elif kind in (2, 3, 4):
+                z = io.BytesIO()
+                with zipfile.ZipFile(z, "w") as f:
+                    f.writestr(("ppt/presentation.xml", "word/document.xml", "xl/workbook.xml")[kind - 2], "<x/>")
+                    f.writestr("body", raw)
+                raw = z.getvalue()
+            elif kind == 5:
+                raw = b"PK\x03\x04 broken " + str(lines).encode()
+            made.append(raw)
+        yield pd.DataFrame({"path": b["doc_id"].astype(str), "content": made})
+
+
 def file_probe(spark, folder):
-    """Fixed bytes: a PDF of two pages, an encrypted one, a zip, a broken zip, text, nothing."""
-    z = io.BytesIO()
-    with zipfile.ZipFile(z, "w") as f:
-        f.writestr("ppt/presentation.xml", "<x/>")
-        f.writestr("b", "bb")
-    rows = [
-        ("a.pdf", b"%PDF-1.4 /Type /Pages /Count 2 /Type /Page /Type /Page %%EOF"), ("e.pdf", b"%PDF-1.4 /Encrypt 5 0 R /Type /Page"),
-        ("d.pptx", z.getvalue()), ("x.zip", b"PK\x03\x04 broken"), ("t.txt", b"plain text"), ("none", b""),
-    ]
-    return files.probed(spark.createDataFrame(rows, "path string, content binary")).select("path", "kind", "encrypted", "has_eof", "pages", "entries", "inflated", "damaged")
+    """Documents as files: PDFs of a page a line, locked ones, office files, broken archives, plain texts."""
+    d = scan(spark, folder, "documents", "doc_id", "text")
+    return files.probed(d.mapInPandas(document_bytes, "path string, content binary")).select("path", "kind", "encrypted", "has_eof", "pages", "entries", "inflated", "damaged")
 
 
 def strip_document(spark, folder):
@@ -78,13 +106,18 @@ def stream_latest(spark, folder):
     return changes.read_view(spark, out).select("id", "body")
 
 
+#: The occurrences of all order feeds that can be read.
+OCCURRENCES = f"""SELECT name, 'o' || k AS uid, r AS recurrence_id, coalesce(s, r) AS starts_at, CASE WHEN s IS NOT NULL THEN s + INTERVAL 1 HOUR ELSE e END AS ends_at, kind = 1 AS all_day, CASE WHEN s IS NOT NULL THEN 'cancelled' ELSE 'confirmed' END AS status, s IS NOT NULL AS overridden FROM (
+ SELECT *, timezone('UTC', timezone(zone, w)) AS r, CASE WHEN kind = 0 THEN timezone('UTC', timezone(zone, w)) + INTERVAL 90 MINUTE WHEN kind = 2 THEN w + INTERVAL 1 HOUR END AS e, CASE WHEN k % 12 = 0 AND i = 2 THEN timezone('UTC', timezone('{ZONE}', d + INTERVAL 15 DAY + INTERVAL 12 HOUR)) END AS s
+ FROM (SELECT *, CASE kind WHEN 0 THEN d + to_days(CAST(7 * i AS INTEGER)) + INTERVAL 10 HOUR WHEN 1 THEN d WHEN 2 THEN d + INTERVAL 8 HOUR ELSE d + to_days(CAST(i AS INTEGER)) + INTERVAL 9 HOUR END AS w, CASE kind WHEN 2 THEN 'UTC' WHEN 3 THEN '{ABROAD}' ELSE '{ZONE}' END AS zone
+ FROM (SELECT o_orderkey AS k, o_orderkey % 4 AS kind, o_custkey % {FEEDS} AS name, date_trunc('day', o_orderdate)::TIMESTAMP AS d FROM orders), range(3) t(i) WHERE name % 13 <> 5 AND (kind = 0 OR i = 0 OR (kind = 3 AND i = 1)) AND NOT (k % 8 = 0 AND i = 1)))"""
+
 QUERIES = {f.__name__: f for f in (ics_expand, file_probe, strip_document, stream_hourly, stream_latest)}
 ORACLES = {
-    "ics_expand": """SELECT * FROM (VALUES ('good', 'day', '2026-01-19 23:00', '2026-01-19 23:00', NULL, true, 'confirmed', false, false), ('good', 'weekly', '2026-03-16 09:00', '2026-03-16 09:00', '2026-03-16 10:30', false, 'confirmed', false, false),
- ('good', 'weekly', '2026-03-30 08:00', '2026-03-31 10:00', '2026-03-31 11:00', false, 'cancelled', true, false), ('good', 'weekly', '2026-04-06 08:00', '2026-04-06 08:00', '2026-04-06 09:30', false, 'confirmed', false, false), ('bad', NULL, NULL, NULL, NULL, NULL, NULL, NULL, true))
- t(path, uid, recurrence_id, starts_at, ends_at, all_day, status, overridden, failed)""",
-    "file_probe": """SELECT path, kind, encrypted, CASE path WHEN 'a.pdf' THEN true WHEN 'e.pdf' THEN false END AS has_eof, CAST(pages AS INTEGER) AS pages, CAST(entries AS INTEGER) AS entries, CAST(inflated AS BIGINT) AS inflated, damaged FROM (VALUES ('a.pdf', 'pdf', false, 2, NULL, NULL, false), ('e.pdf', 'pdf', true, NULL, NULL, NULL, true),
- ('d.pptx', 'pptx', false, NULL, 2, 6, false), ('x.zip', 'zip', false, NULL, NULL, NULL, true), ('t.txt', 'txt', false, NULL, NULL, NULL, false), ('none', 'empty', false, NULL, NULL, NULL, false)) t(path, kind, encrypted, pages, entries, inflated, damaged)""",
+    "ics_expand": f"""SELECT CAST(name AS VARCHAR) AS path, uid, strftime(recurrence_id, '%Y-%m-%d %H:%M') AS recurrence_id, strftime(starts_at, '%Y-%m-%d %H:%M') AS starts_at, strftime(ends_at, '%Y-%m-%d %H:%M') AS ends_at, all_day, status, overridden, false AS failed FROM ({OCCURRENCES})
+ UNION ALL SELECT DISTINCT CAST(o_custkey % {FEEDS} AS VARCHAR), NULL, NULL, NULL, NULL, NULL, NULL, NULL, true FROM orders WHERE o_custkey % {FEEDS} % 13 = 5""",
+    "file_probe": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, doc_id % 7 AS k FROM documents) SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN k < 2 THEN 'pdf' WHEN k < 5 THEN ['pptx', 'docx', 'xlsx'][CAST(k - 1 AS INTEGER)] WHEN k = 5 THEN 'zip' WHEN t = '' THEN 'empty' ELSE 'txt' END AS kind, k = 1 AS encrypted,
+ CASE k WHEN 0 THEN true WHEN 1 THEN false END AS has_eof, CASE WHEN k = 0 THEN CAST(length(t) - length(replace(t, chr(10), '')) + 1 AS INTEGER) END AS pages, CASE WHEN k BETWEEN 2 AND 4 THEN CAST(2 AS INTEGER) END AS entries, CASE WHEN k BETWEEN 2 AND 4 THEN CAST(4 + strlen(t) AS BIGINT) END AS inflated, k IN (1, 5) AS damaged FROM d""",
     "strip_document": """SELECT conv_id AS topic_id, count(*) AS blocks, CAST(sum(CASE WHEN turn % 5 = 0 THEN 0 WHEN turn % 3 = 0 THEN CASE WHEN turn % 2 = 1 THEN 1 ELSE 2 END ELSE 1 END) AS BIGINT) AS citations
  FROM (SELECT DISTINCT conv_id, turn FROM conversations) WHERE turn % 5 = 0 OR turn % 3 = 0 OR turn % 2 = 0 GROUP BY 1""",
     "stream_hourly": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",

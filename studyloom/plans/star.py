@@ -11,15 +11,15 @@ from ..sources.tables import scan
 
 
 def nested_order_embed(spark, folder):
-    """Orders inner customer left nation, with their line items nested; flattened to counts and sums."""
+    """Every order, inner customer left nation, with its line items nested."""
     orders = scan(spark, folder, "orders", "o_orderkey", "o_custkey")
-    lines = scan(spark, folder, "lineitem", F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
+    lines = scan(spark, folder, "lineitem", F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_quantity").cast("long").alias("l_quantity"))
     nested = relational.nest(orders, lines, "o_orderkey", "lines", "l_linenumber")
     customer = scan(spark, folder, "customer", F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
     nation = scan(spark, folder, "nation", "n_nationkey", "n_name")
     rows = nested.join(customer, "o_custkey").join(nation, "n_nationkey", "left")
-    quantity = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["l_quantity"].cast("long"))
-    return rows.groupBy("n_name").agg(F.count("*").alias("orders"), F.sum(F.size("lines")).alias("lines"), F.sum(quantity).alias("quantity"))
+    each = F.transform("lines", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_quantity"].cast("string")))
+    return rows.select("o_orderkey", "n_name", F.size("lines").alias("n"), F.array_join(each, ",").alias("lines"))
 
 
 def semi_anti_customers(spark, folder):
@@ -210,9 +210,8 @@ DIFF = """WITH s AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orde
  FROM s FULL JOIN f USING (o_orderkey)"""
 
 ORACLES = {
-    "nested_order_embed": """SELECT n_name, count(*) AS orders, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(quantity) AS BIGINT) AS quantity FROM
- (SELECT o_orderkey, o_custkey, count(l_orderkey) AS lines, coalesce(sum(CAST(l_quantity AS BIGINT)), 0) AS quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
- JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name""",
+    "nested_order_embed": """WITH l AS (SELECT l_orderkey, count(*) AS n, string_agg(l_linenumber || ':' || CAST(trunc(l_quantity) AS BIGINT), ',' ORDER BY l_linenumber, l_quantity) AS lines FROM lineitem GROUP BY 1)
+ SELECT o_orderkey, n_name, CAST(coalesce(n, 0) AS INTEGER) AS n, coalesce(lines, '') AS lines FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN l ON l_orderkey = o_orderkey""",
     "semi_anti_customers": """SELECT c_mktsegment, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') THEN 'with' ELSE 'without' END AS side, count(*) AS n FROM customer GROUP BY ALL""",
     "max_correlated_default": """SELECT c_custkey, CAST(coalesce((SELECT max(o_orderdate) FROM orders WHERE o_custkey = c_custkey), TIMESTAMP '1900-01-01') AS DATE) AS latest FROM customer""",
     "recency_rank": """SELECT o_orderkey, round(CASE WHEN count(*) OVER (PARTITION BY o_custkey) = 1 THEN 1.0::DOUBLE ELSE (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1)::DOUBLE / (count(*) OVER (PARTITION BY o_custkey) - 1)::DOUBLE END, 9) AS recency FROM orders""",

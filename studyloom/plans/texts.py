@@ -20,9 +20,8 @@ def newest_turn_per_conv(spark, folder):
 
 
 def page_ranges(spark, folder):
-    """Consecutive turn numbers of a conversation's user turns."""
-    c = scan(spark, folder, "conversations", "conv_id", "turn", "role").where("role = 'user'")
-    return windows.ranges(c, ["conv_id"], "turn")
+    """Consecutive turn numbers of a conversation's turns of each role."""
+    return windows.ranges(scan(spark, folder, "conversations", "conv_id", "turn", "role"), ["conv_id", "role"], "turn")
 
 
 def lines_of(spark, folder):
@@ -163,13 +162,17 @@ def tail_turns(spark, folder):
 
 
 def summary_normalise(spark, folder):
-    """Raw feed summaries of a fixed fixture."""
-    rows = [
-        ("MACROECONOMICS  Monetary policy (Ses. 4-5)  T-05.02", "T-05.02|IE Tower"), ("FINANCE  Extra session online", None), ("STATISTICS  Retake (Ses. 9-7)", ""),
-        ("LAW  | | , null", None), ("** Last update 2026-01-02", None), ("DATA  Final exam", "Room A"), ("OPS  smowl check", None), ("ETHICS", None),
-    ]
-    df = spark.createDataFrame(rows, "raw string, location string")
-    out = df.select("raw", *T.normalize_summary(F.col("raw"), F.col("location")))
+    """Raw feed summaries of parts: with sessions and room, extra, retake, pseudo row, final exam, or a course alone."""
+    p = scan(spark, folder, "part", "p_partkey", "p_name", "p_size")
+    course = F.concat(F.lit("COURSE"), F.expr("char(65 + p_size % 26)"))
+    first, last = F.col("p_size") % 20 + 1, F.col("p_size") % 20 + 1 + F.col("p_size") % 3
+    kind = F.col("p_partkey") % 6
+    rest = (
+        F.when(kind == 0, F.concat(F.lit("  "), F.col("p_name"), F.lit(" (Ses. "), first.cast("string"), F.lit("-"), last.cast("string"), F.lit(")  T-05.02"))).when(kind == 1, "  Extra session online")
+        .when(kind == 2, "  Retake (Ses. 9-7)").when(kind == 4, "  Final exam").otherwise("")
+    )
+    rows = p.select("p_partkey", F.when(kind == 3, F.concat(F.lit("** Last update "), "p_size")).otherwise(F.concat(course, rest)).alias("raw"), F.when(kind == 0, "T-05.02|IE Tower").alias("location"))
+    out = rows.select("p_partkey", "raw", *T.normalize_summary(F.col("raw"), F.col("location")))
     return out.withColumn("label", T.occurrence_label(F.col("title"), F.col("session_from"), F.col("session_to"), F.col("descriptor")))
 
 
@@ -196,7 +199,7 @@ TOKENS = f"list_distinct(list_filter(string_split_regex({_apart}, '[^a-z0-9]+'),
 
 ORACLES = {
     "newest_turn_per_conv": "SELECT conv_id, max(turn) AS turn, arg_max(role, (turn, role)) AS role FROM conversations GROUP BY conv_id",
-    "page_ranges": """SELECT conv_id, min(turn) AS first, max(turn) AS last, count(*) AS n FROM (SELECT *, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'user')) GROUP BY conv_id, g""",
+    "page_ranges": """SELECT conv_id, role, min(turn) AS first, max(turn) AS last, count(*) AS n FROM (SELECT *, turn - row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS g FROM (SELECT DISTINCT conv_id, turn, role FROM conversations)) GROUP BY conv_id, role, g""",
     "segment_runs": f"""WITH b AS (SELECT *, sum(CASE WHEN length(line) < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page) AS g FROM ({LINES})),
  r AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, g ORDER BY page) - 1) // 5 AS i FROM b),
  k AS (SELECT doc_id, g, i, min(page) AS from_page, max(page) AS to_page, count(*) AS n FROM r GROUP BY ALL),
@@ -240,10 +243,9 @@ ORACLES = {
     "provenance": """WITH k AS (SELECT DISTINCT conv_id, turn, role FROM conversations), c AS (SELECT conv_id, turn, role, 'd' || (conv_id + turn) % 7 AS d, turn * 3 AS page FROM k WHERE role <> 'system' UNION ALL SELECT conv_id, turn, role, 'd' || turn % 5, turn + 1 FROM k WHERE role <> 'system' AND turn % 2 <> 0),
  s AS (SELECT *, d <> 'd6' AND page BETWEEN 1 AND 10 AS ok FROM c), b AS (SELECT k.conv_id, k.turn, k.role, count(d) AS n, count(*) FILTER (ok) AS good, count(DISTINCT CASE WHEN ok THEN d || '#' || page END) AS places FROM k LEFT JOIN s USING (conv_id, turn, role) GROUP BY ALL)
  SELECT CASE WHEN n = 0 THEN 'absent' WHEN good = 0 THEN 'broken' WHEN places >= 2 THEN 'corroborated' ELSE 'single' END AS strength, count(*) AS n, CAST(sum(n) AS BIGINT) AS citations FROM b GROUP BY 1""",
-    "summary_normalise": """SELECT raw, course_name, title, CAST(a AS INTEGER) AS session_from, CAST(b AS INTEGER) AS session_to, descriptor, pseudo, label FROM (VALUES
- ('MACROECONOMICS  Monetary policy (Ses. 4-5)  T-05.02', 'MACROECONOMICS', 'Monetary policy', 4, 5, 'regular', NULL, 'Monetary policy'), ('FINANCE  Extra session online', 'FINANCE', 'Extra session', NULL, NULL, 'extra', NULL, 'Extra session'),
- ('STATISTICS  Retake (Ses. 9-7)', 'STATISTICS', 'Retake', 9, 9, 'retake', NULL, 'Retake'), ('LAW  | | , null', 'LAW', '', NULL, NULL, 'regular', NULL, 'Class'), ('** Last update 2026-01-02', '** Last update 2026-01-02', '', NULL, NULL, 'regular', 'last_update', 'Class'),
- ('DATA  Final exam', 'DATA', 'Final exam', NULL, NULL, 'final_exam', NULL, 'Final exam'), ('OPS  smowl check', 'OPS', 'smowl check', NULL, NULL, 'regular', 'proctoring_check', 'smowl check'), ('ETHICS', 'ETHICS', '', NULL, NULL, 'regular', NULL, 'Class'))
- t(raw, course_name, title, a, b, descriptor, pseudo, label)""",
+    "summary_normalise": """WITH p AS (SELECT *, p_partkey % 6 AS k, 'COURSE' || chr(65 + p_size % 26) AS c, p_size % 20 + 1 AS a, p_size % 20 + 1 + p_size % 3 AS b FROM part)
+ SELECT p_partkey, CASE k WHEN 0 THEN c || '  ' || p_name || ' (Ses. ' || a || '-' || b || ')  T-05.02' WHEN 1 THEN c || '  Extra session online' WHEN 2 THEN c || '  Retake (Ses. 9-7)' WHEN 3 THEN '** Last update ' || p_size WHEN 4 THEN c || '  Final exam' ELSE c END AS raw,
+ CASE k WHEN 3 THEN '** Last update ' || p_size ELSE c END AS course_name, CASE k WHEN 0 THEN p_name WHEN 1 THEN 'Extra session' WHEN 2 THEN 'Retake' WHEN 4 THEN 'Final exam' ELSE '' END AS title, CAST(CASE k WHEN 0 THEN a WHEN 2 THEN 9 END AS INTEGER) AS session_from, CAST(CASE k WHEN 0 THEN b WHEN 2 THEN 9 END AS INTEGER) AS session_to,
+ CASE k WHEN 1 THEN 'extra' WHEN 2 THEN 'retake' WHEN 4 THEN 'final_exam' ELSE 'regular' END AS descriptor, CASE WHEN k = 3 THEN 'last_update' END AS pseudo, CASE k WHEN 0 THEN p_name WHEN 1 THEN 'Extra session' WHEN 2 THEN 'Retake' WHEN 4 THEN 'Final exam' ELSE 'Class' END AS label FROM p""",
     "tail_turns": "SELECT * FROM (SELECT conv_id * 1000 + turn AS k, role FROM conversations WHERE role = 'user' ORDER BY 1 DESC LIMIT 40) ORDER BY k",
 }

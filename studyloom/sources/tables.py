@@ -33,15 +33,15 @@ def scan_dealt(spark: SparkSession, folder: str, name: str, *columns: str) -> Da
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors see. Where the session names none, a local session (tests) gets a temporary
-    one, any other an error."""
+    """A fresh path in the folder that all executors see, below one folder for the whole application, so that it can be removed at
+    once. Where the session names none, a local session (tests) gets a temporary one, any other an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="studyloom-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{found.rstrip('/')}/studyloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
