@@ -20,8 +20,8 @@ def newest_turn_per_conv(spark, folder):
 
 
 def page_ranges(spark, folder):
-    """Consecutive turn numbers of a conversation's turns of each role."""
-    return windows.ranges(scan(spark, folder, "conversations", "conv_id", "turn", "role"), ["conv_id", "role"], "turn")
+    """Consecutive turn numbers of a conversation."""
+    return windows.ranges(scan(spark, folder, "conversations", "conv_id", "turn"), ["conv_id"], "turn")
 
 
 def lines_of(spark, folder):
@@ -199,7 +199,7 @@ TOKENS = f"list_distinct(list_filter(string_split_regex({_apart}, '[^a-z0-9]+'),
 
 ORACLES = {
     "newest_turn_per_conv": "SELECT conv_id, max(turn) AS turn, arg_max(role, (turn, role)) AS role FROM conversations GROUP BY conv_id",
-    "page_ranges": """SELECT conv_id, role, min(turn) AS first, max(turn) AS last, count(*) AS n FROM (SELECT *, turn - row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS g FROM (SELECT DISTINCT conv_id, turn, role FROM conversations)) GROUP BY conv_id, role, g""",
+    "page_ranges": """SELECT conv_id, min(turn) AS first, max(turn) AS last, count(*) AS n FROM (SELECT *, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM (SELECT DISTINCT conv_id, turn FROM conversations)) GROUP BY conv_id, g""",
     "segment_runs": f"""WITH b AS (SELECT *, sum(CASE WHEN length(line) < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page) AS g FROM ({LINES})),
  r AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, g ORDER BY page) - 1) // 5 AS i FROM b),
  k AS (SELECT doc_id, g, i, min(page) AS from_page, max(page) AS to_page, count(*) AS n FROM r GROUP BY ALL),
