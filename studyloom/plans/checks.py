@@ -14,7 +14,7 @@ from ..functions import math as M
 from ..functions import text as T
 from ..operators import calendar, documents, pages, relational, routing, sinks, topics
 from ..sources import files, provider
-from ..sources.tables import scan, shared_folder, timers
+from ..sources.tables import exists, scan, shared_folder, timers
 from ..streaming import changes
 from .feeds import FEEDS, OCCURRENCES, ZONE, order_feeds
 
@@ -328,7 +328,7 @@ def retried_deliveries(spark, folder):
         query = changes.retried(asked, outcome, first=0.01, longest=0.08).writeStream.format("parquet").option("checkpointLocation", shared_folder(spark, "ck")).trigger(processingTime="0 seconds").start(out)
         try:
             for _ in range(600):  # till all are settled, ten minutes at most
-                if query.awaitTermination(1) or attempts().where("outcome <> 'again'").count() >= wanted:
+                if query.awaitTermination(1) or (exists(spark, f"{out}/_spark_metadata/0") and attempts().where("outcome <> 'again'").count() >= wanted):
                     break
         finally:
             query.stop()

@@ -74,7 +74,7 @@ ORACLES = {
  SELECT query_id, id, text_rank, vector_rank, round(score, 12) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 10""",
     "text_search": f"""WITH {INDEX}, q AS (SELECT DISTINCT item_id AS query_id, unnest({TERMS}) AS term FROM benchmark), {SCORE.format("true")} SELECT query_id, id, score, rank FROM r WHERE rank <= 5""",
     "phrase_search": f"""WITH d AS (SELECT doc_id AS id, {TERMS} AS w FROM documents), b AS (SELECT item_id AS query_id, {TERMS} AS w FROM benchmark),
- f AS (SELECT *, list_position(list_transform(w, lambda x: length(x)), list_max(list_transform(w, lambda x: length(x)))) AS i FROM b WHERE len(w) > 0), q AS (SELECT query_id, list_slice(w, i, i + 2) AS phrase FROM f),
- g AS (SELECT DISTINCT len(phrase) AS n FROM q), x AS (SELECT id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, g WHERE len(w) >= n), y AS (SELECT id, i, list_slice(w, i, i + n - 1) AS phrase FROM x)
- SELECT query_id, id, count(*) AS n, min(i) - 1 AS first FROM q JOIN y USING (phrase) GROUP BY query_id, id""",
+ f AS (SELECT *, list_position(list_transform(w, lambda x: length(x)), list_max(list_transform(w, lambda x: length(x)))) AS i FROM b WHERE len(w) > 0), q AS (SELECT query_id, len(list_slice(w, i, i + 2)) AS n, array_to_string(list_slice(w, i, i + 2), ' ') AS phrase FROM f),
+ g AS (SELECT DISTINCT n FROM q), x AS (SELECT id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, g WHERE len(w) >= n), y AS (SELECT id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase FROM x)
+ SELECT query_id, id, count(*) AS n, min(i) - 1 AS first FROM q JOIN y USING (n, phrase) GROUP BY query_id, id""",
 }
