@@ -7,7 +7,6 @@ from itertools import chain, count
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .sinks import add_lock
 from .windows import newest

@@ -125,8 +125,7 @@ def topk_similar(spark, folder):
     e = scan(spark, folder, "embeddings", "vec_id", "label", "embedding")
     left = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("lid"), "label", F.col("embedding").alias("lvec"))
     right = e.select(F.col("vec_id").alias("rid"), "label", F.col("embedding").alias("rvec"))
-    pairs = left.join(right, "label").where("lid <> rid").withColumn("similarity", M.cosine(F.col("lvec"), F.col("rvec")))
-    return relational.top_per(pairs, ["lid"], [F.desc("similarity"), F.col("rid")], 3).select("lid", "rid", F.col("rank").cast("long").alias("rank"))
+    return vectors.nearest_of(left, right, "label", 3).select("lid", "rid", F.col("rank").cast("long").alias("rank"))
 
 
 def duplicate_guard(spark, folder):

@@ -4,7 +4,6 @@ import json
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from studyloom.sources import provider
 from studyloom.streaming import changes
