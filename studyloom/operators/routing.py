@@ -80,7 +80,8 @@ def signals_per_topic(mapped: DataFrame) -> DataFrame:
 
 
 def reprocess_plan(targets: DataFrame, prior: DataFrame) -> DataFrame:
-    """targets (target, topic_id, revision) with `work`: merge, or skip where this document is in the topic already.
+    """targets (target, topic_id, revision) with `work`: merge, or skip where this document is in the topic already; then also the
+    revision that the earlier merge left, and whether its provenance is missing and has to be written.
 
     prior: topic_id, snapshot_revision, has_provenance. A new topic is merged; so is one whose snapshot is at or past its
     current revision (the earlier merge never landed), and one without snapshot and provenance.
@@ -90,7 +91,7 @@ def reprocess_plan(targets: DataFrame, prior: DataFrame) -> DataFrame:
     skip = F.col("_k") & F.when(F.col("snapshot_revision").isNull(), F.col("has_provenance")).otherwise(F.col("revision") > F.col("snapshot_revision"))
     skip = F.coalesce(skip, F.lit(False))
     at = F.when(skip, F.coalesce(F.col("snapshot_revision") + 1, "revision"))
-    return rows.select(*targets.columns, F.when(skip, "skip").otherwise("merge").alias("work"), at.alias("merged_at_revision"))
+    return rows.select(*targets.columns, F.when(skip, "skip").otherwise("merge").alias("work"), at.alias("merged_at_revision"), F.when(skip, ~F.col("has_provenance")).alias("provenance_missing"))
 
 
 def funnelled(documents: DataFrame) -> DataFrame:

@@ -120,14 +120,19 @@ def without_topic(chunks: DataFrame, topics: DataFrame) -> DataFrame:
     return chunks.join(gone, "chunk_id", "left_anti")
 
 
+#: SQLSTATE codes of a row that is there already, and of rows that never will be.
+THERE, NEVER = "23505", ("23502", "23503", "23514", "22P02", "42501")
+
+
 def write_error(code: Column) -> Column:
     """delivered (no error, or a row that is there already), rejected (never will be), or failed (try again)."""
-    return F.when(code.isNull() | (code == "23505"), "delivered").when(code.isin("23502", "23503", "23514", "22P02", "42501"), "rejected").otherwise("failed")
+    return F.when(code.isNull() | (code == THERE), "delivered").when(code.isin(*NEVER), "rejected").otherwise("failed")
 
 
 def flush_queue(queue: DataFrame, results: DataFrame) -> DataFrame:
-    """What stays in an offline queue: entries delivered or rejected go, failed ones count an attempt, others wait."""
-    known = results.dropDuplicates(["client_id"]).select("client_id", "outcome")
+    """What stays in an offline queue: entries delivered or rejected go, failed ones count an attempt, others wait. Of several results
+    of an entry the last in `ord` counts; without that column an entry has one."""
+    known = (newest(results, ["client_id"], F.col("ord")) if "ord" in results.columns else results.dropDuplicates(["client_id"])).select("client_id", "outcome")
     left = queue.join(known, "client_id", "left").where(F.coalesce("outcome", F.lit("waiting")).isin("waiting", "failed"))
     return left.select(*(F.when(F.col("outcome") == "failed", F.col("attempts") + 1).otherwise(F.col("attempts")).alias(c) if c == "attempts" else F.col(c) for c in queue.columns))
 

@@ -4,25 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions.math import changed_enough, exam_weight, weight_band
-from ..functions.text import normal_title
+from ..functions.text import first_words, identity_key, normal_title, trim
 from .relational import nearest
-from .windows import recency
+from .windows import newest, recency
 
 SOURCE = "struct<documentId: string, page: int>"
+#: A source as pages hold it: older pages name its page in a locator, by page or slide.
+STORED = "struct<documentId: string, page: int, locator: struct<page: int, slide: int>>"
 PAGE = (
-    f"struct<summary: string, notes: array<struct<id: string, heading: string, markdown: string, sources: array<{SOURCE}>>>, "
-    f"keyTerms: array<struct<term: string, definition: string, sources: array<{SOURCE}>>>, "
-    f"formulas: array<struct<name: string, latex: string, explanation: string, sources: array<{SOURCE}>>>, "
-    f"workedExamples: array<struct<problem: string, solution: string, sources: array<{SOURCE}>>>>"
+    f"struct<summary: string, notes: array<struct<id: string, heading: string, markdown: string, sources: array<{STORED}>>>, "
+    f"keyTerms: array<struct<term: string, definition: string, sources: array<{STORED}>>>, "
+    f"formulas: array<struct<name: string, latex: string, explanation: string, sources: array<{STORED}>>>, "
+    f"workedExamples: array<struct<problem: string, solution: string, sources: array<{STORED}>>>, "
+    f"openQuestions: array<struct<question: string, context: string, kind: string, sources: array<{STORED}>>>>"
 )
-#: Section, kind, the fields that give a block's key (first not blank, else its index) and those of its text.
-SECTIONS = (
-    ("notes", "note", ("id", "heading"), ("heading", "markdown")), ("keyTerms", "keyTerm", ("term",), ("term", "definition")),
-    ("formulas", "formula", ("name",), ("latex", "explanation")), ("workedExamples", "workedExample", ("problem",), ("problem", "solution")),
-)
+#: Sections, the kind of their blocks, and what a block without a name is called.
+SECTIONS = (("notes", "note", "note"), ("keyTerms", "keyTerm", "key term"), ("formulas", "formula", "formula"), ("workedExamples", "workedExample", "worked example"))
+#: The sections whose entries carry sources; open questions are no blocks, but are stripped with their document.
+SOURCED = (*(s[0] for s in SECTIONS), "openQuestions")
+#: Words of a problem that name a worked example.
+NAMING_WORDS = 8
 
 
 def parse_page(json: Column) -> Column:
@@ -30,32 +35,94 @@ def parse_page(json: Column) -> Column:
     return F.from_json(json, PAGE)
 
 
+def entries(page: Column, section: str) -> Column:
+    """A page's section, empty where it has none."""
+    return F.coalesce(page[section], F.array().cast(StructType.fromDDL(f"x {PAGE}")[0].dataType[section].dataType))
+
+
+def filled(entry: Column, *fields: str) -> Column:
+    """The first of an entry's fields that isn't blank, trimmed; null where all are."""
+    return F.coalesce(*(F.nullif(trim(entry[f]), F.lit("")) for f in fields))
+
+
+def identified(section: str, entry: Column) -> tuple[Column, Column, Column, Column]:
+    """Of an entry: an id that stands as it is, a name that is folded to an identity, its label and its text; null for none."""
+    none = F.lit(None).cast("string")
+    if section == "notes":
+        return filled(entry, "id"), filled(entry, "heading"), filled(entry, "heading", "id"), filled(entry, "markdown")
+    if section == "keyTerms":
+        return none, filled(entry, "term"), filled(entry, "term"), filled(entry, "definition")
+    if section == "formulas":
+        return none, filled(entry, "name", "latex"), filled(entry, "name", "latex"), F.concat_ws(" ", filled(entry, "latex"), filled(entry, "explanation"))
+    words = first_words(filled(entry, "problem"), NAMING_WORDS)
+    return none, words, words, filled(entry, "solution")
+
+
+def cited_places(entry: Column) -> Column:
+    """An entry's sources as (documentId, page): the page named flat, else by the locator's page or slide."""
+    held = F.coalesce(entry["sources"], F.array().cast(f"array<{STORED}>"))
+    return F.transform(held, lambda s: F.struct(s["documentId"].alias("documentId"), F.coalesce(s["page"], locator_unit(s["locator"])).alias("page")))
+
+
 def blocks(pages: DataFrame, page: str = "page") -> DataFrame:
-    """(topic_id, page struct) -> (topic_id, key, kind, label, text, sources): a row per block of all four sections."""
-    out = None
-    for section, kind, names, parts in SECTIONS:
-        each = pages.select("topic_id", F.posexplode(F.col(page)[section]).alias("i", "b"))
-        named = F.coalesce(*(F.when(F.trim(F.col("b")[n]) != "", F.col("b")[n]) for n in names), F.col("i").cast("string"))
-        text = F.trim(F.concat_ws("\n", *(F.col("b")[p] for p in parts)))
-        rows = each.select("topic_id", F.concat(F.lit(f"{kind}:"), named).alias("key"), F.lit(kind).alias("kind"), named.alias("label"), text.alias("text"), F.coalesce(F.col("b.sources"), F.array().cast(f"array<{SOURCE}>")).alias("sources"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """(topic_id, page struct) -> (topic_id, ord, key, kind, label, text, sources): a row per block of the four sections.
+
+    A block keeps its key while it is reworded: a note's own id, else its heading; a term; a formula's name, else its LaTeX; the
+    first eight words of a problem; each folded (case, accents and punctuation don't count). A block without any is known by its
+    place. The text leaves the name out, so that a block which kept only its name is seen to be empty. Open questions are none.
+    """
+
+    def rows(number: int, section: str, kind: str, unnamed: str) -> Column:
+        def row(entry: Column, i: Column) -> Column:
+            exact, named, label, text = identified(section, entry)
+            place = F.concat(F.lit("index:"), i)
+            # A formula's place is folded like its name would be.
+            kept, folded = (exact, F.coalesce(named, place)) if section == "formulas" else (F.coalesce(exact, F.when(named.isNull(), place)), named)
+            return F.struct(
+                F.struct(F.lit(number).alias("section"), i.alias("place")).alias("ord"), kept.alias("_kept"), folded.alias("_folded"), F.lit(kind).alias("kind"),
+                F.coalesce(label, F.concat(F.lit(f"{unnamed} "), i + 1)).alias("label"), F.coalesce(text, F.lit("")).alias("text"), cited_places(entry).alias("sources"),
+            )
+
+        return F.transform(entries(F.col(page), section), row)
+
+    found = pages.select("topic_id", F.inline(F.concat(*(rows(n, *s) for n, s in enumerate(SECTIONS)))))
+    key = F.concat("kind", F.lit(":"), F.coalesce("_kept", identity_key(F.col("_folded"))))
+    return found.select("topic_id", "ord", key.alias("key"), "kind", "label", "text", "sources")
+
+
+def last_of_key(block_rows: DataFrame) -> DataFrame:
+    """One block a key: of several the last on its page. Rows without an `ord` have distinct keys."""
+    return newest(block_rows, ["topic_id", "key"], F.col("ord")) if "ord" in block_rows.columns else block_rows
 
 
 def page_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(topic_id, key, status, rank): removed, changed, added, unchanged blocks of two versions, in that order of rank."""
-    old = before.select("topic_id", "key", F.struct("text").alias("o"))
-    new = after.select("topic_id", "key", F.struct("text").alias("n"))
+    """(topic_id, key, label, status, rank, before, after): removed, changed, added, unchanged blocks of two versions with their texts,
+    in that order of rank. The label (where the rows have one) is the later version's."""
+    shown = [c for c in ("label", "text") if c in before.columns]
+    old = last_of_key(before).select("topic_id", "key", F.struct(*shown).alias("o"))
+    new = last_of_key(after).select("topic_id", "key", F.struct(*shown).alias("n"))
     both = old.join(new, ["topic_id", "key"], "full_outer")
     status = F.when(F.col("n").isNull(), "removed").when(F.col("o").isNull(), "added").when(~F.col("o.text").eqNullSafe(F.col("n.text")), "changed").otherwise("unchanged")
     rank = F.array_position(F.array(*map(F.lit, ("removed", "changed", "added", "unchanged"))), status).cast("int")
-    return both.select("topic_id", "key", status.alias("status"), rank.alias("rank"))
+    label = [F.coalesce("n.label", "o.label").alias("label")] if "label" in shown else []
+    return both.select("topic_id", "key", *label, status.alias("status"), rank.alias("rank"), F.col("o.text").alias("before"), F.col("n.text").alias("after"))
+
+
+def diff_totals(diff: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(topic_id, added, removed, changed, unchanged, summary_changed, identical) of every topic in summaries (topic_id, before, after:
+    the two versions' summaries, of which blanks at the edges don't count)."""
+    of = lambda s: F.count_if(F.col("status") == s).alias(s)
+    counts = diff.groupBy("topic_id").agg(of("added"), of("removed"), of("changed"), of("unchanged"))
+    told = lambda c: trim(F.coalesce(c, F.lit("")))
+    rows = summaries.select("topic_id", (told("before") != told("after")).alias("summary_changed")).join(counts, "topic_id", "left").fillna(0)
+    same = (F.col("added") + F.col("removed") + F.col("changed") == 0) & ~F.col("summary_changed")
+    return rows.select("topic_id", "added", "removed", "changed", "unchanged", "summary_changed", same.alias("identical"))
 
 
 def citations(block_rows: DataFrame, pages_read: DataFrame) -> DataFrame:
     """A row per citation with its status: resolved, unread-page, unknown-document. pages_read: document_id, page (a row of
     null page for a document whose pages aren't known, all of which count as read)."""
-    each = block_rows.select("topic_id", "key", "kind", F.explode("sources").alias("s")).select("topic_id", "key", "kind", F.nullif(F.trim("s.documentId"), F.lit("")).alias("document_id"), F.col("s.page").alias("page"))
+    each = block_rows.select("topic_id", "key", "kind", F.explode("sources").alias("s")).select("topic_id", "key", "kind", F.when(trim(F.col("s.documentId")) != "", F.col("s.documentId")).alias("document_id"), F.col("s.page").alias("page"))
     known = pages_read.groupBy("document_id").agg(F.count("page").alias("n_read"))
     read = pages_read.where("page IS NOT NULL").select("document_id", "page").distinct().withColumn("_r", F.lit(True))
     rows = each.join(known, "document_id", "left").join(read, ["document_id", "page"], "left")
@@ -63,6 +130,17 @@ def citations(block_rows: DataFrame, pages_read: DataFrame) -> DataFrame:
     return rows.select("topic_id", "key", "kind", "document_id", "page", status.alias("status"))
 
 
+def citation_labels(cited: DataFrame, documents: DataFrame) -> DataFrame:
+    """citations' rows with `label`, as a reader sees them: the document's own (documents: document_id, label) and the page, or that the
+    source isn't known."""
+    paged = F.col("page").isNotNull()
+    page = F.concat(F.lit(" \u00b7 p. "), F.col("page").cast("string"))
+    rows = cited.join(documents.select("document_id", F.col("label").alias("_label")), "document_id", "left")
+    unknown = F.when(paged, F.concat(F.lit("Unknown source"), page)).otherwise("Source unknown")
+    known = F.when(paged, F.concat("_label", page)).otherwise(F.col("_label"))
+    return rows.select(*cited.columns, F.when(F.col("status") == "unknown-document", unknown).otherwise(known).alias("label"))
+
+
 def provenance(block_rows: DataFrame, pages_read: DataFrame) -> DataFrame:
     """(topic_id, key, citations, strength): absent, broken, single or corroborated (two distinct places)."""
     cited = citations(block_rows, pages_read)
@@ -164,20 +242,34 @@ def outcome_label(outcome: Column, n_failed: Column) -> Column:
     return F.when(outcome == "failed", failed).when(outcome == "partial", partial)
 
 
+#: What the findings of a merge say.
+UNDECLARED = "“%s” was in the page before this merge and is gone from the proposed page, but the merge did not declare it superseded."
+EMPTIED = "“%s” still exists but its content was emptied by this merge."
+NEVER_THERE = "The merge declared it removed “%s”, which was not in the page before the merge."
+
+
 def merge_loss(before: DataFrame, after: DataFrame, removals: DataFrame) -> DataFrame:
-    """(topic_id, kind, severity, subject): blocks that a merge lost without declaring it, emptied, or removed in name only."""
-    old, new = before.select("topic_id", "key", F.col("text").alias("o")), after.select("topic_id", "key", F.col("text").alias("n"))
+    """(topic_id, kind, severity, subject, detail): blocks that a merge lost without declaring it, emptied, or removed in name only.
+
+    before, after: topic_id, key, text, and label, by which the detail names a block (else by its key); removals: topic_id, key.
+    """
+    named = (F.col("label") if "label" in before.columns else F.col("key")).cast("string")
+    old, new = before.select("topic_id", "key", named.alias("_label"), F.col("text").alias("o")), last_of_key(after).select("topic_id", "key", F.col("text").alias("n"))
     gone = old.join(new, ["topic_id", "key"], "left_anti").join(removals, ["topic_id", "key"], "left_anti")
     empty = old.join(new, ["topic_id", "key"]).where("length(o) > 0 AND length(n) = 0")
-    phantom = removals.join(old, ["topic_id", "key"], "left_anti")
-    finding = lambda df, kind, level: df.select("topic_id", F.lit(kind).alias("kind"), F.lit(level).alias("severity"), F.col("key").alias("subject"))
-    return finding(gone, "undeclared-removal", "red").unionByName(finding(empty, "emptied-block", "red")).unionByName(finding(phantom, "phantom-removal", "amber"))
+    phantom = removals.join(old, ["topic_id", "key"], "left_anti").withColumn("_label", F.col("key").cast("string"))
+    finding = lambda df, kind, level, says: df.select("topic_id", F.lit(kind).alias("kind"), F.lit(level).alias("severity"), F.col("key").alias("subject"), F.format_string(says, "_label").alias("detail"))
+    return (
+        finding(gone, "undeclared-removal", "red", UNDECLARED).unionByName(finding(empty, "emptied-block", "red", EMPTIED))
+        .unionByName(finding(phantom, "phantom-removal", "amber", NEVER_THERE))
+    )
 
 
 def strip_document(pages: DataFrame, document_id: str) -> DataFrame:
-    """Pages without a document's share: blocks that only it backs go, others lose its citations, unattributed ones stay."""
+    """Pages without a document's share: entries that only it backs go, open questions too, others lose its citations, unattributed
+    ones stay. A section that a page doesn't have stays null."""
     out = pages
-    for section, *_ in SECTIONS:
+    for section in SOURCED:
         mine = lambda s: s["documentId"] == document_id
         backed = lambda b: (F.size(b["sources"]) > 0) & F.forall(b["sources"], mine)
         kept = F.filter(F.col("page")[section], lambda b: ~F.coalesce(backed(b), F.lit(False)))
@@ -187,13 +279,21 @@ def strip_document(pages: DataFrame, document_id: str) -> DataFrame:
 
 
 def coalesce_singletons(routed: DataFrame) -> DataFrame:
-    """Adds `into`: a proposal with one segment folds into the nearest proposal with several, by position, ties to the one
-    before; null where it stays. routed: deck_id, position, proposal."""
-    size = F.count("*").over(Window.partitionBy("deck_id", "proposal"))
-    sized = routed.withColumn("_size", size)
+    """Adds `into`: a proposal with one segment folds into the nearest proposal with several, by position, ties to the one before;
+    null where it stays, with the `reason` of those with one segment: segment-not-in-deck-order (no position), or
+    no-multi-segment-receiver.
+
+    routed: deck_id, position, proposal, and kind where there are others than `create`, which neither fold nor take any in. Sizes are
+    those before any fold, so folds don't cascade.
+    """
+    creates = F.col("kind") == "create" if "kind" in routed.columns else F.lit(True)
+    size = F.count(F.when(creates, 1)).over(Window.partitionBy("deck_id", "proposal"))
+    sized = routed.withColumn("_size", F.when(creates, size))
     near = nearest(sized, "deck_id", "position", F.col("_size") >= 2, "_near")
     names = sized.where("_size >= 2").select("deck_id", F.col("position").alias("_near"), F.col("proposal").alias("_into"))
-    return near.join(names, ["deck_id", "_near"], "left").select(*routed.columns, F.when(F.col("_size") == 1, F.col("_into")).alias("into"))
+    single, placed = F.col("_size") == 1, F.col("position").isNotNull()
+    reason = F.when(single & ~placed, "segment-not-in-deck-order").when(single & F.col("_into").isNull(), "no-multi-segment-receiver")
+    return near.join(names, ["deck_id", "_near"], "left").select(*routed.columns, F.when(single & placed, F.col("_into")).alias("into"), reason.alias("reason"))
 
 
 def topic_weights(topics: DataFrame) -> DataFrame:
@@ -237,11 +337,12 @@ def recomputed_weights(topics: DataFrame) -> DataFrame:
 
 
 def weight_verdict(weights: DataFrame, keys: list[str], percent: str) -> DataFrame:
-    """(keys, total, verdict): in whole hundredths; balanced within 0.01 of 100, empty without a row of weight."""
+    """(keys, total, verdict, delta): in whole hundredths; balanced within 0.01 of 100, empty without a row of weight; delta is what the
+    total has over 100."""
     hundredths = F.sum(F.floor(F.col(percent).cast("double") * 100 + 0.5))
     total = weights.groupBy(*keys).agg(F.count(percent).alias("n"), F.coalesce(hundredths, F.lit(0)).alias("hundredths"))
     verdict = F.when(F.col("n") == 0, "empty").when(F.abs(F.col("hundredths") - 10_000) <= 1, "balanced").when(F.col("hundredths") < 10_000, "under").otherwise("over")
-    return total.select(*keys, (F.col("hundredths") / 100).alias("total"), verdict.alias("verdict"))
+    return total.select(*keys, (F.col("hundredths") / 100).alias("total"), verdict.alias("verdict"), ((F.col("hundredths") - 10_000) / 100).alias("delta"))
 
 
 def document_outcome(documents: DataFrame, topics: DataFrame) -> DataFrame:

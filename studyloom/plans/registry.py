@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import calls, checks, costs, exams, feeds, planning, reviews, search, star, study, texts
+from . import calls, checks, costs, exams, feeds, pages, planning, reviews, search, star, study, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for part in (calls, checks, costs, exams, feeds, planning, reviews, search, star, study, texts):
+for part in (calls, checks, costs, exams, feeds, pages, planning, reviews, search, star, study, texts):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

@@ -27,14 +27,14 @@ def citation_findings(spark, folder):
     b = page_blocks(spark, folder)
     routed = b.select("topic_id", F.explode("sources").alias("s")).select("topic_id", F.col("s.documentId").alias("document_id"), F.col("s.page").alias("page")).where("(topic_id + page) % 4 <> 0")
     docs = spark.createDataFrame([("d0", True, 0), ("d1", False, 0), ("d2", True, 2)], "document_id string, checked boolean, unaccounted int")
-    return P.citation_findings(b, routed, docs).groupBy("document_id", "kind", "severity").agg(F.sum("n").alias("n"), F.count("*").alias("topics"))
+    return P.citation_findings(b, routed, docs).groupBy("document_id", "kind", "severity").agg(F.count("*").alias("n"), F.count_distinct("topic_id").alias("topics"))
 
 
 def uncited_pages(spark, folder):
     """Every topic was routed pages 0..7 of d1."""
     b = page_blocks(spark, folder)
     routed = b.select("topic_id").distinct().select("topic_id", F.lit("d1").alias("document_id"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("page"))
-    return P.uncited_pages(b, routed).select("topic_id", "routed", "cited")
+    return P.uncited_pages(b, routed).select("topic_id", "routed", "cited", "subject")
 
 
 def extraction_fan_out(spark, folder):
@@ -150,7 +150,7 @@ TURNS = "SELECT DISTINCT conv_id, turn FROM conversations"
 ORACLES = {
     "citation_findings": f"""WITH c AS (SELECT conv_id, 'd' || turn % 3 AS document_id FROM ({TURNS}) WHERE (conv_id + turn) % 4 = 0)
  SELECT document_id, CASE document_id WHEN 'd0' THEN 'phantom-locator' ELSE 'unverifiable-locator' END AS kind, CASE document_id WHEN 'd0' THEN 'red' ELSE 'amber' END AS severity, count(*) AS n, count(DISTINCT conv_id) AS topics FROM c GROUP BY document_id""",
-    "uncited_pages": f"SELECT conv_id AS topic_id, CAST(8 AS BIGINT) AS routed, count(*) FILTER (turn % 3 = 1 AND turn < 8) AS cited FROM ({TURNS}) GROUP BY conv_id",
+    "uncited_pages": f"SELECT conv_id AS topic_id, CAST(8 AS BIGINT) AS routed, count(*) FILTER (turn % 3 = 1 AND turn < 8) AS cited, CAST(8 - count(*) FILTER (turn % 3 = 1 AND turn < 8) AS VARCHAR) || ' of 8 pages' AS subject FROM ({TURNS}) GROUP BY conv_id",
     "extraction_fan_out": """SELECT o_orderkey AS extraction_id, CAST(k - 1 AS INTEGER) AS ord, 'C' || k || ' ' || o_orderkey AS title, CASE WHEN k = 1 THEN CAST(floor(o_totalprice) % 100 AS DOUBLE) END AS weight, CAST(k AS INTEGER) AS session_number FROM orders, range(1, 3) t(k)""",
     "extraction_confirm": """SELECT c_custkey AS course_id, CAST(coalesce((SELECT max(CASE WHEN o_orderkey % 20 <> 3 THEN o_orderkey % 40 END) FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 10 = 3), 7) AS BIGINT) AS total_sessions FROM customer""",
     "extraction_reject": "SELECT o_orderkey AS extraction_id FROM orders WHERE o_orderkey % 2 <> 0 OR o_orderkey % 5 = 0",

@@ -205,8 +205,8 @@ ORACLES = {
  SELECT s.id AS signal_id, CASE WHEN p.id IS NOT NULL THEN p.topic WHEN q.score >= 0.18 THEN q.topic END AS topic_id, CASE WHEN p.id IS NOT NULL THEN 'page' WHEN q.score >= 0.18 THEN 'fuzzy' ELSE 'unmapped' END AS method,
  round(CASE WHEN p.n = 1 THEN 1.0::DOUBLE WHEN p.n > 1 THEN p.score ELSE coalesce(q.score, 0) END, 9) AS score FROM s LEFT JOIN p ON p.id = s.id LEFT JOIN q ON q.id = s.id""",
     "reprocess_plan": """WITH t AS (SELECT o_orderkey AS target, CASE WHEN o_orderkey % 10 <> 0 THEN o_custkey END AS topic_id, o_orderkey % 6 AS revision FROM orders), p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 5 END AS snap, c_custkey % 3 = 0 AS prov FROM customer WHERE c_custkey % 7 <> 0),
- s AS (SELECT t.*, snap, id IS NOT NULL AND CASE WHEN snap IS NULL THEN prov ELSE revision > snap END AS skip FROM t LEFT JOIN p ON id = topic_id)
- SELECT target, topic_id, revision, CASE WHEN skip THEN 'skip' ELSE 'merge' END AS work, CASE WHEN skip THEN coalesce(snap + 1, revision) END AS merged_at_revision FROM s""",
+ s AS (SELECT t.*, snap, prov, id IS NOT NULL AND CASE WHEN snap IS NULL THEN prov ELSE revision > snap END AS skip FROM t LEFT JOIN p ON id = topic_id)
+ SELECT target, topic_id, revision, CASE WHEN skip THEN 'skip' ELSE 'merge' END AS work, CASE WHEN skip THEN coalesce(snap + 1, revision) END AS merged_at_revision, CASE WHEN skip THEN NOT prov END AS provenance_missing FROM s""",
     "attempts_outcome": """WITH a AS (SELECT user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS call_id, event_id, event_type AS t, CASE WHEN value > 50 THEN 'large' ELSE 'small' END AS model FROM events), l AS (SELECT call_id, count(*) AS attempts, arg_max(t, event_id) AS t, arg_max(model, event_id) AS m, arg_min(model, event_id) AS f FROM a GROUP BY 1)
  SELECT call_id, attempts, CASE WHEN t IN ('error', 'signup') THEN 'dead_letter' WHEN m <> f THEN 'escalated' ELSE 'delivered' END AS status, CASE WHEN t = 'signup' THEN 'refusal' WHEN t = 'error' AND m = f THEN 'no-escalation-target' WHEN t = 'error' THEN 'schema' END AS reason FROM l""",
     "funnelled_documents": """WITH r AS (SELECT o_custkey AS document_id, count(*) AS segments, count(DISTINCT CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE day(o_orderdate) END) AS targets FROM orders GROUP BY 1)

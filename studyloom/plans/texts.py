@@ -142,7 +142,7 @@ def coalesce_singletons(spark, folder):
     """Conversations as decks: a turn's role is its proposal."""
     c = scan(spark, folder, "conversations", F.col("conv_id").alias("deck_id"), "turn", "role")
     routed = c.withColumn("position", F.row_number().over(Window.partitionBy("deck_id").orderBy("turn", "role"))).select("deck_id", "position", F.col("role").alias("proposal"))
-    return topics.coalesce_singletons(routed).select("deck_id", F.col("position").cast("long").alias("position"), "proposal", "into")
+    return topics.coalesce_singletons(routed).select("deck_id", F.col("position").cast("long").alias("position"), "proposal", "into", "reason")
 
 
 def provenance(spark, folder):
@@ -238,7 +238,7 @@ ORACLES = {
     "coalesce_singletons": """WITH p AS (SELECT conv_id AS deck_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS position, role AS proposal FROM conversations), s AS (SELECT *, count(*) OVER (PARTITION BY deck_id, proposal) AS n FROM p),
  w AS (SELECT *, max(CASE WHEN n >= 2 THEN position END) OVER (PARTITION BY deck_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, min(CASE WHEN n >= 2 THEN position END) OVER (PARTITION BY deck_id ORDER BY position ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM s),
  c AS (SELECT *, CASE WHEN n = 1 THEN CASE WHEN b IS NULL OR position - a <= b - position THEN a ELSE b END END AS near FROM w)
- SELECT c.deck_id, c.position, c.proposal, r.proposal AS into FROM c LEFT JOIN s r ON r.deck_id = c.deck_id AND r.position = c.near""",
+ SELECT c.deck_id, c.position, c.proposal, r.proposal AS into, CASE WHEN c.n = 1 AND r.proposal IS NULL THEN 'no-multi-segment-receiver' END AS reason FROM c LEFT JOIN s r ON r.deck_id = c.deck_id AND r.position = c.near""",
     "provenance": """WITH k AS (SELECT DISTINCT conv_id, turn, role FROM conversations), c AS (SELECT conv_id, turn, role, 'd' || (conv_id + turn) % 7 AS d, turn * 3 AS page FROM k WHERE role <> 'system' UNION ALL SELECT conv_id, turn, role, 'd' || turn % 5, turn + 1 FROM k WHERE role <> 'system' AND turn % 2 <> 0),
  s AS (SELECT *, d <> 'd6' AND page BETWEEN 1 AND 10 AS ok FROM c), b AS (SELECT k.conv_id, k.turn, k.role, count(d) AS n, count(*) FILTER (ok) AS good, count(DISTINCT CASE WHEN ok THEN d || '#' || page END) AS places FROM k LEFT JOIN s USING (conv_id, turn, role) GROUP BY ALL)
  SELECT CASE WHEN n = 0 THEN 'absent' WHEN good = 0 THEN 'broken' WHEN places >= 2 THEN 'corroborated' ELSE 'single' END AS strength, count(*) AS n, CAST(sum(n) AS BIGINT) AS citations FROM b GROUP BY 1""",
