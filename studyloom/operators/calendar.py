@@ -96,11 +96,12 @@ def detect_exams(events: DataFrame, courses: DataFrame, assessments: DataFrame)
     events: course_id, uid, starts_at, session_from, session_to; courses: course_id, total_sessions; assessments:
     course_id, id, title, kind, session_number, confirmed. The session that holds the exam is the declared total, else
     that of a confirmed exam (explicit finals first, the largest session), else the feed's largest session. The earliest
-    event that covers it is the exam; without one the exam is pending.
+    event that covers it is the exam; without one the exam is pending. An event without a first session has none, one without
+    a last session has one.
     """
     exam = assessments.where(F.col("confirmed") & F.col("session_number").isNotNull() & F.col("kind").rlike(r"(?i)\bexam\b"))
     ranked = exam.groupBy("course_id").agg(F.max(F.struct(F.col("title").rlike(r"(?i)\bfinals?\b").alias("final"), "session_number")).alias("_a"))
-    feed = events.groupBy("course_id").agg(F.max("session_to").alias("_m"))
+    feed = events.groupBy("course_id").agg(F.max(F.when(F.col("session_from").isNotNull(), F.greatest("session_from", "session_to"))).alias("_m"))
     known = courses.join(ranked, "course_id", "left").join(feed, "course_id", "left")
     declared = F.when(F.col("total_sessions") > 0, F.col("total_sessions"))
     assessed = F.col("_a.session_number")

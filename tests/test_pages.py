@@ -1,10 +1,10 @@
-"""Topic pages, case by case: identities of blocks, diffs, losses, citations, strips and folds."""
+"""Topic pages and exams, case by case: identities of blocks, diffs, losses, citations, strips, folds and session ranges."""
 
 import json
 
 from pyspark.sql import functions as F
 
-from studyloom.operators import pages, routing, sinks, topics
+from studyloom.operators import calendar, pages, routing, sinks, topics
 
 SCHEMA = "topic_id string, j string"
 
@@ -144,3 +144,11 @@ def test_weights_and_queues(spark):
     queue = spark.createDataFrame([("a", 0), ("b", 1)], "client_id string, attempts int")
     results = spark.createDataFrame([("a", 1, "failed"), ("a", 2, "delivered"), ("b", 2, "failed"), ("b", 1, "rejected")], "client_id string, ord int, outcome string")
     assert [tuple(r) for r in sinks.flush_queue(queue, results).collect()] == [("b", 2)]
+
+
+def test_exam_of_a_feed_with_open_ranges(spark):
+    events = spark.createDataFrame([(1, "a", 10, 4, None), (1, "b", 20, 9, None), (1, "c", 30, None, 99), (2, "d", 10, None, 7), (3, "e", 10, 3, 2)], "course_id int, uid string, starts_at int, session_from int, session_to int")
+    courses = spark.createDataFrame([(1, None), (2, None), (3, 0)], "course_id int, total_sessions int")
+    none = spark.createDataFrame([], "course_id int, id int, title string, kind string, session_number int, confirmed boolean")
+    got = {r.course_id: tuple(r)[1:] for r in calendar.detect_exams(events, courses, none).collect()}
+    assert got == {1: ("found", "feed_max_session", 9, "b", 20), 2: ("unknown", None, None, None, None), 3: ("found", "feed_max_session", 3, "e", 10)}
