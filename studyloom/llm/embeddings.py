@@ -6,6 +6,10 @@ every pair that meets is verified by its cosine in double precision, in the list
 so that it counts once. A list gives each of its entries' number of links and one bond to the smallest entry that it
 reaches there: no table of all pairs is written. Lists that are long are cut into blocks that meet pairwise, so no task
 holds a list; equal vectors are one entry with a count.
+
+Vectors within half of the threshold's angle of a pivot are its ball: any two of them are linked, by the triangle inequality,
+so a ball's links are counted by its size and its vectors need not meet each other. In a list a ball of more than a block
+has blocks of its own, which meet all blocks but each other: what a group of near copies costs grows with its size.
 """
 
 from __future__ import annotations
@@ -28,12 +32,15 @@ LEAST_PIVOTS, PIVOTS, PLACES, THRESHOLD, BLOCK, GROUP = 256, 2048, 5, 0.93, 1024
 #: Candidates drawn for a pivot, and the cosine that no two pivots reach: pivots out of one group of near copies would be
 #: ordered by noise.
 DRAWN, APART = 16, 0.8
-LISTS = "label string, p int, q int, first array<int>, entry long, copies long, u array<double>"
+LISTS = "label string, p int, q int, first array<int>, ball int, entry long, copies long, u array<double>"
+#: What a ball is narrower than half of the threshold's angle by, as a cosine: far more than rounding.
+MARGIN = 1e-9
 
 
-def pivot_sample(unit: DataFrame, pivots: int) -> np.ndarray:
+def pivot_sample(unit: DataFrame, pivots: int, threshold: float = THRESHOLD) -> np.ndarray:
     """At most `pivots` unit vectors of the table, no two with a cosine of APART or more: taken in order of a hash, the same
-    ones in every run, from DRAWN candidates a pivot. Where few lie apart the lists are longer; no vector is left out."""
+    ones in every run, from DRAWN candidates a pivot. Where few lie apart the lists are longer; no vector is left out. Each is
+    then moved to the middle of the candidates that are linked with it, where its ball holds most."""
     rows = unit.orderBy(F.xxhash64("vec_id", "u")).select("u").limit(DRAWN * pivots).collect()
     drawn, chosen = np.array([r.u for r in rows], float), []
     free = np.ones(len(drawn), bool)
@@ -41,7 +48,10 @@ def pivot_sample(unit: DataFrame, pivots: int) -> np.ndarray:
         chosen.append(int(free.argmax()))
         free &= drawn @ drawn[chosen[-1]] < APART
         free[chosen[-1]] = False
-    return drawn[chosen]
+    if not chosen:
+        return drawn
+    middles = (drawn[near].sum(axis=0) for near in (drawn @ drawn[k] >= threshold for k in chosen))
+    return np.array([m / math.sqrt(m @ m) for m in middles])
 
 
 def pivot_number(n: int) -> int:
@@ -62,26 +72,30 @@ def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def single_lists(unit: DataFrame) -> DataFrame:
     """(entry, label, copies, u) -> LISTS, one list a label."""
-    return unit.select("label", F.lit(0).alias("p"), F.lit(1).alias("q"), F.array(F.lit(0), F.lit(1)).alias("first"), "entry", "copies", "u")
+    return unit.select("label", F.lit(0).alias("p"), F.lit(1).alias("q"), F.array(F.lit(0), F.lit(1)).alias("first"), F.lit(-1).alias("ball"), "entry", "copies", "u")
 
 
-def pivot_lists(unit: DataFrame, pivots: np.ndarray, places: int = PLACES) -> DataFrame:
-    """(entry, label, copies, u) -> LISTS: a row for each pair of the entry's first `places` pivots."""
+def pivot_lists(unit: DataFrame, pivots: np.ndarray, places: int = PLACES, threshold: float = THRESHOLD) -> DataFrame:
+    """(entry, label, copies, u) -> LISTS: a row for each pair of the entry's first `places` pivots. Its ball is the nearest pivot, -1
+    where that is further off than half of the threshold's angle."""
     if len(pivots) < 2:
         return single_lists(unit)
+    within = math.sqrt((1 + threshold) / 2) + MARGIN
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             vectors = np.array(batch.column("u").to_pylist(), float)
-            first = np.sort(np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :places], axis=1).astype(np.int32)
+            cosines = vectors @ pivots.T
+            first = np.sort(np.argsort(-cosines, axis=1, kind="stable")[:, :places], axis=1).astype(np.int32)
+            ball = pa.array(np.where(cosines.max(axis=1) >= within, cosines.argmax(axis=1), -1).astype(np.int32)).take
             pairs = list(combinations(range(first.shape[1]), 2))
             at = pa.array(np.repeat(np.arange(len(vectors)), len(pairs)))
             p, q = (first[:, [x[i] for x in pairs]].reshape(-1) for i in (0, 1))
             taken = batch.take(at)
             firsts = pa.array(list(first), pa.list_(pa.int32())).take(at)
-            yield pa.RecordBatch.from_arrays([taken.column("label"), pa.array(p), pa.array(q), firsts, taken.column("entry"), taken.column("copies"), taken.column("u")], names=["label", "p", "q", "first", "entry", "copies", "u"])
+            yield pa.RecordBatch.from_arrays([taken.column("label"), pa.array(p), pa.array(q), firsts, ball(at), taken.column("entry"), taken.column("copies"), taken.column("u")], names=["label", "p", "q", "first", "ball", "entry", "copies", "u"])
 
     return unit.select("entry", "label", "copies", "u").mapInArrow(describe, LISTS)
 
@@ -107,24 +121,40 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
+def ball_links(lists: DataFrame) -> DataFrame:
+    """LISTS -> (entry, linked, bond) as verified_links, of the links within balls: an entry is linked with all others of its ball."""
+    once = lists.where((F.col("ball") >= 0) & (F.col("p") == F.col("first")[0]) & (F.col("q") == F.col("first")[1])).select("label", "ball", "entry", "copies")
+    whole = once.groupBy("label", "ball").agg(F.sum("copies").alias("_all"), F.min("entry").alias("bond"), F.count("*").alias("_n")).where("_n > 1")
+    return once.join(whole, ["label", "ball"]).select("entry", (F.col("_all") - F.col("copies")).alias("linked"), "bond")
+
+
 def verified_links(lists: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """LISTS -> (entry, linked, bond): parts of an entry's number of links with cosine of `threshold` or more, each counted as
-    often as the other end has copies, and an entry to which it is linked over such links, itself if it is the smallest."""
-    sizes = lists.groupBy("label", "p", "q").agg(F.count("*").alias("n")).where("n > 1")
-    cut = lists.join(sizes, ["label", "p", "q"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    cut = cut.withColumn("mine", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, "mine").alias("i"), F.greatest(i, "mine").alias("j")))
-    dealt = cut.select("label", "p", "q", "first", F.explode(meets).alias("m"), "mine", "entry", "copies", "u").select("label", "p", "q", "m.i", "m.j", "mine", "first", "entry", "copies", "u")
+    often as the other end has copies, and an entry to which it is linked over such links, itself if it is the smallest. Links
+    within a ball are left out."""
+    # A list's groups are its balls of more than a block, and all else (-1); each has blocks of its own, numbered through the list.
+    by_ball = lists.groupBy("label", "p", "q", "ball").agg(F.count("*").alias("n"))
+    grouped = by_ball.withColumn("group", F.when(F.col("n") > block, F.col("ball")).otherwise(-1)).groupBy("label", "p", "q", "group").agg(F.sum("n").alias("n"))
+    sizes = grouped.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).groupBy("label", "p", "q").agg(F.sum("n").alias("n"), F.sum("blocks").cast("int").alias("all"), F.array_sort(F.collect_list(F.struct("group", "blocks"))).alias("groups")).where("n > 1")
+    of = lambda ball: F.get(F.filter("groups", lambda g: g["group"] == ball), F.lit(0))
+    own = F.coalesce(of(F.col("ball")), of(F.lit(-1)))
+    before = F.aggregate(F.filter("groups", lambda g: g["group"] < F.col("own.group")), F.lit(0), lambda n, g: n + g["blocks"])
+    cut = lists.join(sizes.drop("n"), ["label", "p", "q"]).withColumn("own", own).withColumn("low", before)
+    cut = cut.withColumn("mine", (F.col("low") + F.pmod(F.xxhash64("entry"), F.col("own.blocks"))).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda i: (F.col("own.group") < 0) | (i < F.col("low")) | (i >= F.col("low") + F.col("own.blocks")))
+    meets = F.transform(others, lambda i: F.struct(F.least(i, "mine").alias("i"), F.greatest(i, "mine").alias("j")))
+    dealt = cut.select("label", "p", "q", "first", "ball", F.explode(meets).alias("m"), "mine", "entry", "copies", "u").select("label", "p", "q", "m.i", "m.j", "mine", "first", "ball", "entry", "copies", "u")
 
     # Many lists are short: a task's call takes about GROUP rows of whole lists, dealt by a hash of the list.
-    rows = sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / block))).first()[0] or 0
+    met = F.expr("aggregate(groups, 0L, (s, g) -> s + CAST(g.blocks AS BIGINT) * (all - IF(g.group >= 0, g.blocks, 0)))")
+    rows = sizes.agg(F.sum(met * F.least(F.col("n"), F.lit(block)))).first()[0] or 0
     dealt = dealt.withColumn("g", F.pmod(F.xxhash64("label", "p", "q", "i", "j"), F.lit(max(1, rows // GROUP))))
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["label", "p", "q", "i", "j", "mine", "entry"], ignore_index=True)
         keys = rows[["label", "p", "q", "i", "j"]]
         starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
-        mine, first, second, p, q, copies = (rows[c].to_numpy() for c in ("mine", "i", "j", "p", "q", "copies"))
+        mine, first, second, p, q, ball, copies = (rows[c].to_numpy() for c in ("mine", "i", "j", "p", "q", "ball", "copies"))
         vectors, pivots = rows["u"].to_numpy(), rows["first"].to_numpy()
         linked, bond = np.zeros(len(rows), np.int64), np.arange(len(rows))
         for lo, hi in zip(starts, [*starts[1:], len(rows)]):
@@ -136,7 +166,8 @@ def verified_links(lists: DataFrame, threshold: float = THRESHOLD, block: int =
                 to = min(k + 256, hi if same else mid)
                 a, b = np.nonzero(v[k - lo : to - lo] @ v[mid - lo :].T >= threshold)
                 a, b = a + k - lo, b + mid - lo
-                keep = (a < b) if same else np.ones(len(a), bool)
+                keep = (ball[lo + a] != ball[lo + b]) | (ball[lo + a] < 0)
+                keep &= (a < b) if same else True
                 a, b = a[keep], b[keep]
                 keep = meeting_here(f[a], f[b], p[lo], q[lo])
                 found_a.append(a[keep])
@@ -173,8 +204,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, pivots: in
     lists = single_lists(unique.limit(0))
     for size, n in sizes.items():
         part = unique.where(F.size("u") == size)
-        lists = lists.unionByName(pivot_lists(part, pivot_sample(part, pivots or pivot_number(n)), places))
-    found = materialize(verified_links(lists, threshold), "links")
+        lists = lists.unionByName(pivot_lists(part, pivot_sample(part, pivots or pivot_number(n), threshold), places, threshold))
+    found = materialize(verified_links(lists, threshold).unionByName(ball_links(lists)), "links")
     degree = found.groupBy("entry").agg(F.sum("linked").alias("linked"))
     members = connected_components(found.select(F.col("entry").alias("a"), F.col("bond").alias("b"))).withColumnRenamed("node", "entry")
     entries = unique.join(degree, "entry", "left").join(members, "entry", "left").withColumn("component", F.coalesce("component", "entry"))

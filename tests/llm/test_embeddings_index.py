@@ -33,3 +33,27 @@ def test_links_of_all_pairs(spark, n):
     for i in (9000, 9001, 9002, 9004, 9005, 9006):
         assert got[i].n_links == 2 and got[i].component_id in (9000, 9004)
     assert got[9003].n_links == 0 and got[9003].kept
+
+
+@pytest.mark.parametrize("block", [5, 16, 1024])
+def test_balls_and_blocks_count_each_link_once(spark, block):
+    """Two tight groups and a loose one about three pivots, all in the same lists, with copies."""
+    r = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    pivots = unit(np.eye(12)[:3] + 0.35)
+    v = np.concatenate([unit(pivots[0] + 0.03 * r.normal(size=(60, 12))), unit(pivots[1] + 0.03 * r.normal(size=(25, 12))), unit(pivots.sum(axis=0) + 0.12 * r.normal(size=(40, 12)))])
+    copies = 1 + np.arange(len(v)) % 3
+    near = (v @ v.T >= embeddings.THRESHOLD) & ~np.eye(len(v), dtype=bool)
+    unique = spark.createDataFrame([(i, "a", int(c), x.tolist()) for i, (c, x) in enumerate(zip(copies, v))], "entry long, label string, copies long, u array<double>")
+    lists = embeddings.pivot_lists(unique, pivots, places=3)
+    assert {r.ball for r in lists.select("ball").distinct().collect()} >= {0, 1, -1}
+    rows = embeddings.verified_links(lists, block=block).unionByName(embeddings.ball_links(lists)).collect()
+    linked = np.zeros(len(v), int)
+    reach = np.eye(len(v), dtype=bool)
+    for x in rows:
+        linked[x.entry] += x.linked
+        reach[x.entry, x.bond] = reach[x.bond, x.entry] = True
+        assert near[x.entry, x.bond] or x.entry == x.bond or reach[x.entry].sum() > 1
+    assert (linked == near @ copies).all() and near.sum() > 1500
+    close = lambda m: np.linalg.matrix_power(m.astype(float), 8) > 0
+    assert (close(reach) == close(near | np.eye(len(v), dtype=bool))).all()

@@ -432,7 +432,7 @@ def test_blocks_of_a_list_lose_no_link(spark, block):
     unit = lambda v: v / np.linalg.norm(v)
     v = [unit(np.ones(8) + r.normal(size=8) * 0.5) for _ in range(40)]
     first = [sorted(r.choice(4, 3, replace=False).tolist()) for _ in range(40)]  # any two share two pivots at least
-    rows = [("a", p, q, f, i, 1 + i % 3, x.tolist()) for i, (x, f) in enumerate(zip(v, first)) for k, p in enumerate(f) for q in f[k + 1 :]]
+    rows = [("a", p, q, f, -1, i, 1 + i % 3, x.tolist()) for i, (x, f) in enumerate(zip(v, first)) for k, p in enumerate(f) for q in f[k + 1 :]]
     pairs = [(i, j) for i in range(40) for j in range(i + 1, 40) if v[i] @ v[j] >= 0.93]
     linked = collections.Counter()
     for i, j in pairs:
