@@ -35,6 +35,8 @@ DRAWN, APART = 16, 0.8
 LISTS = "label string, p int, q int, first array<int>, ball int, entry long, copies long, u array<double>"
 #: What a ball is narrower than half of the threshold's angle by, as a cosine: far more than rounding.
 MARGIN = 1e-9
+#: Balls, a row each, that are broadcast at most.
+BALLS = 200_000
 
 
 def pivot_sample(unit: DataFrame, pivots: int, threshold: float = THRESHOLD) -> np.ndarray:
@@ -124,8 +126,11 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def ball_links(lists: DataFrame) -> DataFrame:
     """LISTS -> (entry, linked, bond) as verified_links, of the links within balls: an entry is linked with all others of its ball."""
     once = lists.where((F.col("ball") >= 0) & (F.col("p") == F.col("first")[0]) & (F.col("q") == F.col("first")[1])).select("label", "ball", "entry", "copies")
+    once = materialize(once, "balls")
     whole = once.groupBy("label", "ball").agg(F.sum("copies").alias("_all"), F.min("entry").alias("bond"), F.count("*").alias("_n")).where("_n > 1")
-    return once.join(whole, ["label", "ball"]).select("entry", (F.col("_all") - F.col("copies")).alias("linked"), "bond")
+    # A ball can hold much of the table: its entries stay where they lie while the balls are few, else a join splits hot ones.
+    few = whole.limit(BALLS + 1).count() <= BALLS
+    return once.join(F.broadcast(whole) if few else whole, ["label", "ball"]).select("entry", (F.col("_all") - F.col("copies")).alias("linked"), "bond")
 
 
 def verified_links(lists: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
