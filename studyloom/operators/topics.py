@@ -313,9 +313,11 @@ def topic_text(topic_id: Column, title: Column, weight: Column, summary: Column,
     """A topic as text for a review: its weight with its band, its summary, and its lists of strings, blanks left out."""
     items = lambda a: F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     listed = lambda a: F.when(F.size(items(a)) == 0, "none").otherwise(F.array_join(items(a), "; "))
+    # By the double's own value, a tie to the even digit, as printf rounds it; "%.2f" here would round the shortest decimal up.
+    shown = F.coalesce(F.call_function("format_number", weight, F.lit("0.00")), F.lit("null"))
     head = F.concat(F.lit("[topic-id: "), topic_id, F.lit("] "), title)
     about = F.when(F.trim(summary) == "", "(none)").otherwise(F.trim(summary))
-    lines = [head, F.concat(F.lit("  exam weight: "), F.format_string("%.2f", weight), F.lit(" ("), weight_band(weight), F.lit(")")), F.concat(F.lit("  summary: "), about)]
+    lines = [head, F.concat(F.lit("  exam weight: "), shown, F.lit(" ("), weight_band(weight), F.lit(")")), F.concat(F.lit("  summary: "), about)]
     named = (("formulas", formulas), ("key terms", terms), ("worked examples", examples), ("open questions", questions))
     return F.concat_ws("\n", *lines, *(F.concat(F.lit(f"  {name}: "), listed(a)) for name, a in named))
 
