@@ -1,18 +1,21 @@
 """Study plans for exams: minutes available by day, and a deterministic schedule of each user's sessions.
 
 Capacity is a table of a row for each user and day, resolved by joins. The schedule is a fold over a user's days, in order, as each
-day's choice depends on what the days before it left: it runs on one task a user, whose exams and days are few. Deadlines,
-final reviews and buffers are laid backwards from each exam first; days are then filled forwards.
+day's choice depends on what the days before it left: it runs on one task a user, whose exams and days are few; a task takes
+its users one after another from rows sorted by user. Deadlines, final reviews and buffers are laid backwards from each exam first;
+days are then filled forwards.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from datetime import date, timedelta
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,18 +49,20 @@ def capacity(days: DataFrame, settings: DataFrame, busy: DataFrame, blackouts: D
     return rows.select("user_id", "day", minutes.cast("int").alias("minutes"), flag("blackout"), flag("exam_day"))
 
 
-@dataclass
+@dataclass(slots=True)
 class Topic:
+    """Days are numbers of days since 1970, here and below."""
+
     exam: Exam
     id: int
     sequence: int
     left: float
     risk: float
     before: frozenset  # days on which it was in the plan before
-    pinned: date | None
+    pinned: int | None
     pinned_minutes: int
     at_risk: str = ""
-    done: date | None = None
+    done: int | None = None
 
     def value(self) -> float:
         return self.exam.weight * (1 + self.risk)
@@ -68,45 +73,36 @@ class Topic:
 
 @dataclass
 class Exam:
+    """deadline: the last day of first passes; the last quarter of the runway, two days at least, is for reviews alone."""
+
     id: int
     course: int
-    day: date
+    day: int
     weight: float
-    today: date
+    today: int
     topics: list[Topic] = field(default_factory=list)
 
-    @property
-    def runway(self) -> int:
-        return (self.day - self.today).days
-
-    @property
-    def cram(self) -> bool:
-        return self.runway < CRAM
-
-    @property
-    def deadline(self) -> date:
-        """The last day of first passes: the last quarter of the runway, two days at least, is for reviews alone."""
-        return self.day - timedelta(1 if self.cram else max(2, math.ceil(0.25 * self.runway)))
-
-    @property
-    def buffers(self) -> list[date]:
+    def __post_init__(self) -> None:
+        self.runway = self.day - self.today
+        self.cram = self.runway < CRAM
+        self.deadline = self.day - (1 if self.cram else max(2, math.ceil(0.25 * self.runway)))
         n = 0 if self.runway < 5 else min(3, max(1, self.runway // 7))
-        return [self.day - timedelta(2 + k) for k in range(n, 0, -1)]
+        self.buffers = [self.day - 2 - k for k in range(n, 0, -1)]
 
 
 class Planner:
     """One user's plan: rows in `out`."""
 
-    def __init__(self, exams: list[Exam], minutes: dict[date, int], exam_days: set[date]):
+    def __init__(self, exams: list[Exam], minutes: dict[int, int], exam_days: set[int]):
         self.exams = sorted(exams, key=lambda e: (e.day, -e.weight, e.id))
         self.minutes, self.exam_days = minutes, exam_days
         self.room = {d: math.floor(FILL * m) for d, m in minutes.items()}
-        self.reviews: list[tuple[date, date, int, Topic]] = []  # last day, due, step
+        self.reviews: list[tuple[int, int, int, Topic]] = []  # last day, due, step
         self.out: list[tuple] = []
         self.order = defaultdict(int)
         self.buffers = {d: e for e in self.exams for d in e.buffers if d in self.room}
 
-    def put(self, day: date, kind: str, exam: Exam, topic: Topic | None, minutes: int) -> None:
+    def put(self, day: int, kind: str, exam: Exam, topic: Topic | None, minutes: int) -> None:
         self.room[day] -= minutes
         self.order[day] += 1
         self.out.append((day, self.order[day], kind, exam.id, topic and topic.id, minutes, None))
@@ -128,18 +124,20 @@ class Planner:
                 self.out.append((None, 0, "triaged", exam.id, t.id, math.ceil(t.left), t.at_risk))
                 demand -= need[t.id]
 
-    def finish(self, topic: Topic, day: date) -> None:
+    def finish(self, topic: Topic, day: int) -> None:
         """A first pass is done: its reviews, and one in the exam's last two days, are due."""
         topic.done, exam = day, topic.exam
-        window = exam.day - timedelta(2)
+        window = exam.day - 2
         for step, offset in enumerate(LADDER):
-            due = day + timedelta(offset)
+            due = day + offset
             if due < window:
-                self.reviews.append((window - timedelta(1), due, step, topic))
-        self.reviews.append((exam.day - timedelta(1), max(window, day + timedelta(1)) if day < exam.day - timedelta(1) else day, len(LADDER), topic))
+                self.reviews.append((window - 1, due, step, topic))
+        self.reviews.append((exam.day - 1, max(window, day + 1) if day < exam.day - 1 else day, len(LADDER), topic))
 
-    def place_reviews(self, day: date) -> None:
+    def place_reviews(self, day: int) -> None:
         """Those that end soonest first; one that doesn't fit moves on by a day, up to its last."""
+        if not self.reviews:
+            return
         waiting = []
         for last, due, step, topic in sorted(self.reviews, key=lambda r: (r[0], r[1], r[3].id, r[2])):
             if due <= day and self.room[day] >= REVIEW and day <= last:
@@ -150,26 +148,26 @@ class Planner:
                 self.out.append((None, 0, "unplaced_review", topic.exam.id, topic.id, REVIEW, "no capacity"))
         self.reviews = waiting
 
-    def chosen(self, day: date, courses: set[int], crammed: dict[int, int]) -> Topic | None:
+    def chosen(self, day: int, courses: set[int], crammed: dict[int, int]) -> Topic | None:
         """The first-pass topic of highest priority, out of each course's next one in its sequence; one at risk holds no other up."""
         best = None
-        heads: dict[int, Topic] = {}
-        for exam in self.exams:
-            for t in exam.topics:
-                open_ = t.done is None and t.left > 0 and day <= exam.deadline and not (t.pinned and t.pinned >= day)
-                if open_ and (exam.course not in heads or t.place() < heads[exam.course].place()):
-                    heads[exam.course] = t
-        for t in heads.values():
+        heads = []
+        for waiting in self.queues:
+            # What is done, or past its deadline, stays so: it leaves the head of its course's queue for good.
+            while waiting and (waiting[-1].done is not None or waiting[-1].left <= 0 or day > waiting[-1].exam.deadline):
+                waiting.pop()
+            heads += next(([t] for t in reversed(waiting) if t.done is None and t.left > 0 and day <= t.exam.deadline and not (t.pinned and t.pinned >= day)), [])
+        for t in heads:
             exam = t.exam
             if (len(courses) >= COURSES and exam.course not in courses) or (exam.cram and crammed[exam.id] <= 0):
                 continue
-            urgency = 1 / max(1, (exam.deadline - day).days)
+            urgency = 1 / max(1, exam.deadline - day)
             rank = (bool(t.at_risk), -t.value() * urgency * (STICK if day in t.before else 1.0), exam.day, -exam.weight, t.sequence, t.id)
             if best is None or rank < best[0]:
                 best = rank, t
         return best and best[1]
 
-    def study(self, day: date, courses: set[int], crammed: dict[int, int]) -> None:
+    def study(self, day: int, courses: set[int], crammed: dict[int, int]) -> None:
         while topic := self.chosen(day, courses, crammed):
             room = min(self.room[day], crammed[topic.exam.id]) if topic.exam.cram else self.room[day]
             minutes = min(SESSION, room, math.ceil(topic.left))
@@ -185,23 +183,27 @@ class Planner:
 
     def run(self) -> list[tuple]:
         self.triage()
+        by_course = defaultdict(list)
+        for exam in self.exams:
+            by_course[exam.course] += exam.topics
+        self.queues = [sorted(topics, key=Topic.place)[::-1] for topics in by_course.values()]
+        pins = defaultdict(list)
         for exam in self.exams:
             for t in exam.topics:
+                pins[t.pinned].append((exam, t))
                 if t.left <= 0:
-                    self.finish(t, exam.today - timedelta(1))
+                    self.finish(t, exam.today - 1)
         for day in sorted(self.room):
             courses, crammed = set(), {e.id: math.floor(CRAM_SHARE * self.minutes[day]) for e in self.exams}
-            for exam in self.exams:
-                for t in exam.topics:
-                    if t.pinned == day:
-                        if self.minutes[day] <= 0 or self.room[day] < t.pinned_minutes or day >= exam.day:
-                            self.out.append((day, 0, "unplaced_pin", exam.id, t.id, t.pinned_minutes, "no capacity"))
-                            continue
-                        self.put(day, "pinned", exam, t, t.pinned_minutes)
-                        t.left -= t.pinned_minutes
-                        courses.add(exam.course)
-                        if t.left <= 0 and t.done is None:
-                            self.finish(t, day)
+            for exam, t in pins.get(day, ()):
+                if self.minutes[day] <= 0 or self.room[day] < t.pinned_minutes or day >= exam.day:
+                    self.out.append((day, 0, "unplaced_pin", exam.id, t.id, t.pinned_minutes, "no capacity"))
+                    continue
+                self.put(day, "pinned", exam, t, t.pinned_minutes)
+                t.left -= t.pinned_minutes
+                courses.add(exam.course)
+                if t.left <= 0 and t.done is None:
+                    self.finish(t, day)
             self.place_reviews(day)
             if day in self.buffers:
                 if self.room[day] > 0:
@@ -221,22 +223,53 @@ class Planner:
         return self.out
 
 
-def plan_user(key: tuple, topics: pd.DataFrame, days: pd.DataFrame) -> pd.DataFrame:
-    minutes = {d: int(m) for d, m in zip(days["day"], days["minutes"])}
-    if not minutes or not len(topics):
-        return pd.DataFrame(columns=[c.split()[0] for c in PLAN.split(", ")])
+def plan_user(topics: list[tuple], minutes: dict[int, int]) -> list[tuple]:
+    """One user's rows, without the user: topics as STACKED has them from exam_id on, after the day of their exam, in order."""
+    if not minutes or not topics:
+        return []
     today, exams = min(minutes), {}
-    for r in topics.sort_values(["exam_id", "topic_id"]).itertuples():
-        exam = exams.setdefault(r.exam_id, Exam(r.exam_id, r.course_id, r.exam_date, float(r.weight), today))
-        if exam.day <= today:
-            continue
-        pinned = None if r.pinned_on is None or pd.isna(r.pinned_on) else r.pinned_on
-        exam.topics.append(Topic(exam, r.topic_id, int(r.sequence), float(r.est_minutes), float(r.difficulty) * (1 - float(r.confidence)), frozenset(r.planned_before if r.planned_before is not None else ()), pinned, int(r.pinned_minutes) if pinned else 0))
+    for day, exam_id, course_id, weight, topic_id, sequence, left, risk, pinned, pinned_minutes, before in topics:
+        exam = exams.get(exam_id)
+        if exam is None:
+            exam = exams[exam_id] = Exam(exam_id, course_id, day, weight, today)
+        if exam.day > today:
+            exam.topics.append(Topic(exam, topic_id, sequence, left, risk, frozenset(before or ()), pinned, pinned_minutes if pinned else 0))
     total = sum(e.weight for e in exams.values()) or 1.0
     for e in exams.values():
         e.weight /= total
-    rows = Planner([e for e in exams.values() if e.topics], minutes, {e.day for e in exams.values()}).run()
-    return pd.DataFrame([(key[0], *r) for r in rows], columns=[c.split()[0] for c in PLAN.split(", ")])
+    return Planner([e for e in exams.values() if e.topics], minutes, {e.day for e in exams.values()}).run()
+
+
+#: Users' days and topics as they are stacked for the planner, a user's days first.
+STACKED = ("user_id", "side", "day", "minutes", "exam_id", "course_id", "weight", "topic_id", "sequence", "left", "risk", "pinned", "pinned_minutes", "before")
+DAY, ROWS = 0, 10_000
+
+
+def plan_stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Plans of users whose rows follow one another, ROWS rows at a time and those of the last user among them."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+    names = [c.split()[0] for c in PLAN.split(", ")]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)]
+        columns[1] = columns[1].cast(pa.date32())
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+    out: list[tuple] = []
+    for user, own in groupby(rows, key=itemgetter(0)):
+        minutes, topics = {}, []
+        for _, side, day, available, *topic in own:
+            if side == DAY:
+                minutes[day] = available
+            else:
+                topics.append((day, *topic))
+        out += [(user, *r) for r in plan_user(topics, minutes)]
+        if len(out) >= ROWS:
+            yield made(out)
+            out = []
+    if out:
+        yield made(out)
 
 
 def plan(topics: DataFrame, days: DataFrame, velocity: Column | None = None) -> DataFrame:
@@ -250,5 +283,14 @@ def plan(topics: DataFrame, days: DataFrame, velocity: Column | None = None) ->
     of today or before are left out; equal input in any order gives the same plan.
     """
     speed = F.lit(1.0) if velocity is None else F.greatest(F.lit(0.5), F.least(F.lit(2.0), velocity))
-    rows = topics.withColumn("est_minutes", F.coalesce("est_minutes", F.lit(0)) * speed)
-    return rows.groupBy("user_id").cogroup(days.select("user_id", "day", "minutes").groupBy("user_id")).applyInPandas(plan_user, PLAN)
+    real = lambda c: F.coalesce(c.cast("double"), F.lit(float("nan")))
+    work = topics.select(
+        "user_id", F.lit(DAY + 1).alias("side"), F.unix_date("exam_date").alias("day"), F.lit(None).cast("int").alias("minutes"), "exam_id", F.col("course_id").cast("long").alias("course_id"), real(F.col("weight")).alias("weight"),
+        "topic_id", F.col("sequence").cast("int").alias("sequence"), real(F.coalesce("est_minutes", F.lit(0)) * speed).alias("left"), (real(F.col("difficulty")) * (1 - real(F.col("confidence")))).alias("risk"),
+        F.unix_date("pinned_on").alias("pinned"), F.col("pinned_minutes").cast("int").alias("pinned_minutes"), F.transform("planned_before", lambda d: F.unix_date(d)).alias("before"),
+    )
+    free = days.select("user_id", F.lit(DAY).alias("side"), F.unix_date("day").alias("day"), F.col("minutes").cast("int").alias("minutes"))
+    # A number of partitions is given, as a plan costs far more than its rows' bytes tell.
+    parts = int(topics.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = free.unionByName(work, allowMissingColumns=True).select(*STACKED).repartition(parts, "user_id").sortWithinPartitions("user_id", "side", "exam_id", "topic_id", "sequence", "left", "risk", "pinned")
+    return rows.mapInArrow(plan_stacked, PLAN)
