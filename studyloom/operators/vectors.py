@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.math import cosine
 from ..functions.text import normal_title
-from ..sources.tables import sized
+from .nearest import compared_pairs
 from .relational import top_per
 
 #: Fixed value: the most rows that a search returns.
 MOST = 200
-#: Rows with vectors that are broadcast at most.
-FEW = 20_000
 
 
 def match_chunks(chunks: DataFrame, query: list[float], k: int, *, user: str, **filters: str | None) -> DataFrame:
@@ -33,15 +31,11 @@ def match_chunks(chunks: DataFrame, query: list[float], k: int, *, user: str, **
     return scored.orderBy(F.desc("similarity"), "id").limit(min(MOST, max(1, k)))
 
 
-def nearest_of(left: DataFrame, right: DataFrame, on: Column | str, k: int, least: float = -1.0) -> DataFrame:
+def nearest_of(left: DataFrame, right: DataFrame, on: str, k: int, least: float = -1.0) -> DataFrame:
     """Left rows (lid, lvec) with their k nearest right rows (rid, rvec) of similarity `least` or more among those that
-    `on` brings together, themselves (rid = lid) left out; ties to the smaller rid.
-
-    Up to a checked number the left rows are broadcast, and right ones compared where they lie; more of them are joined by
-    `on`, whose keys Spark splits where they are hot.
-    """
-    pairs = right.join(sized(left, FEW), on).where("lid <> rid").withColumn("similarity", cosine(F.col("lvec"), F.col("rvec"))).where(F.col("similarity") >= least)
-    return top_per(pairs, ["lid"], [F.desc("similarity"), F.col("rid")], k)
+    agree in `on`, themselves (rid = lid) left out; ties to the smaller rid. Pairs are compared as tables of products, part by part."""
+    pairs = compared_pairs(left.select("lid", "lvec", on), right.select("rid", "rvec", on), [on], k, least).where("lid <> rid").where(F.col("similarity") >= least)
+    return top_per(pairs.drop("n"), ["lid"], [F.desc("similarity"), F.col("rid")], k)
 
 
 def guard_duplicates(proposals: DataFrame, existing: DataFrame, on: str, threshold: float = 0.85) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from compare import differences, tables
 from pyspark.sql import functions as F
 
-from studyloom.operators import planner, topics
+from studyloom.operators import nearest, planner, topics, vectors
 from studyloom.plans import registry
 
 
@@ -41,3 +42,17 @@ def test_topics_of_one_number_are_planned_the_same_in_any_order(spark):
     days = spark.createDataFrame([(1, today + timedelta(i), 60) for i in range(25)], "user_id long, day date, minutes int")
     plans = [[tuple(r) for r in planner.plan(spark.createDataFrame(rows[::step], kinds).coalesce(1), days).collect()] for step in (1, -1)]
     assert plans[0] and plans[0] == plans[1]
+
+
+def test_nearest_rows_over_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "PART", 40)
+    r = np.random.default_rng(3)
+    rows = [(i, i % 2, r.normal(size=6).tolist()) for i in range(300)] + [(1000 + i, 0, [1e-200, 1e-200, 0.0, 0.0, 0.0, 0.0]) for i in range(30)] + [(2000, 0, [1.0]), (2001, 0, None), (2002, None, [1.0] * 6)]
+    table = spark.createDataFrame(rows, "rid long, g int, rvec array<double>")
+    left = table.where("rid % 10 = 0").selectExpr("rid lid", "g", "rvec lvec")
+    got = {(x.lid, x["rank"]): (x.rid, x.similarity) for x in vectors.nearest_of(left, table, "g", 4).collect()}
+    whole = {i: (g, np.array(v) / np.abs(v).max()) for i, g, v in rows if v and len(v) == 6 and g is not None}
+    for i, (g, v) in whole.items():
+        if i % 10 == 0:
+            near = sorted((-round(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 12), j) for j, (h, w) in whole.items() if g == h and j != i)[:4]
+            assert [(-round(got[i, k][1], 12), got[i, k][0]) for k in range(1, 5)] == near
