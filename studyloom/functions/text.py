@@ -288,3 +288,14 @@ def item_kind(summary: Column, session: Column, kind: Column, known_course: Colu
         .when(short & summary.rlike(r"(?i)\bdue\b"), "deadline").when(F.exists(categories, lambda c: c.rlike(DEADLINE_WORDS)), "deadline")
         .when(repeats & has_duration, "class").otherwise("event")
     )
+
+
+def word_places(words: Column) -> Column:
+    """array<struct<word, places array<int>>>: the distinct words of an array and where they stand, from 0, in order; by sorting, within
+    the row, so that no shuffle gathers what lies in one text."""
+    pairs = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
+    # A function of an array of one binds its value: it's worked out once, not for each element.
+    bind = lambda value, of: F.transform(F.array(value), of)[0]
+    starts = lambda p: F.filter(F.transform(p, lambda x, i: F.when((i == 0) | (x["word"] != F.get(p, i - 1)["word"]), i)), lambda i: i.isNotNull())
+    group = lambda p, s: F.transform(s, lambda at, k: F.struct(F.get(p, at)["word"].alias("word"), F.transform(F.slice(p, at + 1, F.coalesce(F.get(s, k + 1), F.size(p)) - at), lambda x: x["at"]).alias("places")))
+    return bind(pairs, lambda p: bind(starts(p), lambda s: group(p, s)))

@@ -14,7 +14,7 @@ from ..functions import math as M
 from ..functions import text as T
 from ..operators import calendar, documents, pages, relational, routing, sinks, topics
 from ..sources import files, provider
-from ..sources.tables import exists, scan, shared_folder, timers
+from ..sources.tables import exists, scan, shared_folder, sized, timers
 from ..streaming import changes
 from .feeds import FEEDS, OCCURRENCES, ZONE, order_feeds
 
@@ -197,10 +197,17 @@ def weight_writes(spark, folder):
 
 
 def first_positions(spark, folder):
-    """The first place of each word in a text."""
+    """The first place of each word in a text; only texts of one id are brought together."""
     d = scan(spark, folder, "documents", "doc_id", "text")
-    words = d.select("doc_id", F.posexplode(F.split("text", " ")).alias("position", "word")).where("word <> ''")
-    return words.groupBy("doc_id", "word").agg(F.min("position").alias("first"))
+    again = sized(d.groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("n")).where("n > 1"))
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+
+    def firsts(texts):
+        words = texts.select("doc_id", F.explode(T.word_places(F.split("text", " "))).alias("p"))
+        return words.select("doc_id", F.col("p.word").alias("word"), F.element_at("p.places", 1).alias("first")).where("word <> ''")
+
+    several = firsts(d.join(again, same, "left_semi")).groupBy("doc_id", "word").agg(F.min("first").alias("first"))
+    return firsts(d.join(again, same, "left_anti")).unionByName(several)
 
 
 def skip_sets(spark, folder):

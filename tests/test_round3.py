@@ -7,6 +7,7 @@ import pytest
 from compare import differences, tables
 from pyspark.sql import functions as F
 
+from studyloom.functions import text
 from studyloom.operators import nearest, planner, topics, vectors
 from studyloom.plans import registry
 
@@ -31,8 +32,8 @@ def test_a_feed_of_more_than_a_thousand_users(spark, tmp_path):
 @pytest.mark.parametrize(("weight", "shown"), [(0.845, "0.84"), (0.125, "0.12"), (0.375, "0.38"), (0.855, "0.85"), (1234.5, "1234.50"), (0.0, "0.00")])
 def test_a_weight_is_rounded_by_its_value(spark, weight, shown):
     empty = F.array().cast("array<string>")
-    text = topics.topic_text(F.lit("t"), F.lit("x"), F.lit(weight).cast("double"), F.lit(""), empty, empty, empty, empty)
-    assert f"  exam weight: {shown} (" in spark.range(1).select(text.alias("t")).first()["t"]
+    shown_text = topics.topic_text(F.lit("t"), F.lit("x"), F.lit(weight).cast("double"), F.lit(""), empty, empty, empty, empty)
+    assert f"  exam weight: {shown} (" in spark.range(1).select(shown_text.alias("t")).first()["t"]
 
 
 def test_topics_of_one_number_are_planned_the_same_in_any_order(spark):
@@ -56,3 +57,11 @@ def test_nearest_rows_over_several_parts(spark, monkeypatch):
         if i % 10 == 0:
             near = sorted((-round(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 12), j) for j, (h, w) in whole.items() if g == h and j != i)[:4]
             assert [(-round(got[i, k][1], 12), got[i, k][0]) for k in range(1, 5)] == near
+
+
+def test_first_positions_need_no_shuffle_of_words(spark, tmp_path):
+    rows = [(1, "b a  b a c"), (2, ""), (3, None), (4, "x"), (4, "y x"), (5, "é e é")]
+    folder = written(spark, tmp_path, documents=spark.createDataFrame(rows, "doc_id long, text string"))
+    assert same(spark, folder, "first_positions") == ""
+    got = spark.range(1).select(text.word_places(F.split(F.lit("b a b"), " ")).alias("p")).first()["p"]
+    assert [(x.word, x.places) for x in got] == [("a", [1]), ("b", [0, 2])]
