@@ -16,7 +16,7 @@ from ..operators import calendar, documents, pages, relational, routing, sinks,
 from ..sources import files, provider
 from ..sources.tables import exists, scan, shared_folder, sized, timers
 from ..streaming import changes
-from .feeds import FEEDS, OCCURRENCES, ZONE, order_feeds
+from .feeds import FEEDS, OCCURRENCES, ZONE, order_events, write_feeds
 
 
 def grounding(spark, folder):
@@ -270,9 +270,9 @@ def deck_slides(spark, folder):
 def provider_sync(spark, folder):
     """The feeds of orders through the calendar data source; those whose name is 3, 13, 23 or 33 are known by their hash."""
     provider.register(spark)
-    at, feeds = shared_folder(spark, "feeds"), order_feeds(spark, folder)
-    feeds.repartition("name").write.partitionBy("name").text(at)
-    known = [r["h"] for r in feeds.where("name % 10 = 3").select(F.sha2(F.concat("value", F.lit("\n")), 256).alias("h")).collect()]  # four feeds
+    at = shared_folder(spark, "feeds")
+    write_feeds(order_events(spark, folder), at)
+    known = [r["cursor"] for r in provider.cursors(spark, at, "name=[0-9]*3/").collect()]  # four feeds
     out = spark.read.format("calendar_feed").options(**{"path": at, "timezone": ZONE, "from": "1980-01-01", "to": "2040-01-01", "known": json.dumps(known)}).load()
     name = F.regexp_extract("path", "name=([0-9]+)", 1).cast("long").alias("name")
     return out.groupBy(name, "changed", F.col("error").isNotNull().alias("failed")).agg(F.count("*").alias("n"), F.count_distinct("cursor").alias("cursors"))
@@ -361,9 +361,8 @@ def feed_changes(spark, folder):
     o = scan(spark, folder, "orders", F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 20).alias("name"), F.date_format("o_orderdate", "yyyyMMdd").alias("day"))
 
     def publish(rows, title):
-        event = F.concat(F.lit("BEGIN:VEVENT\r\nUID:"), "k", F.lit("\r\nDTSTART;VALUE=DATE:"), "day", F.lit("\r\nSUMMARY:"), title, F.lit("\r\nEND:VEVENT"))
-        feed = F.concat(F.lit("BEGIN:VCALENDAR\r\n"), F.array_join(F.array_sort(F.collect_list(event)), "\r\n"), F.lit("\r\nEND:VCALENDAR"))
-        rows.groupBy("name").agg(feed.alias("value")).repartition("name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").text(at)
+        event = F.concat(F.lit("BEGIN:VEVENT\r\nUID:"), "k", F.lit("\r\nDTSTART;VALUE=DATE:"), "day", F.lit("\r\nSUMMARY:"), title, F.lit("\r\nEND:VEVENT\r\n"))
+        write_feeds(rows.select("name", event.alias("value")), at)
 
     def follow():
         feeds = spark.readStream.format("calendar_feed").option("path", at).option("feed", "name=([0-9]+)").load()

@@ -126,3 +126,45 @@ def test_a_flag_goes_one_way(spark, tmp_path):
         changes.invalidated(reviews, stream).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
         flags.append(sorted(r.review_id for r in spark.read.schema("review_id int").parquet(out).collect()))
     assert flags == [[1], [1], [1, 3], [1, 2, 3]]
+
+
+def test_large_feeds_are_read_in_chunks(spark, tmp_path, monkeypatch):
+    """The memory that a reader takes doesn't grow with its feed, and the rows are those of the whole text; a feed that fails at its end gives
+    its error alone."""
+    import tracemalloc
+    from datetime import timedelta
+
+    from studyloom.sources import ics
+
+    weekly = "BEGIN:VEVENT\r\nUID:w{0}\r\nDTSTART:20260105T100000Z\r\nRRULE:FREQ=WEEKLY;COUNT=3\r\nSUMMARY:Folded\r\n  at {0}, é\r\nEND:VEVENT\r\n"
+    moved = "BEGIN:VEVENT\r\nUID:w{0}\r\nRECURRENCE-ID:20260112T100000Z\r\nDTSTART:20260113T100000Z\r\nEND:VEVENT\r\n"
+    peaks = []
+    for n in (2_000, 8_000):
+        text = FEED.format("".join(weekly.format(k) + (moved.format(k) if k % 500 == 0 else "") for k in range(n)))
+        (tmp_path / "a.ics").write_bytes(text.encode())
+        monkeypatch.setattr(provider, "CHUNK", 1_001)  # through lines, folds and letters
+        reader = provider.FeedReader({"path": str(tmp_path)})
+        rows = reader.read(reader.partitions()[0])
+        tracemalloc.start()
+        total = sum(1 for _ in rows)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert total == 3 * n
+    assert peaks[1] < 1.5 * peaks[0]
+    names = [c.split()[0] for c in ics.SCHEMA.split(", ")]
+    want, _ = ics.parse_feed(text, "UTC", datetime(1970, 1, 1), datetime(2100, 1, 1))
+    got = [dict(zip(names, r)) for r in reader.read(reader.partitions()[0])]
+    assert [{k: r[k] for k in want[0]} for r in got] == want
+    assert sum(r["overridden"] for r in got) == 16 and got[1]["starts_at"] - got[0]["starts_at"] == timedelta(days=8)
+    (tmp_path / "a.ics").write_bytes((text + EVENT.format("u", "x", "broken")).encode())
+    assert [dict(zip(names, r))["error"] is not None for r in reader.read(reader.partitions()[0])] == [True]
+
+
+def test_a_feed_in_parts(spark):
+    """Rows of one path are one file: its events are spread over tasks, and a part that fails takes the others with it."""
+    from studyloom.sources import ics
+
+    part = lambda path, *event: (path, EVENT.format(*event), "UTC", datetime(2026, 1, 1), datetime(2026, 12, 31))
+    rows = [part("a", "u1", 0, "One"), part("a", "u2", 0, "Two"), part("b", "u1", 0, "One"), part("b", "u2", "x", "broken")]
+    files = spark.createDataFrame(rows, "path string, content string, default_tz string, horizon_from timestamp, horizon_to timestamp").repartition(4)
+    assert sorted((r.path, r.uid, r.error is not None) for r in ics.read_feeds(files).collect()) == [("a", "u1", False), ("a", "u2", False), ("b", None, True)]
