@@ -130,7 +130,7 @@ class FeedReader(DataSourceReader):
 
         def made() -> Iterator[tuple]:
             found = dropped = 0
-            for o in ics.occurrences(lambda: codecs.iterdecode(unchanged(), "utf-8"), self.options["timezone"], self.options["from"], self.options["to"]):
+            for o in ics.occurrences(lambda: ics.lines_of(codecs.iterdecode(unchanged(), "utf-8")), self.options["timezone"], self.options["from"], self.options["to"]):
                 if o is None:
                     dropped += 1
                 else:
