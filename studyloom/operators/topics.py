@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from ..functions.math import changed_enough, exam_weight, weight_band
 from ..functions.text import first_words, identity_key, normal_title, trim
 from .relational import nearest
-from .windows import newest, recency
+from .windows import recency
 
 SOURCE = "struct<documentId: string, page: int>"
 #: A source as pages hold it: older pages name its page in a locator, by page or slide.
@@ -91,8 +91,16 @@ def blocks(pages: DataFrame, page: str = "page") -> DataFrame:
 
 
 def last_of_key(block_rows: DataFrame) -> DataFrame:
-    """One block a key: of several the last on its page. Rows without an `ord` have distinct keys."""
-    return newest(block_rows, ["topic_id", "key"], F.col("ord")) if "ord" in block_rows.columns else block_rows
+    """One block a key: of several the last on its page. Rows without an `ord` have distinct keys.
+
+    Nearly all keys are a block's own, so nothing is merged before the shuffle (which would sort all that a task reads, texts
+    included); what follows it is sorted once, for this and for a join on the key.
+    """
+    if "ord" not in block_rows.columns:
+        return block_rows
+    after = F.lead(F.lit(True)).over(Window.partitionBy("topic_id", "key").orderBy("ord"))
+    parts = int(block_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return block_rows.repartition(parts, "topic_id", "key").withColumn("_after", after).where("_after IS NULL").drop("_after")
 
 
 def page_diff(before: DataFrame, after: DataFrame) -> DataFrame:

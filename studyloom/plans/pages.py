@@ -9,8 +9,9 @@ from ..sources.tables import scan
 
 
 def part_pages(spark, folder):
-    """Parts as topics with a stored page of every section: names in other cases and with marks, blank ids and names, older sources."""
-    p = scan(spark, folder, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    """Parts as topics with a stored page of every section: names in other cases and with marks, blank ids and names, older sources.
+    The parts are dealt out first: a page is many times the size of its part, and a file of parts may be one task's."""
+    p = scan(spark, folder, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size").repartition("p_partkey")
     k = F.col("p_partkey")
     flat = F.struct(p["p_brand"].alias("documentId"), (k % 7).alias("page"))
     older = F.struct(F.lit(" ").alias("documentId"), F.struct(F.when(k % 2 == 0, k % 5).alias("page"), (k % 3).alias("slide")).alias("locator"))

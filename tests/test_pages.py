@@ -57,6 +57,14 @@ def test_diffs(spark):
     assert totals == {"t": (1, 1, 1, 1, False, False), "u": (0, 0, 0, 0, True, False), "v": (0, 0, 0, 0, False, True)}
 
 
+def test_diffs_sort_no_texts_before_the_shuffle(spark):
+    page = blocks(spark, keyTerms=[{"term": "a", "definition": "first"}, {"term": "A", "definition": "last"}])
+    diff = topics.page_diff(page, page)
+    assert [(r.status, r.after) for r in diff.collect()] == [("unchanged", "last")]
+    plan = diff._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan and "WindowGroupLimit" not in plan
+
+
 def losses(spark, before, after, *removed):
     gone = spark.createDataFrame([("t", k) for k in removed], "topic_id string, key string")
     return sorted((r.kind, r.severity, r.subject, r.detail) for r in topics.merge_loss(blocks(spark, **before), blocks(spark, **after), gone).collect())
