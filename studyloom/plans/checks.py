@@ -334,9 +334,14 @@ def retried_deliveries(spark, folder):
     with timers(spark):
         query = changes.retried(asked, outcome, first=0.01, longest=0.08).writeStream.format("parquet").option("checkpointLocation", shared_folder(spark, "ck")).trigger(processingTime="0 seconds").start(out)
         try:
-            for _ in range(600):  # till all are settled, ten minutes at most
-                if query.awaitTermination(1) or (exists(spark, f"{out}/_spark_metadata/0") and attempts().where("outcome <> 'again'").count() >= wanted):
-                    break
+            told = None
+            while not query.awaitTermination(1):  # till all are settled; they are counted after a batch, not meanwhile
+                progress = query.lastProgress
+                batch = progress and progress.batchId
+                if batch != told and exists(spark, f"{out}/_spark_metadata/0"):
+                    told = batch
+                    if attempts().where("outcome <> 'again'").count() >= wanted:
+                        break
         finally:
             query.stop()
     return attempts().select("id", "attempt", "outcome", F.round(F.col("pause") * 100).cast("long").alias("pause"))
