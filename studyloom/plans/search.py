@@ -8,9 +8,9 @@ from ..operators import nearest, search
 from ..sources.tables import scan, scan_dealt, shared_folder
 
 
-def documents_index(spark, folder) -> str:
+def documents_index(spark, folder, places: bool = False) -> str:
     at = shared_folder(spark, "text-index")
-    search.build_index(scan_dealt(spark, folder, "documents", F.col("doc_id").alias("id"), "text"), at)
+    search.build_index(scan_dealt(spark, folder, "documents", F.col("doc_id").alias("id"), "text"), at, places)
     return at
 
 
@@ -48,7 +48,7 @@ def text_search(spark, folder):
 
 def phrase_search(spark, folder):
     """Where the three terms from each benchmark item's longest term on stand together, in any document."""
-    at = documents_index(spark, folder)
+    at = documents_index(spark, folder, places=True)
     words = search.terms(F.col("text"))
     items = scan(spark, folder, "benchmark", F.col("item_id").alias("query_id"), words.alias("w"))
     first = F.array_position(F.transform("w", F.length), F.array_max(F.transform("w", F.length))).cast("int")
